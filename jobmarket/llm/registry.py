@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmarket.llm import exact_dedup, mixing, packing, sharding
-from jobmarket.llm.common import table
+from jobmarket.llm import exact_dedup, hamming, html_text, mixing, packing, quality, sharding, shingle_join
+from jobmarket.llm.common import crc_mod, table
 
 
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,20 +27,44 @@ def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), F.round(F.get("positions", F.lit(0)), 6).alias("position"))
 
 
+def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest sign codes, itself included, for every vector whose id is divisible by 20, among all vectors."""
+    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code().alias("code"))
+    return hamming.top_k(codes, codes.where("id % 20 = 0"), k=10)
+
+
+def op5_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    scored = quality.scores(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
 def op9_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_bayes_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links", "kept")
+
+
 QUERIES = {
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_curriculum_mix": op3_curriculum_mix,
+    "op4_multi_index_hashing": op4_multi_index_hashing,
+    "op5_template_removal": op5_template_removal,
     "op6_extendible_hash_dedup": op6_extendible_hash_dedup,
+    "op7_subword_quality": op7_subword_quality,
     "op9_genetic_packing": op9_genetic_packing,
+    "op10_bayes_shingle_join": op10_bayes_shingle_join,
 }
 
 ORACLES = {
@@ -57,7 +81,7 @@ ORACLES = {
                      1.5::DOUBLE * sum(n) OVER () AS budget FROM s),
         f AS (SELECT *, budget - coalesce(sum(cap) OVER o, 0) AS rest, sum(w) OVER (ORDER BY cap / w, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tw
               FROM w WINDOW o AS (ORDER BY cap / w, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        l AS (SELECT min(rest / tw) FILTER (rest / tw * w <= cap) AS lam FROM f),
+        l AS (SELECT max(rest / tw) FILTER (rest / tw * w <= cap) AS lam FROM f),
         g AS (SELECT f.*, CASE WHEN lam * w > cap THEN cap ELSE lam * w END AS target FROM f, l),
         p AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size) - size + size / 2.0::DOUBLE AS mid FROM d),
         t AS (SELECT doc_id, size, n AS source_size, target, a, b, mid, CASE WHEN size = 0 THEN 0 ELSE (mid <= target)::INT + (n + mid <= target)::INT END AS k
@@ -65,4 +89,21 @@ ORACLES = {
         SELECT doc_id, size::BIGINT AS size, source_size, target, (size * k)::BIGINT AS taken,
                CASE WHEN k = 0 THEN NULL WHEN a = b THEN round(mid / target * (a + b) / 2 / a, 6)
                     ELSE round((sqrt(a * a + 2 * (b - a) * (mid / target * (a + b) / 2)) - a) / (b - a), 6) END AS position FROM t""",
+    "op4_multi_index_hashing": """
+        WITH c AS (SELECT vec_id AS id, list_sum([CASE WHEN embedding[i] > 0 THEN 1::UBIGINT << (i - 1)::UBIGINT ELSE 0::UBIGINT END FOR i IN range(1, 65)])::UBIGINT AS code FROM embeddings),
+        p AS (SELECT q.id AS query_id, r.id AS neighbour_id, bit_count(xor(q.code, r.code))::BIGINT AS distance FROM c q, c r WHERE q.id % 20 = 0)
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id)::INT AS place FROM p
+        QUALIFY place <= 10""",
+    "op10_bayes_shingle_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                     ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS sh FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9),
+        r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+        c AS (SELECT doc_id, least(doc_id, coalesce(min(b), doc_id)) AS class_id FROM documents LEFT JOIN r ON r.a = doc_id GROUP BY doc_id),
+        l AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+        SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, coalesce(l.n, 0)::BIGINT AS n_links, doc_id = class_id AS kept
+        FROM c LEFT JOIN l ON l.a = doc_id""",
 }
