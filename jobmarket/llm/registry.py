@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmarket.llm import exact_dedup, hamming, html_text, mixing, packing, quality, sharding, shingle_join
+from jobmarket.llm import context_tree, exact_dedup, hamming, html_text, mixing, packing, quality, sharding, shingle_join
 from jobmarket.llm.common import crc_mod, table
 
 
@@ -47,6 +47,11 @@ def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
 
 
+def op8_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = context_tree.language_model_scores(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) != 1)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -63,6 +68,7 @@ QUERIES = {
     "op5_template_removal": op5_template_removal,
     "op6_extendible_hash_dedup": op6_extendible_hash_dedup,
     "op7_subword_quality": op7_subword_quality,
+    "op8_context_tree_score": op8_context_tree_score,
     "op9_genetic_packing": op9_genetic_packing,
     "op10_bayes_shingle_join": op10_bayes_shingle_join,
 }
