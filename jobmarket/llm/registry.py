@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmarket.llm import context_tree, exact_dedup, hamming, html_text, mixing, packing, quality, sharding, shingle_join
+from jobmarket.llm import context_tree, exact_dedup, hamming, html_text, line_dedup, mixing, packing, quality, sharding, shingle_join
 from jobmarket.llm.common import crc_mod, table
 
 
+def op1_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 24 shards of equal row counts, in Hilbert order of source, language and size."""
     docs = table(spark, sf_dir, "documents").select(
@@ -62,6 +66,7 @@ def op10_bayes_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_segment_edit_join": op1_segment_edit_join,
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_curriculum_mix": op3_curriculum_mix,
     "op4_multi_index_hashing": op4_multi_index_hashing,
