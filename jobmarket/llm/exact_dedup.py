@@ -39,17 +39,17 @@ def _normal(texts: pd.Series) -> list[bytes]:
 
 
 def signed_rows(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """doc_id, chars of the original, hash and sha256 of each row's normalised text."""
+    """doc_id, row (its number), chars of the original, hash and sha256 of each row's normalised text."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = _normal(pdf["text"])
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"), "chars": [len(t or "") for t in pdf["text"]],
+                "doc_id": pdf["doc_id"].astype("Int64"), "row": pdf["row"], "chars": [len(t or "") for t in pdf["text"]],
                 "key": [_hash64(t, bits) for t in texts], "sha": [hashlib.sha256(t).digest() for t in texts],
             })
 
-    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, chars long, key long, sha binary")
+    return docs.select("doc_id", "text", "row").mapInPandas(sign, "doc_id long, row long, chars long, key long, sha binary")
 
 
 def directory(keys: DataFrame, capacity: int) -> tuple[np.ndarray, int]:
@@ -120,15 +120,17 @@ def build_index(docs: DataFrame, signed: DataFrame, capacity: int = 20_000, bits
     return written(owned.mapInPandas(own, "bucket int, key long, chain int, sha binary, keep_id long, group_size long"), "exact-index")
 
 
-def exact_dedup(docs: DataFrame, capacity: int = 20_000, bits: int = 64) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, capacity: int = 20_000, bits: int = 64, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, row, keep_id, group_size, kept, text_sha256.
 
     `kept` marks one row of each group: the row with most code points, then the smallest doc_id.
+    row: a column that numbers the rows of docs; without it they are numbered here.
     """
-    signed = written(signed_rows(docs, bits).withColumn("row", F.monotonically_increasing_id()), "signed")
+    numbered = docs.select("doc_id", "text", (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
+    signed = written(signed_rows(numbered, bits), "signed")
     index = build_index(docs, signed, capacity, bits).select("sha", "keep_id", "group_size")
     # Of rows that repeat the kept id, one stays.
     first = signed.join(index, "sha").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("sha").agg(F.min("row").alias("keep_row"))
     return signed.join(index.join(first, "sha"), "sha").select(
-        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+        "doc_id", "row", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )

@@ -42,7 +42,7 @@ def op5_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

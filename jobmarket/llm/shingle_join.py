@@ -182,8 +182,11 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = low
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-7) -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, n_links, kept (one document of each class)."""
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-7, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, row, class_id, class_size, n_links, kept (one document of each class).
+
+    row: a column that numbers the rows of docs; without it they are numbered here.
+    """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -197,10 +200,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
                 for k in range(BAND):
                     h = _mix(h * np.uint64(_R) + sig[:, k])
                 bands.append(h.view(np.int64) if len(sh) else [])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text": pdf["text"], "set_key": keys, "n": n, "bands": bands})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "row": pdf["row"], "text": pdf["text"], "set_key": keys, "n": n, "bands": bands})
 
-    signed = docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, text string, set_key binary, n long, bands array<long>")
-    signed = written(signed.withColumn("row", F.monotonically_increasing_id()), "shingles")
+    numbered = docs.select("doc_id", "text", (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
+    signed = numbered.mapInPandas(sign, "doc_id long, row long, text string, set_key binary, n long, bands array<long>")
+    signed = written(signed, "shingles")
     sets = written(signed.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("rep"), F.count("*").alias("copies")), "sets")
     reps = signed.join(sets.select(F.col("rep").alias("row"), "copies"), "row")
     banded = written(reps.select("row", F.explode("bands").alias("key")), "bands")
@@ -216,7 +220,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     names = full.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     first = full.join(names, "root").where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("row").alias("keep_row"))
     out = full.join(written(names.join(first, "root"), "names"), "root")
-    return out.select("doc_id", "class_id", "class_size", "n_links", (F.col("row") == F.col("keep_row")).alias("kept"))
+    return out.select("doc_id", "row", "class_id", "class_size", "n_links", (F.col("row") == F.col("keep_row")).alias("kept"))
 
 
 def _compare(signed: DataFrame, near: DataFrame, sets: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
