@@ -19,6 +19,7 @@ import os
 import random
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,17 +31,30 @@ from jobmarket.llm.common import written
 
 END_ID = 2
 #: Unicode White_Space, as the tokenizer's own pattern counts it.
-WS = "\t-\r \x85\xa0  -     　"
+WS = "\t-\r \x85\xa0" + chr(0x1680) + chr(0x2000) + "-" + chr(0x200A) + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 UNIT = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 EDGE = re.compile(f"[{WS}]")
-CACHE_LIMIT = 400_000  # entries of a task's unit cache; it is emptied when full
+CACHE_LIMIT = 1_000_000  # entries of a cache of a Python worker (about 150 MB); it is emptied when full
+
+
+#: A word and the punctuation after it: one piece each for the tokenizer, whatever follows.
+CORE = re.compile(r"([^\W\d_]+)([^\w\s']*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes take the letters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(other)}
 
 
 class UnitEncoder:
-    """Token ids of whole texts, one tokenizer call per unseen white-space unit.
+    """Token ids of whole texts, one tokenizer call per unseen word.
 
     The tokenizer never merges across a unit (an optional single space and what follows it up to
-    the next white space, or a run of white space), so the ids of a text are those of its units in order.
+    the next white space, or a run of white space), so the ids of a text are those of its units in
+    order. Inside a unit a word of letters and the punctuation after it are separate pieces too: the
+    tokenizer's merges are asked for the word alone.
     """
 
     def __init__(self, path: str):
@@ -48,50 +62,62 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced: dict[str, bytes | None] = {}
-        self.units: dict[str, bytes] = {}
-
-    def _encode(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-
-    def _fill(self, units: list[str]) -> None:
-        new = list({u for u in units if u not in self.units})
-        if not new:
-            return
-        if len(self.units) + len(new) > CACHE_LIMIT:
-            self.units.clear()
-            self.spaced.clear()
-            new = list(set(units))
-        self.units.update(zip(new, self._encode(new)))
+        self.merges = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.spaced: dict[str, bytes] = {}  # what stands between two spaces, with the space before it
+        self.words: dict[str, bytes] = {}  # words of letters, with the space before them
+        self.units: dict[str, bytes] = {}  # anything else, as it is
+
+    def _word(self, word: str) -> bytes:
+        piece = self.letters[32] + (word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.letters))
+        ids = self.words[word] = array("I", [t.id for t in self.merges.tokenize(piece)]).tobytes()
+        return ids
+
+    def _unit(self, unit: str) -> bytes:
+        ids = self.units.get(unit)
+        if ids is None:
+            if len(self.units) > CACHE_LIMIT // 8:
+                self.units.clear()
+            ids = self.units[unit] = array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+        return ids
+
+    def _between(self, part: str) -> bytes | None:
+        """Ids of a part between two spaces; None if it may belong to a longer run of white space."""
+        m = CORE.fullmatch(part)
+        if m and m[1].isalpha():
+            ids = self.words.get(m[1]) or self._word(m[1])
+            if m[2]:
+                ids += self._unit(m[2])
+        elif not part or EDGE.match(part[0]) or EDGE.match(part[-1]):
+            return None
+        elif EDGE.search(part):  # a newline, say: rarely met again
+            first, *rest = UNIT.findall(" " + part)
+            return (self.spaced.get(first[1:]) or self._between(first[1:])) + b"".join(map(self._unit, rest))
+        else:
+            ids = self._unit(" " + part)
+        self.spaced[part] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if len(self.spaced) > CACHE_LIMIT:
+            self.spaced.clear()
+        if len(self.words) > CACHE_LIMIT:
+            self.words.clear()
         parts = text.split(" ")
         found = list(map(self.spaced.get, parts))
+        found[0] = b""
         if None in found:
-            missing = {p for p, f in zip(parts, found) if f is None}
-            # a part that is empty or begins or ends with white space may belong to a longer run
-            if any(not p or EDGE.match(p[0]) or EDGE.match(p[-1]) for p in missing):
-                return self._by_units(text)
-            split = {p: UNIT.findall(" " + p) for p in missing}
-            self._fill([u for us in split.values() for u in us])
-            ids = {p: b"".join(map(self.units.__getitem__, us)) for p, us in split.items()}
-            found = [ids[p] if f is None else f for p, f in zip(parts, found)]
-            self.spaced.update((p, ids[p]) for p, us in split.items() if len(us) == 1)
-        head = UNIT.findall(parts[0])  # no space stands before the first part
-        self._fill(head)
-        found[0] = b"".join(map(self.units.__getitem__, head))
+            get = self.spaced.get
+            found = [f if f is not None else get(p) or self._between(p) for f, p in zip(found, parts)]
+            if None in found:
+                return b"".join(self._unit(m[0]) for m in UNIT.finditer(text))
+        head = parts[0]  # no space stands before it
+        if not head or EDGE.match(head[-1]):
+            return b"".join(self._unit(m[0]) for m in UNIT.finditer(text))
+        found[0] = b"".join(map(self._unit, UNIT.findall(head)))
         return b"".join(found)
 
-    def _by_units(self, text: str) -> bytes:
-        units = UNIT.findall(text)
-        out = []
-        for at in range(0, len(units), CACHE_LIMIT // 4):
-            part = units[at:at + CACHE_LIMIT // 4]
-            self._fill(part)
-            out += map(self.units.__getitem__, part)
-        return b"".join(out)
-
 
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = 1024) -> DataFrame:
     """Rows doc_id, piece, start, length, ids_crc32 for every piece of every document."""
