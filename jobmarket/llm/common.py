@@ -45,6 +45,14 @@ def numbered(df: DataFrame, name: str, column: str = "_row") -> DataFrame:
     return written(df.withColumn(column, F.monotonically_increasing_id()), name)
 
 
+BROADCAST_ROWS = 1_000_000  # of a few longs each; a join side beyond it is shuffled
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df as the small side of a join: broadcast if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobmarket.llm.common import written
+from jobmarket.llm.common import BROADCAST_ROWS, written
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""",
@@ -216,9 +216,6 @@ def templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2) -> D
     return counts.where("subtree <> 0").join(n, F.col("host") == F.col("_host")).where(F.col("count") >= min_share * F.col("pages")).select("host", "subtree")
 
 
-BROADCAST_ROWS = 1_000_000
-
-
 def main_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2) -> DataFrame:
     """All columns of pages, and text and n_chars."""
     found = written(templates(pages, min_pages, min_share), "templates")

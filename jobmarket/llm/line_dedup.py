@@ -21,10 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobmarket.llm.common import components, written
+from jobmarket.llm.common import components, sized, written
 
 THRESHOLD, MIN_CHARS = 2, 20
-BROADCAST_ROWS = 1_000_000  # of one long; beyond it a shuffle join is used
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -104,21 +103,16 @@ def _any_word(state: Column, threshold: int) -> Column:
     return out
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """df for the small side of a join: broadcast if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def near_pairs(each: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """Distinct pairs a < b of line hashes whose lines are within the threshold; each: rows of `lines`."""
     long_lines = each.where(F.col("chars") >= min_chars)
     keys = long_lines.select("h", F.inline(segment_keys(F.col("line"), F.col("chars"), threshold, min_chars)))
     shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("probe").alias("probe")).where("lo <> hi and probe = 0").select("key")
     shared = written(shared, "segments")
-    hits = written(keys.join(_sized(shared), "key").distinct(), "hits")
+    hits = written(keys.join(sized(shared), "key").distinct(), "hits")
     wanted = written(hits.select("h").distinct(), "wanted")
     # One text for each hash.
-    found = written(long_lines.select("h", "line").join(_sized(wanted), "h").groupBy("h").agg(F.first("line").alias("line")), "lines")
+    found = written(long_lines.select("h", "line").join(sized(wanted), "h").groupBy("h").agg(F.first("line").alias("line")), "lines")
     marked = hits.join(found.select("h", parity(F.col("line")).alias("odd"), F.length("line").alias("chars")), "h")
     a, b = marked.where("probe = 0").alias("a"), marked.alias("b")
     pairs = a.join(
@@ -142,7 +136,7 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
     links = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("n_links"))
     classes = components(pairs).select(F.col("node").alias("h"), F.col("component").alias("root"))
     near = written(classes.join(links, "h"), "line-classes")
-    placed = found.join(_sized(near), "h", "left").select("doc_id", "line_no", "at", F.coalesce("root", "h").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    placed = found.join(sized(near), "h", "left").select("doc_id", "line_no", "at", F.coalesce("root", "h").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     placed = written(placed, "placed")
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "at")).alias("first"))
     return placed.join(written(first, "first-lines"), "root").select(

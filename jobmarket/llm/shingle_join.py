@@ -31,12 +31,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobmarket.llm.common import components, written
+from jobmarket.llm.common import components, sized, written
 
 N_WORDS, N_HASHES, BAND = 5, 128, 4
 STEP = 16  # MinHash values compared at a time
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 1_000_000
-BROADCAST_ROWS = 1_000_000  # of two longs; beyond it a shuffle join is used
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -200,17 +199,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
                 for k in range(BAND):
                     h = _mix(h * np.uint64(_R) + sig[:, k])
                 bands.append(h.view(np.int64) if len(sh) else [])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "row": pdf["row"], "text": pdf["text"], "set_key": keys, "n": n, "bands": bands})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "row": pdf["row"], "text_hash": pdf["text_hash"], "set_key": keys, "n": n, "bands": bands})
 
     numbered = docs.select("doc_id", "text", (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
-    signed = numbered.mapInPandas(sign, "doc_id long, row long, text string, set_key binary, n long, bands array<long>")
+    numbered = numbered.withColumn("text_hash", F.xxhash64("text"))
+    signed = numbered.mapInPandas(sign, "doc_id long, row long, text_hash long, set_key binary, n long, bands array<long>")
     signed = written(signed, "shingles")
     sets = written(signed.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("rep"), F.count("*").alias("copies")), "sets")
     reps = signed.join(sets.select(F.col("rep").alias("row"), "copies"), "row")
     banded = written(reps.select("row", F.explode("bands").alias("key")), "bands")
-    shared = banded.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = written(components(banded.join(shared, "key").where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))), "candidates")
-    links, edges = _compare(signed, near, sets, threshold, tolerance)
+    shared = written(banded.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
+    near = written(components(banded.join(sized(shared), "key").where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))), "candidates")
+    links, edges = _compare(docs, reps, near, threshold, tolerance)
     classes = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("root"))
     members = signed.select("doc_id", "row", "set_key").join(sets, "set_key", "left").withColumn("rep", F.coalesce("rep", "row"))
     full = members.join(links, "rep", "left").join(classes, "rep", "left").select(
@@ -223,13 +223,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     return out.select("doc_id", "row", "class_id", "class_size", "n_links", (F.col("row") == F.col("keep_row")).alias("kept"))
 
 
-def _compare(signed: DataFrame, near: DataFrame, sets: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+def _compare(docs: DataFrame, reps: DataFrame, near: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
     """Per representative its linked documents; and edges that span the classes."""
-    members = near.select(F.col("node").alias("row"), "component")
-    if members.count() <= BROADCAST_ROWS:
-        members = F.broadcast(members)
-    texts = signed.select("row", "text", "n").join(members, "row").join(sets.select(F.col("rep").alias("row"), "copies"), "row")
-    texts = written(texts, "compare")
+    members = written(near.select(F.col("node").alias("row"), "component").join(reps.select("row", "text_hash", "n", "copies"), "row"), "members")
+    # Copies of a text are met many times; one of them is taken.
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(sized(members), "text_hash")
+    texts = written(texts.groupBy("row", "component", "n", "copies").agg(F.first("text").alias("text")), "compare")
     size = texts.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = texts.join(size, "component").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
