@@ -1,14 +1,437 @@
-"""Registered queries of the engine and the SQL they must equal."""
+"""Registered queries of the engine on the driver's tables, and the SQL they must equal.
+
+The tables are no vacancies, so each query states the role its table plays: pages are crawled pages, documents are vacancy
+texts, labels are analyses, events are observations or commands, customers and orders are vacancies and applications.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from jobmarket.functions import urls
+from jobmarket.functions.model_output import label_for
+from jobmarket.functions.text import visible_text
+from jobmarket.operators import inbox, lifecycle, ranking, reports, score, tracking
+from jobmarket.operators.extract import first_match, list_items, path_id, PATTERNS, vacancies
+from jobmarket.sources import boards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Terms that occur in the test corpus; a real profile holds skills.
+PROFILES = [
+    ("p1", ["tion the", "license"], ["the", "ing", "und", "ing"], ["tion", "thou"], ["que", "ment", "lich", "rights"], ["ent"], ["er and", "ou", "los"], ["!!", "###"], 6.0, "B2", [("remote", ""), ("hybrid", "Lithuania")]),
+    ("p2", ["and"], ["que"], [], ["lich"], ["des", "der"], [], ["zzz"], None, None, None),
+    ("p3", ["einer keit"], [], ["mente"], [], [], ["osta"], [], 2.5, "A2", [("office", "")]),
+]
+BOARD = boards.Board("pages", hosts=("example.com", "example.net", "example.org"), exclude_locations=True)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def profiles(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PROFILES, score.PROFILE)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    """Pages to vacancies to scores against every profile."""
+    good = vacancies(_t(spark, sf_dir, "pages"), BOARD).where("reject_reason is null").withColumn("source_url", urls.canonical_url(F.col("url")))
+    scored = score.score(good.select("page_id", "source_url", "title", "searchable"), profiles(spark))
+    return scored.select("page_id", "source_url", "title", "profile_id", "score", "fit_label", F.array_join("matched_points", "; ").alias("matched"), F.array_join("missing_points", "; ").alias("missing")).orderBy(F.col("score").desc(), "source_url", "profile_id")
+
+
+# --- pages -------------------------------------------------------------------------------------------
+
+_CLEAN = r"""trim(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"""
+_UNESCAPE = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_VISIBLE = _CLEAN.format(r"regexp_replace(regexp_replace(" + _UNESCAPE.format("html") + r", '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis')")
+_FIRST = lambda p: _CLEAN.format(_UNESCAPE.format(f"regexp_extract(html, '{p}', 1, 'is')"))
+_CANONICAL = r"""
+    (WITH p AS (SELECT regexp_extract(u, '^([A-Za-z]+)://', 1) AS scheme, regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1) AS host,
+                       regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '^[^?#]*\?([^#]*)', 1) AS query FROM (SELECT trim(url) AS u))
+     SELECT lower(scheme) || '://' || lower(host) || CASE WHEN path IN ('', '/') THEN '/' ELSE rtrim(path, '/') END ||
+            coalesce('?' || nullif(array_to_string(list_sort([x FOR x IN string_split(query, '&') IF x <> '' AND NOT starts_with(lower(x), 'utm_')
+                AND lower(string_split(x, '=')[1]) NOT IN ('fbclid', 'gclid', 'yclid', 'mc_cid', 'mc_eid')]), '&'), ''), '') FROM p)"""
+
+
+@query(f"SELECT page_id, {_VISIBLE} AS visible FROM pages")
+def b1_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", visible_text(F.col("html")).alias("visible"))
+
+
+@query(f"""
+    SELECT page_id, coalesce(nullif({_FIRST('<h1[^>]*>(.*?)</h1>')}, ''), {_FIRST('<title[^>]*>(.*?)</title>')}) AS title,
+           {_FIRST('<article[^>]*>(.*?)</article>')} AS description, coalesce(nullif(trim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), ''), url) AS source_id,
+           regexp_replace(url, '[?#].*$', '') AS source_url FROM pages""")
+def b4_page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html, url = F.col("html"), F.col("url")
+    return _t(spark, sf_dir, "pages").select(
+        "page_id", first_match(html, PATTERNS["title"]).alias("title"), first_match(html, PATTERNS["description"][3:]).alias("description"), path_id(url).alias("source_id"), boards.vacancy_url(url).alias("source_url")
+    )
+
+
+@query(r"""
+    WITH i AS (SELECT page_id, [trim(regexp_replace(regexp_replace(replace(replace(x, '&quot;', '"'), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) FOR x IN regexp_extract_all(html, '<li>(.*?)</li>', 1, 'is')] AS items FROM pages)
+    SELECT page_id, len([x FOR x IN items IF x <> ''])::INT AS n_items, array_to_string([x FOR x IN items IF x <> ''], '|') AS items FROM i""")
+def b9_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = list_items(F.col("html"))
+    return _t(spark, sf_dir, "pages").select("page_id", F.size(items).alias("n_items"), F.array_join(items, "|").alias("items"))
+
+
+@query(r"""
+    WITH l AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1, 'i')) AS href, generate_subscripts(regexp_extract_all(html, 'href="([^"]+)"', 1, 'i'), 1) AS nth FROM pages),
+    r AS (SELECT page_id, regexp_replace(root || href, '#.*$', '') AS link, min(nth) AS nth FROM l WHERE starts_with(href, '/') GROUP BY ALL)
+    SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY nth) - 1)::INT AS "at", link FROM r""")
+def a3_link_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boards.harvest_links(_t(spark, sf_dir, "pages")).select("page_id", "at", "link")
+
+
+@query(r"""
+    WITH l AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, regexp_extract(url, '([a-z]+)(?:[/?#:]|$)', 1) AS scheme, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1, 'i')) AS href, generate_subscripts(regexp_extract_all(html, 'href="([^"]+)"', 1, 'i'), 1) AS nth FROM pages),
+    k AS (SELECT root, root || href AS link, min((page_id, nth)) AS first FROM l GROUP BY ALL),
+    n AS (SELECT root AS board, link, row_number() OVER (PARTITION BY root ORDER BY first, link) AS place FROM k)
+    SELECT board, link, place::INT AS place FROM n WHERE place <= 5""")
+def a4_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = boards.harvest_links(_t(spark, sf_dir, "pages"))
+    p = urls.parts(F.col("url"))
+    return boards.frontier(links.select(F.concat(p["scheme"], F.lit("://"), p["authority"]).alias("board"), F.lit(0).alias("position"), F.col("page_id").alias("page"), "at", "link"), 5)
+
+
+@query(f"SELECT page_id, {_CANONICAL} AS canonical, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host FROM pages")
+def h3_canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"), urls.host(F.col("url")).alias("host"))
+
+
+@query(f"""
+    WITH v AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id, regexp_replace(url, '[?#].*$', '') || '?utm_medium=mail' FROM pages WHERE page_id % 3 = 0),
+    c AS (SELECT url AS source_url, {_CANONICAL} AS canonical FROM v),
+    g AS (SELECT canonical, count(*) AS members, min(source_url) AS smallest, max(source_url = canonical) AS stored FROM c GROUP BY canonical)
+    SELECT canonical, members, CASE WHEN stored THEN canonical ELSE smallest END AS survivor FROM g WHERE members > 1 OR NOT stored""")
+def d1_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _t(spark, sf_dir, "pages").select("page_id", "url")
+    variants = pages.where("page_id % 3 = 0").select("page_id", F.concat(urls.without_query(F.col("url")), F.lit("?utm_medium=mail")).alias("url"))
+    return lifecycle.collisions(pages.unionByName(variants).select(F.col("url").alias("source_url")))
+
+
+@query(f"""
+    WITH v AS (SELECT page_id, url, page_id AS run FROM pages UNION ALL SELECT page_id, regexp_replace(url, '[?#].*$', '') || '?utm_medium=mail', page_id + 1000 FROM pages WHERE page_id % 3 = 0),
+    c AS (SELECT *, TIMESTAMP '2024-01-01' + to_seconds((page_id * 37) % 1000) AS seen, {_CANONICAL} AS canonical FROM v)
+    SELECT canonical AS source_url, arg_min(url, (url <> canonical, url)) AS original_source_url, epoch(min(seen))::BIGINT AS first_seen, arg_min(run, (seen, run)) AS first_run, epoch(max(seen))::BIGINT AS last_seen, arg_max(run, (seen, run)) AS last_run
+    FROM c GROUP BY canonical""")
+def d2_merged_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _t(spark, sf_dir, "pages").select("page_id", "url", F.col("page_id").alias("run"))
+    variants = pages.where("page_id % 3 = 0").select("page_id", F.concat(urls.without_query(F.col("url")), F.lit("?utm_medium=mail")).alias("url"), (F.col("page_id") + 1000).alias("run"))
+    at = F.timestamp_seconds(F.lit(1704067200) + (F.col("page_id") * 37) % 1000)
+    rows = pages.unionByName(variants).select(F.col("url").alias("source_url"), at.alias("first_seen_at"), at.alias("last_seen_at"), F.col("run").alias("first_seen_run_id"), F.col("run").alias("last_seen_run_id"))
+    out = lifecycle.merged_vacancies(rows)
+    return out.select("source_url", "original_source_url", F.unix_timestamp("first_seen_at").alias("first_seen"), F.col("first_seen_run_id").alias("first_run"), F.unix_timestamp("last_seen_at").alias("last_seen"), F.col("last_seen_run_id").alias("last_run"))
+
+
+@query(f"""
+    WITH v AS (SELECT page_id, {_FIRST('<h1[^>]*>(.*?)</h1>')} AS title, lower({_VISIBLE}) AS visible FROM pages)
+    SELECT CASE WHEN contains(visible, 'access denied') OR contains(visible, 'just a moment') OR contains(visible, 'checking your browser') OR contains(visible, 'verify you are human')
+                     OR contains(visible, 'sgcaptcha') OR contains(visible, 'temporarily unavailable') THEN 'blocked' WHEN title = '' THEN 'no_title' ELSE 'good' END AS gate, count(*) AS n
+    FROM v GROUP BY 1""")
+def b20_parse_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vacancies(_t(spark, sf_dir, "pages"), BOARD)
+    return out.groupBy(F.coalesce("reject_reason", F.lit("good")).alias("gate")).agg(F.count("*").alias("n"))
+
+
+@query(r"""
+    SELECT page_id, CASE WHEN regexp_matches(url, '^https?://([^/?#]*\.)?example\.com([/?#]|$)') THEN 'com' WHEN regexp_matches(url, '^https?://([^/?#]*\.)?example\.(net|org)/[a-z]+/') THEN 'paths' END AS board FROM pages""")
+def b16_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = boards.board_rows(spark, [boards.Board("com", ("example.com",)), boards.Board("paths", ("example.net", "example.org"), path_pattern="^/[a-z]+/")])
+    return boards.route(_t(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "board")
+
+
+# --- scores ------------------------------------------------------------------------------------------
+
+def _sql_score(p: tuple, hay: str) -> str:
+    """The rule score of one profile as SQL over lower-cased text without a title, in the order of the rules."""
+    _, roles, skills, must, nice, near, extra, excluded, *_ = p
+    has = lambda t: f"contains({hay}, '{t.strip().lower()}')"
+    count = lambda ts: " + ".join(f"{has(t)}::INT" for t in dict.fromkeys(ts)) or "0"
+    parts = [f"floor(({count(skills)})::DOUBLE / {max(1, len(skills))} * 25)", f"floor(({count(must)})::DOUBLE / {max(1, len(must))} * 30)", f"least(10, 3 * ({count(nice)}))"]
+    parts.append("CASE WHEN " + (" OR ".join(has(r) for r in roles) or "false") + " THEN 15 ELSE 0 END")
+    parts.append("CASE WHEN " + (" OR ".join(has(x) for x in near) or "false") + " THEN 10 ELSE 0 END")
+    parts.append(f"least(10, 2 * ({count(extra)}))")
+    parts.append("CASE WHEN " + (" OR ".join(has(x) for x in excluded) or "false") + " THEN -40 ELSE 0 END")
+    return f"greatest(0, least(100, {' + '.join(parts)}))::INT"
+
+
+_PLAIN = [(*p[:8], None, None, None) for p in PROFILES]
+
+
+@query("SELECT *, CASE WHEN score >= 75 THEN 'High' WHEN score >= 45 THEN 'Medium' ELSE 'Low' END AS fit_label FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{p[0]}' AS profile_id, {_sql_score(p, 'lower(text)')} AS score FROM documents" for p in _PLAIN) + ")")
+def i1_rule_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), F.lower("text").alias("searchable"))
+    return score.score(docs, spark.createDataFrame(_PLAIN, score.PROFILE)).select("doc_id", "profile_id", "score", "fit_label")
+
+
+_YEARS = "CASE WHEN need <= 4 THEN 10 ELSE round_even(-10 + 20 * (4.0::DOUBLE / need), 0)::INT END"
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, doc_id % 9 AS need, 1 + doc_id % 6 AS rank, doc_id % 3 AS mode FROM documents)
+    SELECT doc_id, {_YEARS} AS years_points, rank::INT AS english, CASE WHEN rank > 4 THEN -40 ELSE 5 END AS english_points,
+           CASE mode WHEN 0 THEN 'hybrid' WHEN 1 THEN 'remote' ELSE 'office' END AS mode, CASE mode WHEN 0 THEN -40 WHEN 1 THEN 10 ELSE -40 END AS mode_points FROM d""")
+def i8_injected_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirement sentences are put behind every text: the corpus holds none of their words."""
+    levels = F.array(*[F.lit(x) for x in ("a1", "a2", "b1", "b2", "c1", "c2")])
+    mode = F.element_at(F.array(F.lit("hybrid work, two days remote"), F.lit("fully remote"), F.lit("on site")), (F.col("doc_id") % 3 + 1).cast("int"))
+    tail = F.concat(F.lit(" . we ask for "), (F.col("doc_id") % 9).cast("string"), F.lit(" years here; german c2 welcome, some other words between; english "), F.element_at(levels, (F.col("doc_id") % 6 + 1).cast("int")), F.lit(" is needed; "), mode)
+    hay = F.col("hay")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lower("text"), tail).alias("hay"))
+    wanted = F.array(F.struct(F.lit("remote").alias("mode"), F.lit("").alias("country")), F.struct(F.lit("office").alias("mode"), F.lit("Nowhereland").alias("country")))
+    return docs.select(
+        "doc_id", score.experience_match(F.lit(4.0), hay)["points"].alias("years_points"), score.english_rank(hay).alias("english"), score.english_match(F.lit("B2"), hay)["points"].alias("english_points"),
+        score.work_mode(hay).alias("mode"), score.work_match(wanted, hay)["points"].alias("mode_points"),
+    )
+
+
+@query(r"""
+    WITH r AS (SELECT doc_id, doc_id % 7 AS y, doc_id % 101 AS fit, CASE doc_id % 5 WHEN 0 THEN 'Senior clerk' WHEN 1 THEN 'Junior clerk' ELSE 'Clerk' END AS title, CASE doc_id % 4 WHEN 0 THEN 'C1 English' ELSE 'OK' END AS lang, source FROM documents),
+    s AS (SELECT *, CASE WHEN doc_id % 5 = 1 THEN 'OK' WHEN doc_id % 5 = 0 THEN 'Senior-like title: senior' WHEN y >= 5 THEN 'Requires ' || y || '+ years' WHEN y >= 3 THEN 'Experience requirement may be ' || y || '+ years' ELSE 'OK' END AS seniority_risk FROM r),
+    b AS (SELECT *, seniority_risk LIKE 'Senior%' OR seniority_risk LIKE 'Requires%' AS senior FROM s),
+    c AS (SELECT *, array_to_string([x FOR x IN [CASE WHEN lang <> 'OK' THEN lang END, CASE WHEN senior THEN seniority_risk END] IF x IS NOT NULL], '; ') AS reasons FROM b),
+    d AS (SELECT *, reasons <> '' AS blocked, CASE WHEN reasons <> '' THEN least(29, fit) ELSE fit END AS rank_score FROM c)
+    SELECT doc_id, seniority_risk, blocked, CASE WHEN blocked THEN reasons ELSE 'OK' END AS block_reason, rank_score::INT AS rank_score,
+           CASE WHEN blocked THEN 'Blocked' WHEN rank_score >= 82 THEN 'Top' WHEN rank_score >= 68 THEN 'Strong' WHEN rank_score >= 52 THEN 'Maybe' ELSE 'Low' END AS priority,
+           CASE WHEN blocked THEN reasons || '; far away' ELSE 'far away' END AS risks FROM d""")
+def i19_refined_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _refined(spark, sf_dir).select("doc_id", "seniority_risk", "blocked", "block_reason", "rank_score", "priority", "risks")
+
+
+def _refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id_ = F.col("doc_id")
+    docs = _t(spark, sf_dir, "documents")
+    url = F.concat(F.lit("https://x.test/"), id_.cast("string"))
+    rows = docs.select(
+        "doc_id", "source", url.alias("url"), F.when(id_ % 5 == 0, "Senior clerk").when(id_ % 5 == 1, "Junior clerk").otherwise("Clerk").alias("title"), F.lit("").alias("company"), F.lit("").alias("location"),
+        (id_ % 101).cast("int").alias("fit_score"), F.when(id_ % 4 == 0, "C1 English").otherwise("OK").alias("language_risk"), F.lit("").alias("why"), F.lit("Requires 9+ years; far away").alias("risks"),
+    )
+    body = F.concat(F.regexp_replace("text", "[0-9]", ""), F.lit(" " * 3), F.lit("words " * 40), F.lit("requirements: "), (id_ % 7).cast("string"), F.lit("+ years of work"))
+    stored = docs.select(url.alias("source_url"), F.lit("").alias("title"), F.lit("").alias("company"), F.lit("").alias("location"), F.lit("").alias("salary_text"), F.array(body).alias("requirements"), F.array().cast("array<string>").alias("responsibilities"))
+    return ranking.refine(rows, stored)
+
+
+@query("""
+    WITH r AS (SELECT doc_id, doc_id % 7 AS y, doc_id % 5 AS t, doc_id % 4 = 0 AS lang FROM documents),
+    s AS (SELECT *, t = 0 OR (t > 1 AND y >= 5) AS senior FROM r)
+    SELECT count(*) AS total, count(*) FILTER (NOT (lang OR senior)) AS eligible, count(*) FILTER (lang OR senior) AS blocked, count(*) FILTER (lang) AS language, count(*) FILTER (senior) AS seniority FROM s""")
+def d8_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.headline(_refined(spark, sf_dir))
+
+
+# --- vacancies, analyses, applications -----------------------------------------------------------------
+
+def _analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders")
+    points = (F.floor(F.col("o_totalprice")) % 101).cast("int")
+    return o.select(F.col("o_custkey").alias("vacancy_source_url"), F.col("o_orderkey").alias("id"), points.alias("score"), label_for(points).alias("fit_label"))
+
+
+def _vacancies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, key = _t(spark, sf_dir, "customer"), F.col("c_custkey")
+    return c.select(
+        key.alias("source_url"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("company"), F.lit("").alias("location"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("source_name"),
+        (key % 50).cast("string").alias("source_id"), (key % 7).cast("long").alias("first_seen_run_id"), (key % 11).cast("long").alias("last_seen_run_id"), F.timestamp_seconds(F.lit(1704067200) + key * 977 % 100000).alias("last_seen_at"),
+    )
+
+
+def _applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    status = F.element_at(F.array(*[F.lit(s) for s in lifecycle.STATUS_RANK]), (key % 6 + 1).cast("int"))
+    pinned = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("_first"))
+    return _t(spark, sf_dir, "customer").where(key % 4 == 0).join(pinned, "c_custkey", "left").select(key.alias("vacancy_source_url"), F.when(key % 8 == 0, F.col("_first")).alias("analysis_id"), status.alias("status"), F.lit("").alias("notes"))
+
+
+_SQL = """
+    WITH a AS (SELECT o_custkey AS url, o_orderkey AS id, (floor(o_totalprice)::BIGINT % 101)::INT AS score FROM orders),
+    l AS (SELECT url, max(id) AS analysis_id, arg_max(score, id) AS score FROM a GROUP BY url),
+    v AS (SELECT c_custkey AS url, c_name AS title, c_mktsegment AS company, 'n' || c_nationkey AS source_name, (c_custkey % 50)::VARCHAR AS source_id, c_custkey % 7 AS first_run, c_custkey % 11 AS last_run FROM customer),
+    p AS (SELECT url, [ 'Saved', 'Applied', 'Interview', 'Offer', 'Rejected', 'Withdrawn' ][1 + url % 6] AS status, CASE WHEN url % 8 = 0 THEN (SELECT min(id) FROM a WHERE a.url = v.url) END AS pinned FROM v WHERE url % 4 = 0)"""
+_LABEL = "CASE WHEN score >= 75 THEN 'High' WHEN score >= 45 THEN 'Medium' WHEN score IS NOT NULL THEN 'Low' END"
+
+
+@query(f"{_SQL} SELECT v.url AS source_url, analysis_id, score, {_LABEL} AS fit_label FROM v LEFT JOIN l USING (url)")
+def c1_latest_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inbox.with_analysis(_vacancies(spark, sf_dir).select("source_url"), _analyses(spark, sf_dir))
+
+
+def _runs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(1, "completed", 10), (5, "partial", 40), (6, "failed", 90), (3, "completed", 40)], "id long, status string, finished long").withColumn("finished_at", F.timestamp_seconds("finished"))
+
+
+@query(f"""{_SQL}, r AS (SELECT v.*, l.score, l.analysis_id, p.status AS application_status FROM v LEFT JOIN l USING (url) LEFT JOIN p USING (url))
+    SELECT url AS source_url, score, application_status, first_run = 5 AS is_new, last_run = 5 AS is_current FROM r WHERE coalesce(score, -1) >= 30 AND last_run = 5""")
+def j14_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inbox.inbox(_vacancies(spark, sf_dir), _analyses(spark, sf_dir), _applications(spark, sf_dir), _runs(spark), inbox.InboxQuery(min_score=30, hide_below=True))
+    return rows.select("source_url", "score", "application_status", "is_new", "is_current")
+
+
+@query(f"""{_SQL}, r AS (SELECT v.url, v.title, coalesce(l.score, -1) AS score, c_custkey * 977 % 100000 AS seen FROM v LEFT JOIN l USING (url) JOIN customer ON c_custkey = v.url WHERE last_run = 5)
+    SELECT url AS source_url, title, row_number() OVER (ORDER BY score DESC, seen DESC, title, url)::INT AS place FROM r QUALIFY place <= 20""")
+def f8_today(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty of the current run, with their place."""
+    from pyspark.sql import Window
+
+    rows = inbox.recent(_vacancies(spark, sf_dir), _analyses(spark, sf_dir), _applications(spark, sf_dir), _runs(spark), 20)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*inbox.inbox_order("score")))).select("source_url", "title", "place")
+
+
+@query(f"{_SQL} SELECT p.url AS vacancy_source_url, p.status, v.title, coalesce(p.pinned, l.analysis_id) AS analysis_id, a.score FROM p JOIN v USING (url) LEFT JOIN l USING (url) LEFT JOIN a ON a.id = coalesce(p.pinned, l.analysis_id)")
+def c3_tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inbox.tracked(_vacancies(spark, sf_dir), _analyses(spark, sf_dir), _applications(spark, sf_dir)).select("vacancy_source_url", "status", "title", "analysis_id", "score")
+
+
+@query(f"{_SQL} SELECT l.url AS source_url, score FROM l JOIN v USING (url) ANTI JOIN p USING (url) WHERE score < 40")
+def c6_prune_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.prune_candidates(_vacancies(spark, sf_dir), _analyses(spark, sf_dir), _applications(spark, sf_dir), 40)
+
+
+@query(f"{_SQL}, x AS (SELECT l.url FROM l JOIN v USING (url) ANTI JOIN p USING (url) WHERE score < 40) SELECT o_orderkey AS id, o_custkey AS vacancy_source_url FROM orders WHERE o_custkey NOT IN (SELECT url FROM x)")
+def c7_pruned_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    analyses = _analyses(spark, sf_dir)
+    pruned = lifecycle.prune_candidates(_vacancies(spark, sf_dir), analyses, _applications(spark, sf_dir), 40)
+    return lifecycle.without_pruned({"analyses": analyses}, pruned, {"analyses": "vacancy_source_url"})["analyses"].select("id", "vacancy_source_url")
+
+
+@query(f"{_SQL} SELECT p.url AS vacancy_source_url, p.status AS new_status FROM p WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = p.url)")
+def c5_baseline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _t(spark, sf_dir, "events").select(F.col("user_id").alias("vacancy_source_url"))
+    return lifecycle.baseline_events(_applications(spark, sf_dir), events).select("vacancy_source_url", "new_status")
+
+
+@query(f"{_SQL} SELECT source_id, count(DISTINCT source_name) AS n_sources, string_agg(DISTINCT source_name, ',' ORDER BY source_name) AS sources FROM v GROUP BY source_id HAVING count(DISTINCT source_name) > 1")
+def d9_ambiguous_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.ambiguous_ids(_vacancies(spark, sf_dir))
+
+
+@query(f"""{_SQL}, n AS (SELECT url, analysis_id, score FROM l WHERE url % 3 <> 1)
+    SELECT coalesce(p.url, n.url) AS vacancy_source_url, coalesce(n.analysis_id, p.pinned) AS analysis_id, coalesce(p.status, 'Saved') AS status FROM p FULL JOIN n USING (url) WHERE p.url IS NOT NULL OR n.score >= 50""")
+def j4_auto_save(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = lifecycle.latest(_analyses(spark, sf_dir), "vacancy_source_url").where("vacancy_source_url % 3 <> 1").withColumn("note", F.lit("auto"))
+    return lifecycle.auto_save(_applications(spark, sf_dir), newest, 50)[0].select("vacancy_source_url", "analysis_id", "status")
+
+
+# --- runs and observations -------------------------------------------------------------------------------
+
+def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    return e.select(F.dayofmonth("at").cast("long").alias("run_id"), F.col("user_id").cast("string").alias("vacancy_source_url"), F.col("at").alias("observed_at"), F.col("event_type").alias("source_name"), F.concat(F.col("user_id").cast("string"), F.lit("?"), F.col("event_type")).alias("original_source_url"), "event_id")
+
+
+@query("""
+    SELECT day(ts)::BIGINT AS run_id, event_type AS source_name, count(*) AS attempted, count(*) FILTER (value < 5) AS failed, count(*) FILTER (value >= 5 AND value < 50) AS observed,
+           count(*) FILTER (value >= 50 OR value IS NULL) AS saved, sum(1 + user_id % 3)::BIGINT AS pages FROM events GROUP BY ALL""")
+def d5_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.run_summary(_results(spark, sf_dir))
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events")
+    return e.select(F.dayofmonth(F.col("ts").cast("timestamp")).cast("long").alias("run_id"), F.col("event_type").alias("source_name"), F.when(F.col("value") < 5, "failed").when(F.col("value") < 50, "observed").otherwise("saved").alias("outcome"), (1 + F.col("user_id") % 3).alias("pages"))
+
+
+@query("""
+    WITH s AS (SELECT day(ts)::BIGINT AS run_id, count(*) AS attempted, count(*) FILTER (value < 5) AS failed FROM events GROUP BY 1)
+    SELECT run_id, attempted, failed, CASE WHEN failed = 0 THEN 'completed' WHEN attempted > failed THEN 'partial' ELSE 'failed' END AS status FROM s""")
+def d6_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.run_status(lifecycle.run_summary(_results(spark, sf_dir))).select("run_id", "attempted", "failed", "status")
+
+
+@query("""
+    WITH e AS (SELECT day(ts)::BIGINT AS run_id, user_id::VARCHAR AS url, ts, event_type, event_id FROM events),
+    o AS (SELECT run_id, url, arg_max(event_type, (ts, event_id)) AS t, max(ts) AS last_at, arg_min(event_type, (ts, event_id)) AS f FROM e GROUP BY ALL)
+    SELECT run_id, url AS vacancy_source_url, epoch_us(last_at) AS observed_us, t AS source_name, url || '?' || f AS original_source_url FROM o""")
+def j2_observation_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last writer of each (run, URL): the first supplies the original URL, the last its time and source."""
+    from pyspark.sql import Window
+
+    obs = _observations(spark, sf_dir).withColumn("key", F.concat_ws("/", F.col("run_id").cast("string"), "vacancy_source_url"))
+    w = Window.partitionBy("key").orderBy("observed_at", "event_id")
+    numbered = obs.withColumn("order", F.row_number().over(w))
+    first, last = (lifecycle.one_writer(numbered, "key", "order", refresh) for refresh in (False, True))
+    cols = ["run_id", "vacancy_source_url", "observed_at", "source_name", "original_source_url"]
+    return lifecycle.upsert_observations(first.select(*cols), last.select(*cols)).select("run_id", "vacancy_source_url", F.unix_micros("observed_at").alias("observed_us"), "source_name", "original_source_url")
+
+
+@query("""
+    WITH o AS (SELECT user_id::VARCHAR AS url, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n FROM events GROUP BY 1)
+    SELECT url AS source_url, epoch_us(first_at) AS first_us, epoch_us(last_at) AS last_us, n FROM o""")
+def j1_seen_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobmarket.streaming.observations import seen_times
+
+    obs = _observations(spark, sf_dir).select(F.col("vacancy_source_url").alias("url"), "observed_at")
+    return seen_times(obs).select("source_url", F.unix_micros("first_seen_at").alias("first_us"), F.unix_micros("last_seen_at").alias("last_us"), "n")
+
+
+# --- commands, reminders, reports ------------------------------------------------------------------------
+
+_COMMANDS = """
+    WITH RECURSIVE c AS (SELECT user_id AS url, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k,
+            ['Applied', 'Interview', 'Offer', 'Rejected', 'Withdrawn', 'Saved'][1 + event_id % 6] AS new, event_id % 7 = 0 AS corrective, event_id % 7 < 2 AS reason FROM events),
+    f AS (SELECT url, id, k, new, 'Saved' AS prev, VERDICT AS verdict FROM (SELECT *, 'Saved' AS now FROM c WHERE k = 1)
+          UNION ALL SELECT url, id, k, new, now, VERDICT FROM (SELECT c.*, CASE WHEN f.verdict = 'accepted' THEN f.new ELSE f.prev END AS now FROM c JOIN f ON c.url = f.url AND c.k = f.k + 1))"""
+_VERDICT = """CASE WHEN corrective AND NOT reason THEN 'reason_required' WHEN NOT corrective AND reason THEN 'reason_refused' WHEN now = new THEN 'unchanged' WHEN corrective THEN 'accepted'
+    WHEN (now, new) IN (('Saved', 'Applied'), ('Saved', 'Interview'), ('Saved', 'Withdrawn'), ('Applied', 'Interview'), ('Applied', 'Rejected'), ('Applied', 'Withdrawn'), ('Interview', 'Offer'), ('Interview', 'Rejected'), ('Interview', 'Withdrawn'), ('Offer', 'Withdrawn')) THEN 'accepted'
+    ELSE 'not_allowed' END"""
+
+
+def _commands(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    id_ = F.col("event_id")
+    new = F.element_at(F.array(*[F.lit(x) for x in ("Applied", "Interview", "Offer", "Rejected", "Withdrawn", "Saved")]), (id_ % 6 + 1).cast("int"))
+    e = _t(spark, sf_dir, "events")
+    commands = e.select(id_.alias("id"), F.col("user_id").alias("vacancy_source_url"), new.alias("new_status"), F.when(id_ % 7 == 0, "corrective").otherwise("normal").alias("kind"), F.when(id_ % 7 < 2, "because").otherwise("").alias("reason"))
+    return e.select(F.col("user_id").alias("vacancy_source_url")).distinct().withColumn("status", F.lit("Saved")), commands
+
+
+@query(_COMMANDS.replace("VERDICT", _VERDICT) + " SELECT url AS vacancy_source_url, id, prev AS previous_status, new AS new_status, verdict FROM f")
+def j6_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracking.apply_commands(*_commands(spark, sf_dir)).select("vacancy_source_url", "id", "previous_status", "new_status", "verdict")
+
+
+@query("""
+    WITH i AS (SELECT o_orderkey AS action_id, o_orderdate AS due, o_orderkey % 4 = 0 AS done FROM orders), n AS (SELECT max(due) AS now FROM i WHERE action_id % 3 = 0)
+    SELECT action_id, CASE WHEN due < now - INTERVAL 100 DAY THEN 'overdue' ELSE 'due_soon' END AS reminder_state FROM i, n WHERE NOT done AND due IS NOT NULL AND due <= now - INTERVAL 99 DAY""")
+def j13_reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders")
+    items = o.select(F.col("o_orderkey").alias("action_id"), F.col("o_orderdate").alias("due_at"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderdate")).alias("completed_at"))
+    now = o.where("o_orderkey % 3 = 0").agg((F.max("o_orderdate") - F.expr("INTERVAL 100 DAYS")).alias("now"))
+    return tracking.reminders(items.crossJoin(F.broadcast(now)), F.col("now")).select("action_id", "reminder_state")  # now: one row
+
+
+@query("""
+    WITH r AS (SELECT source, quality * 50 + toxic * 7 + doc_id % 13 AS score, 'Doc ' || doc_id AS title, doc_id FROM documents JOIN labels USING (doc_id)),
+    t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, lower(title), 'u/' || doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM r),
+    e AS (SELECT source, any_value(n) AS n, string_agg(chr(10) || k || '. <b>' || title || '</b>' || chr(10) || 'A &amp; B | Location not specified' || chr(10) || 'Score: <b>' || score || '</b> (Low) | ' || source || chr(10) || '<a href="u/' || doc_id || '">Open vacancy</a>', chr(10) ORDER BY k) AS e FROM t WHERE k <= 3 GROUP BY source)
+    SELECT source, n AS new_vacancies, 'New vacancies: <b>' || n || '</b>' || chr(10) || chr(10) || '<b>Top ' || least(n, 3) || '</b>' || chr(10) || e || CASE WHEN n > 3 THEN chr(10) || chr(10) || 'Plus ' || (n - 3) || ' more new vacancies in the local report.' ELSE '' END AS summary FROM e""")
+def a16_daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source").join(_t(spark, sf_dir, "labels"), "doc_id")
+    rows = d.select(
+        "source", F.col("source").alias("source_name"), (F.col("quality") * 50 + F.col("toxic") * 7 + F.col("doc_id") % 13).alias("score"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"),
+        F.lit("A & B").alias("company"), F.lit("").alias("location"), F.lit("Low").alias("fit_label"), F.concat(F.lit("u/"), F.col("doc_id").cast("string")).alias("source_url"),
+    )
+    return reports.daily_summary(rows, "source", 3)
+
+
+@query()
+def a17_message_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut into messages: tested against a plain model."""
+    return reports.chunk_messages(_t(spark, sf_dir, "documents").select("doc_id", "text"))
