@@ -114,9 +114,9 @@ def status(c: Column) -> Column:
 
 def years(c: Column) -> Column:
     """Years of experience from text or number: not negative, whole or with one decimal (half-even), else null."""
-    value = F.expr("try_cast(x as double)") if c is None else c.cast("string").try_cast("double")
-    value = F.greatest(F.lit(0.0), value)
-    return F.when(value.isNull() | F.isnan(value), F.lit(None).cast("double")).when(value == F.floor(value), value).otherwise(F.bround(value, 1))
+    raw = c.cast("string").try_cast("double")
+    value = F.greatest(F.lit(0.0), raw)
+    return F.when(raw.isNotNull() & ~F.isnan(raw), F.when(value == F.floor(value), value).otherwise(F.bround(value, 1)))
 
 
 def years_text(c: Column) -> Column:
@@ -137,12 +137,13 @@ def work_modes(items: Column) -> Column:
     """Array of (mode, country) from an array of the same: known modes only, first of each, no country for remote."""
     low = F.transform(items, lambda x: F.struct(F.lower(F.trim(x["mode"])).alias("mode"), F.trim(F.coalesce(x["country"], F.lit(""))).alias("country")))
     known = F.filter(low, lambda x: x["mode"].isin("remote", "hybrid", "office"))
-    first = F.filter(known, lambda x, i: F.array_position(F.transform(known, lambda y: F.struct(y["mode"], F.when(y["mode"] == "remote", F.lit("")).otherwise(y["country"]))), F.struct(x["mode"], F.when(x["mode"] == "remote", F.lit("")).otherwise(x["country"]))) == i + 1)
+    modes = F.transform(known, lambda x: x["mode"])
+    first = F.filter(known, lambda x, i: F.array_position(modes, x["mode"]) == i + 1)
     return F.transform(first, lambda x: F.struct(x["mode"].alias("mode"), F.when(x["mode"] == "remote", F.lit("")).otherwise(x["country"]).alias("country")))
 
 
 def work_modes_from_json(c: Column) -> Column:
     """Work modes from a JSON list of strings or of objects with mode and country."""
-    items = F.variant_get(F.try_parse_json(c), "$", "array<variant>")
+    items = F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")
     one = lambda v: F.struct(F.coalesce(F.try_variant_get(v, "$.mode", "string"), F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))).alias("mode"), F.try_variant_get(v, "$.country", "string").alias("country"))
     return F.coalesce(work_modes(F.transform(items, one)), F.array().cast("array<struct<mode:string,country:string>>"))
