@@ -189,3 +189,16 @@ def orphans(children: dict[str, tuple[DataFrame, str]], vacancies: DataFrame) ->
 def ambiguous_ids(vacancies: DataFrame) -> DataFrame:
     """Source ids that name vacancies of more than one source."""
     return vacancies.groupBy("source_id").agg(F.count_distinct("source_name").alias("n_sources"), F.array_join(F.sort_array(F.collect_set("source_name")), ",").alias("sources")).where("n_sources > 1")
+
+
+def begin_runs(runs: DataFrame, new: DataFrame) -> DataFrame:
+    """Runs with new ones opened. new: id, started_at."""
+    opened = new.join(runs.select("id"), "id", "left_anti").select("id", "started_at", F.lit(None).cast("timestamp").alias("finished_at"), F.lit("running").alias("status"))
+    return runs.select("id", "started_at", "finished_at", "status").unionByName(opened)
+
+
+def finish_runs(runs: DataFrame, statuses: DataFrame, at: Column) -> DataFrame:
+    """Running runs get their terminal status (from run_status); finished ones stay as they are."""
+    s = statuses.select(F.col("run_id").alias("id"), F.col("status").alias("_new"))
+    ends = F.col("status").eqNullSafe(F.lit("running")) & F.col("_new").isin("completed", "partial", "failed")
+    return runs.join(s, "id", "left").withColumns({"finished_at": F.when(ends, at).otherwise(F.col("finished_at")), "status": F.when(ends, F.col("_new")).otherwise(F.col("status"))}).drop("_new")

@@ -118,3 +118,15 @@ def chunk_messages(messages: DataFrame, limit: int = CHUNK) -> DataFrame:
             yield parts.assign(part=parts.groupby(level=0).cumcount())[[*rest, "part", "chunk"]]
 
     return messages.mapInPandas(run, f"{schema}, part int, chunk string")
+
+
+def ranking_rows(refined: DataFrame, n: int = 300) -> DataFrame:
+    """The first n rows of a ranking with their rank and their HTML and Markdown table rows."""
+    from jobmarket.functions.text import escape_table_cell
+    from jobmarket.operators.ranking import top_report
+
+    cells = ("rank", "rank_score", "priority", "title", "company", "location", "why", "risks")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    html = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), escape_html(text(c)), F.lit("</td>")) for c in cells], F.lit('<td><a href="'), escape_html(text("url")), F.lit('">Open</a></td></tr>'))
+    markdown = F.concat(F.lit("| "), F.concat_ws(" | ", *[escape_table_cell(text(c)) for c in (*cells, "url")]), F.lit(" |"))
+    return top_report(refined, n).withColumns({"html_row": html, "markdown_row": markdown})

@@ -435,3 +435,117 @@ def a16_daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a17_message_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut into messages: tested against a plain model."""
     return reports.chunk_messages(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# --- further operators -------------------------------------------------------------------------------------
+
+@query(r"""
+    WITH w AS (SELECT conv_id, turn, [trim(regexp_replace(x, '\s+', ' ', 'g')) FOR x IN regexp_split_to_array(coalesce(text, ''), '[\n;,]')] AS ws FROM conversations),
+    k AS (SELECT conv_id, turn, [x FOR x IN ws IF x <> ''] AS ws FROM w), l AS (SELECT *, [lower(x) FOR x IN ws] AS low FROM k)
+    SELECT conv_id, turn, array_to_string([x FOR x, i IN ws IF list_position(low, lower(x)) = i], '|') AS keywords FROM l""")
+def a7_keyword_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobmarket.functions.text import keyword_list
+
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(keyword_list(F.col("text")), "|").alias("keywords"))
+
+
+@query(r"""SELECT page_id, CASE WHEN regexp_matches(trim(coalesce(url, '')), '^https?://[^/?#]', 'i') THEN trim(url) ELSE '#' END AS link,
+    replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS escaped FROM pages""")
+def b25_safe_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobmarket.functions.text import escape_html
+
+    return _t(spark, sf_dir, "pages").select("page_id", urls.safe_link(F.col("url")).alias("link"), escape_html(F.col("url")).alias("escaped"))
+
+
+@query("""
+    SELECT doc_id, lower(coalesce(lang, '') || ' ' || coalesce(source, '') || ' ' || '' || ' ' || '' || ' ' || coalesce(text, '')) AS searchable,
+           length(text) AS chars, CASE WHEN length(trim(regexp_replace(text, '\s+', ' ', 'g'))) > 300 THEN left(trim(regexp_replace(text, '\s+', ' ', 'g')), 300) || '...' ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END AS preview FROM documents""")
+def b21_searchable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobmarket.functions.text import preview
+
+    none = F.array().cast("array<string>")
+    hay = score.searchable_text(F.col("lang"), F.col("source"), F.lit(""), F.lit(""), none, F.array("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", hay.alias("searchable"), F.length("text").alias("chars"), preview(F.col("text")).alias("preview"))
+
+
+@query(f"""
+    WITH c AS (SELECT page_id, {_CANONICAL} AS source_url FROM pages), s AS (SELECT DISTINCT source_url FROM c WHERE page_id % 2 = 0)
+    SELECT page_id, source_url, source_url IN (SELECT source_url FROM s) AS known FROM c""")
+def c4_known_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = _t(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("source_url"))
+    known, new = lifecycle.known_and_new(batch, batch.where("page_id % 2 = 0").select("source_url").distinct())
+    return known.withColumn("known", F.lit(True)).unionByName(new.withColumn("known", F.lit(False)))
+
+
+@query("""
+    WITH e AS (SELECT day(ts)::BIGINT AS run_id, user_id::VARCHAR AS url, ts, event_type FROM events),
+    o AS (SELECT run_id, url, event_type, min(ts) AS first_at, max(ts) AS last_at FROM e GROUP BY ALL)
+    SELECT run_id, url AS vacancy_source_url, epoch_us(max(last_at)) AS observed_us, arg_max(event_type, (last_at, event_type)) AS source_name,
+           string_agg(url || '?' || event_type, chr(10) ORDER BY first_at, url || '?' || event_type) AS original_source_url FROM o GROUP BY ALL""")
+def d3_merged_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lifecycle.merged_observations(_observations(spark, sf_dir).drop("event_id"))
+    return out.select("run_id", "vacancy_source_url", F.unix_micros("observed_at").alias("observed_us"), "source_name", "original_source_url")
+
+
+@query("""
+    WITH a AS (SELECT o_custkey AS c, 'https://j.test/' || o_custkey || CASE WHEN o_orderkey % 2 = 0 THEN '?utm_source=' || o_orderkey ELSE '' END AS url,
+               ['Saved', 'Applied', 'Interview', 'Offer', 'Rejected', 'Withdrawn'] AS names, o_orderkey % 6 AS r, o_orderkey AS id FROM orders)
+    SELECT 'https://j.test/' || c AS vacancy_source_url, names[1 + arg_max(r, (r, url))] AS status, max(id) AS analysis_id FROM a GROUP BY c, names""")
+def d4_merged_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    o = _t(spark, sf_dir, "orders")
+    status = F.element_at(F.array(*[F.lit(s) for s in lifecycle.STATUS_RANK]), (key % 6 + 1).cast("int"))
+    url = F.concat(F.lit("https://j.test/"), F.col("o_custkey").cast("string"), F.when(key % 2 == 0, F.concat(F.lit("?utm_source="), key.cast("string"))).otherwise(""))
+    return lifecycle.merged_applications(o.select(url.alias("vacancy_source_url"), status.alias("status"), F.lit("").alias("notes"), key.alias("analysis_id"))).select("vacancy_source_url", "status", "analysis_id")
+
+
+@query("""
+    WITH r AS (SELECT doc_id % 7 AS y, doc_id % 5 AS t, doc_id % 4 = 0 AS lang FROM documents),
+    s AS (SELECT array_to_string([x FOR x IN [CASE WHEN lang THEN 'C1 English' END, CASE WHEN t = 0 THEN 'Senior-like title: senior' WHEN t > 1 AND y >= 5 THEN 'Requires ' || y || '+ years' END] IF x IS NOT NULL], '; ') AS block_reason FROM r)
+    SELECT block_reason, count(*) AS count FROM s WHERE block_reason <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8""")
+def d7_block_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.block_reasons(_refined(spark, sf_dir))
+
+
+@query("""
+    WITH e AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS last, CASE WHEN event_id % 5 = 0 THEN 'other' END AS other FROM events)
+    SELECT event_id AS id, user_id AS vacancy_source_url FROM e WHERE last IS NOT NULL AND other = 'other'""")
+def e6_broken_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a previous status that was falsified on every fifth."""
+    from pyspark.sql import Window
+
+    e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("vacancy_source_url"), F.col("event_type").alias("new_status"))
+    before = F.lag("new_status").over(Window.partitionBy("vacancy_source_url").orderBy("id"))
+    return tracking.broken_history(e.withColumn("previous_status", F.when(F.col("id") % 5 == 0, "other").otherwise(before))).select("id", "vacancy_source_url")
+
+
+@query("""
+    SELECT o_orderkey AS action_id, o_custkey AS vacancy_source_url, o_orderdate IS NULL AS undated FROM orders WHERE o_orderkey % 4 <> 0""")
+def j12_open_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders")
+    items = o.select(F.col("o_orderkey").alias("action_id"), F.col("o_custkey").alias("vacancy_source_url"), F.col("o_orderdate").alias("due_at"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderdate")).alias("completed_at"))
+    return tracking.actions(items, completed=False).select("action_id", "vacancy_source_url", F.col("due_at").isNull().alias("undated"))
+
+
+@query(f"""{_SQL} SELECT 'analyses' AS child, count(*) AS orphans FROM a WHERE url NOT IN (SELECT url FROM v WHERE url % 5 <> 0)
+    UNION ALL SELECT 'applications', count(*) FROM p WHERE url NOT IN (SELECT url FROM v WHERE url % 5 <> 0)""")
+def c14_referential_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _vacancies(spark, sf_dir).where("source_url % 5 <> 0")
+    return lifecycle.orphans({"analyses": (_analyses(spark, sf_dir), "vacancy_source_url"), "applications": (_applications(spark, sf_dir), "vacancy_source_url")}, kept)
+
+
+@query(f"""{_SQL}, n AS (SELECT url, count(*) AS n FROM a GROUP BY url) SELECT v.url AS source_url, l.score, p.status, coalesce(n.n, 0)::INT AS n_history FROM v LEFT JOIN l USING (url) LEFT JOIN p USING (url) LEFT JOIN n USING (url)""")
+def c13_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    analyses = _analyses(spark, sf_dir)
+    history = analyses.select("vacancy_source_url", "id", F.col("fit_label").alias("new_status"))
+    none = spark.createDataFrame([], "vacancy_source_url long, action_id long, title string")
+    out = inbox.detail(_vacancies(spark, sf_dir).select("source_url"), analyses, _applications(spark, sf_dir), history, none)
+    return out.select("source_url", "score", F.col("application.status").alias("status"), F.coalesce(F.size("history"), F.lit(0)).alias("n_history"))
+
+
+@query("""
+    WITH r AS (SELECT doc_id, doc_id % 101 AS fit, doc_id % 4 = 0 OR doc_id % 5 = 0 OR (doc_id % 5 > 1 AND doc_id % 7 >= 5) AS blocked, CASE doc_id % 5 WHEN 0 THEN 'senior clerk' WHEN 1 THEN 'junior clerk' ELSE 'clerk' END AS title FROM documents),
+    s AS (SELECT *, CASE WHEN blocked THEN least(29, fit) ELSE fit END AS rank_score FROM r)
+    SELECT row_number() OVER (ORDER BY blocked, rank_score DESC, fit DESC, title, 'https://x.test/' || doc_id)::INT AS rank, doc_id, rank_score::INT AS rank_score FROM s QUALIFY rank <= 300""")
+def a15_ranking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.ranking_rows(_refined(spark, sf_dir), 300).select("rank", "doc_id", "rank_score")
