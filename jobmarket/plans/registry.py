@@ -457,7 +457,7 @@ def b25_safe_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "pages").select("page_id", urls.safe_link(F.col("url")).alias("link"), escape_html(F.col("url")).alias("escaped"))
 
 
-@query("""
+@query(r"""
     SELECT doc_id, lower(coalesce(lang, '') || ' ' || coalesce(source, '') || ' ' || '' || ' ' || '' || ' ' || coalesce(text, '')) AS searchable,
            length(text) AS chars, CASE WHEN length(trim(regexp_replace(text, '\s+', ' ', 'g'))) > 300 THEN left(trim(regexp_replace(text, '\s+', ' ', 'g')), 300) || '...' ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END AS preview FROM documents""")
 def b21_searchable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
