@@ -43,17 +43,17 @@ def year_requirements(body: Column) -> Column:
         years = F.greatest(number(F.get(first, i)), number(F.get(second, i)))
         return F.when(~company_only & window.rlike(CANDIDATE), years)
 
-    return F.filter(F.transform(whole, one), lambda y: y.isNotNull())
+    found = F.filter(F.transform(whole, one), lambda y: y.isNotNull())
+    return F.when(body.rlike(YEARS), found)  # most bodies name no years
 
 
 def title_and_url(title: Column, url: Column) -> Column:
     return F.concat(report_text(title), F.lit(" "), F.lower(F.coalesce(url, F.lit(""))))
 
 
-def seniority(name: Column, body: Column) -> Column:
-    """Struct (blocked, risk, note) from the terms of title and URL, else from the years that the body asks for."""
+def seniority(name: Column, years: Column) -> Column:
+    """Struct (blocked, risk, note) from the terms of title and URL, else from the years that the body asks for (year_requirements)."""
     hits = F.filter(texts(*SENIOR_TERMS), lambda t: F.contains(name, t))
-    years = F.when(body.rlike(YEARS), year_requirements(body))
     need, risk = F.array_max(F.filter(years, lambda y: y >= 5)), F.array_max(F.filter(years, lambda y: (y >= 3) & (y < 5)))
     say = lambda blocked, text, note="": F.struct(F.lit(blocked).alias("blocked"), text.alias("risk"), F.lit(note).alias("note"))
     return (
@@ -74,7 +74,7 @@ def refine(rows: DataFrame, vacancies: DataFrame) -> DataFrame:
     own = report_text(F.concat_ws(" ", "title", "company", "location"))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     out = rows.join(stored, "url", "left").withColumn("_body", F.coalesce("_stored", own)).withColumn("fit_score", F.coalesce(F.col("fit_score").cast("int"), F.lit(0)))
-    out = out.withColumn("_name", title_and_url(F.col("title"), F.col("url"))).withColumn("_senior", seniority(F.col("_name"), F.col("_body"))).withColumn("language_risk", F.coalesce("language_risk", F.lit("OK")))
+    out = out.withColumn("_name", title_and_url(F.col("title"), F.col("url"))).withColumn("_years", year_requirements(F.col("_body"))).withColumn("_senior", seniority(F.col("_name"), F.col("_years"))).withColumn("language_risk", F.coalesce("language_risk", F.lit("OK")))
     reasons = F.filter(F.array(F.when(F.col("language_risk") != "OK", F.col("language_risk")), F.when(F.col("_senior.blocked"), F.col("_senior.risk"))), lambda x: x.isNotNull())
     note = F.col("_senior.note")
     out = out.withColumns({
@@ -85,7 +85,7 @@ def refine(rows: DataFrame, vacancies: DataFrame) -> DataFrame:
     base = F.filter(F.transform(F.split(text("risks"), ";"), lambda x: F.trim(x)), lambda r: (r != "") & ~F.startswith(r, F.lit("Requires ")) & ~F.startswith(r, F.lit("Senior-like title")))
     risks = F.array_join(F.concat(F.when(F.col("blocked"), F.array("block_reason")).otherwise(texts()), F.slice(base, 1, 5)), "; ")
     level = F.when(F.col("blocked"), "Blocked").when(F.col("rank_score") >= 82, "Top").when(F.col("rank_score") >= 68, "Strong").when(F.col("rank_score") >= 52, "Maybe").otherwise("Low")
-    return out.withColumns({"priority": level, "risks": F.when(risks == "", "no major risk").otherwise(risks)}).drop("_stored", "_body", "_name", "_senior")
+    return out.withColumns({"priority": level, "risks": F.when(risks == "", "no major risk").otherwise(risks)}).drop("_stored", "_body", "_name", "_years", "_senior")
 
 
 def report_order() -> list[Column]:

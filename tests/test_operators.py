@@ -70,8 +70,8 @@ def test_ranking_windows(spark):
         ("Team Lead", "x", "Senior-like title: lead, team lead"), ("Junior lead", "9 years experience", "OK"), ("Clerk", "история", "OK"), ("Clerk", "опыт от 5 лет", "Requires 5+ years"),
     ]
     df = spark.createDataFrame([(t, b) for t, b, _ in cases], "t string, b string")
-    named = df.withColumn("name", ranking.title_and_url(F.col("t"), F.lit("https://x.test"))).withColumn("b", F.lower("b"))
-    got = named.select(ranking.seniority(F.col("name"), F.col("b"))["risk"].alias("r")).collect()
+    named = df.withColumn("name", ranking.title_and_url(F.col("t"), F.lit("https://x.test"))).withColumn("years", ranking.year_requirements(F.lower("b")))
+    got = named.select(ranking.seniority(F.col("name"), F.col("years"))["risk"].alias("r")).collect()
     assert [r["r"] for r in got] == [c[2] for c in cases]
 
 
@@ -160,3 +160,42 @@ def test_reports(spark):
     row = spark.createDataFrame([("T", "s", "1", "", "", "", "https://u.test", ["a"], [], "<p>raw</p>", "rule_based", 9, "Low", "e", ["m"], [], None)], "title string, source_name string, source_id string, company string, location string, salary_text string, source_url string, requirements array<string>, responsibilities array<string>, raw_text string, analysis_method string, score int, fit_label string, explanation string, matched_points array<string>, missing_points array<string>, application_status string")
     section = reports.vacancy_sections(row).first()["section"]
     assert section.startswith("## T\n- Source: s\n") and "- Salary: Not specified" in section and "  - a\n- Responsibilities / description:\n  - Not extracted" in section and "- Application status: Not tracked\n" in section
+
+
+def plain_enrichment(text):
+    chunks = []
+
+    def add(c):
+        c = " ".join(c.split())
+        if c and c not in chunks:
+            chunks.append(c)
+
+    add(text[:12_000])
+    for word in extract.ENRICH_WORDS:
+        at = 0
+        for _ in range(2):
+            i = text.lower().find(word, at)
+            if i < 0:
+                break
+            add(text[max(0, i - 800):i + 2800])
+            at = i + len(word)
+    add(text[-4000:])
+    return "\n\n".join(chunks)[:22_000]
+
+
+def test_enrichment_text_equals_plain_model(spark):
+    rng = random.Random(2)
+    words = ["alpha", "beta", "Requirements", "you will", "gamma", "atlyginimas"]
+    texts = [" ".join(rng.choice(words[:2] * 40 + words) for _ in range(n)) for n in (0, 5, 900, 3000, 6000)]
+    df = spark.createDataFrame([(f"<p>{t}</p><script>requirements</script>",) for t in texts], "html string")
+    got = [r[0] for r in df.select(extract.enrichment_text(F.col("html"))).collect()]
+    assert [g or "" for g in got] == [plain_enrichment(t) for t in texts]
+
+
+def test_extraction_fills_only_gaps(spark):
+    cols = "source_url string, company string, location string, salary_text string, requirements array<string>, responsibilities array<string>"
+    parsed = spark.createDataFrame([("u", "own", "", None, [], ["r"]), ("w", "", "", "", [], [])], cols)
+    model = spark.createDataFrame([("u", "other", " place ", "5", ["q"], ["x"])], cols)
+    got = {r["source_url"]: tuple(r)[1:] for r in extract.fill_missing(parsed, model).collect()}
+    assert got == {"u": ("own", "place", "5", ["q"], ["r"]), "w": ("", "", "", [], [])}
+    assert [r[0] for r in parsed.select(extract.needs_enrichment(parsed)).collect()][1] is True
