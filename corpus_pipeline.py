@@ -1,8 +1,8 @@
 """Corpus pipeline: quality filter, exact dedup, near dedup, source mixture, packing.
 
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept, and returns the columns
-of docs; the last one returns the packed pieces. Rows are numbered once per stage, so repeated rows and null ids
-are decided one by one. An empty table passes through.
+of docs; the last one returns the packed pieces. docs is read from files: the dedup stages number its rows by their
+place there, so repeated rows and null ids are decided one by one and no text is written twice. An empty table passes through.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmarket.llm import exact_dedup, mixing, packing, quality, shingle_join
-from jobmarket.llm.common import crc_mod, numbered, table, written
+from jobmarket.llm.common import crc_mod, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,14 +24,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    rows = numbered(docs, "documents")
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
     kept = exact_dedup.exact_dedup(rows, row="_row").where("kept").select(F.col("row").alias("_row"))
     return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
-    rows = numbered(docs, "documents")
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
     kept = shingle_join.near_duplicates(rows, row="_row").where("kept").select(F.col("row").alias("_row"))
     return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 

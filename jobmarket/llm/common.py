@@ -40,11 +40,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, name: str, column: str = "_row") -> DataFrame:
-    """df, written, with a number for each row that stays the same whenever it is read."""
-    return written(df.withColumn(column, F.monotonically_increasing_id()), name)
-
-
 BROADCAST_ROWS = 1_000_000  # of a few longs each; a join side beyond it is shuffled
 
 
