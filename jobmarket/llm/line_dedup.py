@@ -32,22 +32,22 @@ def lines(docs: DataFrame) -> DataFrame:
     return each.where("line <> ''").withColumn("h", F.xxhash64("line")).withColumn("chars", F.length("line"))
 
 
-def segment_keys(line: Column, chars: Column, threshold: int, min_chars: int) -> Column:
-    """Array of (key, probe): the line's own segments (probe 0) and the substrings it probes with (probe 1)."""
-    parts, out = threshold + 1, []
+def segment_keys(long_lines: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+    """Rows h, key, probe: a line's own segments (probe 0) and the substrings that it probes shorter lines with (probe 1)."""
+    parts, cuts = threshold + 1, []
     for shorter in range(threshold + 1):
-        length = chars - shorter
-        base, longer = F.floor(length / parts).cast("int"), length % parts  # the last `longer` segments have one more
         for i in range(parts):
-            size = base + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)
-            start = base * i + F.greatest(F.lit(0), F.lit(i) - (parts - longer)) + 1
-            shifts = [s for s in range(-i, i + 1) if shorter - (threshold - i) <= s <= shorter + (threshold - i)]
-            for s in shifts:
-                own = shorter == 0 and s == 0
-                fits = (start + s >= 1) & (start + s + size - 1 <= chars) & (length >= min_chars)
-                key = F.xxhash64(length.cast("int"), F.lit(i), F.substring(line, start + s, size))
-                out.append(F.when(fits, F.struct(key.alias("key"), F.lit(0 if own else 1).alias("probe"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+            left = threshold - i  # edits that the segments behind may take
+            cuts += [(shorter, i, s, 0 if shorter == s == 0 else 1) for s in range(-i, i + 1) if shorter - left <= s <= shorter + left]
+    # The cuts are a constant, so each row below is one substring and one hash.
+    rows = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("shorter", "i", "shift", "probe"), c)]) for c in cuts])
+    each = long_lines.select("h", "line", "chars", F.inline(rows))
+    length = F.col("chars") - F.col("shorter")
+    base, even = F.expr(f"cast((chars - shorter) div {parts} as int)"), F.lit(parts) - length % parts  # later segments have one more
+    size = base + F.when(F.col("i") >= even, 1).otherwise(0)
+    start = base * F.col("i") + F.greatest(F.lit(0), F.col("i") - even) + 1 + F.col("shift")
+    fits = (length >= min_chars) & (start >= 1) & (start + size - 1 <= F.col("chars"))
+    return each.where(fits).select("h", F.xxhash64(length, "i", F.substring("line", start, size)).alias("key"), "probe")
 
 
 def parity(line: Column) -> Column:
@@ -106,7 +106,7 @@ def _any_word(state: Column, threshold: int) -> Column:
 def near_pairs(each: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """Distinct pairs a < b of line hashes whose lines are within the threshold; each: rows of `lines`."""
     long_lines = each.where(F.col("chars") >= min_chars)
-    keys = long_lines.select("h", F.inline(segment_keys(F.col("line"), F.col("chars"), threshold, min_chars)))
+    keys = segment_keys(long_lines, threshold, min_chars)
     shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("probe").alias("probe")).where("lo <> hi and probe = 0").select("key")
     shared = written(shared, "segments")
     hits = written(keys.join(sized(shared), "key").distinct(), "hits")
