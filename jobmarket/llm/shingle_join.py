@@ -28,6 +28,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,11 +188,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     row: a column that numbers the rows of docs; without it they are numbered here.
     """
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One text at a time becomes a Python string: long texts of a batch are not held twice."""
+        for batch in batches:
             keys, n, bands = [], [], []
-            for text in pdf["text"]:
-                sh = shingles(text)
+            for text in batch.column("text"):
+                sh = shingles(text.as_py())
                 n.append(len(sh))
                 keys.append(hashlib.blake2b(sh.tobytes(), digest_size=16).digest() if len(sh) else None)
                 sig = minhash(sh).reshape(-1, BAND).astype(np.uint64)
@@ -199,11 +201,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
                 for k in range(BAND):
                     h = _mix(h * np.uint64(_R) + sig[:, k])
                 bands.append(h.view(np.int64) if len(sh) else [])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "row": pdf["row"], "text_hash": pdf["text_hash"], "set_key": keys, "n": n, "bands": bands})
+            own = {c: batch.column(c) for c in ("doc_id", "row", "text_hash")}
+            yield pa.RecordBatch.from_pydict({**own, "set_key": pa.array(keys, pa.binary()), "n": pa.array(n, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
-    numbered = docs.select("doc_id", "text", (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
     numbered = numbered.withColumn("text_hash", F.xxhash64("text"))
-    signed = numbered.mapInPandas(sign, "doc_id long, row long, text_hash long, set_key binary, n long, bands array<long>")
+    signed = numbered.mapInArrow(sign, "doc_id long, row long, text_hash long, set_key binary, n long, bands array<long>")
     signed = written(signed, "shingles")
     sets = written(signed.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("rep"), F.count("*").alias("copies")), "sets")
     reps = signed.join(sets.select(F.col("rep").alias("row"), "copies"), "row")
