@@ -1,18 +1,20 @@
 """Language-model scoring by context-tree weighting over bytes.
 
 A text is its lower-cased (A-Z) words, each closed by a space, and one end mark. A byte is eight binary decisions;
-each decision has its own tree of contexts. The context of a byte is the bytes before it in its word, then the space before the
-word, then the last byte above 127 of all words before (zero if there is none): it tells languages and scripts apart. A tree looks at
-the DEPTH nearest of these. Every node holds zero and one counts of the training texts, its Krichevsky-Trofimov estimate, and the weighted
+each decision has its own tree of contexts. The context of a byte is the DEPTH bytes before it in this stream, across words
+and spaces; before the text all bytes are zero. Every node holds zero and one counts of the training texts, its Krichevsky-Trofimov estimate, and the weighted
 probability of its subtree (half its own estimate, half the product of its children). A decision's
 probability mixes the estimates of all depths with the weights the tree gives them, down to the
 deepest context that training has met; the code length of a text is the sum over its bytes.
 
-All of it is counted in Spark over the whole corpus: words per chunk of documents, then (context, byte)
-pairs per chunk of the vocabulary. Nothing of the vocabulary is broadcast: a chunk asks for the entries of its
-own distinct words by a join and gets them back with its documents. Trees are built per two-byte context; only
+All of it is counted in Spark over the whole corpus (stream_scores): words and distinct (context, byte) keys per chunk of
+documents, dealt into buckets as packed sorted runs; a bucket adds up its keys and answers every chunk in the order of its
+run. Nothing of the vocabulary is broadcast. Trees are built per two-byte context; only
 the two top levels (at most 256 * 255 nodes) reach the driver.
 
+language_model_scores is the word-bounded variant, which no query uses: a byte's context ends at its word (after it the space before the
+word and the last byte above 127 of all words before, zero if there is none), so it does not see the order of words.
+
 Null texts are empty: one end mark. Null ids count as the empty text in the training split. Repeated rows
 score alike and train twice; without training texts every decision has probability one half. An empty table gives no rows.
 """
@@ -20,6 +22,7 @@ score alike and train twice; without training texts every decision has probabili
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,8 +33,10 @@ from pyspark.sql import functions as F
 
 from jobmarket.llm.common import written
 
-DEPTH = 5  # bytes of context
+DEPTH = 6  # bytes of context
 DOCS_PER_CHUNK = 8192
+BYTES_AT_ONCE = 1 << 20  # of texts, turned into keys together
+HELD_KEYS = 1 << 22  # of a chunk, before equal ones are added up
 UNITS_PER_PART = 1 << 18
 UNITS_AT_ONCE = 1 << 15  # of a part, turned into keys together
 END = b"\n"  # no word holds it
@@ -95,6 +100,12 @@ def pair_keys(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key.view(np.int64)[place >= 2], np.cumsum(lengths) - lengths
 
 
+def _counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of n of each."""
+    uniq, where = np.unique(keys, return_inverse=True)
+    return uniq, np.bincount(where, weights=n, minlength=len(uniq))
+
+
 def _decisions(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each key's eight decisions, shape (8, keys): tree number (1 to 255) and bit; and its context."""
     byte = keys & 255
@@ -102,12 +113,9 @@ def _decisions(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (1 << at) | (byte >> (8 - at)), (byte >> (7 - at)) & 1, keys >> 8
 
 
-def _levels(keys: np.ndarray, counts: np.ndarray, least: int) -> dict:
-    """Nodes of depths DEPTH to `least` over the decisions of keys: where each decision falls, counts, weighted log probability."""
-    tree, bit, context = _decisions(keys)
-    n = np.broadcast_to(counts.astype(np.float64), tree.shape).ravel()
-    tree, bit = tree.ravel(), bit.ravel()
-    context = np.broadcast_to(context, (8, len(keys))).ravel()
+def _levels(tree: np.ndarray, bit: np.ndarray, context: np.ndarray, counts: np.ndarray, least: int) -> dict:
+    """Nodes of depths DEPTH to `least` over one decision of each key: where it falls, counts, weighted log probability."""
+    n = counts.astype(np.float64)
     out, below = {}, None
     for d in range(DEPTH, least - 1, -1):
         name = ((context & ((1 << (8 * d)) - 1)) << 8) | tree
@@ -167,9 +175,12 @@ def train_pairs(pairs: DataFrame) -> DataFrame:
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
         keys = pdf["key"].to_numpy(np.int64)
-        low = _levels(keys, pdf["n"].to_numpy(), 2)[2]
-        tree = _decisions(keys)[0].ravel()[low["first"]]
-        return pd.DataFrame({"last": int(keys[0] >> 8) & 255, "tree": tree, "weighted": low["weighted"]})
+        trees, bits, context = _decisions(keys)
+        out = []
+        for tree, bit in zip(trees, bits):  # eight decisions, no tree in common
+            low = _levels(tree, bit, context, pdf["n"].to_numpy(), 2)[2]
+            out.append(pd.DataFrame({"last": int(keys[0] >> 8) & 255, "tree": tree[low["first"]], "weighted": low["weighted"]}))
+        return pd.concat(out)
 
     below = grouped.groupBy("near").applyInPandas(sums, "last int, tree int, weighted double").groupBy("last", "tree").agg(F.sum("weighted").alias("weighted"))
     flat = grouped.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n"))
@@ -178,16 +189,17 @@ def train_pairs(pairs: DataFrame) -> DataFrame:
     def probabilities(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
         keys = pdf["key"].to_numpy(np.int64)
-        tree, bit, context = _decisions(keys)
-        shape, bit = tree.shape, bit.ravel()
-        p, seen = _mix(_levels(keys, pdf["n"].to_numpy(), 2), bit)
-        t, tree = top.value, tree.ravel()
-        last = np.broadcast_to(context & 255, shape).ravel()
-        for zeros, ones, own in ((t["zeros"][last, tree], t["ones"][last, tree], t["own"][last, tree]), (t["zeros0"][tree], t["ones0"][tree], t["own0"][tree])):
-            kt = (np.where(bit == 1, ones, zeros) + 0.5) / (zeros + ones + 1.0)
-            p = np.where(seen, own * kt + (1 - own) * p, kt)
-            seen = zeros + ones > 0
-        return pd.DataFrame({"key": keys, "logp": np.log(p).reshape(shape).sum(axis=0) / LOG10})
+        trees, bits, context = _decisions(keys)
+        t, last = top.value, context & 255
+        logp = np.zeros(len(keys))
+        for tree, bit in zip(trees, bits):
+            p, seen = _mix(_levels(tree, bit, context, pdf["n"].to_numpy(), 2), bit)
+            for zeros, ones, own in ((t["zeros"][last, tree], t["ones"][last, tree], t["own"][last, tree]), (t["zeros0"][tree], t["ones0"][tree], t["own0"][tree])):
+                kt = (np.where(bit == 1, ones, zeros) + 0.5) / (zeros + ones + 1.0)
+                p = np.where(seen, own * kt + (1 - own) * p, kt)
+                seen = zeros + ones > 0
+            logp += np.log(p)
+        return pd.DataFrame({"key": keys, "logp": logp / LOG10})
 
     return grouped.groupBy("near").applyInPandas(probabilities, "key long, logp double")
 
@@ -208,17 +220,13 @@ def unit_probabilities(vocabulary: DataFrame) -> DataFrame:
     parts = max(1, -(-vocabulary.count() // UNITS_PER_PART))
     vocabulary = vocabulary.select("unit", "n", F.pmod(F.xxhash64("unit"), F.lit(parts)).alias("part"))
 
-    def counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        uniq, where = np.unique(keys, return_inverse=True)
-        return uniq, np.bincount(where, weights=n, minlength=len(uniq))
-
     def ask(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         some = []
         for at in range(0, len(found), UNITS_AT_ONCE):
             block = found.iloc[at:at + UNITS_AT_ONCE]
             keys, starts = pair_keys(block["unit"].tolist())
-            some.append(counted(keys, np.repeat(block["n"].to_numpy(np.float64), np.diff(np.append(starts, len(keys))))))
-        uniq, n = counted(np.concatenate([k for k, _ in some]), np.concatenate([c for _, c in some]))
+            some.append(_counted(keys, np.repeat(block["n"].to_numpy(np.float64), np.diff(np.append(starts, len(keys))))))
+        uniq, n = _counted(np.concatenate([k for k, _ in some]), np.concatenate([c for _, c in some]))
         return pd.DataFrame({"part": key[0], "key": uniq, "n": n.astype("int64")})
 
     asked = written(vocabulary.groupBy("part").applyInPandas(ask, "part long, key long, n long"), "pairs")
@@ -292,3 +300,170 @@ def language_model_scores(docs: DataFrame, train: F.Column, plain_scan: bool = F
 
     schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, schema)
+
+
+def stream_keys(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of the texts' streams (given as words): context and byte as one 64-bit key; and where texts start.
+
+    The byte is the lowest; above it the context, the nearest byte lowest, zero before the text.
+    """
+    whole = [b"".join([b"\0" * DEPTH, *[w + b" " for w in words], END]) for words in texts]
+    data = np.frombuffer(b"".join(whole), np.uint8).astype(np.uint64)
+    lengths = np.array([len(w) for w in whole], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    key = data.copy()
+    for d in range(1, DEPTH + 1):
+        key[d:] |= data[:-d] << np.uint64(8 * d)
+    text = np.ones(len(data), bool)
+    text[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
+    return key.view(np.int64)[text], starts - DEPTH * np.arange(len(texts))
+
+
+def _blocks(texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Where a block of texts starts, and its texts as words; a block ends after BYTES_AT_ONCE characters."""
+    first, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        held.append(_words(text))
+        size += len(text or "") + DEPTH
+        if size >= BYTES_AT_ONCE:
+            yield first, held
+            first, held, size = i + 1, [], 0
+    if held:
+        yield first, held
+
+
+def _pack(numbers: np.ndarray, rising: bool = False) -> bytes:
+    """64-bit integers as bytes, of a rising run the differences; equal bytes of all numbers lie together."""
+    steps = np.diff(numbers, prepend=0) if rising else numbers
+    return zlib.compress(np.ascontiguousarray(steps.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpack(data: bytes, rising: bool = False) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    return np.cumsum(steps) if rising else steps
+
+
+def _deal(numbers: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order that puts the numbers' buckets one after the other, and where each bucket starts in it (and the end)."""
+    bucket = numbers % buckets
+    return np.argsort(bucket, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+
+
+def _deal_words(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    return _deal(np.fromiter(map(zlib.crc32, words), np.int64, len(words)), buckets)
+
+
+def stream_scores(docs: DataFrame, train: F.Column, plain_scan: bool = False) -> DataFrame:
+    """docs: doc_id, text; train: which rows the counts are taken from.
+
+    Returns doc_id, train, n_tokens, n_known, train_tokens, base_score (unigram), score (context trees).
+    plain_scan: as in language_model_scores. A chunk's rows may come in any order; its words and keys are sorted, so asking and
+    scoring agree on their places. Key probabilities travel as 32-bit floats.
+    """
+    rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train")).withColumn("chunk", _chunk(DOCS_PER_CHUNK))
+    if not plain_scan:
+        rows = written(rows, "lm-documents")
+    buckets = max(61, 2 * rows.select("chunk").distinct().count() + 1)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, known, seen = None, Counter(), set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def add_up() -> None:
+            held[:] = [_counted(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))]
+
+        def flush() -> Iterator[pd.DataFrame]:
+            if chunk is None:
+                return
+            add_up()
+            keys, n = held[0]
+            words = sorted(seen.union(known))
+            uses = np.fromiter((known[w] for w in words), np.int64, len(words))
+            (key_order, key_at), (word_order, word_at) = _deal(keys, buckets), _deal_words(words, buckets)
+            for b in range(buckets):
+                k, w = key_order[key_at[b]:key_at[b + 1]], word_order[word_at[b]:word_at[b + 1]]
+                if len(k) or len(w):
+                    yield pd.DataFrame({"chunk": [chunk], "bucket": b, "keys": [_pack(keys[k], True)], "n": [_pack(n[k])], "words": [zlib.compress(b" ".join([words[i] for i in w]), 1)], "n_words": len(w), "uses": [_pack(uses[w])]})
+
+        for pdf in batches:
+            for c, part in pdf.groupby("chunk", sort=True):
+                if c != chunk:
+                    yield from flush()
+                    chunk, known, seen, held = c, Counter(), set(), []
+                for learn, texts in part.groupby("train")["text"]:
+                    for _, block in _blocks(texts.tolist()):
+                        for words in block:
+                            (known if learn else seen).update(words)
+                        (known if learn else seen).update([END] * len(block))
+                        keys, n = np.unique(stream_keys(block)[0], return_counts=True)
+                        held.append((keys, n if learn else np.zeros(len(keys), np.int64)))
+                        if len(held) > 1 and sum(len(k) for k, _ in held) > HELD_KEYS:
+                            add_up()
+        yield from flush()
+
+    schema = "chunk long, bucket long, keys binary, n binary, words binary, n_words long, uses binary"
+    asked = written(rows.mapInPandas(count, schema), "asked")
+
+    def add(found: pd.DataFrame) -> pd.DataFrame:
+        keys, n = np.empty(0, np.int64), np.empty(0)
+        held, size = [], 0
+        for k, c in zip(found["keys"], found["n"]):
+            held.append((_unpack(k, True), _unpack(c)))
+            size += len(held[-1][0])
+            if size > HELD_KEYS:
+                keys, n = _counted(np.concatenate([keys, *[k for k, _ in held]]), np.concatenate([n, *[c for _, c in held]]))
+                held, size = [], 0
+        keys, n = _counted(np.concatenate([keys, *[k for k, _ in held]]), np.concatenate([n, *[c for _, c in held]]))
+        return pd.DataFrame({"key": keys, "n": n.astype(np.int64)})
+
+    counts = written(asked.select("bucket", "keys", "n").groupBy("bucket").applyInPandas(add, "key long, n long"), "pair-counts")
+    scored = train_pairs(counts).withColumn("bucket", F.pmod("key", F.lit(buckets)))
+
+    def answer(found: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(table["key"].to_numpy())
+        known, logp = table["key"].to_numpy()[order], table["logp"].to_numpy()[order].astype(np.float32)
+        uses: Counter = Counter()
+        for words, size, n in zip(found["words"], found["n_words"], found["uses"]):
+            if size:
+                for w, c in zip(zlib.decompress(words).split(b" "), _unpack(n).tolist()):
+                    uses[w] += c
+        total, distinct = sum(uses.values()), sum(c > 0 for c in uses.values())
+        out = []
+        for chunk, bucket, keys, words, size in zip(found["chunk"], found["bucket"], found["keys"], found["words"], found["n_words"]):
+            each = [uses[w] for w in zlib.decompress(words).split(b" ")] if size else []
+            out.append((chunk, bucket, logp[np.searchsorted(known, _unpack(keys, True))].tobytes(), _pack(np.array(each, np.int64)), total, distinct))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "logp", "uses", "total", "distinct"])
+
+    packed = asked.select("chunk", "bucket", "keys", "words", "n_words", "uses").groupBy("bucket").cogroup(scored.groupBy("bucket"))
+    answers = written(packed.applyInPandas(answer, "chunk long, bucket long, logp binary, uses binary, total long, distinct long"), "answers")
+    each = answers.groupBy("bucket").agg(F.max("total").alias("t"), F.max("distinct").alias("d"))
+    total, distinct = each.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("d"), F.lit(0))).first()
+
+    def score(part: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        texts = part["text"].tolist()
+        held, places, words = [np.empty(0, np.int64)], [], {END}
+        for _, block in _blocks(texts):
+            words.update(*block)
+            at, starts = stream_keys(block)
+            uniq, where = np.unique(at, return_inverse=True)
+            held.append(uniq)
+            places.append((uniq, where.astype(np.int32), starts))
+        keys, names = np.unique(np.concatenate(held)), sorted(words)
+        table = table.sort_values("bucket")
+        logp = np.empty(len(keys))
+        logp[_deal(keys, buckets)[0]] = np.frombuffer(b"".join(table["logp"]), np.float32)
+        n = np.empty(len(names))
+        n[_deal_words(names, buckets)[0]] = np.concatenate([_unpack(u) for u in table["uses"]])
+        base = np.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))
+        index = dict(zip(names, range(len(names))))
+        ids, learn, out = part["doc_id"].astype("Int64").tolist(), part["train"].tolist(), []
+        for (first, block), (uniq, where, starts) in zip(_blocks(texts), places):
+            sums = np.add.reduceat(logp[np.searchsorted(keys, uniq)][where], starts)
+            for i, tokens in enumerate(block):
+                at = np.fromiter(map(index.__getitem__, [*tokens, END]), np.int64, len(tokens) + 1)
+                out.append((ids[first + i], learn[first + i], len(at), int((n[at] > 0).sum()), total, float(base[at].sum()), float(sums[i])))
+        return pd.DataFrame(out, columns=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).astype({"doc_id": "Int64"})
+
+    answers = answers.select("chunk", "bucket", "logp", "uses")
+    schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, schema)

@@ -52,7 +52,7 @@ def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = context_tree.language_model_scores(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) != 1, plain_scan=True)
+    scored = context_tree.stream_scores(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) != 1, plain_scan=True)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

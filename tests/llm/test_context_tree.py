@@ -124,3 +124,52 @@ def test_nothing_to_learn_or_score(spark):
     r = ct.language_model_scores(df, F.lit(False)).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (2, 0, 0) and r["score"] == pytest.approx(-4 * 8 * math.log10(2))
     assert ct.language_model_scores(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_stream_scores_equal_plain_context_trees_across_words(spark, monkeypatch):
+    monkeypatch.setattr(ct, "DOCS_PER_CHUNK", 7)
+    monkeypatch.setattr(ct, "BYTES_AT_ONCE", 50)
+    monkeypatch.setattr(ct, "HELD_KEYS", 60)
+    rng = random.Random(6)
+    bits = ["Th", "en", "ab", "é", "ing", "X"]
+    rows = [(i, rng.choice([" ", "\n", " \t"]).join("".join(rng.choice(bits) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(12))), None, None, None) for i in range(40)]
+    rows += [(100, None, None, None, None), (101, "", None, None, None), (102, "z" * 3000, None, None, None), (3, "ab ab", None, None, None), (None, "ab", None, None, None)]
+    got = ct.stream_scores(spark.createDataFrame(rows, DOCS), F.col("doc_id") % 5 != 1).collect()
+    assert len(got) == len(rows)
+
+    def stream(text):
+        data = b"".join(w + b" " for w in ct._words(text)) + ct.END
+        return [(tuple([*reversed(data[:i]), *[0] * ct.DEPTH][: ct.DEPTH]), data[i]) for i in range(len(data))]
+
+    counts, pairs = Counter(), Counter()
+    for doc_id, text, *_ in rows:
+        if doc_id is not None and doc_id % 5 != 1:
+            counts.update(ct._words(text) + [ct.END])
+            pairs.update(stream(text))
+    tree = Tree(pairs)
+    total, distinct = sum(counts.values()), len(counts)
+    want = []
+    for doc_id, text, *_ in rows:
+        tokens = ct._words(text) + [ct.END]
+        base = sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in tokens)
+        want.append((str(doc_id), len(tokens), sum(counts[w] > 0 for w in tokens), total, round(base, 6), round(sum(tree.logp(*s) for s in stream(text)), 6)))
+    mine = [(str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got]
+    for a, b in zip(sorted(mine), sorted(want)):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=5e-5)
+
+
+def test_query_tells_word_orders_apart(spark, tmp_path):
+    from jobmarket.llm.registry import op8_context_tree_score
+
+    text = "the old man sat on the mat and saw the sea"
+    rows = [(i, text, None, None, None) for i in range(20)] + [(20, " ".join(sorted(text.split())), None, None, None)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op8_context_tree_score(spark, str(tmp_path)).collect()}
+    assert got[0]["base_score"] == pytest.approx(got[20]["base_score"]) and got[0]["score"] > got[20]["score"] + 1
+
+
+def test_stream_of_nothing(spark):
+    df = spark.createDataFrame([(1, "ab", None, None, None)], DOCS)
+    r = ct.stream_scores(df, F.lit(False)).first()
+    assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (2, 0, 0) and r["score"] == pytest.approx(-4 * 8 * math.log10(2))
+    assert ct.stream_scores(df.limit(0), F.lit(True)).count() == 0
