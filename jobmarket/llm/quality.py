@@ -31,18 +31,28 @@ EPOCHS, RATE = 8, 0.4
 ACCEPT = 0.3  # score from which a document is taken
 REPEAT = 0  # bucket of the mark for a repeated word
 CACHE_LIMIT = 250_000  # words of a task's cache; it is emptied when full
+LONG = 64  # characters of the longest word that is cached and read n-gram by n-gram
+RUN_BLOCK = 1 << 16  # n-grams of a longer run that are hashed together
 
 
 #: Words a Python worker has met, with the sum of their products and their feature count, for one model.
 _KNOWN: dict[str, dict[str, complex]] = {}
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, np.uint32(0xEDB88320) ^ (table >> 1), table >> 1)
+    return table
+
+
+CRC = _crc_table()
+
+
 def word_features(word: str) -> list[int]:
     """Buckets of a word and its character n-grams."""
     bounded = f"<{word}>"
     out = [zlib.crc32(bounded.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1]
-    if len(word) > 64:  # no natural word: its own bucket and its ends
-        bounded = f"<{word[:32]}>"
     data = bounded.encode("utf-8", "surrogatepass") if bounded.isascii() else None
     for n in NGRAMS:
         for i in range(len(bounded) - n + 1):
@@ -51,13 +61,40 @@ def word_features(word: str) -> list[int]:
     return out
 
 
+def run_features(word: str) -> Iterator[np.ndarray]:
+    """The same buckets as word_features, in blocks: for runs without white space of any length."""
+    whole = f"<{word}>".encode("utf-8", "surrogatepass")
+    yield np.array([zlib.crc32(whole) % (BUCKETS - 1) + 1], np.int64)
+    data = np.frombuffer(whole, np.uint8)
+    edges = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where characters start
+    for n in NGRAMS:
+        for at in range(0, len(edges) - n, RUN_BLOCK):
+            stop = edges[at + n:at + n + RUN_BLOCK]
+            start = edges[at:at + len(stop)]
+            crc = np.full(len(start), 7 ^ 0xFFFFFFFF, np.uint32)
+            for j in range(int((stop - start).max())):
+                more = start + j < stop
+                byte = data[np.where(more, start + j, 0)]
+                crc = np.where(more, CRC[(crc ^ byte) & 255] ^ (crc >> 8), crc)
+            yield (crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64) % (BUCKETS - 1) + 1
+
+
 def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their share of all its features."""
     words = (text or "").split()
-    ids = [f for w in words for f in word_features(w)]
+    ids = [f for w in words if len(w) <= LONG for f in word_features(w)]
     ids += [REPEAT] * sum(map(eq, words, words[1:]))
     buckets, n = np.unique(np.array(ids, dtype=np.int64), return_counts=True)
-    return buckets, (n / max(1, len(ids))).astype(np.float32)
+    runs = [w for w in words if len(w) > LONG]
+    if runs:
+        total = np.zeros(BUCKETS, np.int64)
+        total[buckets] = n
+        for w in runs:
+            for f in run_features(w):
+                total += np.bincount(f, minlength=BUCKETS)
+        buckets = np.flatnonzero(total)
+        n = total[buckets]
+    return buckets, (n / max(1, n.sum())).astype(np.float32)
 
 
 def train(texts: list[str | None], labels: list[int], seed: int = 5) -> tuple[np.ndarray, float]:
@@ -119,6 +156,8 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: i
         mark = complex(w[REPEAT], 1)
 
         def add(word: str) -> complex:
+            if len(word) > LONG:  # met once, as a rule
+                return sum((complex(float(w[f].sum(dtype=np.float64)), len(f)) for f in run_features(word)), 0j)
             f = word_features(word)
             known[word] = c = complex(float(w[f].sum()), len(f))
             return c

@@ -94,6 +94,20 @@ def test_quality_learns_and_covers_edges(spark):
     assert {r["score"] for r in quality.scores(docs, lab.limit(0)).collect()} == {0.5}
 
 
+def test_long_runs_are_read_to_their_end(spark, monkeypatch):
+    monkeypatch.setattr(quality, "RUN_BLOCK", 50)
+    for word in ("ab" * 200, "漢字かな" * 60, "aé漢😀" * 30, "\ud800x" * 70):
+        assert sorted(np.concatenate(list(quality.run_features(word))).tolist()) == sorted(quality.word_features(word))
+    good, bad = ("x" * 40 + c * 200 for c in ("good", "evil"))
+    a, b = (set(quality.document_features(t)[0].tolist()) for t in (good, bad))
+    assert len(a ^ b) > 8
+    rows = [(i, "x" * 40 + str(i) + (good, bad)[i % 2][40:], "en", "s", 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in quality.scores(docs, labels).collect()}
+    assert min(got[i] for i in range(30, 40, 2)) > max(got[i] for i in range(31, 40, 2)) + 0.1
+
+
 # --- op10 --------------------------------------------------------------------------------------------
 
 def brute(rows, threshold=0.8):
