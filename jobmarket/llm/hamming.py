@@ -10,7 +10,8 @@ and returns k rows for each query at most, and the best k of each query are kept
 a task are fixed by the two block sizes.
 
 Rows with a null or empty vector or a null id have no code: they are neither found nor searched for. Rows
-that repeat an id are found once, at the smallest distance. Fewer than k rows give fewer neighbours; empty tables none.
+that repeat an id are found once, at the smallest distance, and take one of the k places: equal rows are made one before they
+are dealt, and a search counts distinct ids. Fewer than k rows give fewer neighbours; empty tables none.
 """
 
 from __future__ import annotations
@@ -43,9 +44,16 @@ def _masks(width: int, radius: int) -> np.ndarray:
 class Index:
     """Bucket tables of each segment: rows sorted by segment value, and where each value starts."""
 
-    def __init__(self, codes: np.ndarray, segments: int):
+    def __init__(self, codes: np.ndarray, segments: int, ids: np.ndarray | None = None):
         edges = np.linspace(0, BITS, segments + 1).astype(int)
         self.codes, self.width = codes, np.diff(edges)
+        #: number of each row's id, where some id has several rows
+        self.owner = None
+        self.ids = len(codes)
+        if ids is not None:
+            uniq, owner = np.unique(ids, return_inverse=True)
+            if len(uniq) < len(ids):
+                self.owner, self.ids = owner, len(uniq)
         self.shift = edges[:-1]
         self.rows, self.starts = [], []
         for s, w in zip(self.shift, self.width):
@@ -58,8 +66,8 @@ class Index:
         return ((codes >> np.uint64(shift)) & np.uint64((1 << int(width)) - 1)).astype(np.int64)
 
     def search(self, query: np.uint64, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and distances of every code as near as the k-th."""
-        n, m = len(self.codes), len(self.width)
+        """Rows and distances of every code as near as that of the k-th nearest id."""
+        n, m, k = len(self.codes), len(self.width), min(k, self.ids)
         seen = np.zeros(n, dtype=bool)
         rows, dist = np.empty(0, np.int64), np.empty(0, np.int64)
         for radius in range(int(self.width.max()) + 1):
@@ -74,17 +82,23 @@ class Index:
                     seen[found] = True
                     rows = np.concatenate([rows, found])
                     dist = np.concatenate([dist, np.bitwise_count(self.codes[found] ^ query).astype(np.int64)])
-                if len(dist) >= min(k, n):
-                    kth = np.partition(dist, min(k, n) - 1)[min(k, n) - 1]
+                best = dist if self.owner is None else self._by_id(rows, dist)
+                if len(best) >= k:
+                    kth = np.partition(best, k - 1)[k - 1]
                     if kth <= m * radius + j:
                         near = dist <= kth
                         return rows[near], dist[near]
         return rows, dist
 
+    def _by_id(self, rows: np.ndarray, dist: np.ndarray) -> np.ndarray:
+        """The least distance of each id among rows."""
+        order = np.argsort(dist, kind="stable")
+        return dist[order][np.unique(self.owner[rows[order]], return_index=True)[1]]
+
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = 5) -> DataFrame:
     """rows and queries: id, code. Returns query_id, neighbour_id, distance, place (1 to k)."""
-    rows = rows.where("id is not null and code is not null")
+    rows = rows.where("id is not null and code is not null").dropDuplicates(["id", "code"])
     queries = queries.where("id is not null and code is not null").dropDuplicates(["id", "code"])
     blocks, groups = (max(1, -(-df.count() // size)) for df, size in ((rows, BLOCK), (queries, GROUP)))
     deal = lambda df, n: df.select("id", "code").withColumn("part", F.pmod(F.xxhash64("id", "code"), F.lit(n)).cast("int"))
@@ -97,7 +111,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = 5) -
         if len(codes) and len(asked):
             codes = codes.sort_values("id")
             ids = codes["id"].to_numpy()
-            index = Index(codes["code"].to_numpy(np.int64).view(np.uint64), segments)
+            index = Index(codes["code"].to_numpy(np.int64).view(np.uint64), segments, ids)
             for q, code in zip(asked["id"], asked["code"].to_numpy(np.int64).view(np.uint64)):
                 found, dist = index.search(code, k)
                 order = np.lexsort((ids[found], dist))

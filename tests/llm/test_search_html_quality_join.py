@@ -33,6 +33,18 @@ def test_top_k_is_exact(spark, segments, monkeypatch):
     assert hamming.top_k(empty, empty).count() == 0 and hamming.top_k(df, empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [65_536, 30])
+def test_repeated_ids_take_one_place(spark, monkeypatch, block):
+    monkeypatch.setattr(hamming, "BLOCK", block)
+    rng = random.Random(8)
+    rows = [(i, rng.getrandbits(62)) for i in range(60)]
+    rows += [rows[20]] * 30 + [(20, rows[20][1] ^ (1 << b)) for b in range(12)] + [(30, rows[20][1] ^ (3 << b)) for b in range(12)]
+    df = spark.createDataFrame(rows, "id long, code long")
+    got = [(r["distance"], r["neighbour_id"]) for r in hamming.top_k(df, df.where("id = 20"), 5).orderBy("place").collect()]
+    asked = [c for i, c in rows if i == 20]
+    assert got == sorted((min((c ^ q).bit_count() for j, c in rows if j == i for q in asked), i) for i in range(60))[:5]
+
+
 # --- op5 ---------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{x:1}</style><script>var a="</p><p>no";</script></head><body>
