@@ -1,8 +1,8 @@
 """Main text of web pages, by removal of site templates.
 
 Every page is parsed to a tree and its element subtrees are hashed. Spark counts, for each host, the pages
-on which a subtree occurs; pages whose main part is the same count once, so copied articles are no
-template. Subtrees that recur on at least `min_pages` pages and `min_share` of the host's pages are deleted
+on which a subtree occurs; pages that have the same main text outside the subtree count once (headings and runs without a letter
+left aside), so articles copied under another title, counter or numeric date are no template. Subtrees that recur on at least `min_pages` pages and `min_share` of the host's pages are deleted
 from that host's pages: anywhere outside the article, and inside it only containers (a share box, a
 related list), never headings, paragraphs or list items. Elements that are no content by their own
 tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) go too.
@@ -48,6 +48,8 @@ HINTS = frozenset(
 ARTICLE_HINTS = frozenset("comment comments reply ad ads advert promo related sponsored".split())
 KEPT_IN_ARTICLE = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote td th tr dt dd figcaption caption article main body html".split())
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 time".split())
+
 
 class Page:
     """Elements of one page in document order, with their text runs and subtree hashes."""
@@ -134,6 +136,27 @@ class Page:
                 parts[self.parent[node]].append(digest)
         return out
 
+    def outside(self, dead: list[bool], main: list[bool]) -> list[int]:
+        """For each element a 64-bit sum over the main part's text runs outside it, in any order.
+
+        Headings and runs without a letter count only where the main part has nothing else.
+        """
+        whole = not any(main)
+        heading = [False] * len(self.tag)
+        for n in range(1, len(self.tag)):
+            heading[n] = heading[self.parent[n]] or self.tag[n] in HEADINGS
+        body, rest = [0] * len(self.tag), [0] * len(self.tag)
+        for node, text in self.events:
+            if text and not dead[node] and (whole or main[node]) and (words := text.split()):
+                digest = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                aside = heading[node] or not any(map(str.isalpha, text))
+                (rest if aside else body)[node] += int.from_bytes(digest, "big")
+        own = body if any(body) else rest
+        total = sum(own)
+        for n in range(len(self.tag) - 1, 0, -1):
+            own[self.parent[n]] += own[n]
+        return [((total - (x if n else 0)) + (1 << 63)) % (1 << 64) - (1 << 63) for n, x in enumerate(own)]
+
     def boilerplate(self, node: int) -> bool:
         name = self.tag[node]
         if name in NEVER:
@@ -199,10 +222,9 @@ def subtree_rows(pages: DataFrame) -> DataFrame:
             for site, source in zip(pdf["host"], pdf["html"]):
                 page = Page(source or "")
                 hashes, (dead, main) = page.hashes(), page.layout()
-                inside = [h for n, h in enumerate(hashes) if main[n] and not main[page.parent[n]]]
-                mark = hash(tuple(inside or hashes[:1]))
-                seen = {h for n, h in enumerate(hashes) if n and not dead[n] and page.tag[n] not in INLINE and page.tag[n] not in ("html", "body") and not (main[n] and page.tag[n] in KEPT_IN_ARTICLE)}
-                rows += [(site, h, mark) for h in [0, *seen]]
+                marks = page.outside(dead, main)
+                seen = {(h, marks[n]) for n, h in enumerate(hashes) if n and not dead[n] and page.tag[n] not in INLINE and page.tag[n] not in ("html", "body") and not (main[n] and page.tag[n] in KEPT_IN_ARTICLE)}
+                rows += [(site, h, mark) for h, mark in [(0, marks[0]), *seen]]
             yield pd.DataFrame(rows, columns=["host", "subtree", "main"])
 
     return pages.select(host().alias("host"), "html").mapInPandas(walk, "host string, subtree long, main long")

@@ -84,6 +84,18 @@ def test_copied_article_is_no_template(spark):
     assert got[0] == "copied text" and got[12] == "own text 12"
 
 
+@pytest.mark.parametrize("page", [
+    "<body><nav>m</nav><article><h1>title {i}</h1><div><p>same body</p></div></article></body>",
+    "<body><article><h1>title {i}</h1><section><p>one</p></section><ul><li>two</ul><table><tr><td>three</table></article></body>",
+    "<body><h1>title {i}</h1><p>2024-01-{i}</p><p>same body</p><div><p>second part</p></div></body>",
+])
+def test_articles_copied_under_other_titles_stay(spark, page):
+    rows = [(i, "http://y.test/", page.format(i=i)) for i in range(10, 16)]
+    rows += [(i, "http://y.test/", f"<body><article><h1>t</h1><p>own text {i}</p></article></body>") for i in range(16, 30)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == html_text.Page(page.format(i=i)).text(frozenset()) for i in range(10, 16))
+
+
 # --- op7 ---------------------------------------------------------------------------------------------
 
 def test_quality_learns_and_covers_edges(spark):
