@@ -30,10 +30,11 @@ BLOCK, GROUP = 65_536, 2_048
 
 
 def sign_code(vector: str = "embedding") -> Column:
-    """Bit i of the code is set where component i is positive (the first 64 components)."""
-    head = F.slice(F.col(vector), 1, BITS)
-    bits = F.transform(head, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.when(F.size(vector) > 0, F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+    """Bit i of the code is set where component i is positive. A vector that has not BITS components fails the job."""
+    bits = F.transform(F.col(vector), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    code = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    wrong = F.raise_error(F.concat(F.lit(f"a vector must have {BITS} components, not "), F.size(vector).cast("string"))).cast("long")
+    return F.when(F.size(vector) == BITS, code).when(F.size(vector) > 0, wrong)
 
 
 @lru_cache(maxsize=64)

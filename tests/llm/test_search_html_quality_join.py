@@ -45,6 +45,13 @@ def test_repeated_ids_take_one_place(spark, monkeypatch, block):
     assert got == sorted((min((c ^ q).bit_count() for j, c in rows if j == i for q in asked), i) for i in range(60))[:5]
 
 
+@pytest.mark.parametrize("width", [63, 65])
+def test_vectors_of_another_width_are_refused(spark, width):
+    df = spark.createDataFrame([(1, [1.0] * width)], "id long, embedding array<float>")
+    with pytest.raises(Exception, match="64 components"):
+        df.select(hamming.sign_code().alias("code")).collect()
+
+
 # --- op5 ---------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{x:1}</style><script>var a="</p><p>no";</script></head><body>
