@@ -57,18 +57,44 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(m)
 
 
-def prefix_sums(df: DataFrame, order: Sequence[str], value: str | None, group: str | None = None) -> DataFrame:
+def free_name(df: DataFrame, name: str, *more: str) -> str:
+    """name, with underscores before it until no column of df (and none of more) bears it."""
+    taken = {c.lower() for c in (*df.columns, *more)}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def file_rows(docs: DataFrame, row: str) -> DataFrame:
+    """Add a long that names each row by its file and its place there; docs must be a table as read from files.
+
+    The name is the same whichever task reads the row and however the files are split, so a second read finds it again.
+    """
+    if "_metadata" in {c.lower() for c in docs.columns}:  # hides the place in the file
+        return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    file, place = free_name(docs, "_file"), free_name(docs, "_place")
+    placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+    files = sorted(r[0] for r in placed.select(file).distinct().collect())  # as many as the table has files
+    names = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)))), f"`{file}` string, `{row}` long")
+    numbered = placed.join(F.broadcast(names), file) if len(files) <= BROADCAST_ROWS else placed.join(names, file)
+    return numbered.withColumn(row, F.shiftleft(row, 40) + F.col(place)).select(*docs.columns, row)
+
+
+def prefix_sums(df: DataFrame, order: Sequence[str], value: str | None, group: str | None = None, rank: str = "rank", before: str = "before") -> DataFrame:
     """Add `rank` (rows before) and `before` (sum of `value` before) in the total order group, *order.
 
     With a group both count inside the group (null is a group of its own). A range partitioning
-    sorts the rows, each task numbers its own rows, and one row per (partition, group) carries the
-    offsets: no task sees a whole group, so a group with a third of all rows is split over many
-    partitions. The sorted rows are written once, hence rows that tie in every order column keep
-    one place.
+    sorts the rows, each task numbers its own rows, and one row per partition carries the
+    offset of the group that goes on from the partitions before it: no task sees a whole group, so a
+    group with a third of all rows is split over many partitions, and however many groups there are, the driver sees one row per
+    partition. The sorted rows are written once, hence rows that tie in every order column keep
+    one place. Columns of df called `rank` or `before` are replaced.
     """
     spark = df.sparkSession
+    df = df.drop(*{rank, before} - {group, value, *order})
     keys = ([group] if group else []) + list(order)
-    schema = T.StructType([*df.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_rank", T.LongType()), T.StructField("_sum", T.LongType())])
+    pid_, rank_, sum_ = (free_name(df, c, rank, before) for c in ("_pid", "_rank", "_sum"))
+    schema = T.StructType([*df.schema.fields, T.StructField(pid_, T.IntegerType()), T.StructField(rank_, T.LongType()), T.StructField(sum_, T.LongType())])
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pid = TaskContext.get().partitionId()
@@ -84,34 +110,40 @@ def prefix_sums(df: DataFrame, order: Sequence[str], value: str | None, group: s
                 run = change.cumsum()
             else:
                 run = pd.Series(1, index=pdf.index)
-            rank, before = run.groupby(run).cumcount(), add.groupby(run).cumsum() - add
+            place, sums = run.groupby(run).cumcount(), add.groupby(run).cumsum() - add
             first = g.iloc[0] if group else None
             same = first == last or (first is None and last is None)
             head = (run == 1) if same else (run == 0)
-            rank, before = rank + head * n, before + head * total
-            n, total = int(rank.iloc[-1]) + 1, int(before.iloc[-1] + add.iloc[-1])
+            place, sums = place + head * n, sums + head * total
+            n, total = int(place.iloc[-1]) + 1, int(sums.iloc[-1] + add.iloc[-1])
             last = g.iloc[-1] if group else None
-            yield pdf.assign(_pid=pid, _rank=rank.astype("int64"), _sum=before.astype("int64"))
+            yield pdf.assign(**{pid_: pid, rank_: place.astype("int64"), sum_: sums.astype("int64")})
 
     ranged = df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys]).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys])
     local = written(ranged.mapInPandas(number, schema), "ordered")
     g = F.col(group) if group else F.lit(None).cast("string")
     size = F.coalesce(F.col(value), F.lit(0)) if value else F.lit(0)
-    totals = local.groupBy("_pid", g.alias("_group")).agg(F.count("*").alias("n"), F.sum(size).cast("long").alias("s")).collect()
-    seen: dict = {}
-    offsets = []
-    for row in sorted(totals, key=lambda r: r["_pid"]):  # at most one row per partition and per group
-        n, s = seen.get(row["_group"], (0, 0))
-        offsets.append((row["_pid"], row["_group"], n, s))
-        seen[row["_group"]] = (n + row["n"], s + row["s"])
+    totals = local.groupBy(F.col(pid_).alias("pid"), g.alias("g")).agg(F.count("*").alias("n"), F.sum(size).cast("long").alias("s"))
+    ends = totals.groupBy("pid").agg(F.min(F.struct("g", "n", "s")).alias("first"), F.max(F.struct("g", "n", "s")).alias("last")).collect()
+    offsets, held = [], None
+    for row in sorted(ends, key=lambda r: r["pid"]):  # one row per partition
+        first, last = row["first"], row["last"]
+        n0, s0 = held[1:] if held and held[0] == first["g"] else (0, 0)
+        if n0:
+            offsets.append((row["pid"], first["g"], n0, s0))
+        if first["g"] == last["g"]:
+            held = (first["g"], n0 + first["n"], s0 + first["s"])
+        else:
+            held = (last["g"], last["n"], last["s"])
     kind = local.schema[group].dataType if group else T.StringType()
-    small = spark.createDataFrame(offsets, T.StructType([T.StructField("_opid", T.IntegerType()), T.StructField("_group", kind), T.StructField("_n0", T.LongType()), T.StructField("_s0", T.LongType())]))
-    on = (F.col("_pid") == F.col("_opid")) & g.eqNullSafe(F.col("_group")) if group else F.col("_pid") == F.col("_opid")
+    opid, og, n0, s0 = (free_name(local, c, rank, before) for c in ("_opid", "_group", "_n0", "_s0"))
+    small = spark.createDataFrame(offsets, T.StructType([T.StructField(opid, T.IntegerType()), T.StructField(og, kind), T.StructField(n0, T.LongType()), T.StructField(s0, T.LongType())]))
+    goes_on = F.col(opid).isNotNull() & g.eqNullSafe(F.col(og))
     return (
-        local.join(F.broadcast(small), on, "left")  # its rows are counted above: partitions + groups
-        .withColumn("rank", F.col("_rank") + F.col("_n0"))
-        .withColumn("before", F.col("_sum") + F.col("_s0"))
-        .drop("_pid", "_rank", "_sum", "_opid", "_group", "_n0", "_s0")
+        local.join(F.broadcast(small), F.col(pid_) == F.col(opid), "left")  # a row for each partition at most
+        .withColumn(rank, F.col(rank_) + F.when(goes_on, F.col(n0)).otherwise(0))
+        .withColumn(before, F.col(sum_) + F.when(goes_on, F.col(s0)).otherwise(0))
+        .drop(pid_, rank_, sum_, opid, og, n0, s0)
     )
 
 

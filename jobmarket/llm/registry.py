@@ -26,8 +26,7 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
-    plan = mixing.curriculum(docs)
+    plan = mixing.curriculum(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size")))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), F.round(F.get("positions", F.lit(0)), 6).alias("position"))
 
 
