@@ -27,18 +27,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobmarket.llm.common import written
+from jobmarket.llm.common import file_rows, free_name, written
 
 END_ID = 2
 #: Unicode White_Space, as the tokenizer's own pattern counts it.
 WS = "\t-\r \x85\xa0" + chr(0x1680) + chr(0x2000) + "-" + chr(0x200A) + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 UNIT = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 EDGE = re.compile(f"[{WS}]")
-CACHE_LIMIT = 1_000_000  # entries of a cache of a Python worker (about 150 MB); it is emptied when full
+CACHE_LIMIT = 600_000  # entries of a task's cache (about 120 MB); it is emptied when full
 
-
-#: A word and the punctuation after it: one piece each for the tokenizer, whatever follows.
-CORE = re.compile(r"([^\W\d_]+)([^\w\s']*)")
+#: Punctuation that may follow a word (no apostrophe): a piece of its own for the tokenizer, whatever comes next.
+AFTER = '.,;:!?)]}"#$%&*+-/<=>@^_|~([{'
 
 
 def _byte_letters() -> dict[int, str]:
@@ -48,75 +47,98 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(other)}
 
 
+class Joined(Exception):
+    """A part that may belong to a longer run of white space."""
+
+
+class Parts(dict):
+    """Ids of what stands between two spaces, with the space before it; an unseen part is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) > CACHE_LIMIT:
+            self.clear()
+        self[part] = ids = self.encode(part)
+        return ids
+
+
 class UnitEncoder:
     """Token ids of whole texts, one tokenizer call per unseen word.
 
     The tokenizer never merges across a unit (an optional single space and what follows it up to
     the next white space, or a run of white space), so the ids of a text are those of its units in
     order. Inside a unit a word of letters and the punctuation after it are separate pieces too: the
-    tokenizer's merges are asked for the word alone.
+    tokenizer's merges are asked for the word alone. Added tokens of the vocabulary (an end mark, say) that a text
+    spells out are found first, as the tokenizer does, and cut the text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.merges = self.tokenizer.model
         self.letters = _byte_letters()
-        self.spaced: dict[str, bytes] = {}  # what stands between two spaces, with the space before it
-        self.words: dict[str, bytes] = {}  # words of letters, with the space before them
+        self.space = self.letters[32]
+        self.spaced = Parts(self._between)
         self.units: dict[str, bytes] = {}  # anything else, as it is
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+
+    def forget(self) -> None:
+        self.spaced.clear()
+        self.units.clear()
 
     def _word(self, word: str) -> bytes:
-        piece = self.letters[32] + (word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.letters))
-        ids = self.words[word] = array("I", [t.id for t in self.merges.tokenize(piece)]).tobytes()
-        return ids
+        """Ids of letters alone, perhaps after one space."""
+        piece = word.encode("utf-8").decode("latin-1").translate(self.letters) if not word.isascii() or word[0] == " " else word
+        return array("I", [t.id for t in self.merges.tokenize(piece)]).tobytes()
 
     def _unit(self, unit: str) -> bytes:
         ids = self.units.get(unit)
         if ids is None:
             if len(self.units) > CACHE_LIMIT // 8:
                 self.units.clear()
-            ids = self.units[unit] = array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+            word = unit.rstrip(AFTER)
+            if word.isalpha():
+                ids = self._word(word) + (self._unit(unit[len(word):]) if len(word) < len(unit) else b"")
+            else:
+                ids = array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+            self.units[unit] = ids
         return ids
 
-    def _between(self, part: str) -> bytes | None:
-        """Ids of a part between two spaces; None if it may belong to a longer run of white space."""
-        m = CORE.fullmatch(part)
-        if m and m[1].isalpha():
-            ids = self.words.get(m[1]) or self._word(m[1])
-            if m[2]:
-                ids += self._unit(m[2])
-        elif not part or EDGE.match(part[0]) or EDGE.match(part[-1]):
-            return None
-        elif EDGE.search(part):  # a newline, say: rarely met again
+    def _between(self, part: str) -> bytes:
+        if part.isalpha():
+            if part.isascii():
+                return array("I", [t.id for t in self.merges.tokenize(self.space + part)]).tobytes()
+            return self._word(" " + part)
+        word = part.rstrip(AFTER)
+        if word.isalpha():
+            return self.spaced[word] + self._unit(part[len(word):])
+        if not part or EDGE.match(part[0]) or EDGE.match(part[-1]):
+            raise Joined
+        if EDGE.search(part):  # a newline, say: rarely met again
             first, *rest = UNIT.findall(" " + part)
-            return (self.spaced.get(first[1:]) or self._between(first[1:])) + b"".join(map(self._unit, rest))
-        else:
-            ids = self._unit(" " + part)
-        self.spaced[part] = ids
-        return ids
+            return self.spaced[first[1:]] + b"".join(map(self._unit, rest))
+        return self._unit(" " + part)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if len(self.spaced) > CACHE_LIMIT:
-            self.spaced.clear()
-        if len(self.words) > CACHE_LIMIT:
-            self.words.clear()
-        parts = text.split(" ")
-        found = list(map(self.spaced.get, parts))
-        found[0] = b""
-        if None in found:
-            get = self.spaced.get
-            found = [f if f is not None else get(p) or self._between(p) for f, p in zip(found, parts)]
-            if None in found:
-                return b"".join(self._unit(m[0]) for m in UNIT.finditer(text))
-        head = parts[0]  # no space stands before it
-        if not head or EDGE.match(head[-1]):
-            return b"".join(self._unit(m[0]) for m in UNIT.finditer(text))
-        found[0] = b"".join(map(self._unit, UNIT.findall(head)))
-        return b"".join(found)
+        if self.added and (found := self.added.search(text)):
+            end = array("I", [self.tokenizer.token_to_id(found[0])]).tobytes()
+            head, tail = text[: found.start()], text[found.end():]
+            return (self._plain(head) if head else b"") + end + (self.encode(tail) if tail else b"")
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
+        head, *parts = text.split(" ")  # no space stands before the head
+        try:
+            if not head or EDGE.match(head[-1]):
+                raise Joined
+            return b"".join([*map(self._unit, UNIT.findall(head)), *map(self.spaced.__getitem__, parts)])
+        except Joined:
+            return b"".join(map(self._unit, UNIT.findall(text)))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = 1024) -> DataFrame:
@@ -124,6 +146,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = 1024) -> DataFram
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(tokenizer_path)
+        encoder.forget()  # what an earlier task left
         end = np.array([END_ID], dtype="<u4").tobytes()
         for pdf in batches:
             rows = []
@@ -136,6 +159,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = 1024) -> DataFram
                     rows.append((doc_id, piece, start, stop - start, zlib.crc32(ids[4 * start:4 * stop])))
                     start = stop
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        encoder.forget()
 
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -144,7 +168,7 @@ _ENCODERS: dict[str, UnitEncoder] = {}
 
 
 def _encoder(path: str) -> UnitEncoder:
-    """One per Python worker: its cache serves all tasks that the worker runs."""
+    """One tokenizer per Python worker; its caches last for a task."""
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task for each core
         _ENCODERS[path] = UnitEncoder(path)
@@ -177,6 +201,32 @@ def fitness(bins: Bins, size: list[int], capacity: int) -> float:
     return -len(bins) + sum((sum(size[i] for i in b) / capacity) ** 2 for b in bins) / (len(bins) + 1)
 
 
+def dominate(bins: Bins, load: list[int], loose: list[int], size: list[int], capacity: int) -> list[int]:
+    """Exchange one or two pieces of a bin for one larger loose piece that still fits; returns what is loose then.
+
+    The bin gets fuller and what it gives up is smaller, hence easier to place.
+    """
+    order = sorted((size[i], i) for i in loose)
+    for b, group in enumerate(bins):
+        room = capacity - load[b]
+        if not room or not order:
+            continue
+        out = [(size[i], (i,)) for i in group] + [(size[group[x]] + size[group[y]], (group[x], group[y])) for x in range(min(4, len(group))) for y in range(x)]
+        best = None
+        for given, items in out:
+            at = bisect.bisect_right(order, (given + room, 1 << 62)) - 1
+            if at >= 0 and order[at][0] > given and (best is None or order[at][0] - given > best[0]):
+                best = order[at][0] - given, at, items
+        if best:
+            gain, at, items = best
+            group.append(order.pop(at)[1])
+            load[b] += gain
+            for i in items:
+                group.remove(i)
+                bisect.insort(order, (size[i], i))
+    return [i for _, i in order]
+
+
 def crossover(a: Bins, b: Bins, size: list[int], capacity: int, rng: random.Random) -> Bins:
     """Inject well-filled bins of b into a; drop bins of a that share a piece; best-fit what they lose."""
     ranked = sorted(b, key=lambda g: -sum(size[i] for i in g))
@@ -194,24 +244,35 @@ def crossover(a: Bins, b: Bins, size: list[int], capacity: int, rng: random.Rand
     return bins
 
 
+def mutate(bins: Bins, size: list[int], capacity: int, rng: random.Random) -> Bins:
+    """Open the emptiest bins and a few others, exchange their pieces for smaller ones of bins with room, and best-fit the rest."""
+    bins = sorted(([*g] for g in bins), key=lambda g: -sum(size[i] for i in g))
+    cut = max(2, len(bins) // 20)
+    loose = [i for g in bins[-cut:] for i in g]
+    bins = bins[:-cut]
+    for _ in range(min(len(bins), 1 + cut // 2)):
+        loose += bins.pop(rng.randrange(len(bins)))
+    load = [sum(size[i] for i in g) for g in bins]
+    for _ in range(3):
+        loose = dominate(bins, load, loose, size, capacity)
+    best_fit(bins, load, loose, size, capacity)
+    return bins
+
+
 def evolve(population: list[Bins], size: list[int], capacity: int, generations: int, rng: random.Random) -> list[Bins]:
     """A few steady-state generations; the population comes back best first. Stops at the lower bound."""
     bound = -(-sum(size) // capacity)
-    population = sorted(population, key=lambda p: -fitness(p, size, capacity))
-    for _ in range(generations):
-        if len(population[0]) <= bound:
+    ranked = sorted(((fitness(p, size, capacity), n, p) for n, p in enumerate(population)), key=lambda r: (-r[0], r[1]))
+    for n in range(generations):
+        if len(ranked[0][2]) <= bound:
             break
-        one, two = rng.sample(range(len(population)), 2) if len(population) > 1 else (0, 0)
-        child = crossover(population[min(one, two)], population[max(one, two)], size, capacity, rng)
-        # mutation: break up the emptiest bins
-        child.sort(key=lambda g: -sum(size[i] for i in g))
-        cut = max(1, len(child) // 20)
-        loose = [i for g in child[-cut:] for i in g]
-        child = child[:-cut]
-        best_fit(child, load := [sum(size[i] for i in g) for g in child], loose, size, capacity)
-        population[-1] = child
-        population.sort(key=lambda p: -fitness(p, size, capacity))
-    return population
+        one, two = sorted(rng.sample(range(len(ranked)), 2)) if len(ranked) > 1 else (0, 0)
+        child = crossover(ranked[one][2], ranked[two][2], size, capacity, rng) if n % 2 else ranked[0][2]
+        child = mutate(child, size, capacity, rng)
+        ranked.append((fitness(child, size, capacity), n + len(population), child))
+        ranked.sort(key=lambda r: (-r[0], r[1]))
+        ranked.pop()
+    return [r[2] for r in ranked]
 
 
 def _first(size: list[int], capacity: int, rng: random.Random, jitter: float) -> Bins:
@@ -232,6 +293,16 @@ def _first(size: list[int], capacity: int, rng: random.Random, jitter: float) ->
     return bins
 
 
+def _starts(size: list[int], capacity: int, island: int, population: int, rng: random.Random) -> list[Bins]:
+    """An island's population; a start that meets the lower bound needs no others."""
+    bound, found = -(-sum(size) // capacity), []
+    for p in range(population):
+        found.append(_first(size, capacity, rng, 0.0 if p == 0 else 0.02 * p * (1 + island)))
+        if len(found[-1]) <= bound:
+            return found[-1:]
+    return found
+
+
 SOLUTION = "block long, island int, uid long, length long, bin long"
 
 
@@ -243,7 +314,7 @@ def _islands(items: DataFrame, capacity: int, islands: int, generations: int, po
         pdf = pdf.sort_values("uid")
         size = pdf["length"].tolist()
         rng = random.Random(f"{seed}/{block}/{island}")
-        start = [_first(size, capacity, rng, 0.0 if p == island == 0 else 0.1 * (p + island)) for p in range(population)]
+        start = _starts(size, capacity, island, population, rng)
         return _rows(pdf, evolve(start, size, capacity, generations, rng)[0], block, island)
 
     return items.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)]))).groupBy("block", "island").applyInPandas(run, SOLUTION)
@@ -282,16 +353,17 @@ def _solve(items: DataFrame, capacity: int, islands: int, generations: int, popu
     return _migrate(_islands(items, capacity, islands, generations, population, seed), capacity, islands, generations, seed)
 
 
-def pack(cut: DataFrame, capacity: int = 1024, block_items: int = 4000, islands: int = 2, generations: int = 6, population: int = 3, seed: int = 17) -> DataFrame:
-    """Add sequence_id and offset to rows that have length and any other columns (see `pieces`).
+def pack(cut: DataFrame, capacity: int = 1024, block_items: int = 4000, islands: int = 2, generations: int = 12, population: int = 3, seed: int = 17) -> DataFrame:
+    """Add sequence_id and offset to rows that have length and any other columns (see `pieces`); columns of those two names are replaced.
 
     A block holds about `block_items` pieces however many there are, so a task's memory is fixed.
     """
-    cut = written(cut, "pieces").withColumn("uid", F.monotonically_increasing_id())
-    small = cut.where(F.col("length") < capacity)
-    n = small.count()
-    blocks = max(1, round(n / block_items))
-    dealt = small.select("uid", F.col("length").cast("long").alias("length"), F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block"))
+    name = free_name(cut, "_uid", "sequence_id", "offset")
+    cut = file_rows(written(cut.drop("sequence_id", "offset"), "pieces"), name)
+    sizes = cut.select(F.col(name).alias("uid"), F.col("length").cast("long").alias("length"))
+    small = sizes.where(F.col("length") < capacity)
+    blocks = max(1, round(small.count() / block_items))
+    dealt = small.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)))
     first = written(_solve(dealt, capacity, islands, generations, population, seed), "packed")
     # Badly filled bins of all blocks are opened and packed again in pools of the same size.
     fill = first.groupBy("block", "bin").agg(F.sum("length").alias("fill")).withColumn("open", F.col("fill") < int(0.98 * capacity))
@@ -303,6 +375,6 @@ def pack(cut: DataFrame, capacity: int = 1024, block_items: int = 4000, islands:
     number = lambda kind: F.shiftleft(F.col("block"), 24) + F.col("bin") + F.lit(kind << 60)
     placed = marked.where("not open").select("uid", "length", number(0).alias("sequence_id")).unionByName(again.select("uid", "length", number(1).alias("sequence_id")))
     w = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "uid").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0))).drop("length")
-    whole = cut.where(F.col("length") >= capacity).withColumn("sequence_id", F.col("uid") + F.lit(2 << 60)).withColumn("offset", F.lit(0).cast("long"))
-    return cut.where(F.col("length") < capacity).join(placed, "uid").unionByName(whole).drop("uid")
+    placed = placed.select(F.col("uid").alias(name), "sequence_id", F.coalesce(F.sum("length").over(w), F.lit(0)).alias("offset"))
+    whole = cut.where(F.col("length") >= capacity).withColumn("sequence_id", F.col(name) + F.lit(2 << 60)).withColumn("offset", F.lit(0).cast("long"))
+    return cut.where(F.col("length") < capacity).join(placed, name).unionByName(whole).drop(name)
