@@ -5,22 +5,22 @@ n-grams (with word bounds), and a mark for each word that repeats the one before
 word with itself), all hashed into one table. A softmax layer gives the label. Vectors and output layer are
 trained by stochastic gradient descent in numpy on a bounded sample of labelled rows; scoring reads every
 whole text. The average is linear, so a feature enters the score by its vector's product with the difference of
-the two output vectors: tasks get one table of those products, of fixed size.
+the two output vectors: tasks get one table of those products, of fixed size. The driver gets features of the sample, at most BUCKETS
+pairs of numbers for a text however long, and no text.
 
 Null and empty texts have no features and score the training prior. Repeated rows score alike; a label row
-without a document is unused; an empty table gives no rows.
+without a document is unused; an empty table gives no rows. `scores` replaces a column called score; `fit` adds no column.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 18
@@ -35,10 +35,6 @@ LONG = 64  # characters of the longest word that is cached and read n-gram by n-
 RUN_BLOCK = 1 << 16  # n-grams of a longer run that are hashed together
 
 
-#: Words a Python worker has met, with the sum of their products and their feature count, for one model.
-_KNOWN: dict[str, dict[str, complex]] = {}
-
-
 def _crc_table() -> np.ndarray:
     table = np.arange(256, dtype=np.uint32)
     for _ in range(8):
@@ -97,13 +93,12 @@ def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return buckets, (n / max(1, n.sum())).astype(np.float32)
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 5) -> tuple[np.ndarray, float]:
-    """Product of each bucket's vector with the output difference, and the bias, after gradient descent."""
+def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 5) -> tuple[np.ndarray, float]:
+    """examples: document_features of each. Product of each bucket's vector with the output difference, and the bias."""
     rng = np.random.default_rng(seed)
     table = ((rng.random((BUCKETS, DIMENSIONS), dtype=np.float32) - 0.5) / DIMENSIONS).astype(np.float32)
     output = np.zeros((2, DIMENSIONS), dtype=np.float32)
     bias = np.zeros(2, dtype=np.float32)
-    examples = [document_features(t) for t in texts]
     steps, at = EPOCHS * len(examples), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(examples)):
@@ -124,10 +119,11 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5) -> tuple[np
     return table @ (output[1] - output[0]), float(bias[1] - bias[0])
 
 
-def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """Add score (0 to 1, higher: label 1 likelier) to docs; labels may hold any part of the ids.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Callable[[str], Column]:
+    """A trained classifier: a function from a text column to the score (0 to 1, higher: label 1 likelier).
 
-    The sample is `sample` rows of each label at most, chosen by a hash of the id; the two label counts
+    labels may hold any part of the ids. The sample is `sample` labels of each value at most, chosen by a hash of the id, and all
+    documents that bear those ids up to 4 * sample (rows that repeat an id could be any number); the two label counts
     are taken over all labelled rows and set the prior.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("_label"))
@@ -135,24 +131,28 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: i
     for value in (0, 1):
         part = marked.where(F.col("_label") == value).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").select("text", "_label").limit(4 * sample).collect()
+
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [document_features(t) for t in pdf["text"]]
+            yield pd.DataFrame({"buckets": [b.astype("<i4").tobytes() for b, _ in found], "share": [s.astype("<f4").tobytes() for _, s in found], "_label": pdf["_label"]})
+
+    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # 2 * sample rows at most
+    chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id", F.xxhash64("text")).limit(4 * sample)
+    rows = chosen.mapInPandas(features, "buckets binary, share binary, _label int").collect()
     counts = {r["_label"]: r["count"] for r in marked.groupBy("_label").count().collect()}
     prior = np.log((counts.get(1, 0) + 1.0) / (counts.get(0, 0) + 1.0))
     if rows:
-        weight, bias = train([r["text"] for r in rows], [r["_label"] for r in rows])
+        weight, bias = train([(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["share"], "<f4")) for r in rows], [r["_label"] for r in rows])
         ones = sum(r["_label"] for r in rows)
         bias += prior - np.log((ones + 1.0) / (len(rows) - ones + 1.0))
     else:
         weight, bias = np.zeros(BUCKETS, np.float32), prior
     shared = docs.sparkSession.sparkContext.broadcast(weight)  # BUCKETS numbers, however large the corpus
 
-    model = uuid.uuid4().hex
-
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w = shared.value
-        if model not in _KNOWN:
-            _KNOWN.clear()
-        known = _KNOWN.setdefault(model, {})
+        known: dict[str, complex] = {}  # of a word: the sum of its products, and how many features it has
         mark = complex(w[REPEAT], 1)
 
         def add(word: str) -> complex:
@@ -175,4 +175,9 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: i
                 out.append(1 / (1 + np.exp(-(total.real / max(1.0, total.imag) + bias))))
             yield pd.Series(out, dtype="float64")
 
-    return docs.withColumn("score", F.pandas_udf(score, "double")("text"))
+    return F.pandas_udf(score, "double")
+
+
+def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    """docs with the score of each text."""
+    return docs.withColumn("score", fit(docs, labels, label, sample)("text"))
