@@ -83,3 +83,25 @@ def test_every_stage_equals_brute_force(spark, folder, tmp_path):
 def test_run_is_the_stages(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_clashing_columns_and_empty_table(spark, tmp_path):
+    """Other columns, named as the stages name their own, come back as they were; an empty table passes through."""
+    names = ["rank", "before", "position", "positions", "score", "target", "_row", "_label", "row", "doc", "kept", "order", "size", "uid", "sequence_id", "_metadata", "_file", "_place"]
+    rng = random.Random(2)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in names)
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(40)), "en", f"s{i % 3}", 1, *range(100, 100 + len(names))) for i in range(30)]
+    rows += [rows[3], rows[3], (None, None, None, None, None, *[None] * len(names))]
+    for kind, table in (("full", rows), ("empty", [])):
+        folder = f"{tmp_path}/{kind}"
+        spark.createDataFrame(table, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(20)] if table else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, folder).write.parquet(f"{folder}/{n}")
+            after = spark.read.parquet(f"{folder}/{n}")
+            if n < 4:
+                assert after.columns == docs.columns and set(map(tuple, after.collect())) <= set(table)
+                docs = after
+        assert (docs.count() > 30) == bool(table) == (after.count() > 0)
