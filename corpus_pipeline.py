@@ -1,8 +1,9 @@
 """Corpus pipeline: quality filter, exact dedup, near dedup, source mixture, packing.
 
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept, and returns the columns
-of docs; the last one returns the packed pieces. docs is read from files: the dedup stages number its rows by their
-place there, so repeated rows and null ids are decided one by one and no text is written twice. An empty table passes through.
+of docs, whatever other columns there are and however they are named; the last one returns the packed pieces. docs is a table as read
+from files: three stages name its rows by file and place in it, so repeated rows and null ids are decided one by one
+and a second read finds the same row. An empty table passes through.
 """
 
 from __future__ import annotations
@@ -12,34 +13,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmarket.llm import exact_dedup, mixing, packing, quality, shingle_join
-from jobmarket.llm.common import crc_mod, table, written
+from jobmarket.llm.common import crc_mod, file_rows, free_name, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It is trained on labelled documents of the unfiltered table."""
     labels = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 5) != 0)
-    scored = quality.scores(docs, labels)
-    return scored.where(F.col("score") >= quality.ACCEPT).select(*docs.columns)
+    score = quality.fit(docs, labels)
+    return docs.where(score("text") >= quality.ACCEPT)
+
+
+def _kept(docs: DataFrame, decide) -> DataFrame:
+    """The rows of docs that decide(rows, row=...) marks as kept."""
+    name = free_name(docs, "_row")
+    rows = file_rows(docs, name)
+    kept = decide(rows, row=name).where("kept").select(F.col("row").alias(name))
+    return rows.join(kept, name, "left_semi").select(*docs.columns)
 
 
 def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = exact_dedup.exact_dedup(rows, row="_row").where("kept").select(F.col("row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return _kept(docs, exact_dedup.exact_dedup)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = shingle_join.near_duplicates(rows, row="_row").where("kept").select(F.col("row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return _kept(docs, shingle_join.near_duplicates)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training stream: a document appears as often as the mixture takes it, in order of position."""
-    plan = mixing.curriculum(docs.withColumn("_words", mixing.word_count()), size="_words")
-    return mixing.ordered_mixture(plan).select(*docs.columns)
+    name = free_name(docs, "_row")
+    rows = file_rows(docs, name)
+    plan = mixing.curriculum(rows.select(F.col(name).alias("row"), "doc_id", "source", mixing.word_count().alias("size")))
+    return mixing.mixed_documents(rows, name, plan)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
