@@ -2,468 +2,491 @@
 
 A text is its lower-cased (A-Z) words, each closed by a space, and one end mark. A byte is eight binary decisions;
 each decision has its own tree of contexts. The context of a byte is the DEPTH bytes before it in this stream, across words
-and spaces; before the text all bytes are zero. Every node holds zero and one counts of the training texts, its Krichevsky-Trofimov estimate, and the weighted
-probability of its subtree (half its own estimate, half the product of its children). A decision's
+and spaces; before the text all bytes are zero. Every node holds zero and one counts of the training texts, its Krichevsky-Trofimov
+estimate, and the weighted probability of its subtree (half its own estimate, half the product of its children). A decision's
 probability mixes the estimates of all depths with the weights the tree gives them, down to the
 deepest context that training has met; the code length of a text is the sum over its bytes.
 
-All of it is counted in Spark over the whole corpus (stream_scores): words and distinct (context, byte) keys per chunk of
-documents, dealt into buckets as packed sorted runs; a bucket adds up its keys and answers every chunk in the order of its
-run. Nothing of the vocabulary is broadcast. Trees are built per two-byte context; only
-the two top levels (at most 256 * 255 nodes) reach the driver.
-
-language_model_scores is the word-bounded variant, which no query uses: a byte's context ends at its word (after it the space before the
-word and the last byte above 127 of all words before, zero if there is none), so it does not see the order of words.
+All of it is counted in Spark over the whole corpus. Consecutive documents of a task form chunks of CHUNK_BYTES; a chunk counts its
+distinct words and (context, byte) keys and deals them, as packed sorted runs, into buckets: words by a hash, keys by a hash of the three
+nearest bytes of context, so a bucket holds whole subtrees from depth three on. A bucket adds up its keys and its subtrees' weighted
+probabilities; nodes of depth two and above (one for each of at most 65,536 byte pairs and 255 decisions) are summed over all buckets and
+reach the driver and every task. Then each bucket answers every chunk in the order of its run, and a chunk scores its texts. Nothing that
+grows with the vocabulary is broadcast or collected.
 
 Null texts are empty: one end mark. Null ids count as the empty text in the training split. Repeated rows
 score alike and train twice; without training texts every decision has probability one half. An empty table gives no rows.
+Other columns of the documents are left out, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobmarket.llm.common import written
 
 DEPTH = 6  # bytes of context
-DOCS_PER_CHUNK = 8192
-BYTES_AT_ONCE = 1 << 20  # of texts, turned into keys together
-HELD_KEYS = 1 << 22  # of a chunk, before equal ones are added up
-UNITS_PER_PART = 1 << 18
-UNITS_AT_ONCE = 1 << 15  # of a part, turned into keys together
+CHUNK_BYTES = 24 << 20  # of texts; a chunk ends after the document that fills it
+BYTES_AT_ONCE = 4 << 20  # of texts, turned into keys together
+HELD_KEYS = 1 << 23  # of a chunk or bucket, before equal ones are added up
 END = b"\n"  # no word holds it
-HIGH = re.compile(rb"[\x80-\xff]")
 LOG10 = float(np.log(10))
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after shifting small arguments up by eight."""
-    small = x < 8
-    y = np.where(small, x + 8, x)
-    shift = np.ones_like(x)
-    for i in range(8):
-        shift = np.where(small, shift * (x + i), shift)
-    s = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    return s - np.log(shift)
+# --- the stream of a text, its keys and its words ----------------------------------------------------
 
+def _words(text: str | bytes | None) -> list[bytes]:
+    """bytes.lower and bytes.split know ASCII only: A-Z and the six white-space bytes."""
+    return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").lower().split()
+
+
+def _stream(text: bytes | None) -> bytes:
+    return b" ".join([*_words(text), END])
+
+
+class Block:
+    """Streams of some texts one after the other, DEPTH zero bytes before each."""
+
+    def __init__(self, texts: list[bytes | None]):
+        streams = [_stream(t) for t in texts]
+        lengths = np.array([len(s) for s in streams], np.int64)
+        self.data = b"\0" + b"".join([b"\0" * DEPTH + s for s in streams])
+        #: where each text's bytes start among the keys, and the end
+        self.starts = np.concatenate([[0], np.cumsum(lengths)])
+        self.ends = np.cumsum(lengths + DEPTH)  # in data, after the byte that it begins with
+
+    def keys(self) -> np.ndarray:
+        """For every byte of the texts: context and byte as one 64-bit key, the byte lowest, the nearest byte of context highest."""
+        n = len(self.data) - DEPTH - 1
+        eight = np.ndarray((max(n, 0),), "<u8", self.data, 0, (1,))
+        keys = (eight & np.uint64(0x00FFFFFFFFFFFF00)) | (eight >> np.uint64(56))
+        text = np.ones(len(keys), bool)
+        text[(self.ends[:-1, None] + np.arange(-DEPTH, 0)).ravel()] = False
+        return keys[text].view(np.int64)
+
+    def words(self, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of every word: two 64-bit hashes, where it starts and ends in data; and where each text's words start (and the end)."""
+        data = np.frombuffer(self.data, np.uint8)
+        stops = np.flatnonzero((data == 32) | (data == END[0]))
+        starts = np.concatenate([[0], stops[:-1]]) + 1
+        closed = data[stops] == 32
+        first = np.concatenate([[True], ~closed[:-1]])[: len(stops)]
+        starts = (starts + DEPTH * first)[closed]
+        stops = stops[closed]
+        texts = np.concatenate([[0], np.searchsorted(stops, self.ends)])
+        if not len(stops):
+            return np.empty(0, np.int64), np.empty(0, np.int64), starts, stops, texts
+        place = np.arange(len(data), dtype=np.int64)[starts[0]:]
+        at = place - np.repeat(starts, np.diff(np.append(starts, len(data))))
+        rng = np.random.default_rng([17, seed])
+        tables, longest = rng.integers(0, 2**63, (2, 256), np.uint64), int((stops - starts).max())
+        out = []
+        for table, base in zip(tables * np.uint64(2) + np.uint64(1), (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)):
+            power = np.multiply.accumulate(np.full(longest + 1, np.uint64(base)))
+            each = table[data[starts[0]:]] * power[np.minimum(at, longest)]
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(each)])
+            h = (sums[stops - starts[0]] - sums[starts - starts[0]]) ^ (stops - starts).astype(np.uint64)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            out.append((h ^ (h >> np.uint64(29))).view(np.int64))
+        return out[0], out[1], starts, stops, texts
+
+
+def _blocks(texts: list[bytes | None]) -> Iterator[tuple[int, Block]]:
+    """Where a block of texts starts, and the block; it ends after BYTES_AT_ONCE bytes."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or b"") + DEPTH
+        if size >= BYTES_AT_ONCE or i == len(texts) - 1:
+            yield first, Block(texts[first:i + 1])
+            first, size = i + 1, 0
 
-def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - np.log(np.pi)
-
-
-def units(text: str | None) -> list[bytes]:
-    """The text's words and end mark in order, each with its state: the last high byte before it and a space, if there is one."""
-    words = _words(text)
-    words.append(END)
-    if not text or text.isascii():
-        return words
-    marks = [i for i, w in enumerate(words) if not w.isascii()]
-    if not marks:
-        return words
-    out = words[: marks[0] + 1]
-    for a, b in zip(marks, [*marks[1:], len(words) - 1]):
-        state = HIGH.findall(words[a])[-1] + b" "
-        out += [state + w for w in words[a + 1:b + 1]]
-    return out
 
+def _counted(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of n of each; parts are best given sorted."""
+    k, c = (np.concatenate(x) if len(x) > 1 else x[0] for x in (keys, n))
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+    return k[first], np.add.reduceat(c, first) if len(k) else c
 
-def _split(unit: bytes) -> tuple[bytes, bytes]:
-    """State byte and word of a unit; only a unit with a state has a space in second place."""
-    return (unit[:1], unit[2:]) if unit[1:2] == b" " else (b"\0", unit)
 
+class Counts:
+    """Keys met so far, distinct and in order, with their counts; new ones are held until there are HELD_KEYS."""
 
-def pair_keys(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of every unit's word (a space closes it): context and byte as one 64-bit key; and where units start.
+    def __init__(self) -> None:
+        self.keys, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = 0
 
-    The byte is the lowest; above it the context, the nearest byte lowest.
-    """
-    whole = [b"%b %b%b" % (s, w, b"" if w == END else b" ") for s, w in map(_split, found)]
-    data = np.frombuffer(b"".join(whole), np.uint8).astype(np.uint64)
-    lengths = np.array([len(w) for w in whole], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    place = np.arange(len(data)) - np.repeat(starts, lengths)
-    key = data.copy()
-    for d in range(1, DEPTH + 1):
-        before = np.zeros_like(data)
-        before[d:] = data[:-d]
-        key |= np.where(place >= d, before, np.uint64(0)) << np.uint64(8 * d)
-    lengths -= 2  # state and space are context only
-    return key.view(np.int64)[place >= 2], np.cumsum(lengths) - lengths
-
-
-def _counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sum of n of each."""
-    uniq, where = np.unique(keys, return_inverse=True)
-    return uniq, np.bincount(where, weights=n, minlength=len(uniq))
-
-
-def _decisions(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each key's eight decisions, shape (8, keys): tree number (1 to 255) and bit; and its context."""
-    byte = keys & 255
-    at = np.arange(8)[:, None]
-    return (1 << at) | (byte >> (8 - at)), (byte >> (7 - at)) & 1, keys >> 8
-
-
-def _levels(tree: np.ndarray, bit: np.ndarray, context: np.ndarray, counts: np.ndarray, least: int) -> dict:
-    """Nodes of depths DEPTH to `least` over one decision of each key: where it falls, counts, weighted log probability."""
-    n = counts.astype(np.float64)
-    out, below = {}, None
-    for d in range(DEPTH, least - 1, -1):
-        name = ((context & ((1 << (8 * d)) - 1)) << 8) | tree
-        _, first, where = np.unique(name, return_index=True, return_inverse=True)
-        ones = np.bincount(where, weights=n * bit, minlength=len(first))
-        zeros = np.bincount(where, weights=n * (1 - bit), minlength=len(first))
-        kt = _log_kt(zeros, ones)
-        if below is None:
-            weighted, own = kt, np.ones(len(first))
-        else:
-            children = np.bincount(where[below["first"]], weights=below["weighted"], minlength=len(first))
-            weighted = np.log(0.5) + np.logaddexp(kt, children)
-            own = np.exp(np.log(0.5) + kt - weighted)
-        below = {"first": first, "where": where, "zeros": zeros, "ones": ones, "weighted": weighted, "own": own}
-        out[d] = below
-    return out
+    def add(self, keys: np.ndarray) -> None:
+        self.held.append(keys)
+        self.size += len(keys)
+        if self.size >= HELD_KEYS:
+            self.settle()
 
+    def settle(self) -> None:
+        if self.held:
+            k = np.concatenate(self.held)
+            self.held, self.size = [], 0
+            k.sort()
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+            self.keys, self.n = _counted([self.keys, k[first]], [self.n, np.diff(np.append(first, len(k)))])
 
-def _mix(levels: dict, bit: np.ndarray, deepest: np.ndarray | None = None, met: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of each decision's bit, from the deepest level up; and whether its shallowest context was met."""
-    p, seen = deepest, met
-    for d in sorted(levels, reverse=True):
-        lv = levels[d]
-        zeros, ones = lv["zeros"][lv["where"]], lv["ones"][lv["where"]]
-        kt = (np.where(bit == 1, ones, zeros) + 0.5) / (zeros + ones + 1.0)
-        if p is None:
-            p = kt
-        else:
-            own = lv["own"][lv["where"]]
-            p = np.where(seen, own * kt + (1 - own) * p, kt)
-        seen = zeros + ones > 0
-    return p, seen
-
-
-def _top(pairs: pd.DataFrame, sums: pd.DataFrame) -> dict:
-    """Depths 1 and 0 as arrays by (last byte, tree): counts, weight of the own estimate."""
-    zeros, ones = np.zeros((256, 256)), np.zeros((256, 256))
-    tree, bit, context = _decisions(pairs["key"].to_numpy(np.int64))
-    n = np.broadcast_to(pairs["n"].to_numpy(np.float64), tree.shape)
-    last = np.broadcast_to(context & 255, tree.shape)
-    np.add.at(ones, (last, tree), n * bit)
-    np.add.at(zeros, (last, tree), n * (1 - bit))
-    below = np.zeros((256, 256))
-    below[sums["last"].to_numpy(np.int64), sums["tree"].to_numpy(np.int64)] = sums["weighted"]
-    kt1 = _log_kt(zeros, ones)
-    w1 = np.log(0.5) + np.logaddexp(kt1, below)
-    z0, o0 = zeros.sum(axis=0), ones.sum(axis=0)
-    kt0 = _log_kt(z0, o0)
-    w0 = np.log(0.5) + np.logaddexp(kt0, w1.sum(axis=0))
-    return {"zeros": zeros, "ones": ones, "own": np.exp(np.log(0.5) + kt1 - w1), "zeros0": z0, "ones0": o0, "own0": np.exp(np.log(0.5) + kt0 - w0)}
-
-
-def train_pairs(pairs: DataFrame) -> DataFrame:
-    """pairs: key, n (training count, 0 where only scored). Returns key and its log10 probability."""
-    grouped = pairs.withColumn("near", F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
-
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key")
-        keys = pdf["key"].to_numpy(np.int64)
-        trees, bits, context = _decisions(keys)
-        out = []
-        for tree, bit in zip(trees, bits):  # eight decisions, no tree in common
-            low = _levels(tree, bit, context, pdf["n"].to_numpy(), 2)[2]
-            out.append(pd.DataFrame({"last": int(keys[0] >> 8) & 255, "tree": tree[low["first"]], "weighted": low["weighted"]}))
-        return pd.concat(out)
-
-    below = grouped.groupBy("near").applyInPandas(sums, "last int, tree int, weighted double").groupBy("last", "tree").agg(F.sum("weighted").alias("weighted"))
-    flat = grouped.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n"))
-    top = pairs.sparkSession.sparkContext.broadcast(_top(flat.toPandas(), below.toPandas()))  # 256 * 256 numbers each
-
-    def probabilities(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key")
-        keys = pdf["key"].to_numpy(np.int64)
-        trees, bits, context = _decisions(keys)
-        t, last = top.value, context & 255
-        logp = np.zeros(len(keys))
-        for tree, bit in zip(trees, bits):
-            p, seen = _mix(_levels(tree, bit, context, pdf["n"].to_numpy(), 2), bit)
-            for zeros, ones, own in ((t["zeros"][last, tree], t["ones"][last, tree], t["own"][last, tree]), (t["zeros0"][tree], t["ones0"][tree], t["own0"][tree])):
-                kt = (np.where(bit == 1, ones, zeros) + 0.5) / (zeros + ones + 1.0)
-                p = np.where(seen, own * kt + (1 - own) * p, kt)
-                seen = zeros + ones > 0
-            logp += np.log(p)
-        return pd.DataFrame({"key": keys, "logp": logp / LOG10})
-
-    return grouped.groupBy("near").applyInPandas(probabilities, "key long, logp double")
-
-
-def _words(text: str | None) -> list[bytes]:
-    """bytes.lower and bytes.split know ASCII only: A-Z and the six white-space bytes."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def _chunk(rows: int) -> F.Column:
-    """A number shared by some rows that were written together: a task's partition, cut every `rows` rows."""
-    place = F.monotonically_increasing_id()
-    return F.shiftright(place, 33) * F.lit(1 << 20) + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / rows)
 
+def _first_of(h: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Places of one word of each hash, in the order of the hashes; None if two words share a hash."""
+    order = np.argsort(h, kind="stable")
+    h, other = h[order], other[order]
+    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.empty(0, bool)
+    return None if (~new[1:] & (other[1:] != other[:-1])).any() else order[new]
 
-def unit_probabilities(vocabulary: DataFrame) -> DataFrame:
-    """vocabulary: unit, n (training count). Gives unit and logp, the model's log10 probability of its word with the closing byte."""
-    parts = max(1, -(-vocabulary.count() // UNITS_PER_PART))
-    vocabulary = vocabulary.select("unit", "n", F.pmod(F.xxhash64("unit"), F.lit(parts)).alias("part"))
 
-    def ask(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
-        some = []
-        for at in range(0, len(found), UNITS_AT_ONCE):
-            block = found.iloc[at:at + UNITS_AT_ONCE]
-            keys, starts = pair_keys(block["unit"].tolist())
-            some.append(_counted(keys, np.repeat(block["n"].to_numpy(np.float64), np.diff(np.append(starts, len(keys))))))
-        uniq, n = _counted(np.concatenate([k for k, _ in some]), np.concatenate([c for _, c in some]))
-        return pd.DataFrame({"part": key[0], "key": uniq, "n": n.astype("int64")})
+def _word_numbers(blocks: list[Block]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[bytes]]:
+    """Of each block its words' hashes; the distinct hashes in order, each one's hash of seed 0, and its bytes.
 
-    asked = written(vocabulary.groupBy("part").applyInPandas(ask, "part long, key long, n long"), "pairs")
-    scored = train_pairs(written(asked.groupBy("key").agg(F.sum("n").alias("n")), "pair-counts"))
-    answers = asked.select("part", "key").join(scored, "key")
+    Two hashes make 128 bits that are compared; if two words of the chunk share the first 64, another seed is taken.
+    """
+    for seed in range(100):
+        found = [b.words(seed) for b in blocks]
+        own = []
+        for b, (h, other, starts, stops, _) in zip(blocks, found):
+            at = _first_of(h, other)
+            if at is None:
+                break
+            own.append((h[at], other[at], [b.data[s:e] for s, e in zip(starts[at].tolist(), stops[at].tolist())]))
+        else:
+            h, other = (np.concatenate([o[i] for o in own] or [np.empty(0, np.int64)]) for i in (0, 1))
+            at = _first_of(h, other)
+            if at is not None:
+                words = [w for o in own for w in o[2]]
+                plain = h if not seed else np.concatenate([b.words()[0][_first_of(f[0], f[1])] for b, f in zip(blocks, found)])
+                return [f[0] for f in found], h[at], plain[at], [words[i] for i in at.tolist()]
+    raise RuntimeError("no seed tells the words apart")
 
-    def add(found: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(table["key"].to_numpy())
-        known, logp = table["key"].to_numpy()[order], table["logp"].to_numpy()[order]
-        sums = [np.empty(0)]
-        for at in range(0, len(found), UNITS_AT_ONCE):
-            keys, starts = pair_keys(found["unit"].iloc[at:at + UNITS_AT_ONCE].tolist())
-            sums.append(np.add.reduceat(logp[np.searchsorted(known, keys)], starts))
-        return pd.DataFrame({"unit": found["unit"].to_numpy(), "logp": np.concatenate(sums)})
 
-    return vocabulary.select("unit", "part").groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(add, "unit binary, logp double")
+def _pack(numbers: np.ndarray, rising: bool = False) -> bytes:
+    """64-bit integers as bytes, of a rising run the differences; equal bytes of all numbers lie together."""
+    steps = np.diff(numbers, prepend=0) if rising else numbers
+    return zstandard.compress(np.ascontiguousarray(steps.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def language_model_scores(docs: DataFrame, train: F.Column, plain_scan: bool = False) -> DataFrame:
-    """docs: doc_id, text; train: which rows the counts are taken from.
+def _unpack(data: bytes, rising: bool = False) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    return np.cumsum(steps) if rising else steps
 
-    Returns doc_id, train, n_tokens, n_known, train_tokens, base_score (unigram), score (context trees).
-    plain_scan: docs is read from files without a shuffle, so that a row is in the same partition whenever it is read; other
-    inputs are written first. (A row that had moved would miss a word in its chunk and fail the job.)
-    """
-    rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train")).withColumn("chunk", _chunk(DOCS_PER_CHUNK))
-    if not plain_scan:
-        rows = written(rows, "lm-documents")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk, known, seen = None, Counter(), set()
+def _deal(numbers: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order that puts the numbers' buckets one after the other, and where each bucket starts in it (and the end)."""
+    bucket = ((numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+    return np.argsort(bucket, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
 
-        def flush() -> Iterator[pd.DataFrame]:
-            if chunk is not None:
-                known.update(dict.fromkeys(seen.difference(known), 0))
-                yield pd.DataFrame({"chunk": chunk, "unit": list(known), "n": list(known.values())})
 
-        for pdf in batches:
-            for c, part in pdf.groupby("chunk", sort=True):
-                if c != chunk:
-                    yield from flush()
-                    chunk, known, seen = c, Counter(), set()
-                for text, learn in zip(part["text"], part["train"]):
-                    (known if learn else seen).update(units(text))
-        yield from flush()
-
-    word = F.when(F.expr("hex(substring(unit, 2, 1)) = '20'"), F.expr("substring(unit, 3)")).otherwise(F.col("unit"))
-    met = rows.mapInPandas(count, "chunk long, unit binary, n int").withColumn("place", F.xxhash64(word))
-    # A unit's list has a number for each chunk that holds it; a chunk is some thousand documents.
-    # One shuffle by the word's hash serves the units of a word and the word's total.
-    found = met.repartition("place").groupBy("place", "unit").agg(F.sum("n").alias("n"), F.collect_list("chunk").alias("chunks"))
-    found = found.withColumn("word", word)
-    same = Window.partitionBy("place", "word").orderBy("unit")
-    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    found = found.withColumn("c", F.sum("n").over(whole)).withColumn("first", F.row_number().over(same) == 1)
-    found = written(found.drop("place", "word"), "units")
-    total, distinct = found.where("c > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if("first")).first()
-    entries = written(unit_probabilities(found.select("unit", "n")), "entries")
-    answers = found.join(entries, "unit").select(F.explode("chunks").alias("chunk"), "unit", "c", "logp")
-
-    def score(part: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        index = dict(zip(table["unit"], range(len(table))))
-        n, logp = table["c"].to_numpy(np.float64), table["logp"].to_numpy()
-        base = np.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))
-        out = []
-        for doc_id, text, learn in zip(part["doc_id"].astype("Int64"), part["text"], part["train"]):
-            tokens = units(text)
-            at = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
-            out.append((doc_id, learn, len(tokens), int((n[at] > 0).sum()), total, float(base[at].sum()), float(logp[at].sum())))
-        return pd.DataFrame(out, columns=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).astype({"doc_id": "Int64"})
+def _chunk_numbers(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Each batch with its rows' chunk numbers: the task's partition, and how many chunks its earlier documents have filled.
 
-    schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, schema)
+    A row's chunk depends on the rows before it in its split of the files, so a second scan gives the same one.
+    """
+    pid, size = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        texts = batch.column("text").cast(pa.large_binary()) if batch.num_rows else None
+        lengths = np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]) + DEPTH if batch.num_rows else np.empty(0, np.int64)
+        ends = size + np.cumsum(lengths)
+        yield (pid << 24) + (ends - lengths) // chunk_bytes, batch
+        size = int(ends[-1]) if len(ends) else size
 
 
-def stream_keys(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of the texts' streams (given as words): context and byte as one 64-bit key; and where texts start.
+# --- the trees ---------------------------------------------------------------------------------------
 
-    The byte is the lowest; above it the context, the nearest byte lowest, zero before the text.
-    """
-    whole = [b"".join([b"\0" * DEPTH, *[w + b" " for w in words], END]) for words in texts]
-    data = np.frombuffer(b"".join(whole), np.uint8).astype(np.uint64)
-    lengths = np.array([len(w) for w in whole], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    key = data.copy()
-    for d in range(1, DEPTH + 1):
-        key[d:] |= data[:-d] << np.uint64(8 * d)
-    text = np.ones(len(data), bool)
-    text[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
-    return key.view(np.int64)[text], starts - DEPTH * np.arange(len(texts))
-
-
-def _blocks(texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Where a block of texts starts, and its texts as words; a block ends after BYTES_AT_ONCE characters."""
-    first, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        held.append(_words(text))
-        size += len(text or "") + DEPTH
-        if size >= BYTES_AT_ONCE:
-            yield first, held
-            first, held, size = i + 1, [], 0
-    if held:
-        yield first, held
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series after shifting small arguments up by eight."""
+    small = x < 8
+    y = np.where(small, x + 8, x)
+    shift = np.ones_like(x)
+    for i in range(8):
+        shift = np.where(small, shift * (x + i), shift)
+    s = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return s - np.log(shift)
 
 
-def _pack(numbers: np.ndarray, rising: bool = False) -> bytes:
-    """64-bit integers as bytes, of a rising run the differences; equal bytes of all numbers lie together."""
-    steps = np.diff(numbers, prepend=0) if rising else numbers
-    return zlib.compress(np.ascontiguousarray(steps.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+_SMALL = 1 << 15
+_HALF, _WHOLE = _log_gamma(np.arange(_SMALL) + 0.5), _log_gamma(np.arange(_SMALL) + 1.0)
 
 
-def _unpack(data: bytes, rising: bool = False) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
-    return np.cumsum(steps) if rising else steps
+def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of some zeros and ones."""
+    total = zeros + ones
+    low = np.minimum(total, _SMALL - 1)
+    out = _HALF[np.minimum(zeros, low)] + _HALF[np.minimum(ones, low)] - _WHOLE[low] - np.log(np.pi)
+    large = np.flatnonzero(total >= _SMALL)
+    if len(large):
+        z, o = zeros[large].astype(np.float64), ones[large].astype(np.float64)
+        out[large] = _log_gamma(z + 0.5) + _log_gamma(o + 0.5) - _log_gamma(z + o + 1.0) - np.log(np.pi)
+    return out
 
 
-def _deal(numbers: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order that puts the numbers' buckets one after the other, and where each bucket starts in it (and the end)."""
-    bucket = numbers % buckets
-    return np.argsort(bucket, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+def _join(kt: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted log probability of nodes, and the weight of their own estimates."""
+    weighted = np.log(0.5) + np.logaddexp(kt, children)
+    return weighted, np.exp(np.log(0.5) + kt - weighted)
 
 
-def _deal_words(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    return _deal(np.fromiter(map(zlib.crc32, words), np.int64, len(words)), buckets)
+class Subtrees:
+    """Nodes of depths DEPTH to 3 over distinct keys in order; all keys of a three-byte context must be here.
 
+    At each depth the distinct (context, byte) pairs are elements; a decision's nodes are runs of them.
+    """
 
-def stream_scores(docs: DataFrame, train: F.Column, plain_scan: bool = False) -> DataFrame:
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.elements, self.n, self.above = {DEPTH: keys}, {DEPTH: n}, {}
+        for d in range(DEPTH, 3, -1):
+            e = self.elements[d]
+            self.elements[d - 1], self.above[d] = np.unique((e >> 16 << 8) | (e & 255), return_inverse=True)
+            self.n[d - 1] = np.bincount(self.above[d], weights=self.n[d], minlength=len(self.elements[d - 1])).astype(np.int64)
+
+    def decision(self, i: int) -> dict[int, tuple]:
+        """For the i-th bit, by depth: first element and place of each element's node, counts, weighted probability, own weight."""
+        out, child = {}, None
+        for d in range(DEPTH, 2, -1):
+            e = self.elements[d]
+            prefix = e >> (8 - i)
+            new = np.concatenate([[True], prefix[1:] != prefix[:-1]])
+            first, where = np.flatnonzero(new), np.cumsum(new) - 1
+            total = np.add.reduceat(self.n[d], first)
+            ones = np.add.reduceat(self.n[d] * (e >> (7 - i) & 1), first)
+            weighted = kt = _log_kt(total - ones, ones)
+            own = None
+            if child is not None:
+                below = np.bincount(where[self.above[d + 1][child[0]]], weights=child[4], minlength=len(first))
+                weighted, own = _join(kt, below)
+            child = out[d] = (first, where, total, ones, weighted, own)
+        return out
+
+    def roots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Depth-two nodes (two bytes of context, tree number), and what the subtrees here add to them: weighted, zeros, ones."""
+        found = []
+        for i in range(8):
+            first, _, total, ones, weighted, _ = self.decision(i)[3]
+            e = self.elements[3][first]
+            found.append((e >> 16 << 8 | 1 << i | (e & 255) >> (8 - i), weighted, total - ones, ones))
+        node, weighted, zeros, ones = map(np.concatenate, zip(*found))
+        nodes, at = np.unique(node, return_inverse=True)
+        add = lambda x: np.bincount(at, weights=x, minlength=len(nodes))
+        return nodes, add(weighted), add(zeros).astype(np.int64), add(ones).astype(np.int64)
+
+    def log10_probabilities(self, top: Top) -> np.ndarray:
+        """Of every key, its byte after its context."""
+        out = np.zeros(len(self.elements[DEPTH]))
+        for i in range(8):
+            levels = self.decision(i)
+            e = self.elements[3]
+            p, rest, kt = top.mix(e >> 16, 1 << i | (e & 255) >> (8 - i), e >> (7 - i) & 1)
+            for d in range(3, DEPTH + 1):
+                _, where, total, ones, _, own = levels[d]
+                bit = self.elements[d] >> (7 - i) & 1
+                if d > 3:
+                    p, rest, kt = p[self.above[d]], rest[self.above[d]], kt[self.above[d]]
+                p, rest, kt = _step(p, rest, kt, bit, (total - ones)[where], ones[where], 1.0 if own is None else own[where])
+            out += np.log(p + rest * kt)
+        return out / LOG10
+
+
+def _step(p: np.ndarray, rest: np.ndarray, kt: np.ndarray, bit: np.ndarray, zeros: np.ndarray, ones: np.ndarray, own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One depth down: probability so far, weight that is left, and the estimate that gets it if nothing deeper was met."""
+    total = zeros + ones
+    mine = (np.where(bit == 1, ones, zeros) + 0.5) / (total + 1.0)
+    seen = total > 0
+    return p + rest * np.where(seen, own * mine, kt), np.where(seen, rest * (1 - own), 0.0), np.where(seen, mine, kt)
+
+
+class Top:
+    """Nodes of depths two, one and zero, from the sums of all buckets."""
+
+    def __init__(self, node: np.ndarray, weighted: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+        order = np.argsort(node)
+        self.node, self.zeros, self.ones = node[order], zeros[order], ones[order]
+        w, self.own = _join(_log_kt(self.zeros, self.ones), weighted[order])
+        last, tree = self.node >> 16, self.node & 255
+        self.one = [np.zeros((256, 256), np.int64), np.zeros((256, 256), np.int64)]
+        below = np.zeros((256, 256))
+        np.add.at(self.one[0], (last, tree), self.zeros)
+        np.add.at(self.one[1], (last, tree), self.ones)
+        np.add.at(below, (last, tree), w)
+        w, own = _join(_log_kt(self.one[0].ravel(), self.one[1].ravel()), below.ravel())
+        self.one.append(own.reshape(256, 256))
+        self.zero = [self.one[0].sum(axis=0), self.one[1].sum(axis=0)]
+        self.zero.append(_join(_log_kt(*self.zero), w.reshape(256, 256).sum(axis=0))[1])
+
+    def mix(self, pair: np.ndarray, tree: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The mixture down to depth two; pair: the two nearest bytes of context."""
+        near = pair >> 8
+        zeros, ones, own = (x[tree] for x in self.zero)
+        kt = (np.where(bit == 1, ones, zeros) + 0.5) / (zeros + ones + 1.0)
+        state = own * kt, 1 - own, kt
+        state = _step(*state, bit, *(x[near, tree] for x in self.one))
+        at = np.searchsorted(self.node, pair << 8 | tree)
+        return _step(*state, bit, self.zeros[at], self.ones[at], self.own[at])
+
+
+def log10_probabilities(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All of the model at once over distinct keys in order and their training counts."""
+    trees = Subtrees(keys, n)
+    return trees.log10_probabilities(Top(*trees.roots()))
+
+
+# --- the jobs ----------------------------------------------------------------------------------------
+
+def _counts_of_chunks(rows: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
+    """chunk, bucket, keys, n, words, n_words, uses: what each chunk asks each bucket, and its training counts."""
+    names = ["chunk", "bucket", "keys", "n", "words", "n_words", "uses"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+
+    def deal(chunk: int, texts: dict[bool, list[bytes | None]]) -> pa.RecordBatch:
+        counts, blocks, learn = {}, [], []
+        for train in (True, False):
+            counts[train] = Counts()
+            for _, block in _blocks(texts[train]):
+                counts[train].add(block.keys())
+                blocks.append(block)
+                learn.append(train)
+            counts[train].settle()
+        keys, n = _counted([counts[True].keys, counts[False].keys], [counts[True].n, np.zeros(len(counts[False].keys), np.int64)])
+        hashes, h, plain, words = _word_numbers(blocks)
+        uses = np.zeros(len(h), np.int64)
+        for train, each in zip(learn, hashes):
+            if train and len(each):
+                u, c = np.unique(each, return_counts=True)
+                uses[np.searchsorted(h, u)] += c
+        (key_order, key_at), (word_order, word_at) = _deal(keys >> 32, buckets), _deal(plain, buckets)
+        out = []
+        for b in range(buckets):
+            k, w = key_order[key_at[b]:key_at[b + 1]], word_order[word_at[b]:word_at[b + 1]]
+            if len(k) or len(w):
+                out.append((chunk, b, _pack(keys[k], True), _pack(n[k]), zstandard.compress(b" ".join([words[i] for i in w]), 1), len(w), _pack(uses[w])))
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, texts = None, {True: [], False: []}
+        for numbers, batch in _chunk_numbers(batches, chunk_bytes):
+            whole, train = batch.column("text").cast(pa.binary()), batch.column("train").to_pylist()
+            for c in np.unique(numbers):
+                if chunk is not None and c != chunk:
+                    yield deal(chunk, texts)
+                    texts = {True: [], False: []}
+                chunk = int(c)
+                for i in np.flatnonzero(numbers == c).tolist():
+                    texts[train[i]].append(whole[i].as_py())
+        if chunk is not None:
+            yield deal(chunk, texts)
+
+    return rows.mapInArrow(count, "chunk long, bucket long, keys binary, n binary, words binary, n_words long, uses binary")
+
+
+def stream_scores(docs: DataFrame, train: F.Column, plain_scan: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """docs: doc_id, text; train: which rows the counts are taken from.
 
     Returns doc_id, train, n_tokens, n_known, train_tokens, base_score (unigram), score (context trees).
-    plain_scan: as in language_model_scores. A chunk's rows may come in any order; its words and keys are sorted, so asking and
-    scoring agree on their places. Key probabilities travel as 32-bit floats.
+    plain_scan: docs is read from files without a shuffle, so that a row is in the same chunk whenever it is read; other
+    inputs are written first. (A row that had moved would miss a key in its chunk and fail the job.)
+    Key probabilities travel as 32-bit floats.
     """
-    rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train")).withColumn("chunk", _chunk(DOCS_PER_CHUNK))
+    rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
     if not plain_scan:
         rows = written(rows, "lm-documents")
-    buckets = max(61, 2 * rows.select("chunk").distinct().count() + 1)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk, known, seen = None, Counter(), set()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def add_up() -> None:
-            held[:] = [_counted(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))]
-
-        def flush() -> Iterator[pd.DataFrame]:
-            if chunk is None:
-                return
-            add_up()
-            keys, n = held[0]
-            words = sorted(seen.union(known))
-            uses = np.fromiter((known[w] for w in words), np.int64, len(words))
-            (key_order, key_at), (word_order, word_at) = _deal(keys, buckets), _deal_words(words, buckets)
-            for b in range(buckets):
-                k, w = key_order[key_at[b]:key_at[b + 1]], word_order[word_at[b]:word_at[b + 1]]
-                if len(k) or len(w):
-                    yield pd.DataFrame({"chunk": [chunk], "bucket": b, "keys": [_pack(keys[k], True)], "n": [_pack(n[k])], "words": [zlib.compress(b" ".join([words[i] for i in w]), 1)], "n_words": len(w), "uses": [_pack(uses[w])]})
-
-        for pdf in batches:
-            for c, part in pdf.groupby("chunk", sort=True):
-                if c != chunk:
-                    yield from flush()
-                    chunk, known, seen, held = c, Counter(), set(), []
-                for learn, texts in part.groupby("train")["text"]:
-                    for _, block in _blocks(texts.tolist()):
-                        for words in block:
-                            (known if learn else seen).update(words)
-                        (known if learn else seen).update([END] * len(block))
-                        keys, n = np.unique(stream_keys(block)[0], return_counts=True)
-                        held.append((keys, n if learn else np.zeros(len(keys), np.int64)))
-                        if len(held) > 1 and sum(len(k) for k, _ in held) > HELD_KEYS:
-                            add_up()
-        yield from flush()
-
-    schema = "chunk long, bucket long, keys binary, n binary, words binary, n_words long, uses binary"
-    asked = written(rows.mapInPandas(count, schema), "asked")
+    size, learnt = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
+    buckets = max(61, 2 * (size // chunk_bytes) + 1)
+    asked = written(_counts_of_chunks(rows, buckets, chunk_bytes), "asked")
 
     def add(found: pd.DataFrame) -> pd.DataFrame:
-        keys, n = np.empty(0, np.int64), np.empty(0)
-        held, size = [], 0
+        keys, n, held, more = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
         for k, c in zip(found["keys"], found["n"]):
             held.append((_unpack(k, True), _unpack(c)))
-            size += len(held[-1][0])
-            if size > HELD_KEYS:
-                keys, n = _counted(np.concatenate([keys, *[k for k, _ in held]]), np.concatenate([n, *[c for _, c in held]]))
-                held, size = [], 0
-        keys, n = _counted(np.concatenate([keys, *[k for k, _ in held]]), np.concatenate([n, *[c for _, c in held]]))
-        return pd.DataFrame({"key": keys, "n": n.astype(np.int64)})
-
-    counts = written(asked.select("bucket", "keys", "n").groupBy("bucket").applyInPandas(add, "key long, n long"), "pair-counts")
-    scored = train_pairs(counts).withColumn("bucket", F.pmod("key", F.lit(buckets)))
-
-    def answer(found: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(table["key"].to_numpy())
-        known, logp = table["key"].to_numpy()[order], table["logp"].to_numpy()[order].astype(np.float32)
+            more += len(held[-1][0])
+            if more > HELD_KEYS:
+                keys, n = _counted([keys, *[k for k, _ in held]], [n, *[c for _, c in held]])
+                held, more = [], 0
+        keys, n = _counted([keys, *[k for k, _ in held]], [n, *[c for _, c in held]])
+        parts = Subtrees(keys, n).roots() if len(keys) else [np.empty(0)] * 4
+        return pd.DataFrame([(found["bucket"].iloc[0], _pack(keys, True), _pack(n), *[p.tobytes() for p in parts])], columns=["bucket", "keys", "n", "node", "weighted", "zeros", "ones"])
+
+    summed = asked.select("bucket", "keys", "n").groupBy("bucket").applyInPandas(add, "bucket long, keys binary, n binary, node binary, weighted binary, zeros binary, ones binary")
+    summed = written(summed, "subtrees")
+
+    def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                yield pd.DataFrame({c: np.frombuffer(getattr(row, c), np.float64 if c == "weighted" else np.int64) for c in ("node", "weighted", "zeros", "ones")})
+
+    high = summed.select("node", "weighted", "zeros", "ones").mapInPandas(nodes, "node long, weighted double, zeros long, ones long")
+    high = high.groupBy("node").agg(F.sum("weighted").alias("weighted"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    high = high.toPandas()  # at most one row for each pair of bytes and decision
+    top = docs.sparkSession.sparkContext.broadcast(Top(*(high[c].to_numpy(np.float64 if c == "weighted" else np.int64) for c in ("node", "weighted", "zeros", "ones"))))
+
+    def answer(found: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        known, logp = np.empty(0, np.int64), np.empty(0, np.float32)
+        if len(sums) and len(n := _unpack(sums["n"].iloc[0])):
+            known = _unpack(sums["keys"].iloc[0], True)
+            logp = Subtrees(known, n).log10_probabilities(top.value).astype(np.float32)
         uses: Counter = Counter()
         for words, size, n in zip(found["words"], found["n_words"], found["uses"]):
             if size:
-                for w, c in zip(zlib.decompress(words).split(b" "), _unpack(n).tolist()):
+                for w, c in zip(zstandard.decompress(words).split(b" "), _unpack(n).tolist()):
                     uses[w] += c
         total, distinct = sum(uses.values()), sum(c > 0 for c in uses.values())
         out = []
         for chunk, bucket, keys, words, size in zip(found["chunk"], found["bucket"], found["keys"], found["words"], found["n_words"]):
-            each = [uses[w] for w in zlib.decompress(words).split(b" ")] if size else []
+            each = list(map(uses.__getitem__, zstandard.decompress(words).split(b" "))) if size else []
             out.append((chunk, bucket, logp[np.searchsorted(known, _unpack(keys, True))].tobytes(), _pack(np.array(each, np.int64)), total, distinct))
         return pd.DataFrame(out, columns=["chunk", "bucket", "logp", "uses", "total", "distinct"])
 
-    packed = asked.select("chunk", "bucket", "keys", "words", "n_words", "uses").groupBy("bucket").cogroup(scored.groupBy("bucket"))
+    packed = asked.select("chunk", "bucket", "keys", "words", "n_words", "uses").groupBy("bucket").cogroup(summed.select("bucket", "keys", "n").groupBy("bucket"))
     answers = written(packed.applyInPandas(answer, "chunk long, bucket long, logp binary, uses binary, total long, distinct long"), "answers")
     each = answers.groupBy("bucket").agg(F.max("total").alias("t"), F.max("distinct").alias("d"))
     total, distinct = each.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("d"), F.lit(0))).first()
-
-    def score(part: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        texts = part["text"].tolist()
-        held, places, words = [np.empty(0, np.int64)], [], {END}
-        for _, block in _blocks(texts):
-            words.update(*block)
-            at, starts = stream_keys(block)
-            uniq, where = np.unique(at, return_inverse=True)
-            held.append(uniq)
-            places.append((uniq, where.astype(np.int32), starts))
-        keys, names = np.unique(np.concatenate(held)), sorted(words)
-        table = table.sort_values("bucket")
-        logp = np.empty(len(keys))
-        logp[_deal(keys, buckets)[0]] = np.frombuffer(b"".join(table["logp"]), np.float32)
-        n = np.empty(len(names))
-        n[_deal_words(names, buckets)[0]] = np.concatenate([_unpack(u) for u in table["uses"]])
-        base = np.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))
-        index = dict(zip(names, range(len(names))))
-        ids, learn, out = part["doc_id"].astype("Int64").tolist(), part["train"].tolist(), []
-        for (first, block), (uniq, where, starts) in zip(_blocks(texts), places):
-            sums = np.add.reduceat(logp[np.searchsorted(keys, uniq)][where], starts)
-            for i, tokens in enumerate(block):
-                at = np.fromiter(map(index.__getitem__, [*tokens, END]), np.int64, len(tokens) + 1)
-                out.append((ids[first + i], learn[first + i], len(at), int((n[at] > 0).sum()), total, float(base[at].sum()), float(sums[i])))
-        return pd.DataFrame(out, columns=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).astype({"doc_id": "Int64"})
-
+    total, distinct = total + learnt, distinct + (learnt > 0)  # the end marks
+    log_base = lambda c: np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for numbers, batch in _chunk_numbers(batches, chunk_bytes):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], ["doc_id", "text", "train", "chunk"])
+
+    def score(part: pa.Table, table: pa.Table) -> pa.Table:
+        texts = part.column("text").cast(pa.binary()).to_pylist()
+        counts, blocks = Counts(), list(_blocks(texts))
+        for _, block in blocks:
+            counts.add(block.keys())
+        counts.settle()
+        order = np.argsort(table.column("bucket").to_numpy())
+        column = lambda c: [table.column(c)[int(i)].as_py() for i in order]
+        logp = np.empty(len(counts.keys))
+        logp[_deal(counts.keys >> 32, buckets)[0]] = np.frombuffer(b"".join(column("logp")), np.float32)
+        hashes, names, plain, _ = _word_numbers([b for _, b in blocks])
+        c = np.empty(len(names), np.int64)
+        c[_deal(plain, buckets)[0]] = np.concatenate([np.empty(0, np.int64), *map(_unpack, column("uses"))])
+        base, keys, words = log_base(c), pd.Index(counts.keys), pd.Index(names)
+        out: list[list] = [[], [], [], []]
+        for (_, block), h in zip(blocks, hashes):
+            at, w = block.starts, block.words()[4]
+            sums = np.concatenate([[0.0], np.cumsum(logp[keys.get_indexer(block.keys())])])
+            word = words.get_indexer(h)
+            known, bases = (np.concatenate([[0], np.cumsum(x)]) for x in (c[word] > 0, base[word]))
+            out[0].append(np.diff(w) + 1)
+            out[1].append(np.diff(known[w]) + (learnt > 0))
+            out[2].append(np.diff(bases[w]) + log_base(learnt))
+            out[3].append(np.diff(sums[at]))
+        columns = [np.concatenate(o) for o in out]
+        columns.insert(2, np.full(len(texts), total, np.int64))
+        return pa.table([part.column("doc_id"), part.column("train"), *columns], ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "train").mapInArrow(number, "doc_id long, text string, train boolean, chunk long")
     answers = answers.select("chunk", "bucket", "logp", "uses")
     schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, schema)
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)

@@ -63,84 +63,77 @@ class Tree:
         return out
 
 
-def steps(word, state=0):
-    data = bytes([state]) + b" " + (word if word == ct.END else word + b" ")
-    return [(tuple([*reversed(data[:i]), *[0] * ct.DEPTH][: ct.DEPTH]), data[i]) for i in range(2, len(data))]
+def stream(text):
+    data = b"".join(w + b" " for w in ct._words(text)) + ct.END
+    return [(tuple([*reversed(data[:i]), *[0] * ct.DEPTH][: ct.DEPTH]), data[i]) for i in range(len(data))]
 
 
-def with_states(text):
-    state = 0
-    for w in ct._words(text) + [ct.END]:
-        yield w, state
-        state = next((b for b in reversed(w) if b > 127), state)
+def key(context, byte):
+    """The nearest byte of context highest, the byte lowest."""
+    return sum(c << (8 * (ct.DEPTH - i)) for i, c in enumerate(context)) | byte
 
 
-def test_scores_equal_plain_context_trees(spark, monkeypatch):
-    monkeypatch.setattr(ct, "DOCS_PER_CHUNK", 7)
-    monkeypatch.setattr(ct, "UNITS_AT_ONCE", 5)
-    rng = random.Random(6)
-    bits = ["Th", "en", "ab", "é", "ing", "X"]
-    rows = [(i, rng.choice([" ", "\n", " \t"]).join("".join(rng.choice(bits) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(12))), None, None, None) for i in range(40)]
-    rows += [(100, None, None, None, None), (101, "", None, None, None), (102, "z" * 3000, None, None, None), (3, "ab ab", None, None, None), (None, "ab", None, None, None)]
-    df = spark.createDataFrame(rows, DOCS)
-    got = ct.language_model_scores(df, F.col("doc_id") % 5 != 1).collect()
-    assert len(got) == len(rows)
-    counts, pairs = Counter(), Counter()
-    for doc_id, text, *_ in rows:
-        if doc_id is not None and doc_id % 5 != 1:
-            counts.update(ct._words(text) + [ct.END])
-            for w, state in with_states(text):
-                pairs.update(steps(w, state))
-    tree = Tree(pairs)
-    total, distinct = sum(counts.values()), len(counts)
-    word = {}
-    want = []
-    for doc_id, text, *_ in rows:
-        tokens = list(with_states(text))
-        for w in tokens:
-            if w not in word:
-                word[w] = sum(tree.logp(*s) for s in steps(*w))
-        base = sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w, _ in tokens)
-        want.append((str(doc_id), len(tokens), sum(counts[w] > 0 for w, _ in tokens), total, round(base, 6), round(sum(word[w] for w in tokens), 6)))
-    mine = [(str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got]
-    for a, b in zip(sorted(mine), sorted(want)):
-        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=2e-5)
+ODD = ["", None, "A b", "é\tÉ  x", "\0\0a \0", "漢字 z" * 30, "w " * 50, "x" * 3000, "\n\n", "a\x1cb\x0bc"]
+
+
+def test_blocks_give_every_key_and_word():
+    texts = [t.encode() if t is not None else None for t in ODD]
+    block = ct.Block(texts)
+    assert block.keys().tolist() == [key(*s) for t in ODD for s in stream(t)]
+    assert np.diff(block.starts).tolist() == [len(stream(t)) for t in ODD]
+    h, other, starts, stops, at = block.words()
+    words = [w for t in ODD for w in ct._words(t)]
+    assert [block.data[s:e] for s, e in zip(starts, stops)] == words
+    assert np.diff(at).tolist() == [len(ct._words(t)) for t in ODD]
+    assert len(set(zip(h, other, words))) == len(set(h)) == len(set(words))
+    parts = [b for _, b in ct._blocks(texts)]
+    hashes, names, plain, found = ct._word_numbers(parts)
+    assert sorted(found) == sorted(set(words)) and (np.diff(names) > 0).all() and (plain == names).all()
+
+
+def test_words_that_share_a_hash_are_told_apart(monkeypatch):
+    """With a first seed that puts words of one length together, the next seed is taken."""
+    real = ct.Block.words
+
+    def weak(self, seed=0):
+        h, other, starts, stops, texts = real(self, seed)
+        return (stops - starts if seed == 0 else h), other, starts, stops, texts
+
+    monkeypatch.setattr(ct.Block, "words", weak)
+    block = ct.Block([b"ab cd e fgh ab"])
+    _, names, plain, words = ct._word_numbers([block])
+    assert sorted(words) == [b"ab", b"cd", b"e", b"fgh"] and len(set(names)) == 4
 
 
-def test_probabilities_sum_to_one(spark):
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        x = np.unique(rng.integers(-2**62, 2**62, n))
+        assert (ct._unpack(ct._pack(x, True), True) == x).all() and (ct._unpack(ct._pack(x)) == x).all()
+
+
+def test_probabilities_sum_to_one():
     rng = random.Random(1)
     seen = Counter()
     for _ in range(300):
-        for context, byte in steps(bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 6)))):
-            seen[sum(c << (8 * i) for i, c in enumerate(context)) << 8 | byte] += 1
-    context = next(iter(seen)) >> 8
-    rows = dict.fromkeys([context << 8 | b for b in range(256)], 0) | seen
-    out = ct.train_pairs(spark.createDataFrame(list(rows.items()), "key long, n long")).where(F.shiftright("key", 8) == context).toPandas()
-    assert len(out) == 256 and (10 ** out["logp"]).sum() == pytest.approx(1.0, abs=1e-9)
+        for s in stream(" ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(3))):
+            seen[key(*s)] += 1
+    for context in list(seen)[:5]:
+        rows = sorted((dict.fromkeys([context >> 8 << 8 | b for b in range(256)], 0) | seen).items())
+        keys, n = (np.array(c, np.int64) for c in zip(*rows))
+        out = ct.log10_probabilities(keys, n)
+        assert (10 ** out[keys >> 8 == context >> 8]).sum() == pytest.approx(1.0, abs=1e-9)
 
 
-def test_nothing_to_learn_or_score(spark):
-    df = spark.createDataFrame([(1, "ab", None, None, None)], DOCS)
-    r = ct.language_model_scores(df, F.lit(False)).first()
-    assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (2, 0, 0) and r["score"] == pytest.approx(-4 * 8 * math.log10(2))
-    assert ct.language_model_scores(df.limit(0), F.lit(True)).count() == 0
-
-
-def test_stream_scores_equal_plain_context_trees_across_words(spark, monkeypatch):
-    monkeypatch.setattr(ct, "DOCS_PER_CHUNK", 7)
-    monkeypatch.setattr(ct, "BYTES_AT_ONCE", 50)
-    monkeypatch.setattr(ct, "HELD_KEYS", 60)
+@pytest.mark.parametrize("chunk_bytes", [60, 1 << 24])
+def test_stream_scores_equal_plain_context_trees_across_words(spark, chunk_bytes):
     rng = random.Random(6)
     bits = ["Th", "en", "ab", "é", "ing", "X"]
     rows = [(i, rng.choice([" ", "\n", " \t"]).join("".join(rng.choice(bits) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(12))), None, None, None) for i in range(40)]
     rows += [(100, None, None, None, None), (101, "", None, None, None), (102, "z" * 3000, None, None, None), (3, "ab ab", None, None, None), (None, "ab", None, None, None)]
-    got = ct.stream_scores(spark.createDataFrame(rows, DOCS), F.col("doc_id") % 5 != 1).collect()
+    got = ct.stream_scores(spark.createDataFrame(rows, DOCS), F.col("doc_id") % 5 != 1, chunk_bytes=chunk_bytes).collect()
     assert len(got) == len(rows)
 
-    def stream(text):
-        data = b"".join(w + b" " for w in ct._words(text)) + ct.END
-        return [(tuple([*reversed(data[:i]), *[0] * ct.DEPTH][: ct.DEPTH]), data[i]) for i in range(len(data))]
-
     counts, pairs = Counter(), Counter()
     for doc_id, text, *_ in rows:
         if doc_id is not None and doc_id % 5 != 1:
