@@ -93,6 +93,17 @@ def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return buckets, (n / max(1, n.sum())).astype(np.float32)
 
 
+def _packed(buckets: np.ndarray, share: np.ndarray) -> bytes:
+    """Buckets as steps and shares, compressed: about a third of their size on the way to the driver."""
+    return zlib.compress(np.diff(buckets, prepend=0).astype("<i4").tobytes() + share.astype("<f4").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(data)
+    half = len(raw) // 2
+    return np.cumsum(np.frombuffer(raw[:half], "<i4"), dtype=np.int32), np.frombuffer(raw[half:], "<f4")
+
+
 def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 5) -> tuple[np.ndarray, float]:
     """examples: document_features of each. Product of each bucket's vector with the output difference, and the bias."""
     rng = np.random.default_rng(seed)
@@ -134,17 +145,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [document_features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"buckets": [b.astype("<i4").tobytes() for b, _ in found], "share": [s.astype("<f4").tobytes() for _, s in found], "_label": pdf["_label"]})
+            yield pdf.assign(features=[_packed(*document_features(t)) for t in pdf["text"]]).drop(columns="text")
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # 2 * sample rows at most
-    chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id", F.xxhash64("text")).limit(4 * sample)
-    rows = chosen.mapInPandas(features, "buckets binary, share binary, _label int").collect()
+    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # 2 * sample labels at most
+    chosen = chosen.select(F.xxhash64("doc_id", F.lit(4)).alias("place"), F.xxhash64("text").alias("hash"), "_label", "text")
+    chosen = chosen.mapInPandas(features, "place long, hash long, _label int, features binary").orderBy("place", "hash", "_label").limit(4 * sample)
+    rows = [(_unpacked(r["features"]), r["_label"]) for r in chosen.select("features", "_label").toLocalIterator()]
     counts = {r["_label"]: r["count"] for r in marked.groupBy("_label").count().collect()}
     prior = np.log((counts.get(1, 0) + 1.0) / (counts.get(0, 0) + 1.0))
     if rows:
-        weight, bias = train([(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["share"], "<f4")) for r in rows], [r["_label"] for r in rows])
-        ones = sum(r["_label"] for r in rows)
+        weight, bias = train([r[0] for r in rows], [r[1] for r in rows])
+        ones = sum(r[1] for r in rows)
         bias += prior - np.log((ones + 1.0) / (len(rows) - ones + 1.0))
     else:
         weight, bias = np.zeros(BUCKETS, np.float32), prior

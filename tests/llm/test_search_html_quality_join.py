@@ -200,3 +200,9 @@ def test_hashes_do_not_depend_on_place():
     word = "längeres-Wort"
     alone = shingle_join.word_hashes(word)[0]
     assert all(h == alone for h in shingle_join.word_hashes(" ".join([word] * 9000)))
+
+
+def test_features_travel_whole():
+    for text in ("", "a b c", "word " * 40 + "other", "漢字" * 500):
+        for got, want in zip(quality._unpacked(quality._packed(*quality.document_features(text))), quality.document_features(text)):
+            assert (got == want).all() and len(got) == len(want)
