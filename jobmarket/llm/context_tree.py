@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from jobmarket.llm.common import written
 
 DEPTH = 6  # bytes of context
-CHUNK_BYTES = 24 << 20  # of texts; a chunk ends after the document that fills it
-BYTES_AT_ONCE = 4 << 20  # of texts, turned into keys together
-HELD_KEYS = 1 << 23  # of a chunk or bucket, before equal ones are added up
+CHUNK_BYTES = 16 << 20  # of texts; a chunk ends after the document that fills it
+BYTES_AT_ONCE = 1 << 20  # of texts, turned into keys together
+HELD_KEYS = 1 << 22  # of a chunk or bucket, before equal ones are added up
 END = b"\n"  # no word holds it
 LOG10 = float(np.log(10))
 
