@@ -32,6 +32,26 @@ def unescape(c: Column) -> Column:
     return F.coalesce(_unescape_any(rare), plain)
 
 
+MARK = "\x01"  # no HTML text holds it
+
+
+def decoded_items(items: Column) -> Column:
+    """An array of texts with all character references decoded; the array is decoded as one text, since no Python function runs in a lambda."""
+    return F.when(F.size(items) > 0, F.split(unescape(F.array_join(items, MARK)), MARK)).otherwise(items)
+
+
+def decoded_bytes(c: Column, charset: str = "utf-8") -> Column:
+    """Text of raw bytes; what the charset cannot hold is dropped. Valid UTF-8 stays in the JVM; other bytes go through Python."""
+    if charset.lower() not in ("utf-8", "utf8"):
+        return F.pandas_udf(lambda s: s.map(lambda b: bytes(b).decode(charset, "ignore"), na_action="ignore"), T.StringType())(c)
+    return F.coalesce(F.try_validate_utf8(c.cast("string")), _decode_utf8(F.when(F.try_validate_utf8(c.cast("string")).isNull(), c)))
+
+
+@F.pandas_udf(T.StringType())
+def _decode_utf8(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"), na_action="ignore")
+
+
 def contains_any(hay: Column, words: Column | tuple) -> Column:
     """Does the text hold any of the words; fixed words make a plain disjunction, an array column a lambda."""
     if isinstance(words, Column):

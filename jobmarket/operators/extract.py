@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobmarket.functions.text import clean_markup, unescape, visible_text
+from jobmarket.functions.text import clean_markup, decoded_items, visible_text
 from jobmarket.functions.urls import parts
 from jobmarket.operators.score import searchable_text
-from jobmarket.sources.boards import Board, blocked, excluded_location, looks_remote, vacancy_url
+from jobmarket.sources.boards import Board, excluded_location, looks_remote, page_blocked, source_id, vacancy_url
 
 # Patterns in order of preference; the first that gives text wins.
 PATTERNS = {
@@ -24,6 +25,7 @@ PATTERNS = {
         r"(?is)<main[^>]*>(.*?)</main>", r"(?is)<article[^>]*>(.*?)</article>",
     ),
 }
+#: The same holds for these.
 SKILLS = (r'(?is)<[^>]+data-testid="skill"[^>]*>(.*?)</[^>]+>', r'(?is)<[^>]+class="[^"]*(?:skill|tag|badge)[^"]*"[^>]*>(.*?)</[^>]+>')
 JSON_LD = r'(?is)<script[^>]+type="application/ld\+json"[^>]*>(.*?)</script>'
 #: The layout with jobad_* ids.
@@ -35,6 +37,10 @@ JOBAD = {
 SECTION = r'(?is)<h2[^>]*>\s*%s\s*</h2>\s*<div[^>]*class="jobad_txt"[^>]*>(.*?)</div>'
 INTRO = r'(?is)<section>\s*<div[^>]*class="jobad_txt"[^>]*>(.*?)</div>\s*</section>'
 LEGACY_LIST = r'(?is)<div\s+class="%s">\s*<ul>(.*?)</ul>\s*</div>'
+JOBAD_SALARY = (
+    SECTION % "Atlyginimas", r'(?is)<div[^>]*class="data_tag_component_body[^"]*salary_bl_[^"]*"[^>]*>(.*?)</div>', r'(?is)<span[^>]*class="data_tag_component_salary_amount"[^>]*>(.*?)</span>',
+    r'(?is)<div\s+class="salary">\s*(.*?)\s*</div>',
+)
 MAX_SKILL = 60
 
 
@@ -43,24 +49,28 @@ def first_match(html: Column, patterns: Sequence[str]) -> Column:
     return F.coalesce(*[F.nullif(clean_markup(F.regexp_extract(html, p, 1)), F.lit("")) for p in patterns], F.lit(""))
 
 
-def list_items(block: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(block, F.lit(r"(?is)<li>(.*?)</li>"), F.lit(1)), _plain), lambda x: x != "")
+def bare(c: Column) -> Column:
+    """Decoded text without tags; usable inside a lambda."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-def _plain(c: Column) -> Column:
-    """Cleaned text inside a lambda, where no Python function may run: the common references are decoded."""
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"(?U)\s+", " "))
+def list_items(block: Column) -> Column:
+    found = decoded_items(F.regexp_extract_all(block, F.lit(r"(?is)<li>(.*?)</li>"), F.lit(1)))
+    return F.filter(F.transform(found, bare), lambda x: x != "")
 
 
 def section(html: Column, headings: Sequence[str], legacy: str, intro: bool = False) -> Column:
     """List items of the first heading's section that has any, or its whole text as one item; then intro and legacy list."""
     none = F.array().cast("array<string>")
-    one = lambda block: F.when(F.size(list_items(block)) > 0, list_items(block)).when(_plain(block) != "", F.array(_plain(block)))
-    tries = [one(F.regexp_extract(html, SECTION % h, 1)) for h in headings]
+
+    def one(block: Column, items: bool = True) -> Column:
+        whole = clean_markup(block)
+        found = F.when(F.size(list_items(block)) > 0, list_items(block)) if items else F
+        return found.when(whole != "", F.array(whole))
+
+    tries = [one(F.regexp_extract(html, SECTION % re.escape(h), 1)) for h in headings]
     if intro:
-        tries.append(F.when(_plain(F.regexp_extract(html, INTRO, 1)) != "", F.array(_plain(F.regexp_extract(html, INTRO, 1)))))
+        tries.append(one(F.regexp_extract(html, INTRO, 1), items=False))
     old = list_items(F.regexp_extract(html, LEGACY_LIST % legacy, 1))
     return F.coalesce(*tries, F.when(F.size(old) > 0, old), none)
 
@@ -69,7 +79,7 @@ def jobad_fields(html: Column, url: Column, requirement_headings: Sequence[str],
     """Fields of the jobad layout: place splits into location and company, salary has three places, sections become lists."""
     place = first_match(html, JOBAD["place"])
     split = F.split(place, " - ", 2)
-    salary = [SECTION % "Atlyginimas", r'(?is)<div[^>]*class="data_tag_component_body[^"]*salary_bl_[^"]*"[^>]*>(.*?)</div>', r'(?is)<span[^>]*class="data_tag_component_salary_amount"[^>]*>(.*?)</span>', r'(?is)<div\s+class="salary">\s*(.*?)\s*</div>']
+    salary = JOBAD_SALARY
     amount = F.regexp_extract(html, salary[2], 1) != ""
     return {
         "source_id": F.coalesce(F.nullif(F.regexp_extract(html, 'data-source-id="([^"]+)"', 1), F.lit("")), F.nullif(F.regexp_extract(url, r"/(1-\d+)", 1), F.lit("")), path_id(url)),
@@ -88,13 +98,14 @@ def path_id(url: Column) -> Column:
 
 
 def skill_tags(html: Column, most: int | None = MAX_SKILL) -> Column:
-    found = F.array_distinct(F.filter(F.transform(F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in SKILLS]), _plain), lambda x: x != ""))
+    raw = decoded_items(F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in SKILLS]))
+    found = F.array_distinct(F.filter(F.transform(raw, bare), lambda x: x != ""))
     return F.filter(found, lambda x: F.length(x) <= most) if most else found
 
 
 def job_posting(html: Column) -> Column:
     """VARIANT of the first ld+json JobPosting: an object, an item of a list, or an item of @graph."""
-    scripts = F.transform(F.regexp_extract_all(html, F.lit(JSON_LD), F.lit(1)), lambda s: F.try_parse_json(F.replace(F.replace(F.trim(s), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))))
+    scripts = F.transform(decoded_items(F.regexp_extract_all(html, F.lit(JSON_LD), F.lit(1))), lambda s: F.try_parse_json(F.trim(s)))
     is_posting = lambda v: F.try_variant_get(v, "$['@type']", "string") == "JobPosting"
     none = F.array().cast("array<variant>")
     inside = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
@@ -106,7 +117,7 @@ def job_posting(html: Column) -> Column:
 
 def posting_fields(v: Column) -> dict[str, Column]:
     """Company, location and salary text of a JobPosting."""
-    get = lambda x, path: F.coalesce(_plain(F.try_variant_get(x, path, "string")), F.lit(""))
+    get = lambda x, path: F.coalesce(bare(F.try_variant_get(x, path, "string")), F.lit(""))  # noqa: E731  decoded with its script
     places = F.coalesce(F.try_variant_get(v, "$.jobLocation", "array<variant>"), F.array(F.try_variant_get(v, "$.jobLocation", "variant")))
     names = F.flatten(F.transform(F.filter(places, lambda p: p.isNotNull()), lambda p: F.array(*[get(p, f"$.address.{k}") for k in ("addressLocality", "addressRegion", "addressCountry")])))
     low, high, unit, money = (get(v, f"$.baseSalary.{p}") for p in ("value.minValue", "value.maxValue", "value.unitText", "currency"))
@@ -125,17 +136,22 @@ def vacancies(pages: DataFrame, board: Board) -> DataFrame:
     """
     html, url = F.coalesce(F.col("html"), F.lit("")), F.coalesce(F.col("url"), F.lit(""))
     staged = pages.withColumn("_visible", visible_text(html)).withColumn("_posting", posting_struct(html))
-    value = lambda name: F.coalesce(F.nullif(first_match(html, PATTERNS[name]), F.lit("")), F.col(f"_posting.{name}"), F.lit(""))
-    out = staged.withColumns({**{n: value(n) for n in ("title", "company", "location", "salary_text")}, "_description": value("description")})
-    out = out.withColumns({
-        "source_name": F.lit(board.name), "source_id": path_id(url), "source_url": vacancy_url(url), "requirements": skill_tags(html),
-        "responsibilities": F.when(F.col("_description") != "", F.array("_description")).otherwise(F.array().cast("array<string>")),
-    })
-    reason = F.when(blocked(F.col("_visible")), "blocked")
+    if board.layout == "jobad":
+        out = staged.withColumns(jobad_fields(html, url, board.requirement_headings, board.duty_headings))
+    else:
+        patterns = PATTERNS | dict(board.patterns)
+        value = lambda name: F.coalesce(F.nullif(first_match(html, patterns[name]), F.lit("")), F.col(f"_posting.{name}"), F.lit(""))
+        out = staged.withColumns({**{n: value(n) for n in ("title", "company", "location", "salary_text")}, "_description": value("description")})
+        out = out.withColumns({
+            "source_id": source_id(url, html, board), "requirements": skill_tags(html),
+            "responsibilities": F.when(F.col("_description") != "", F.array("_description")).otherwise(F.array().cast("array<string>")),
+        })
+    out = out.withColumns({"source_name": F.lit(board.name), "source_url": vacancy_url(url, board)})
+    reason = F.when(page_blocked(html, F.col("_visible"), board), "blocked")
     if board.remote_only:
-        reason = reason.when(~looks_remote(F.col("title"), F.col("location"), F.col("source_url"), html, board.remote_markers), "not_remote")
+        reason = reason.when(~looks_remote(F.col("title"), F.col("location"), F.col("source_url"), html, board.remote_markers, board.fold_io), "not_remote")
     if board.exclude_locations:
-        reason = reason.when(excluded_location(F.col("location")), "excluded_location")
+        reason = reason.when(excluded_location(F.col("location"), board.excluded_locations), "excluded_location")
     out = out.withColumn("reject_reason", reason.when(F.col("title") == "", "no_title"))
     out = out.withColumn("searchable", searchable_text(*[F.col(c) for c in ("title", "company", "location", "salary_text", "requirements", "responsibilities")]))
     return out.drop("_visible", "_posting", "_description")
@@ -155,8 +171,13 @@ ENRICH_WORDS = ("reikalavimai", "atsakomybės", "darbo pobūdis", "atlyginimas",
 
 def enrichment_text(html: Column) -> Column:
     """The text a model sees: the start, two windows round each keyword, and the end; repeats dropped, 22,000 characters."""
-    text = visible_text(html)
-    low = F.lower(text)
+    both = F.array(F.struct(visible_text(html).alias("text")))
+    both = F.transform(both, lambda x: F.struct(x["text"].alias("text"), F.lower(x["text"]).alias("low")))
+    # Bound to a variable, the text is made once and not once for each window.
+    return F.get(F.transform(both, lambda x: _windows(x["text"], x["low"])), F.lit(0))
+
+
+def _windows(text: Column, low: Column) -> Column:
     chunks = [F.substring(text, 1, 12_000)]
     window = lambda at: F.when(at > 0, F.substring(text, F.greatest(F.lit(1), at - 800), at + 2800 - F.greatest(F.lit(1), at - 800)))
     for word in ENRICH_WORDS:

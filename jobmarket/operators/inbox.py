@@ -7,7 +7,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobmarket.functions.text import STATUSES
+from jobmarket.functions.urls import canonical_url
 from jobmarket.operators.lifecycle import latest, latest_run
+from jobmarket.operators.tracking import reminders
 
 SORTS = ("score", "newest", "title", "company")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,18 +34,42 @@ class InboxQuery:
             raise ValueError(f"sort must be one of {SORTS}")
         if not 0 <= self.min_score <= 100:
             raise ValueError("min_score must be from 0 to 100")
-        if self.label not in (None, "High", "Medium", "Low"):
-            raise ValueError("unknown fit label")
+        for name, known in (("source", None), ("label", ("High", "Medium", "Low")), ("status", STATUSES)):
+            object.__setattr__(self, name, _spelled(getattr(self, name), known))
 
     def merged(self, **overrides: object) -> InboxQuery:
         """These preferences with overrides; a value of None clears a filter."""
         return replace(self, **overrides)
 
+    def with_options(self, clear_filters: bool = False, all_runs: bool = False, **given: object) -> InboxQuery:
+        """These preferences with options given by a caller; None keeps what was set.
+
+        clear_filters drops source, label, status and new_only and goes back to the current run before the other options count;
+        it also wins over a source, label, status or new_only given with it. all_runs wins over current_run.
+        """
+        given = {k: v for k, v in given.items() if v not in (None, "")}
+        if clear_filters:
+            given = {"current_run": True} | {k: v for k, v in given.items() if k not in ("source", "label", "status", "new_only")} | {"source": None, "label": None, "status": None, "new_only": False}
+        if all_runs:
+            given["current_run"] = False
+        return replace(self, **given)
+
     @property
     def only_current(self) -> bool:
         return (not self.new_only) if self.current_run is None else self.current_run
 
 
+def _spelled(value: object, known: tuple[str, ...] | None) -> str | None:
+    """A filter text with white space collapsed and its known spelling; blank is no filter."""
+    text = " ".join(str(value or "").split())
+    if not text:
+        return None
+    for k in known or (text,):
+        if k.lower() == text.lower():
+            return k
+    raise ValueError(f"{text!r} is none of {known}")
+
+
 def ascii_fold(c: Column) -> Column:
     """Case-insensitive order for A-Z only."""
     return F.translate(c, UPPER, LOWER)
@@ -108,3 +135,33 @@ def detail(vacancies: DataFrame, analyses: DataFrame, applications: DataFrame, e
 def recent(vacancies: DataFrame, analyses: DataFrame, applications: DataFrame, runs: DataFrame, n: int = 20) -> DataFrame:
     """Today's list: the first rows of the current run, whatever their score."""
     return inbox(vacancies, analyses, applications, runs, InboxQuery(current_run=True)).limit(n)
+
+
+def today(vacancies: DataFrame, analyses: DataFrame, applications: DataFrame, runs: DataFrame, items: DataFrame, now: Column, n: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Today's list, and the open reminders with their vacancy's title (to show in tracking.reminder_order)."""
+    titles = vacancies.select(F.col("source_url").alias("vacancy_source_url"), F.col("title").alias("vacancy_title"))
+    return recent(vacancies, analyses, applications, runs, n), reminders(items, now).join(titles, "vacancy_source_url", "left")
+
+
+def vacancy_list(vacancies: DataFrame, analyses: DataFrame) -> DataFrame:
+    """All vacancies with their newest analysis (to show in list_order)."""
+    return with_analysis(vacancies, analyses)
+
+
+def list_order() -> list[Column]:
+    return [F.coalesce("score", F.lit(-1)).desc(), F.col("title").asc_nulls_first(), F.col("source_url")]
+
+
+def by_url(vacancies: DataFrame, wanted: DataFrame, url: str = "url") -> DataFrame:
+    """Vacancies stored under the canonical form of the wanted URLs: wanted's columns and the vacancy's (null where there is none)."""
+    asked = wanted.withColumn("_key", canonical_url(F.col(url)))
+    return asked.join(vacancies.withColumn("_key", F.col("source_url")), "_key", "left").drop("_key")
+
+
+def by_source_id(vacancies: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted: source_id, source_name (null: any source). Adds source_url and problem: ambiguous where an id alone names several sources, or unknown."""
+    v = vacancies.select("source_url", F.col("source_id").alias("_id"), F.col("source_name").alias("_name"))
+    hits = wanted.join(v, (F.col("source_id") == F.col("_id")) & (F.col("source_name").isNull() | (F.col("source_name") == F.col("_name"))), "left")
+    found = hits.groupBy("source_id", "source_name").agg(F.min("source_url").alias("_url"), F.count_distinct("_name").alias("_n"), F.array_join(F.sort_array(F.collect_set("_name")), ", ").alias("sources"))
+    problem = F.when(F.col("_n") > 1, "ambiguous").when(F.col("_n") == 0, "unknown")
+    return found.select("source_id", "source_name", F.when(F.col("_n") == 1, F.col("_url")).alias("source_url"), problem.alias("problem"), "sources")

@@ -77,6 +77,13 @@ def run_status(summary: DataFrame) -> DataFrame:
     return totals.withColumn("status", F.when(F.col("failed") == 0, "completed").when(F.col("saved") + F.col("observed") > 0, "partial").otherwise("failed"))
 
 
+def run_totals(summary: DataFrame) -> DataFrame:
+    """Totals of a run over its sources for the daily message: attempted, failed and new (saved) vacancies, and the failed sources."""
+    return summary.groupBy("run_id").agg(
+        F.sum("attempted").alias("attempted"), F.sum("failed").alias("failed"), F.sum("saved").alias("new"), F.array_join(F.sort_array(F.collect_set("source_name")), ", ").alias("sources")
+    )
+
+
 def latest_run(runs: DataFrame) -> DataFrame:
     """The completed or partial run that finished last."""
     return runs.where(F.col("status").isin("completed", "partial")).orderBy(F.col("finished_at").desc_nulls_last(), F.col("id").desc()).limit(1)
@@ -149,6 +156,17 @@ def prune_candidates(vacancies: DataFrame, analyses: DataFrame, applications: Da
     return free.join(scores, "source_url").where(F.col("score") < threshold).select("source_url", "score")
 
 
+def prune_count(pruned: DataFrame) -> DataFrame:
+    """How many vacancies a prune removes."""
+    return pruned.agg(F.count_distinct("source_url").alias("removed"))
+
+
+def rewritten_keys(child: DataFrame, stored: DataFrame, key: str = "vacancy_source_url") -> DataFrame:
+    """A child table after an identity merge: keys of merged vacancies become their canonical URL, others stay."""
+    moved = aliases(stored).where("original <> canonical").select(F.col("original").alias("_old"), F.col("canonical").alias("_new"))
+    return child.join(moved, F.col(key) == F.col("_old"), "left").withColumn(key, F.coalesce("_new", key)).drop("_old", "_new")
+
+
 def without_pruned(tables: dict[str, DataFrame], pruned: DataFrame, keys: dict[str, str]) -> dict[str, DataFrame]:
     """Every table without the rows of pruned URLs; keys: the URL column of each table."""
     return {name: df.join(pruned.select(F.col("source_url").alias(keys[name])), keys[name], "left_anti") for name, df in tables.items()}

@@ -30,21 +30,21 @@ REPORT_FIELDS = (
 def year_requirements(body: Column) -> Column:
     """Array of years asked of a candidate: each number of years, if the window around it speaks of candidates and not of the company."""
     whole = F.regexp_extract_all(body, F.lit(YEARS), F.lit(0))
-    first, second = (F.regexp_extract_all(body, F.lit(YEARS), F.lit(i)) for i in (1, 2))
-    between = F.split(body, YEARS, -1)
-    total = lambda arr, n: F.aggregate(F.slice(arr, 1, n), F.lit(0), lambda s, x: s + F.length(x))
+    # What stands between the matches gives their places; both are short, only the body itself is read twice.
+    pieces = F.zip_with(F.slice(F.transform(F.split(body, YEARS, -1), F.length), 1, F.size(whole)), whole, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
     number = lambda x: x.try_cast("decimal(38,0)")
 
-    def one(m: Column, i: Column) -> Column:
-        start = total(between, i + 1) + total(whole, i)
+    def one(state: Column, p: Column) -> Column:
+        start, m = state["at"] + p["gap"], p["m"]
         low = F.greatest(F.lit(0), start - 120)
         window = F.substring(body, low + 1, start + F.length(m) + 160 - low)
         company_only = window.rlike(COMPANY) & ~window.rlike(ASKING)
-        years = F.greatest(number(F.get(first, i)), number(F.get(second, i)))
-        return F.when(~company_only & window.rlike(CANDIDATE), years)
+        years = F.greatest(number(F.regexp_extract(m, YEARS, 1)), number(F.regexp_extract(m, YEARS, 2)))
+        asked = F.when(~company_only & window.rlike(CANDIDATE), years)
+        return F.struct((start + F.length(m)).alias("at"), F.when(asked.isNotNull(), F.concat(state["years"], F.array(asked))).otherwise(state["years"]).alias("years"))
 
-    found = F.filter(F.transform(whole, one), lambda y: y.isNotNull())
-    return F.when(body.rlike(YEARS), found)  # most bodies name no years
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<decimal(38,0)>").alias("years"))
+    return F.when(F.size(whole) > 0, F.aggregate(pieces, begin, one, lambda s: s["years"]))  # most bodies name no years
 
 
 def title_and_url(title: Column, url: Column) -> Column:
@@ -78,7 +78,7 @@ def refine(rows: DataFrame, vacancies: DataFrame) -> DataFrame:
     reasons = F.filter(F.array(F.when(F.col("language_risk") != "OK", F.col("language_risk")), F.when(F.col("_senior.blocked"), F.col("_senior.risk"))), lambda x: x.isNotNull())
     note = F.col("_senior.note")
     out = out.withColumns({
-        "seniority_risk": F.col("_senior.risk"), "blocked": F.size(reasons) > 0, "block_reason": F.when(F.size(reasons) > 0, F.array_join(reasons, "; ")).otherwise("OK"),
+        "seniority_risk": F.col("_senior.risk"), "seniority_blocked": F.col("_senior.blocked"), "language_blocked": F.col("language_risk") != "OK", "blocked": F.size(reasons) > 0, "block_reason": F.when(F.size(reasons) > 0, F.array_join(reasons, "; ")).otherwise("OK"),
         "why": F.when((note != "") & ~F.contains(text("why"), note), F.regexp_replace(F.concat(text("why"), F.lit("; "), note), "^[; ]+|[; ]+$", "")).otherwise(F.col("why")),
     })
     out = out.withColumn("rank_score", F.when(F.col("blocked"), F.least(F.lit(29), F.col("fit_score"))).otherwise(F.col("fit_score")))
@@ -104,5 +104,23 @@ def headline(refined: DataFrame) -> DataFrame:
     )
 
 
+def source_counts(refined: DataFrame) -> DataFrame:
+    """Rows by source, the most first."""
+    return refined.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "source")
+
+
+#: Rows of the ranking and of each exclusion list in the two reports.
+CUTS = {"html": (300, 160, 160), "markdown": (220, 140, 140)}
+
+
+def excluded(refined: DataFrame, why: str, n: int) -> DataFrame:
+    """The first n rows excluded by seniority or by language, best fit first, with their rank."""
+    if why not in ("seniority", "language"):
+        raise ValueError("why must be seniority or language")
+    order = [F.col("fit_score").desc(), F.lower("title").asc(), F.col("url").asc()]
+    top = refined.where(f"{why}_blocked").orderBy(*order).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # n rows
+
+
 def block_reasons(refined: DataFrame, n: int = 8) -> DataFrame:
     return refined.where("blocked").groupBy("block_reason").count().orderBy(F.col("count").desc(), "block_reason").limit(n)

@@ -60,9 +60,35 @@ def tracked_sections(rows: DataFrame) -> DataFrame:
     ))
 
 
-def write_sections(rows: DataFrame, path: str, order: list[Column]) -> None:
-    """Text files whose parts follow the order."""
+# Fixed text: what stands before the vacancies in a report for a model.
+PROMPT = """## AI Re-analysis Prompt
+
+You are an independent job-search analyst. This Markdown file contains structured vacancy data collected by software. Your task is to re-analyze the vacancies from scratch using the search intent below and each vacancy's Extracted Vacancy Data section.
+
+Search intent: find strong roles around automation, AI automation, AI specialist work, workflow automation, RPA, no-code/low-code, API/system integrations, internal tools, AI agents, and practical AI tooling.
+
+Important rules:
+- Do not trust the existing software score, fit label, matched points, or missing points. Treat them only as a weak hint after your own review.
+- Base your judgment primarily on title, company, location, salary, URL, requirements, responsibilities, and raw text excerpt.
+- Do not require or infer a candidate profile. Evaluate whether each vacancy matches the search intent itself.
+- Every ranked/recommended/rejected vacancy must include the exact Vacancy URL from the report.
+- Prioritize automation, AI automation, AI specialist, workflow automation, RPA, no-code/low-code, integrations, and practical AI tooling roles.
+- Penalize vacancies that are clearly unrelated, too senior/junior, not remote when remote is required, located in excluded countries, or focused on generic QA/dev work without automation/AI relevance.
+- If data is incomplete, say what is missing instead of inventing details.
+
+Return the result in this format:
+1. A ranked table with columns: Rank, Fit 0-100, Priority, Vacancy, Company, Location, Why it fits, Risks, URL.
+2. A shortlist of the top 5 vacancies with concrete next actions.
+3. A reject list for poor-fit vacancies with one-sentence reasons.
+4. Keyword/source recommendations to improve the next search run.
+"""
+
+
+def write_sections(rows: DataFrame, path: str, order: list[Column], header: str = "") -> None:
+    """Text files whose parts follow the order; the header is a file of its own that sorts first."""
     rows.orderBy(*order).select("section").write.mode("overwrite").text(path)
+    if header:
+        rows.sparkSession.createDataFrame([(header,)], "section string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
 
 
 def daily_summary(rows: DataFrame, group: str, n: int = 10) -> DataFrame:
@@ -120,6 +146,17 @@ def chunk_messages(messages: DataFrame, limit: int = CHUNK) -> DataFrame:
     return messages.mapInPandas(run, f"{schema}, part int, chunk string")
 
 
+def excluded_rows(refined: DataFrame, why: str, n: int) -> DataFrame:
+    """An exclusion list with its Markdown table rows."""
+    from jobmarket.functions.text import escape_table_cell
+    from jobmarket.operators.ranking import excluded
+
+    cell = lambda c: escape_table_cell(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    url = F.coalesce(F.col("url"), F.lit(""))
+    parts = [cell("rank"), cell("fit_score"), cell(f"{why}_risk"), cell("source"), F.concat(F.lit("["), cell("title"), F.lit("]("), url, F.lit(")")), cell("company"), cell("location"), F.concat(F.lit("[open]("), url, F.lit(")"))]
+    return excluded(refined, why, n).withColumn("markdown_row", F.concat(F.lit("| "), F.concat_ws(" | ", *parts), F.lit(" |")))
+
+
 def ranking_rows(refined: DataFrame, n: int = 300) -> DataFrame:
     """The first n rows of a ranking with their rank and their HTML and Markdown table rows."""
     from jobmarket.functions.text import escape_table_cell

@@ -247,5 +247,13 @@ def overlay(rules: DataFrame, responses: DataFrame, key: list[str]) -> DataFrame
 
 def requests(vacancies: DataFrame, profiles: DataFrame) -> DataFrame:
     """One JSON request for each vacancy and profile."""
+    if profiles.limit(MAX_PROFILES + 1).count() > MAX_PROFILES:
+        raise ValueError("ask for profiles in sets of at most MAX_PROFILES")
     v = F.struct(*[c for c in vacancies.columns if c not in ("searchable", "raw_text")])
     return vacancies.select("source_url", v.alias("vacancy")).crossJoin(F.broadcast(profiles.select("profile_id", F.struct(*profiles.columns).alias("profile")))).select("source_url", "profile_id", F.to_json(F.struct("vacancy", "profile")).alias("payload"))
+
+
+def extraction_requests(vacancies: DataFrame, text: Column) -> DataFrame:
+    """One JSON request for each vacancy: the fields that the parser found, and the text to read the missing ones from."""
+    fields = F.struct(F.col("source_name").alias("source"), "title", "company", "location", "salary_text", "requirements", "responsibilities")
+    return vacancies.select("source_url", F.to_json(F.struct(fields.alias("current_fields"), text.alias("vacancy_text"))).alias("payload"))

@@ -1,8 +1,4 @@
-"""Application status commands and action items, folded in order of their ids.
-
-A command list belongs to one application and is as short as a person's clicks, so it is folded as one array per
-application; commands of different applications never meet in a task.
-"""
+"""Application status commands and action items, folded in order of their ids."""
 
 from __future__ import annotations
 
@@ -36,14 +32,29 @@ def verdict(state: Column, command: Column) -> Column:
     )
 
 
+FOLD = 500  # commands that are folded together
+
+
 def apply_commands(applications: DataFrame, commands: DataFrame) -> DataFrame:
     """Every command with the status before it and its verdict. Refused commands do not move the status.
 
     applications: vacancy_source_url, status. commands: id, vacancy_source_url, new_status, kind, reason.
+
+    An application's commands are cut into runs of FOLD in order of their ids. A run maps each possible status before it to one after
+    it; composing the maps of the runs before gives the status each run starts from, and then all runs are folded apart from
+    each other. So an application with very many commands is spread over tasks, and no list grows beyond a run.
     """
-    rest = [c for c in commands.columns if c not in ("id", "vacancy_source_url")]
-    listed = commands.groupBy("vacancy_source_url").agg(F.array_sort(F.collect_list(F.struct("id", *rest))).alias("_c"))
-    joined = listed.join(applications.select("vacancy_source_url", F.col("status").alias("_status")), "vacancy_source_url", "left")
+    key = "vacancy_source_url"
+    rest = [c for c in commands.columns if c not in ("id", key)]
+    place = F.row_number().over(Window.partitionBy(key).orderBy("id"))
+    runs = commands.withColumn("_run", F.floor((place - 1) / FOLD)).groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct("id", *rest))).alias("_c"))
+    states = F.array(*map(F.lit, TRANSITIONS))
+    after = lambda s, c: F.when(verdict(s, c) == "accepted", c["new_status"]).otherwise(s)
+    maps = runs.withColumn("_map", F.transform(states, lambda s: F.aggregate("_c", s, after)))
+    before = F.collect_list("_map").over(Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))  # six texts for each FOLD commands
+    joined = maps.withColumn("_before", before).drop("_map").join(applications.select(key, F.col("status").alias("_status")), key, "left")
+    through = lambda s, m: F.coalesce(F.try_element_at(m, F.array_position(states, s).cast("int")), s)
+    joined = joined.withColumn("_start", F.when(F.col("_status").isNotNull(), F.aggregate("_before", F.col("_status"), through)))
 
     def step(s: Column, c: Column) -> Column:
         v = verdict(s["now"], c)
@@ -51,9 +62,9 @@ def apply_commands(applications: DataFrame, commands: DataFrame) -> DataFrame:
         return F.struct(F.when(v == "accepted", c["new_status"]).otherwise(s["now"]).alias("now"), F.concat(s["out"], F.array(row)).alias("out"))
 
     kind = f"array<struct<command:{commands.select(F.struct('id', *rest).alias('x')).schema['x'].dataType.simpleString()},previous_status:string,verdict:string>>"
-    start = F.struct(F.col("_status").alias("now"), F.array().cast(kind).alias("out"))
+    start = F.struct(F.col("_start").alias("now"), F.array().cast(kind).alias("out"))
     out = joined.withColumn("_o", F.explode(F.aggregate("_c", start, step, lambda s: s["out"])))
-    return out.select("vacancy_source_url", *[F.col(f"_o.command.{c}").alias(c) for c in ("id", *rest)], "_o.previous_status", "_o.verdict")
+    return out.select(key, *[F.col(f"_o.command.{c}").alias(c) for c in ("id", *rest)], "_o.previous_status", "_o.verdict")
 
 
 def accepted_events(folded: DataFrame) -> DataFrame:
@@ -66,6 +77,23 @@ def final_status(applications: DataFrame, folded: DataFrame) -> DataFrame:
     return applications.join(moved, "vacancy_source_url", "left").withColumn("status", F.coalesce("_new", "status")).drop("_new")
 
 
+def save_records(applications: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Save whole records (vacancy_source_url, analysis_id, status, notes): applications, events, refused records.
+
+    A new record is an event without a previous status, a changed status an event that the graph must allow; a refused record
+    leaves its application as it was.
+    """
+    new = records.select("vacancy_source_url", *[F.col(c).alias(f"_{c}") for c in ("analysis_id", "status", "notes")])
+    joined = applications.join(new, "vacancy_source_url", "full").withColumn("_saves", F.col("_status").isNotNull())
+    moved = F.col("_saves") & F.col("status").isNotNull() & (F.col("status") != F.col("_status"))
+    joined = joined.withColumn("_refused", F.coalesce(moved & ~allowed(F.col("status"), F.col("_status")), F.lit(False)))
+    take = F.col("_saves") & ~F.col("_refused")
+    out = joined.where(F.col("status").isNotNull() | take).select("vacancy_source_url", *[F.when(take, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("analysis_id", "status", "notes")])
+    changed = joined.where(take & (F.col("status").isNull() | (F.col("status") != F.col("_status"))))
+    events = changed.select("vacancy_source_url", F.col("status").alias("previous_status"), F.col("_status").alias("new_status"), F.lit("system").alias("origin"), F.lit("normal").alias("kind"), F.col("_notes").alias("note"), F.lit("").alias("reason"))
+    return out, events, joined.where("_refused").select("vacancy_source_url", F.col("status").alias("previous_status"), F.col("_status").alias("new_status"))
+
+
 def broken_history(events: DataFrame) -> DataFrame:
     """Events whose previous status is not the new status of the event before."""
     w = Window.partitionBy("vacancy_source_url").orderBy("id")
@@ -91,7 +119,7 @@ def apply_actions(vacancies: DataFrame, commands: DataFrame) -> DataFrame:
     good = c.where("op <> 'create' or (_parent and title is not null)")
     listed = good.groupBy("action_id").agg(F.array_sort(F.collect_list(F.struct("id", "vacancy_source_url", "op", "title", "due_at", "at"))).alias("_c"))
     empty = F.struct(
-        F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("timestamp").alias("due_at"), F.lit(None).cast("timestamp").alias("completed_at"),
+        F.lit(None).cast(commands.schema["vacancy_source_url"].dataType).alias("url"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("timestamp").alias("due_at"), F.lit(None).cast("timestamp").alias("completed_at"),
         F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"),
     )
 
@@ -117,6 +145,10 @@ def actions(items: DataFrame, url: str | None = None, completed: bool = True) ->
 
 
 def reminders(items: DataFrame, now: Column, hours: int = 24) -> DataFrame:
-    """Open items due within some hours of now: overdue or due_soon."""
+    """Open items due within some hours of now: overdue or due_soon. Show them in reminder_order."""
     due = items.where(F.col("completed_at").isNull() & F.col("due_at").isNotNull() & (F.col("due_at") <= now + F.expr(f"INTERVAL {hours} HOURS")))
     return due.withColumn("reminder_state", F.when(F.col("due_at") < now, "overdue").otherwise("due_soon"))
+
+
+def reminder_order() -> list[Column]:
+    return [F.col("due_at").asc(), F.col("action_id").asc()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobmarket.functions.text import years
+from jobmarket.functions.text import cefr, decoded_bytes, work_modes, work_modes_from_json, years
 from jobmarket.functions.urls import url_list
 from jobmarket.operators.ranking import REPORT_FIELDS, report_order
 from jobmarket.operators.score import PROFILE
@@ -14,7 +14,7 @@ CV_LIMIT = 24_000
 PROFILE_JSON = (
     "name string, target_roles array<string>, skills array<string>, must_have_skills array<string>, nice_to_have_skills array<string>, preferred_locations array<string>, "
     "additional_keywords array<string>, excluded_keywords array<string>, experience_level string, years_of_experience string, salary_expectation string, max_english_level string, "
-    "work_modes array<struct<mode:string,country:string>>, _corrupt_record string"
+    "work_modes string, _corrupt_record string"
 )
 
 
@@ -26,11 +26,18 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normal_profiles(raw: DataFrame) -> DataFrame:
-    """Missing lists are empty, the name and level have defaults, years are normalised."""
+    """Missing lists are empty, the name and level have defaults; years, the English level and work modes (JSON text or structs) are normalised."""
+    modes = work_modes_from_json if raw.schema["work_modes"].dataType.simpleString() == "string" else work_modes
     none = F.array().cast("array<string>")
     lists = [f.name for f in PROFILE.fields if f.name not in ("profile_id", "years_of_experience", "max_english_level", "work_modes")]
     out = raw.withColumns({c: F.coalesce(F.col(c), none) for c in lists})
-    return out.select("profile_id", *lists, years(F.col("years_of_experience")).alias("years_of_experience"), "max_english_level", "work_modes", F.coalesce("name", F.lit("Candidate")).alias("name"), F.coalesce("experience_level", F.lit("Mid")).alias("experience_level"))
+    return out.select("profile_id", *lists, years(F.col("years_of_experience")).alias("years_of_experience"), cefr(F.col("max_english_level")).alias("max_english_level"), modes(F.col("work_modes")).alias("work_modes"), F.coalesce("name", F.lit("Candidate")).alias("name"), F.coalesce("experience_level", F.lit("Mid")).alias("experience_level"))
+
+
+def read_pages(spark: SparkSession, path: str, charset: str = "utf-8") -> DataFrame:
+    """file, html: raw page files decoded by the charset that the server named; bytes that it cannot hold are left out."""
+    raw = spark.read.format("binaryFile").load(path)
+    return raw.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), decoded_bytes(F.col("content"), charset).alias("html"))
 
 
 def read_url_lists(spark: SparkSession, path: str) -> DataFrame:
@@ -61,10 +68,44 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(refined: DataFrame, path: str) -> None:
-    """The ranking as CSV in the fixed column layout; the rank is global, so the sorted rows are numbered in one task."""
-    ranked = refined.withColumn("rank", F.row_number().over(Window.orderBy(*report_order())))
+    """The ranking as CSV in the fixed column layout."""
+    ranked = with_rank(refined)
     have = [F.col(c).cast("string").alias(c) if c in ranked.columns else F.lit("").alias(c) for c in REPORT_FIELDS]
-    ranked.select(*have).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    ranked.orderBy("rank").select(*have).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def with_rank(refined: DataFrame) -> DataFrame:
+    """Add the 1-based rank in report order: a row's place within its rank score, after all rows of better scores.
+
+    blocked and rank_score lead the order and have some two hundred values: their counts give each value's first rank, so no task
+    numbers the whole table.
+    """
+    lead = ("blocked", "rank_score")
+    counts = refined.groupBy(*lead).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(F.col("blocked").asc(), F.col("rank_score").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*[F.col(c).alias(f"_{c}") for c in lead], F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*lead).orderBy(*report_order()[2:]))
+    numbered = refined.withColumn("_within", within)
+    joined = numbered.join(F.broadcast(starts), F.col("blocked").eqNullSafe(F.col("_blocked")) & F.col("rank_score").eqNullSafe(F.col("_rank_score")))  # a row for each score
+    return joined.withColumn("rank", (F.col("_before") + F.col("_within")).cast("int")).drop("_within", "_before", "_blocked", "_rank_score")
+
+
+def commit_tables(tables: dict[str, DataFrame], path: str) -> int:
+    """Write the next version of several tables that change together. Readers see all of them or none: the commit is a row of versions, written last."""
+    spark = next(iter(tables.values())).sparkSession
+    held = read_commit(spark, path)
+    held |= {name: write_state(df, f"{path}/{name}") for name, df in tables.items()}
+    return write_state(spark.createDataFrame(sorted(held.items()), "name string, version int").coalesce(1), f"{path}/commits")
+
+
+def read_commit(spark: SparkSession, path: str) -> dict[str, int]:
+    return {r["name"]: r["version"] for r in read_state(spark, f"{path}/commits", "name string, version int").collect()}
+
+
+def read_table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """A table as of the newest commit; empty before its first. A version that no commit names is not seen."""
+    version = read_commit(spark, path).get(name)
+    return spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(f"{path}/{name}/version={version}")
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:

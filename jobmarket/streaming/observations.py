@@ -18,23 +18,53 @@ def seen_times(observations: DataFrame) -> DataFrame:
     return observations.groupBy(canonical_url(F.col("url")).alias("source_url")).agg(F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at"), F.count("*").alias("n"))
 
 
+BUCKETS = 64  # of the state, by a hash of the URL
+
+
 def merge_batches(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps first/last sightings as versions under path: one folder for each batch id.
+    """A foreachBatch function that keeps first/last sightings under path, in buckets by a hash of the URL.
 
-    A version holds the whole state after its batch. A batch that is run again reads the version before it and writes
-    its own once more, so a retry changes nothing.
+    A batch reads and rewrites the buckets that it touches, each as path/batch=<id>/bucket=<n> with the bucket's whole state; a bucket's
+    newest batch counts. A batch that is run again reads what was before it and writes its own once more, so a retry changes nothing.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        new = seen_times(batch)
-        if batch_id:
-            old = batch.sparkSession.read.parquet(f"{path}/version={batch_id - 1}")
-            new = old.unionByName(new).groupBy("source_url").agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.sum("n").alias("n"))
-        new.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        spark = batch.sparkSession
+        new = seen_times(batch).withColumn("bucket", F.pmod(F.xxhash64("source_url"), F.lit(BUCKETS)).cast("int"))
+        folders = _newest(spark, path, before=batch_id)
+        touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}  # BUCKETS at most
+        old = [f for bucket, f in folders.items() if bucket in touched]
+        if old:
+            held = spark.read.option("basePath", path).parquet(*old).select(*new.columns)
+            new = held.unionByName(new).groupBy("source_url", "bucket").agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.sum("n").alias("n"))
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
 
     return merge
 
 
+def _newest(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
+    """The folder of each bucket's newest complete batch."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    number = lambda p: int(str(p.getName()).partition("=")[2])
+    done = sorted(number(s.getPath().getParent()) for s in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")) or [])
+    out: dict[int, str] = {}
+    for batch in done:
+        if before is None or batch < before:
+            for s in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch}/bucket=*")) or []:
+                out[number(s.getPath())] = f"{path}/batch={batch}/{s.getPath().getName()}"
+    return out
+
+
+def read_sightings(spark: SparkSession, path: str) -> DataFrame:
+    """source_url, first_seen_at, last_seen_at, n after the newest batch."""
+    folders = list(_newest(spark, path).values())
+    if not folders:
+        return spark.createDataFrame([], "source_url string, first_seen_at timestamp, last_seen_at timestamp, n long")
+    return spark.read.option("basePath", path).parquet(*folders).select("source_url", "first_seen_at", "last_seen_at", "n")
+
+
 def write_sightings(observations: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     return observations.writeStream.foreachBatch(merge_batches(path)).option("checkpointLocation", checkpoint)
 

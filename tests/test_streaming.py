@@ -11,12 +11,12 @@ def test_sightings_merge_by_batch(spark, tmp_path):
         spark.createDataFrame([r], "url string, d string").select("url", F.to_timestamp("d").alias("observed_at")).coalesce(1).write.mode("append").parquet(path)
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     stream.write_sightings(source, str(tmp_path / "state"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
-    got = {r["source_url"]: (str(r["first_seen_at"])[:10], str(r["last_seen_at"])[:10], r["n"]) for r in spark.read.parquet(str(tmp_path / "state" / "version=2")).collect()}
+    got = {r["source_url"]: (str(r["first_seen_at"])[:10], str(r["last_seen_at"])[:10], r["n"]) for r in stream.read_sightings(spark, str(tmp_path / "state")).collect()}
     assert got == {"https://x.test/a": ("2024-01-01", "2024-01-02", 2), "https://x.test/b": ("2024-01-05", "2024-01-05", 1)}
     batch = spark.read.parquet(path).limit(1)
     stream.merge_batches(str(tmp_path / "state"))(batch, 2)
     stream.merge_batches(str(tmp_path / "state"))(batch, 2)
-    assert spark.read.parquet(str(tmp_path / "state" / "version=2")).agg(F.sum("n")).first()[0] == 3
+    assert stream.read_sightings(spark, str(tmp_path / "state")).agg(F.sum("n")).first()[0] == 3
 
 
 def test_first_arrivals(spark, tmp_path):
