@@ -14,7 +14,8 @@ from jobmarket.operators import extract, ranking, reports, score
 from jobmarket.plans.registry import _LABEL, _refined, _t, _vacancies, query
 from jobmarket.sources import boards, tables
 
-KEY = F.col("c_custkey")
+def _key() -> Column:
+    return F.col("c_custkey")
 
 
 def _s(c: str) -> Column:
@@ -40,11 +41,11 @@ def _field_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     posting = F.concat(
         F.lit('<script type="application/ld+json">{"@graph": [{"@type": "Thing"}, {"@type": "JobPosting", "title": "LD", "description": "<p>Tasks of '), name, F.lit('</p>", "hiringOrganization": {"name": "'), seg,
         F.lit(' R&amp;D"}, "jobLocation": [{"address": {"addressLocality": "City '), nation, F.lit('", "addressCountry": "LT"}}, {"address": {"addressCountry": "LT"}}], "baseSalary": {"currency": "EUR", "value": {"minValue": '), k,
-        F.lit(', "maxValue": '), (KEY + 10).cast("string"), F.lit(', "unitText": "MONTH"}}}]}</script>'),
+        F.lit(', "maxValue": '), (_key() + 10).cast("string"), F.lit(', "unitText": "MONTH"}}}]}</script>'),
     )
     head = F.concat(F.lit("<h1>Job "), name, F.lit("</h1>"))
     c = _t(spark, sf_dir, "customer")
-    return c.select("c_custkey", F.concat(F.lit("https://b.test/ad/"), k, F.lit("/?x=1#y")).alias("url"), F.concat(head, _pick(KEY, testid, classes, posting, "")).alias("html"))
+    return c.select("c_custkey", F.concat(F.lit("https://b.test/ad/"), k, F.lit("/?x=1#y")).alias("url"), F.concat(head, _pick(_key(), testid, classes, posting, "")).alias("html"))
 
 
 @query("""
@@ -77,11 +78,11 @@ def b12_job_posting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _jobad_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, seg, nation = _s("c_custkey"), F.col("c_mktsegment"), _s("c_nationkey")
     pay = _pick(
-        KEY, F.concat(F.lit('<h2>Atlyginimas</h2><div class="jobad_txt">'), k, F.lit(" EUR</div>")),
+        _key(), F.concat(F.lit('<h2>Atlyginimas</h2><div class="jobad_txt">'), k, F.lit(" EUR</div>")),
         F.concat(F.lit('<div class="data_tag_component_body salary_bl_x">nuo '), k, F.lit('</div><span class="data_tag_component_salary_amount">'), k, F.lit("</span>")), F.concat(F.lit('<div class="salary"> '), k, F.lit("+ </div>")),
     )
-    needs = _pick(KEY, F.concat(F.lit('<h2>Reikalavimai darbuotojui</h2> <div class="jobad_txt"><ul><li>A&amp;B '), nation, F.lit("</li><li> </li><li>SQL</li></ul></div>")), F.concat(F.lit('<h2> Reikalavimai </h2><div class="jobad_txt">All of '), nation, F.lit("</div>")), '<div class="requirements"><ul><li>old</li></ul></div>')
-    duties = _pick(KEY + 1, '<h2>Darbo pobūdis</h2><div class="jobad_txt"><li>build</li></div>', '<section><div class="jobad_txt">Intro &scaron;</div></section>', "")
+    needs = _pick(_key(), F.concat(F.lit('<h2>Reikalavimai darbuotojui</h2> <div class="jobad_txt"><ul><li>A&amp;B '), nation, F.lit("</li><li> </li><li>SQL</li></ul></div>")), F.concat(F.lit('<h2> Reikalavimai </h2><div class="jobad_txt">All of '), nation, F.lit("</div>")), '<div class="requirements"><ul><li>old</li></ul></div>')
+    duties = _pick(_key() + 1, '<h2>Darbo pobūdis</h2><div class="jobad_txt"><li>build</li></div>', '<section><div class="jobad_txt">Intro &scaron;</div></section>', "")
     html = F.concat(F.lit('<i data-source-id="s'), k, F.lit('"></i><h1 id="jobad_heading1">Remote '), seg, F.lit('</h1><div id="jobad_location">City '), nation, F.lit(" - "), seg, F.lit("</div>"), pay, needs, duties)
     return _t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("https://www.cvbankas.lt/x/1-"), k).alias("url"), html.alias("html"))
 
@@ -99,7 +100,7 @@ def b6_jobad_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _gate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = _pick(
-        KEY, "<h1>Clerk</h1>Just a Moment, remote", "<h1>Clerk</h1>office", '<h1>Remote clerk</h1><i class="location">Sankt, Москва</i>', "<p>remote work</p>", "<h1>Remote clerk</h1>", '<h1>Clerk</h1><i class="location">Minsk, Belarus</i>access denied',
+        _key(), "<h1>Clerk</h1>Just a Moment, remote", "<h1>Clerk</h1>office", '<h1>Remote clerk</h1><i class="location">Sankt, Москва</i>', "<p>remote work</p>", "<h1>Remote clerk</h1>", '<h1>Clerk</h1><i class="location">Minsk, Belarus</i>access denied',
         '<h1>Clerk</h1><i class="location">Belarus</i>',
     )
     return _t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("https://g.test/"), _s("c_custkey")).alias("url"), body.alias("html"))
@@ -117,7 +118,7 @@ def b20_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT c_custkey, ['not', 'blocked', 'not', 'blocked', 'not'][1 + c_custkey % 5] AS page, ['blocked', 'blocked', 'not', 'blocked', 'blocked'][1 + c_custkey % 5] AS listing FROM customer""")
 def b17_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A title marker clears a vacancy page but no listing; listings are also judged by their markup."""
-    html = _pick(KEY, '<b data-qa="vacancy-title">x</b> Captcha', "please solve the CAPTCHA", "<p>fine</p>", "Доступ ограничен", '<script src="challenge-platform.js"></script>ok')
+    html = _pick(_key(), '<b data-qa="vacancy-title">x</b> Captcha', "please solve the CAPTCHA", "<p>fine</p>", "Доступ ограничен", '<script src="challenge-platform.js"></script>ok')
     rows = _t(spark, sf_dir, "customer").select("c_custkey", html.alias("html"))
     say = lambda c: F.when(c, "blocked").otherwise("not")
     return rows.select("c_custkey", say(boards.page_blocked(F.col("html"), text.visible_text(F.col("html")), boards.HH)).alias("page"), say(boards.listing_blocked(F.col("html"), boards.HH)).alias("listing"))
@@ -126,7 +127,7 @@ def b17_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, [true, true, false, false][1 + c_custkey % 4] AS remote, [true, false, true, false][1 + c_custkey % 4] AS excluded FROM customer")
 def b18_remote_and_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers in title, place, URL and page with one letter folded; excluded places."""
-    title, place = _pick(KEY, "Clerk УДАЛЁННО", "удаленная работа", "Clerk", "Clerk"), _pick(KEY, "Королёв, Уфа", "Vilnius", "  Казань ", "Kaunas")
+    title, place = _pick(_key(), "Clerk УДАЛЁННО", "удаленная работа", "Clerk", "Clerk"), _pick(_key(), "Королёв, Уфа", "Vilnius", "  Казань ", "Kaunas")
     rows = _t(spark, sf_dir, "customer").select("c_custkey", title.alias("t"), place.alias("p"))
     b = boards.HH
     return rows.select("c_custkey", boards.looks_remote(F.col("t"), F.col("p"), F.lit("https://hh.ru/vacancy/1"), F.lit("<p>x</p>"), b.remote_markers, b.fold_io).alias("remote"), boards.excluded_location(F.col("p"), b.excluded_locations).alias("excluded"))
@@ -144,7 +145,7 @@ def b14_board_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page finds its board by host and path; the board's row gives id and canonical URL."""
     k = _s("c_custkey")
     url = _pick(
-        KEY, F.concat(F.lit("https://spb.hh.ru/vacancy/"), k, F.lit("?from=x#y")), F.concat(F.lit("https://justjoin.it/job-offer/acme-"), k, F.lit("?a=b")), F.concat(F.lit("https://euremotejobs.com/job/title-"), k, F.lit("/?s=1")),
+        _key(), F.concat(F.lit("https://spb.hh.ru/vacancy/"), k, F.lit("?from=x#y")), F.concat(F.lit("https://justjoin.it/job-offer/acme-"), k, F.lit("?a=b")), F.concat(F.lit("https://euremotejobs.com/job/title-"), k, F.lit("/?s=1")),
         F.concat(F.lit("https://startup.jobs/title-"), k, F.lit("/?utm=1")), F.concat(F.lit("https://euremotejobs.com/tag/"), k), F.concat(F.lit("https://hh.ru/vacancy/"), k, F.lit("/print")), F.concat(F.lit("https://nothh.ru/vacancy/"), k),
     )
     routed = boards.route(_t(spark, sf_dir, "customer").select("c_custkey", url.alias("url")), boards.board_rows(spark, _BOARDS))
@@ -155,7 +156,7 @@ def b14_board_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, c_custkey % 3 <> 0 AS needs FROM customer")
 def b22_needs_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg, some, none = F.col("c_mktsegment"), F.array("c_name"), F.array().cast("array<string>")
-    rows = _t(spark, sf_dir, "customer").select("c_custkey", seg.alias("company"), F.when(KEY % 3 == 1, "").otherwise(seg).alias("location"), seg.alias("salary_text"), F.when(KEY % 3 == 2, none).otherwise(some).alias("requirements"), some.alias("responsibilities"))
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", seg.alias("company"), F.when(_key() % 3 == 1, "").otherwise(seg).alias("location"), seg.alias("salary_text"), F.when(_key() % 3 == 2, none).otherwise(some).alias("requirements"), some.alias("responsibilities"))
     return rows.select("c_custkey", extract.needs_enrichment(rows).alias("needs"))
 
 
@@ -205,7 +206,7 @@ def a2_listing_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT c_custkey, 'https://hh.ru/search/vacancy?text=' || c_mktsegment || '+x' || CASE c_custkey % 4 WHEN 0 THEN '&area=28' WHEN 3 THEN '&area=40&area=97' ELSE '&page=2' END ||
            CASE WHEN c_custkey % 4 IN (0, 3) THEN '' ELSE '&area=5&area=9&area=28&area=40&area=48&area=97&area=1001' END || '&schedule=remote&work_format=REMOTE' AS url FROM customer""")
 def a5_forced_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.concat(F.lit("https://hh.ru/search/vacancy?text="), F.col("c_mktsegment"), F.lit("%20x"), _pick(KEY, "&area=28&schedule=fullDay", "&page=2&area=113", "&page=2&work_format=ON_SITE", "&area=16&area=40&area=97"))
+    url = F.concat(F.lit("https://hh.ru/search/vacancy?text="), F.col("c_mktsegment"), F.lit("%20x"), _pick(_key(), "&area=28&schedule=fullDay", "&page=2&area=113", "&page=2&work_format=ON_SITE", "&area=16&area=40&area=97"))
     return _t(spark, sf_dir, "customer").select("c_custkey", boards.forced_filters(url, boards.HH).alias("url"))
 
 
@@ -256,9 +257,9 @@ def a9_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("array<string>")
     raw = c.select(
         _s("c_custkey").alias("profile_id"), *[none.alias(f.name) for f in score.PROFILE.fields if f.name not in ("profile_id", "years_of_experience", "max_english_level", "work_modes")],
-        _pick(KEY, F.lit(None).cast("string"), "6", " 0.8 ", "-3", "2.35000001", "0.45000001").alias("years_of_experience"), _pick(KEY, "fluent", " b2", "A1 ", F.lit(None).cast("string")).alias("max_english_level"),
-        _pick(KEY, '["Remote", "remote"]', '[{"mode": "HYBRID", "country": " LT "}, "office", "moon"]', "{bad", F.concat(F.lit('[{"mode": "remote", "country": "X"}, {"mode": "office", "country": "'), F.col("c_mktsegment"), F.lit('"}]'))).alias("work_modes"),
-        F.when(KEY % 2 == 1, F.col("c_name")).alias("name"), F.lit(None).cast("string").alias("experience_level"),
+        _pick(_key(), F.lit(None).cast("string"), "6", " 0.8 ", "-3", "2.35000001", "0.45000001").alias("years_of_experience"), _pick(_key(), "fluent", " b2", "A1 ", F.lit(None).cast("string")).alias("max_english_level"),
+        _pick(_key(), '["Remote", "remote"]', '[{"mode": "HYBRID", "country": " LT "}, "office", "moon"]', "{bad", F.concat(F.lit('[{"mode": "remote", "country": "X"}, {"mode": "office", "country": "'), F.col("c_mktsegment"), F.lit('"}]'))).alias("work_modes"),
+        F.when(_key() % 2 == 1, F.col("c_name")).alias("name"), F.lit(None).cast("string").alias("experience_level"),
     )
     out = tables.normal_profiles(raw)
     shown = F.array_join(F.transform("work_modes", lambda m: F.when(m["mode"] == "remote", m["mode"]).otherwise(F.concat(m["mode"], F.lit(":"), m["country"]))), "|")
@@ -267,26 +268,26 @@ def a9_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, [NULL, 'C1', 'A2', NULL][1 + c_custkey % 4] AS level, [NULL, 5, 2, NULL][1 + c_custkey % 4]::INT AS rank FROM customer")
 def h12_cefr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _pick(KEY, "D1", " c1 ", "a2", F.lit(None).cast("string"))
+    raw = _pick(_key(), "D1", " c1 ", "a2", F.lit(None).cast("string"))
     return _t(spark, sf_dir, "customer").select("c_custkey", text.cefr(raw).alias("level"), text.cefr_rank(raw).alias("rank"))
 
 
 @query("SELECT c_custkey, [6.0, 0.8, 0.0, 2.4, 12.5, NULL, NULL][1 + c_custkey % 7]::DOUBLE AS years, ['6', '0.8', '0', '2.4', '12.5', NULL, NULL][1 + c_custkey % 7] AS shown FROM customer")
 def h15_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H15, H17."""
-    value = text.years(_pick(KEY, "6", "0.8", "-2", "2.36", "12.5", "many", F.lit(None).cast("string")))
+    value = text.years(_pick(_key(), "6", "0.8", "-2", "2.36", "12.5", "many", F.lit(None).cast("string")))
     return _t(spark, sf_dir, "customer").select("c_custkey", value.alias("years"), text.years_text(value).alias("shown"))
 
 
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN least(100, c_custkey % 150) WHEN 1 THEN 0 WHEN 2 THEN 40 ELSE 40 END::INT AS threshold FROM customer")
 def h18_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _pick(KEY, F.concat(F.lit(" "), (KEY % 150).cast("string")), "-5", "high", F.lit(None).cast("string"))
+    raw = _pick(_key(), F.concat(F.lit(" "), (_key() % 150).cast("string")), "-5", "high", F.lit(None).cast("string"))
     return _t(spark, sf_dir, "customer").select("c_custkey", text.threshold(raw, 40).alias("threshold"))
 
 
 @query("SELECT c_custkey, ['Saved', 'Offer', NULL, 'Withdrawn', NULL][1 + c_custkey % 5] AS status FROM customer")
 def h20_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "customer").select("c_custkey", text.status(_pick(KEY, " saved", "OFFER", "hired", "Withdrawn ", "")).alias("status"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", text.status(_pick(_key(), " saved", "OFFER", "hired", "Withdrawn ", "")).alias("status"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN epoch(o_orderdate)::BIGINT + 36000 WHEN 1 THEN epoch(o_orderdate)::BIGINT + 36000 - 7200 WHEN 2 THEN epoch(o_orderdate)::BIGINT + 36000 + 19800 END AS at FROM orders")
@@ -355,8 +356,8 @@ def c11_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c10_filled_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model's extraction fills only what the parser left empty."""
     c, none = _t(spark, sf_dir, "customer"), F.array().cast("array<string>")
-    parsed = c.select("c_custkey", F.when(KEY % 2 == 0, F.col("c_mktsegment")).otherwise("").alias("company"), F.lit("").alias("location"), F.lit("").alias("salary_text"), F.when(KEY % 2 == 0, F.array(F.lit("own"))).otherwise(none).alias("requirements"), none.alias("responsibilities"))
-    model = c.select("c_custkey", F.lit(" model ").alias("company"), F.when(KEY % 3 == 0, "place").alias("location"), F.lit("").alias("salary_text"), F.when(KEY % 3 == 0, F.array(F.lit("asked"))).alias("requirements"), none.alias("responsibilities"))
+    parsed = c.select("c_custkey", F.when(_key() % 2 == 0, F.col("c_mktsegment")).otherwise("").alias("company"), F.lit("").alias("location"), F.lit("").alias("salary_text"), F.when(_key() % 2 == 0, F.array(F.lit("own"))).otherwise(none).alias("requirements"), none.alias("responsibilities"))
+    model = c.select("c_custkey", F.lit(" model ").alias("company"), F.when(_key() % 3 == 0, "place").alias("location"), F.lit("").alias("salary_text"), F.when(_key() % 3 == 0, F.array(F.lit("asked"))).alias("requirements"), none.alias("responsibilities"))
     return extract.fill_missing(parsed, model, "c_custkey").select("c_custkey", "company", "location", F.array_join("requirements", "|").alias("requirements"))
 
 
@@ -377,7 +378,7 @@ def i5_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT c_custkey, [8, -8, 8, 0][1 + c_custkey % 4]::INT AS middle, [8, 8, 8, 0][1 + c_custkey % 4]::INT AS senior, [-8, -8, 8, 0][1 + c_custkey % 4]::INT AS beginner FROM customer""")
 def i9_seniority_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without a number of years the level words decide."""
-    hay = _pick(KEY, "a middle clerk", "team lead", "entry level clerk", "clerk")
+    hay = _pick(_key(), "a middle clerk", "team lead", "entry level clerk", "clerk")
     points = lambda have: score.experience_match(F.lit(have), hay)["points"]
     return _t(spark, sf_dir, "customer").select("c_custkey", points(3.0).alias("middle"), points(7.0).alias("senior"), points(0.5).alias("beginner"))
 
@@ -463,8 +464,8 @@ def a13_vacancy_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<string>")
     rows = _t(spark, sf_dir, "customer").select(
         "c_custkey", F.col("c_name").alias("title"), F.lit("board").alias("source_name"), _s("c_custkey").alias("source_id"), F.col("c_mktsegment").alias("company"), F.lit("").alias("location"), F.lit("").alias("salary_text"), F.concat(F.lit("u"), _s("c_custkey")).alias("source_url"),
-        F.when(KEY % 2 == 0, F.array(F.lit("a \n b"), F.lit("c"))).otherwise(none).alias("requirements"), none.alias("responsibilities"), _pick(KEY, "<script>no</script>", F.concat(F.lit("<p>"), "c_name", F.lit("</p>")), "word " * 500).alias("raw_text"),
-        F.lit("rule_based").alias("analysis_method"), (KEY % 101).alias("score"), F.lit("Low").alias("fit_label"), F.lit("because").alias("explanation"), F.array(F.lit("x"), F.lit("y")).alias("matched_points"), none.alias("missing_points"), F.when(KEY % 2 == 0, "Saved").alias("application_status"),
+        F.when(_key() % 2 == 0, F.array(F.lit("a \n b"), F.lit("c"))).otherwise(none).alias("requirements"), none.alias("responsibilities"), _pick(_key(), "<script>no</script>", F.concat(F.lit("<p>"), "c_name", F.lit("</p>")), "word " * 500).alias("raw_text"),
+        F.lit("rule_based").alias("analysis_method"), (_key() % 101).alias("score"), F.lit("Low").alias("fit_label"), F.lit("because").alias("explanation"), F.array(F.lit("x"), F.lit("y")).alias("matched_points"), none.alias("missing_points"), F.when(_key() % 2 == 0, "Saved").alias("application_status"),
     )
     return reports.vacancy_sections(rows).select("c_custkey", "section")
 
@@ -475,6 +476,6 @@ def a13_vacancy_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a14_tracked_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "customer").select(
         "c_custkey", F.col("c_name").alias("title"), F.lit("board").alias("source_name"), _s("c_custkey").alias("source_id"), F.col("c_mktsegment").alias("company"), F.lit("").alias("location"), F.lit("Applied").alias("status"), F.lit("").alias("notes"),
-        F.when(KEY % 2 == 0, KEY % 101).alias("score"), F.lit(None).cast("string").alias("fit_label"), F.lit("u").alias("vacancy_source_url"),
+        F.when(_key() % 2 == 0, _key() % 101).alias("score"), F.lit(None).cast("string").alias("fit_label"), F.lit("u").alias("vacancy_source_url"),
     )
     return reports.tracked_sections(rows).select("c_custkey", "section")

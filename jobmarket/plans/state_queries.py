@@ -14,10 +14,13 @@ from jobmarket.operators import inbox, lifecycle, tracking
 from jobmarket.plans.registry import _COMMANDS, _SQL, _VERDICT, _analyses, _applications, _observations, _results, _runs, _t, _vacancies, query
 from jobmarket.streaming import observations
 
-KEY = F.col("c_custkey")
 DAY = 1704067200  # 2024-01-01
 
 
+def _key() -> Column:
+    return F.col("c_custkey")
+
+
 def _at(seconds: Column) -> Column:
     return F.timestamp_seconds(F.lit(DAY) + seconds)
 
@@ -42,10 +45,10 @@ def j1_vacancy_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two thirds are stored, half come again: content is the new one's, first sighting the old one's, a last run may become null."""
     c = _t(spark, sf_dir, "customer")
     rows = lambda df, word, seen, run: df.select(
-        KEY.alias("source_url"), F.concat(F.lit(f"{word} "), "c_name").alias("title"), F.concat(F.lit(word[0]), KEY.cast("string")).alias("original_source_url"), _at(seen).alias("first_seen_at"),
-        run.cast("long").alias("first_seen_run_id"), _at(seen).alias("last_seen_at"), F.when(F.lit(word == "old") | (KEY % 4 != 0), run.cast("long")).alias("last_seen_run_id"),
+        _key().alias("source_url"), F.concat(F.lit(f"{word} "), "c_name").alias("title"), F.concat(F.lit(word[0]), _key().cast("string")).alias("original_source_url"), _at(seen).alias("first_seen_at"),
+        run.cast("long").alias("first_seen_run_id"), _at(seen).alias("last_seen_at"), F.when(F.lit(word == "old") | (_key() % 4 != 0), run.cast("long")).alias("last_seen_run_id"),
     )
-    out = lifecycle.upsert_vacancies(rows(c.where("c_custkey % 3 <> 0"), "old", KEY % 100, F.lit(1)), rows(c.where("c_custkey % 2 = 0"), "new", F.lit(500), F.lit(9)))
+    out = lifecycle.upsert_vacancies(rows(c.where("c_custkey % 3 <> 0"), "old", _key() % 100, F.lit(1)), rows(c.where("c_custkey % 2 = 0"), "new", F.lit(500), F.lit(9)))
     return out.select("source_url", "title", "original_source_url", (F.unix_timestamp("first_seen_at") - DAY).alias("first_seen"), F.col("first_seen_run_id").alias("first_run"), (F.unix_timestamp("last_seen_at") - DAY).alias("last_seen"), F.col("last_seen_run_id").alias("last_run"))
 
 
@@ -54,7 +57,7 @@ def j1_vacancy_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT c_custkey AS source_url, coalesce(epoch_us(s.seen), epoch_us(TIMESTAMP '2020-01-01')) AS last_us, coalesce(day(s.seen), 7)::BIGINT AS last_run FROM customer LEFT JOIN s ON user_id = c_custkey""")
 def j3_observe_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the last sighting of a stored vacancy moves."""
-    stored = _t(spark, sf_dir, "customer").select(KEY.alias("source_url"), F.lit("2020-01-01").cast("timestamp").alias("last_seen_at"), F.lit(7).cast("long").alias("last_seen_run_id"))
+    stored = _t(spark, sf_dir, "customer").select(_key().alias("source_url"), F.lit("2020-01-01").cast("timestamp").alias("last_seen_at"), F.lit(7).cast("long").alias("last_seen_run_id"))
     seen = _observations(spark, sf_dir).select(F.col("vacancy_source_url").cast("long").alias("source_url"), "observed_at", "run_id")
     return lifecycle.observe_known(stored, seen).select("source_url", F.unix_micros("last_seen_at").alias("last_us"), F.col("last_seen_run_id").alias("last_run"))
 
@@ -73,8 +76,8 @@ def d11_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _merged_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each third customer is stored under a second URL with a tracking parameter, each fifth only under such a one."""
     c = _t(spark, sf_dir, "customer")
-    plain = F.concat(F.lit("https://v.test/"), KEY.cast("string"))
-    marked = F.concat(F.lit("HTTPS://V.test/"), KEY.cast("string"), F.lit("/?utm_source=x"))
+    plain = F.concat(F.lit("https://v.test/"), _key().cast("string"))
+    marked = F.concat(F.lit("HTTPS://V.test/"), _key().cast("string"), F.lit("/?utm_source=x"))
     return c.where("c_custkey % 5 <> 0").select(plain.alias("source_url"), "c_name").unionByName(c.where("c_custkey % 3 = 0 or c_custkey % 5 = 0").select(marked.alias("source_url"), "c_name"))
 
 
@@ -106,7 +109,7 @@ def j18_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT coalesce(p.url, w.url) AS vacancy_source_url, coalesce(p.pinned, w.id)::BIGINT AS analysis_id, coalesce(p.status, 'Saved') AS status, coalesce(w.note, '') AS notes, p.url IS NULL AS created FROM p FULL JOIN w USING (url)""")
 def j7_ensured_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Absent records are created as Saved with an event, present ones filled where empty."""
-    wanted = _t(spark, sf_dir, "customer").where("c_custkey % 5 < 3").select(KEY.alias("vacancy_source_url"), F.when(KEY % 3 == 0, F.lit(7).cast("long")).alias("analysis_id"), F.when(KEY % 2 == 0, "note").alias("notes"))
+    wanted = _t(spark, sf_dir, "customer").where("c_custkey % 5 < 3").select(_key().alias("vacancy_source_url"), F.when(_key() % 3 == 0, F.lit(7).cast("long")).alias("analysis_id"), F.when(_key() % 2 == 0, "note").alias("notes"))
     out, events = tracking.ensure_applications(_applications(spark, sf_dir), wanted)
     return out.join(events.select("vacancy_source_url", F.lit(True).alias("created")), "vacancy_source_url", "left").withColumn("created", F.coalesce("created", F.lit(False)))
 
@@ -119,8 +122,8 @@ _GRAPH = "(('Saved', 'Applied'), ('Saved', 'Interview'), ('Saved', 'Withdrawn'),
     SELECT url AS vacancy_source_url, CASE WHEN saves AND NOT coalesce(refused, false) THEN wanted ELSE status END AS status, saves AND NOT coalesce(refused, false) AND status IS DISTINCT FROM wanted AS event, coalesce(refused, false) AS refused FROM j""")
 def j8_saved_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records saved whole: a status that the graph does not allow is refused, a change is an event of the system."""
-    status = F.element_at(F.array(*[F.lit(s) for s in lifecycle.STATUS_RANK]), (F.floor(KEY / 7) % 6 + 1).cast("int"))
-    records = _t(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(KEY.alias("vacancy_source_url"), F.lit(1).cast("long").alias("analysis_id"), status.alias("status"), F.lit("n").alias("notes"))
+    status = F.element_at(F.array(*[F.lit(s) for s in lifecycle.STATUS_RANK]), (F.floor(_key() / 7) % 6 + 1).cast("int"))
+    records = _t(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(_key().alias("vacancy_source_url"), F.lit(1).cast("long").alias("analysis_id"), status.alias("status"), F.lit("n").alias("notes"))
     out, events, refused = tracking.save_records(_applications(spark, sf_dir), records)
     mark = lambda df, name: df.where("true").select("vacancy_source_url", F.lit(True).alias(name))
     joined = out.join(mark(events.where("origin = 'system'"), "event"), "vacancy_source_url", "left").join(mark(refused, "refused"), "vacancy_source_url", "left")
@@ -130,10 +133,10 @@ def j8_saved_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five commands for each customer's action: create, update, complete, complete again, reopen; some are left out by key."""
     ops = F.array(*[F.struct(F.lit(i).alias("n"), F.lit(op).alias("op")) for i, op in enumerate(("create", "update", "complete", "complete", "reopen"))])
-    each = _t(spark, sf_dir, "customer").select(KEY, "c_name", F.explode(ops).alias("x")).select("c_custkey", "c_name", "x.*").where("n <= c_custkey % 7")
+    each = _t(spark, sf_dir, "customer").select(_key(), "c_name", F.explode(ops).alias("x")).select("c_custkey", "c_name", "x.*").where("n <= c_custkey % 7")
     return each.select(
-        (KEY * 10 + F.col("n")).alias("id"), KEY.alias("action_id"), F.when(KEY % 11 == 0, -1).otherwise(KEY).alias("vacancy_source_url"), "op", F.when((F.col("op") == "create") & (KEY % 13 == 0), "  ").when(F.col("op") == "create", F.concat(F.lit(" "), "c_name")).when(KEY % 2 == 0, "changed").alias("title"),
-        F.when(F.col("n") < 2, _at(KEY * 977 % 100_000 + F.col("n"))).alias("due_at"), _at(F.col("n")).alias("at"),
+        (_key() * 10 + F.col("n")).alias("id"), _key().alias("action_id"), F.when(_key() % 11 == 0, -1).otherwise(_key()).alias("vacancy_source_url"), "op", F.when((F.col("op") == "create") & (_key() % 13 == 0), "  ").when(F.col("op") == "create", F.concat(F.lit(" "), "c_name")).when(_key() % 2 == 0, "changed").alias("title"),
+        F.when(F.col("n") < 2, _at(_key() * 977 % 100_000 + F.col("n"))).alias("due_at"), _at(F.col("n")).alias("at"),
     )
 
 
@@ -234,7 +237,7 @@ def a11_by_source_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END AS title FROM customer")
 def a11_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any spelling of a URL finds the vacancy that is stored under its canonical form."""
-    c, k = _t(spark, sf_dir, "customer"), KEY.cast("string")
+    c, k = _t(spark, sf_dir, "customer"), _key().cast("string")
     stored = c.where("c_custkey % 4 <> 0").select(F.concat(F.lit("https://v.test/"), k).alias("source_url"), F.col("c_name").alias("title"))
     return inbox.by_url(stored, c.select("c_custkey", F.concat(F.lit("HTTPS://user@V.test:443/"), k, F.lit("/?utm_x=1#top")).alias("url"))).select("c_custkey", "title")
 
