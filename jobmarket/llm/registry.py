@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmarket.llm import context_tree, exact_dedup, hamming, html_text, line_dedup, mixing, packing, quality, sharding, shingle_join
-from jobmarket.llm.common import crc_mod, table
+from jobmarket.llm.common import crc_mod, file_rows, table
 
 
 def op1_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op5_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("row")
+    return exact_dedup.exact_dedup(file_rows(table(spark, sf_dir, "documents"), "_row"), row="_row").drop("row")
 
 
 def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,3 +271,23 @@ def test_packing_keeps_clashing_columns(spark):
     cut = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, uid string, block int, bin int")
     out = packing.pack(cut).collect()
     assert len(out) == 20 and all((r["uid"], r["block"], r["bin"]) == ("u", 3, 4) for r in out)
+
+
+def test_the_index_decides_the_groups(spark, tmp_path):
+    """Buckets are folders; a smaller capacity splits them; texts of one key are told apart by their bytes."""
+    rows = [(i, f"text {i // 2}", None, None, None) for i in range(400)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/docs")
+    numbered = file_rows(spark.read.parquet(f"{tmp_path}/docs"), "row").select("doc_id", "text", "row")
+    signed = exact_dedup.signed_rows(numbered)
+    folders = {}
+    for capacity in (1000, 20):
+        slots, n = exact_dedup.directory(signed, capacity)
+        index = exact_dedup.build_index(numbered, slots)
+        folders[capacity] = {f.split("bucket=")[1].split("/")[0] for f in index.inputFiles()}
+        assert len(folders[capacity]) == n and index.count() == 200 and index.agg({"group_size": "sum"}).first()[0] == 400
+        sizes = [r["count"] for r in index.groupBy("bucket").count().collect()]
+        assert max(sizes) <= capacity
+    assert len(folders[1000]) == 1 and len(folders[20]) >= 10
+    slots, _ = exact_dedup.directory(exact_dedup.signed_rows(numbered, 2), 20)
+    index = exact_dedup.build_index(numbered, slots, 2)
+    assert index.where("chains > 1").count() > 150 and index.select("bucket", "key", "chain").distinct().count() == 200
