@@ -5,17 +5,19 @@ segment after the other: with radius r in the first j of m segments and r - 1 in
 distance m r + j - 1 of the query has been met. The search stops when the k-th verified distance is
 covered by that bound, so the answer is exact, ties included (the smaller id wins).
 
-Codes are dealt into blocks, queries into groups; every (group, block) is one task with its own index
-and returns k rows for each query at most, and the best k of each query are kept. Work and memory of
-a task are fixed by the two block sizes.
+Distinct codes are dealt into blocks by a hash. A code keeps its k smallest ids: no other id of it can be among any k
+nearest, since those k are as near and come first. So a code that a third of all rows bear is one row of k ids. A block's codes come
+first in its sorted run, then all queries one after the other: the index is built once for each block and every query
+searches each block once, a batch of queries in memory at a time. A block returns k ids for each query at most, and the best k are kept.
 
 Rows with a null or empty vector or a null id have no code: they are neither found nor searched for. Rows
-that repeat an id are found once, at the smallest distance, and take one of the k places: equal rows are made one before they
-are dealt, and a search counts distinct ids. Fewer than k rows give fewer neighbours; empty tables none.
+that repeat an id are found once, at the smallest distance, and take one of the k places: a search counts distinct ids. Fewer than k
+rows give fewer neighbours; empty tables none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -25,8 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from jobmarket.llm.common import written
+
 BITS = 64
-BLOCK, GROUP = 65_536, 2_048
+BLOCK = 65_536  # (code, id) rows of an index
+SALT = 64  # parts of a code's ids before its k smallest are taken
 
 
 def sign_code(vector: str = "embedding") -> Column:
@@ -97,30 +102,44 @@ class Index:
         return dist[order][np.unique(self.owner[rows[order]], return_index=True)[1]]
 
 
+def _smallest_ids(rows: DataFrame, k: int) -> DataFrame:
+    """The k smallest ids of each code, in two steps, so no task sorts all ids of a common code."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)))
+    for keys in (["code", "salt"], ["code"]):
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("n") <= k)
+    return rows.select("id", "code")
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = 5) -> DataFrame:
     """rows and queries: id, code. Returns query_id, neighbour_id, distance, place (1 to k)."""
-    rows = rows.where("id is not null and code is not null").dropDuplicates(["id", "code"])
-    queries = queries.where("id is not null and code is not null").dropDuplicates(["id", "code"])
-    blocks, groups = (max(1, -(-df.count() // size)) for df, size in ((rows, BLOCK), (queries, GROUP)))
-    deal = lambda df, n: df.select("id", "code").withColumn("part", F.pmod(F.xxhash64("id", "code"), F.lit(n)).cast("int"))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = deal(rows, blocks).withColumnRenamed("part", "block").withColumn("grp", each(groups))
-    right = deal(queries, groups).withColumnRenamed("part", "grp").withColumn("block", each(blocks))
-
-    def search(codes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "neighbour_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="int64")})]
-        if len(codes) and len(asked):
-            codes = codes.sort_values("id")
-            ids = codes["id"].to_numpy()
-            index = Index(codes["code"].to_numpy(np.int64).view(np.uint64), segments, ids)
-            for q, code in zip(asked["id"], asked["code"].to_numpy(np.int64).view(np.uint64)):
-                found, dist = index.search(code, k)
-                order = np.lexsort((ids[found], dist))
-                best = pd.DataFrame({"query_id": q, "neighbour_id": ids[found][order], "distance": dist[order]}).drop_duplicates("neighbour_id").head(k)
-                out.append(best)
-        return pd.concat(out, ignore_index=True)
-
-    found = left.groupBy("block", "grp").cogroup(right.groupBy("block", "grp")).applyInPandas(search, "query_id long, neighbour_id long, distance long")
+    rows = written(_smallest_ids(rows.where("id is not null and code is not null").select("id", "code").dropDuplicates(), k), "codes")
+    queries = queries.where("id is not null and code is not null").select("id", "code").dropDuplicates()
+    blocks = max(1, -(-rows.count() // BLOCK))
+    dealt = rows.select("id", "code", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"))
+    asked = queries.select("id", "code", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held, ids, index = None, [], np.empty(0, np.int64), None
+        for pdf in batches:
+            out = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "neighbour_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="int64")})]
+            for b, part in pdf.groupby("block", sort=True):
+                if b != block:
+                    block, held, index = b, [], None
+                held.append(part[part["asks"] == 0])
+                wanted = part[part["asks"] == 1]
+                if len(wanted) and index is None:  # the block's codes have all come
+                    codes = pd.concat(held).sort_values("id")
+                    held, ids = [], codes["id"].to_numpy()
+                    index = Index(codes["code"].to_numpy(np.int64).view(np.uint64), segments, ids)
+                if len(ids):
+                    for q, code in zip(wanted["id"], wanted["code"].to_numpy(np.int64).view(np.uint64)):
+                        found, dist = index.search(code, k)
+                        order = np.lexsort((ids[found], dist))
+                        out.append(pd.DataFrame({"query_id": q, "neighbour_id": ids[found][order], "distance": dist[order]}).drop_duplicates("neighbour_id").head(k))
+            yield pd.concat(out, ignore_index=True)
+
+    run = dealt.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "asks", "id")
+    found = run.mapInPandas(search, "query_id long, neighbour_id long, distance long")
     found = found.groupBy("query_id", "neighbour_id").agg(F.min("distance").alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

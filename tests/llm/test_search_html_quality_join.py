@@ -16,7 +16,6 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.mark.parametrize("segments", [3, 5, 8])
 def test_top_k_is_exact(spark, segments, monkeypatch):
     monkeypatch.setattr(hamming, "BLOCK", 150)
-    monkeypatch.setattr(hamming, "GROUP", 20)
     rng = random.Random(4)
     rows = [(i, [rng.gauss(0, 1) for _ in range(64)]) for i in range(400)]
     rows += [(i + 400, rows[i % 7][1]) for i in range(60)] + [(900, None), (901, []), (None, rows[0][1]), (3, rows[3][1])]
@@ -45,6 +44,19 @@ def test_repeated_ids_take_one_place(spark, monkeypatch, block):
     assert got == sorted((min((c ^ q).bit_count() for j, c in rows if j == i for q in asked), i) for i in range(60))[:5]
 
 
+def test_common_codes_keep_the_smallest_ids(spark, monkeypatch):
+    """A code of very many ids: ties go to the smallest, also for ids that have a second code."""
+    monkeypatch.setattr(hamming, "BLOCK", 40)
+    rows = [(i, 7) for i in range(500)] + [(i, 6) for i in range(100, 103)] + [(1000 + i, 7 ^ (1 << i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, code long")
+    for code in (7, 6, 5):
+        got = [(r["distance"], r["neighbour_id"]) for r in hamming.top_k(df, spark.createDataFrame([(1, code)], "id long, code long"), 10).orderBy("place").collect()]
+        best = {}
+        for i, c in rows:
+            best[i] = min(best.get(i, 99), (c ^ code).bit_count())
+        assert got == sorted((d, i) for i, d in best.items())[:10]
+
+
 @pytest.mark.parametrize("width", [63, 65])
 def test_vectors_of_another_width_are_refused(spark, width):
     df = spark.createDataFrame([(1, [1.0] * width)], "id long, embedding array<float>")
