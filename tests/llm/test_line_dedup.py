@@ -31,14 +31,18 @@ def edited(rng, line, n):
     return "".join(line)
 
 
-def brute(rows, t, least):
+WS = " \t\n\x0b\x0c\r"
+
+
+def brute(rows, t, per_edit):
     occ = []
     for at, (doc_id, text, *_) in enumerate(rows):
         for n, raw in enumerate((text or "").split("\n")):
-            if raw.strip(" "):
-                occ.append((doc_id is None, doc_id if doc_id is not None else 0, n, at, raw.strip(" ")))
+            if raw.strip(WS):
+                occ.append((doc_id is None, doc_id if doc_id is not None else 0, n, at, raw.strip(WS)))
     texts = sorted({o[4] for o in occ})
-    near = {x: {y for y in texts if y != x and min(len(x), len(y)) >= least and abs(len(x) - len(y)) <= t and distance(x, y) <= t} for x in texts}
+    may = lambda x, y: min(t, min(len(x), len(y)) // per_edit)
+    near = {x: {y for y in texts if y != x and abs(len(x) - len(y)) <= may(x, y) and distance(x, y) <= may(x, y)} for x in texts}
     root = {}
     for x in texts:
         if x not in root:
@@ -62,14 +66,14 @@ def brute(rows, t, least):
 @pytest.mark.parametrize("t", [1, 2, 3])
 def test_equals_brute_force(spark, t):
     rng = random.Random(t)
-    base = ["".join(rng.choice("abcdefgh é") for _ in range(rng.choice([9, 20, 22, 31, 60]))).strip() or "x" for _ in range(25)]
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(rng.choice([8, 9, 10, 12, 19, 20, 22, 31, 60]))).strip() or "x" for _ in range(25)]
     rows = []
     for i in range(50):
         rows.append((i, "\n".join(edited(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3, 4])) for _ in range(rng.randrange(5))), None, None, None))
-    rows += [(None, base[1] + "\n\n  ", None, None, None), (7, rows[7][1], None, None, None), (91, None, None, None, None), (92, "", None, None, None), (93, "q" * 40_000, None, None, None), (94, "q" * 39_999, None, None, None)]
+    rows += [(None, base[1] + "\r\n\n \t", None, None, None), (7, rows[7][1], None, None, None), (91, None, None, None, None), (92, "", None, None, None), (93, "q" * 40_000, None, None, None), (94, "q" * 39_999, None, None, None)]
     got = line_dedup.line_dedup(spark.createDataFrame(rows, DOCS), t).collect()
     quick = [r for r in rows if r[0] not in (93, 94)]
-    want, classes = brute(quick, t, line_dedup.MIN_CHARS)
+    want, classes = brute(quick, t, line_dedup.PER_EDIT)
     want = sorted(want + [(93, 0, 93, 0, 1), (94, 0, 93, 0, 1)], key=str)
     assert sorted([(r["doc_id"], r["line_no"], r["class_doc_id"], r["class_line_no"], r["n_links"]) for r in got], key=str) == want
     assert sum(r["kept"] for r in got) == classes + 1
@@ -90,3 +94,19 @@ def test_texts_lose_dropped_lines(spark):
     out = {r["doc_id"]: r["text"] for r in line_dedup.without_duplicate_lines(df, line_dedup.line_dedup(df)).collect()}
     assert out == {1: line + "\nshort", 2: "own text", 3: None}
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
+
+
+def test_short_lines_and_clashing_columns(spark):
+    """One edit from ten characters on, two from twenty; line ends do not count."""
+    rows = [(1, "All rights reserved\r\nyes", "x", 1), (2, "All rights reserved.\nyet", "x", 2), (3, "all rights reserved.", "x", 3), (4, "yes\r", "x", 4), (5, "123456789", "x", 5), (6, "123456780", "x", 6)]
+    got = {(r["doc_id"], r["line_no"]): (r["class_doc_id"], r["n_links"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, line string, h long")).collect()}
+    assert got == {(1, 0): (1, 1), (2, 0): (1, 2), (3, 0): (1, 1), (1, 1): (1, 0), (2, 1): (2, 0), (4, 0): (1, 0), (5, 0): (5, 0), (6, 0): (6, 0)}
+
+
+def test_lines_that_share_a_hash_stay_apart(spark, monkeypatch):
+    """With a first hash that is the same for all lines the second one tells them apart."""
+    real = line_dedup.lines
+    monkeypatch.setattr(line_dedup, "lines", lambda docs: real(docs).withColumn("h", F.lit(7).cast("long")))
+    rows = [(i, f"a line of its own with number {i:03d} in it", None, None, None) for i in (1, 2, 222, 1)]
+    got = [(r["doc_id"], r["class_doc_id"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted(got) == [(1, 1), (1, 1), (2, 2), (222, 222)]
