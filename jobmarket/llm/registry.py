@@ -61,7 +61,7 @@ def op9_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bayes_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingle_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links", "kept")
+    return shingle_join.near_duplicates(file_rows(table(spark, sf_dir, "documents"), "_row"), row="_row").select("doc_id", "class_id", "class_size", "n_links", "kept")
 
 
 QUERIES = {

@@ -104,6 +104,15 @@ def minhash(sh: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each band of MinHash values, and of its number; the last axis of sig holds the values."""
+    part = sig.reshape(*sig.shape[:-1], -1, BAND).astype(np.uint64)
+    h = np.broadcast_to(np.arange(part.shape[-2], dtype=np.uint64), part.shape[:-1])
+    for k in range(BAND):
+        h = _mix(h * np.uint64(_R) + part[..., k])
+    return h.view(np.int64)
+
+
 def least_matches(threshold: float, tolerance: float) -> list[int]:
     """For each count of compared values, the fewest matches that keep a pair.
 
@@ -123,8 +132,7 @@ def least_matches(threshold: float, tolerance: float) -> list[int]:
 def surviving_pairs(left: np.ndarray, right: np.ndarray | None, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of signature rows that share a band and outlive every pruning step (right None: pairs within left)."""
     other = left if right is None else right
-    bands = lambda s: s.reshape(len(s), -1, BAND).copy().view([("", s.dtype)] * BAND)[..., 0]
-    lb, ob = bands(left), bands(other)
+    lb, ob = band_keys(left), band_keys(other)
     ii, jj = [], []
     for i in range(len(left)):
         first = i + 1 if right is None else 0
@@ -185,7 +193,7 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-7, row: str | None = None) -> DataFrame:
     """One row per document: doc_id, row, class_id, class_size, n_links, kept (one document of each class).
 
-    row: a column that numbers the rows of docs; without it they are numbered here.
+    row: a column that names each row of docs, the same on every read; without it docs are numbered and written.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,24 +204,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
                 sh = shingles(text.as_py())
                 n.append(len(sh))
                 keys.append(hashlib.blake2b(sh.tobytes(), digest_size=16).digest() if len(sh) else None)
-                sig = minhash(sh).reshape(-1, BAND).astype(np.uint64)
-                h = np.arange(len(sig), dtype=np.uint64)
-                for k in range(BAND):
-                    h = _mix(h * np.uint64(_R) + sig[:, k])
-                bands.append(h.view(np.int64) if len(sh) else [])
-            own = {c: batch.column(c) for c in ("doc_id", "row", "text_hash")}
+                bands.append(band_keys(minhash(sh)) if len(sh) else [])
+            own = {c: batch.column(c) for c in ("doc_id", "row")}
             yield pa.RecordBatch.from_pydict({**own, "set_key": pa.array(keys, pa.binary()), "n": pa.array(n, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
-    numbered = numbered.withColumn("text_hash", F.xxhash64("text"))
-    signed = numbered.mapInArrow(sign, "doc_id long, row long, text_hash long, set_key binary, n long, bands array<long>")
+    numbered = numbered if row else written(numbered, "numbered")
+    signed = numbered.mapInArrow(sign, "doc_id long, row long, set_key binary, n long, bands array<long>")
     signed = written(signed, "shingles")
     sets = written(signed.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("rep"), F.count("*").alias("copies")), "sets")
     reps = signed.join(sets.select(F.col("rep").alias("row"), "copies"), "row")
     banded = written(reps.select("row", F.explode("bands").alias("key")), "bands")
     shared = written(banded.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
     near = written(components(banded.join(sized(shared), "key").where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))), "candidates")
-    links, edges = _compare(docs, reps, near, threshold, tolerance)
+    links, edges = _compare(numbered, reps, near, threshold, tolerance)
     classes = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("root"))
     members = signed.select("doc_id", "row", "set_key").join(sets, "set_key", "left").withColumn("rep", F.coalesce("rep", "row"))
     full = members.join(links, "rep", "left").join(classes, "rep", "left").select(
@@ -226,12 +230,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     return out.select("doc_id", "row", "class_id", "class_size", "n_links", (F.col("row") == F.col("keep_row")).alias("kept"))
 
 
-def _compare(docs: DataFrame, reps: DataFrame, near: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+def _compare(numbered: DataFrame, reps: DataFrame, near: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
     """Per representative its linked documents; and edges that span the classes."""
-    members = written(near.select(F.col("node").alias("row"), "component").join(reps.select("row", "text_hash", "n", "copies"), "row"), "members")
-    # Copies of a text are met many times; one of them is taken.
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(sized(members), "text_hash")
-    texts = written(texts.groupBy("row", "component", "n", "copies").agg(F.first("text").alias("text")), "compare")
+    members = written(near.select(F.col("node").alias("row"), "component").join(reps.select("row", "n", "copies"), "row"), "members")
+    texts = written(numbered.select("row", "text").join(sized(members), "row"), "compare")  # one text of each set that has a candidate
     size = texts.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = texts.join(size, "component").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
@@ -257,5 +259,7 @@ def _compare(docs: DataFrame, reps: DataFrame, near: DataFrame, threshold: float
         out = pd.DataFrame({"rep": rows, "linked": linked.astype("int64"), "root": rows[_roots(len(pdf), i, j)]})
         return out[out["linked"] > 0]
 
+    # Comparing costs far more than moving: no few tasks get many small groups.
+    dealt = dealt.repartition(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), "component", "lo", "hi")
     found = written(dealt.groupBy("component", "lo", "hi").applyInPandas(compare, "rep long, linked long, root long"), "links")
     return found.groupBy("rep").agg(F.sum("linked").alias("linked")), found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
