@@ -4,8 +4,9 @@ Every page is parsed to a tree and its element subtrees are hashed. Spark counts
 on which a subtree occurs; pages that have the same main text outside the subtree count once (headings and runs without a letter
 left aside), so articles copied under another title, counter or numeric date are no template. Subtrees that recur on at least `min_pages` pages and `min_share` of the host's pages are deleted
 from that host's pages: anywhere outside the article, and inside it only containers (a share box, a
-related list), never headings, paragraphs or list items. Elements that are no content by their own
-tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) go too.
+related list), never headings, paragraphs or list items. Recurrence decides first, on pages of bare divs as well. What it cannot
+see, because the host has few pages or the element differs from page to page (a comment, a rotating advert, a menu that marks the
+open page), falls back on the element's own tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments).
 
 What is left of the article, or of main, or of the body where a page has neither, is returned:
 character references decoded, white space inside a block one space, blocks joined by one newline.
@@ -48,6 +49,7 @@ HINTS = frozenset(
 ARTICLE_HINTS = frozenset("comment comments reply ad ads advert promo related sponsored".split())
 KEPT_IN_ARTICLE = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote td th tr dt dd figcaption caption article main body html".split())
 
+SALT = 32
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 time".split())
 
 
@@ -187,13 +189,30 @@ class Page:
             main[n] = main[n] or main[self.parent[n]]
         return dead, main if roots != {0} else [False] * len(self.tag)
 
+    def candidates(self, dead: list[bool], main: list[bool]) -> list[int]:
+        """Elements that may be a template: blocks, and of furniture the outermost element."""
+        return [n for n in range(1, len(self.tag)) if not dead[self.parent[n]] and self.tag[n] not in INLINE and self.tag[n] not in ("html", "body") and not (main[n] and self.tag[n] in KEPT_IN_ARTICLE)]
+
+    def recurring(self, template: frozenset | set) -> list[int]:
+        """The outermost elements that the host's templates delete."""
+        if not template:
+            return []
+        hashes, found = self.hashes(), set()
+        inside = [False] * len(self.tag)
+        wanted = {n for n in self.candidates(*self.layout()) if hashes[n] in template}
+        for n in range(1, len(self.tag)):
+            inside[n] = inside[self.parent[n]] or n in wanted
+            if n in wanted and not inside[self.parent[n]]:
+                found.add(n)
+        return sorted(found)
+
     def text(self, template: frozenset | set) -> str:
         dead, main = self.layout()
         whole = not any(main)
-        if template:
-            for n, h in enumerate(self.hashes()):
-                if n and (dead[self.parent[n]] or h in template and self.tag[n] not in INLINE and not (main[n] and self.tag[n] in KEPT_IN_ARTICLE)):
-                    dead[n] = True
+        for n in self.recurring(template):
+            dead[n] = True
+        for n in range(1, len(self.tag)):
+            dead[n] = dead[n] or dead[self.parent[n]]
         blocks: list[str] = []
         run: list[str] = []
         for node, text in [*self.events, (0, None)]:
@@ -223,7 +242,7 @@ def subtree_rows(pages: DataFrame) -> DataFrame:
                 page = Page(source or "")
                 hashes, (dead, main) = page.hashes(), page.layout()
                 marks = page.outside(dead, main)
-                seen = {(h, marks[n]) for n, h in enumerate(hashes) if n and not dead[n] and page.tag[n] not in INLINE and page.tag[n] not in ("html", "body") and not (main[n] and page.tag[n] in KEPT_IN_ARTICLE)}
+                seen = {(hashes[n], marks[n]) for n in page.candidates(dead, main)}
                 rows += [(site, h, mark) for h, mark in [(0, marks[0]), *seen]]
             yield pd.DataFrame(rows, columns=["host", "subtree", "main"])
 
@@ -239,16 +258,26 @@ def templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2) -> D
 
 
 def main_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2) -> DataFrame:
-    """All columns of pages, and text and n_chars."""
+    """All columns of pages, and text, n_chars and n_templates (outermost elements that recurrence deleted); columns of pages by these names are replaced."""
     found = written(templates(pages, min_pages, min_share), "templates")
     lists = found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("subtree").alias("_template"))
     # A host's template is at most 1 / min_share times the block elements of one page on average.
     marked = pages.withColumn("_site", host())
     small = found.count() <= BROADCAST_ROWS
-    marked = marked.join(F.broadcast(lists) if small else lists, F.col("_site") == F.col("_host"), "left")
-
-    @F.pandas_udf("string")
-    def extract(source: pd.Series, template: pd.Series) -> pd.Series:
-        return pd.Series([Page(s or "").text(frozenset(t) if t is not None else frozenset()) for s, t in zip(source, template)], dtype=object)
-
-    return marked.withColumn("text", extract("html", "_template")).withColumn("n_chars", F.length("text").cast("long")).drop("_site", "_host", "_template")
+    if small:
+        marked = marked.join(F.broadcast(lists), F.col("_site") == F.col("_host"), "left")
+    else:  # a host's pages are spread over SALT tasks, each with its list
+        salted = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        marked = marked.withColumn("_salt", F.pmod(F.xxhash64("url", "html"), F.lit(SALT)).cast("int"))
+        marked = marked.join(salted, (F.col("_site") == F.col("_host")) & (F.col("_salt") == F.col("_part")), "left").drop("_salt", "_part")
+
+    @F.pandas_udf("text string, n_templates int")
+    def extract(source: pd.Series, template: pd.Series) -> pd.DataFrame:
+        rows = []
+        for html, found in zip(source, template):
+            page, known = Page(html or ""), frozenset(found) if found is not None else frozenset()
+            rows.append((page.text(known), len(page.recurring(known))))
+        return pd.DataFrame(rows, columns=["text", "n_templates"])
+
+    out = marked.withColumn("_out", extract("html", "_template")).drop("_site", "_host", "_template")
+    return out.withColumns({"text": F.col("_out.text"), "n_chars": F.length("_out.text").cast("long"), "n_templates": F.col("_out.n_templates")}).drop("_out")

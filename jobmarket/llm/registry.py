@@ -37,7 +37,7 @@ def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return html_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_templates")
 
 
 def op6_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,6 +115,53 @@ def test_articles_copied_under_other_titles_stay(spark, page):
     assert all(got[i] == html_text.Page(page.format(i=i)).text(frozenset()) for i in range(10, 16))
 
 
+def bare(i, site):
+    """A layout without any tag, role or class that tells furniture from content."""
+    return (i, f"http://{site}/p{i}", f"<html><body><div><div>Home of {site}</div><div>All jobs</div></div><div><div>Title {i}</div><div>Body number {i} of the site</div></div><div>Imprint of {site}<div>Phone</div></div></body></html>")
+
+
+def test_recurrence_alone_cleans_bare_pages(spark):
+    rows = [bare(i, "d.test") for i in range(30)] + [bare(i, "few.test") for i in range(100, 103)]
+    got = {r["page_id"]: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i]["text"] == f"Title {i}\nBody number {i} of the site" and got[i]["n_templates"] == 2 for i in range(30))
+    assert all(got[i]["text"].startswith("Home of few.test\n") and got[i]["n_templates"] == 0 for i in range(100, 103))
+
+
+def brute_texts(rows, min_pages=5, min_share=0.2):
+    """Templates by counting in plain Python: for each host and subtree the different rests of its pages."""
+    rests, pages = defaultdict(set), defaultdict(set)
+    parsed = []
+    for page_id, url, source in rows:
+        site, page = (url or "").partition("//")[2].split("/")[0].lower(), html_text.Page(source or "")
+        dead, main = page.layout()
+        hashes, marks = page.hashes(), page.outside(dead, main)
+        for n in page.candidates(dead, main):
+            rests[site, hashes[n]].add(marks[n])
+        pages[site].add(marks[0])
+        parsed.append((page_id, site, page))
+    out = []
+    for page_id, site, page in parsed:
+        known = {h for (s, h), m in rests.items() if s == site and len(m) >= min_pages and len(pages[site]) >= min_pages and len(m) >= min_share * len(pages[site])}
+        out.append((page_id, page.text(known)))
+    return sorted(out)
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    from jobmarket.llm.registry import op5_template_removal
+
+    rng = random.Random(5)
+    rows = [bare(i, "d.test") for i in range(12)]
+    for i in range(12, 90):
+        site = rng.choice(["x.test", "y.test", "z.test"])
+        parts = [f"<nav><a>m</a> {site}</nav>", "<div class='ad'>buy</div>", f"<div><p>Share {site}</p></div>", f"<aside>near {rng.randrange(3)}</aside>", f"<article><h1>t{i}</h1><p>text {rng.randrange(40)}</p><div>more on {site}</div></article>", "<footer>f</footer>"]
+        rows.append((i, f"http://{site}/{i}", "<body>" + "".join(p for p in parts if rng.random() < 0.8) + "</body>"))
+    rows += [(200, None, None), (201, "http://x.test/", ""), (202, "http://x.test/", rows[20][2]), (203, "http://x.test/", rows[20][2])]
+    spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, text string, n_templates int").write.parquet(f"{tmp_path}/pages.parquet")
+    got = op5_template_removal(spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == brute_texts(rows)
+    assert sum(r["n_templates"] > 0 for r in got) > 60 and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
 # --- op7 ---------------------------------------------------------------------------------------------
 
 def test_quality_learns_and_covers_edges(spark):
