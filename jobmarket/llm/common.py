@@ -40,7 +40,7 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-BROADCAST_ROWS = 1_000_000  # of a few longs each; a join side beyond it is shuffled
+BROADCAST_ROWS = 250_000  # of a few longs each; a join side beyond it is shuffled
 
 
 def sized(df: DataFrame) -> DataFrame:

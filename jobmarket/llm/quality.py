@@ -5,8 +5,8 @@ n-grams (with word bounds), and a mark for each word that repeats the one before
 word with itself), all hashed into one table. A softmax layer gives the label. Vectors and output layer are
 trained by stochastic gradient descent in numpy on a bounded sample of labelled rows; scoring reads every
 whole text. The average is linear, so a feature enters the score by its vector's product with the difference of
-the two output vectors: tasks get one table of those products, of fixed size. The driver gets features of the sample, at most BUCKETS
-pairs of numbers for a text however long, and no text.
+the two output vectors: tasks get one table of those products, of fixed size. One task trains on the features of the sample, at most BUCKETS
+pairs of numbers for a text however long; the driver gets the table.
 
 Null and empty texts have no features and score the training prior. Repeated rows score alike; a label row
 without a document is unused; an empty table gives no rows. `scores` replaces a column called score; `fit` adds no column.
@@ -150,13 +150,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # 2 * sample labels at most
     chosen = chosen.select(F.xxhash64("doc_id", F.lit(4)).alias("place"), F.xxhash64("text").alias("hash"), "_label", "text")
     chosen = chosen.mapInPandas(features, "place long, hash long, _label int, features binary").orderBy("place", "hash", "_label").limit(4 * sample)
-    rows = [(_unpacked(r["features"]), r["_label"]) for r in chosen.select("features", "_label").toLocalIterator()]
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        buckets, share, sizes, marks = bytearray(), bytearray(), [], []  # two long runs of numbers, not many short ones
+        for pdf in batches:
+            for packed in pdf["features"]:
+                one, two = _unpacked(packed)
+                buckets += one.tobytes()
+                share += two.tobytes()
+                sizes.append(len(one))
+            marks += pdf["_label"].tolist()
+        if marks:
+            ends = np.cumsum(sizes)[:-1]
+            weight, bias = train(list(zip(np.split(np.frombuffer(buckets, np.int32), ends), np.split(np.frombuffer(share, np.float32), ends))), marks)
+            yield pd.DataFrame({"weight": [weight.astype("<f4").tobytes()], "bias": [bias], "ones": [sum(marks)], "n": [len(marks)]})
+
+    found = chosen.select("features", "_label").mapInPandas(learn, "weight binary, bias double, ones long, n long").collect()
     counts = {r["_label"]: r["count"] for r in marked.groupBy("_label").count().collect()}
     prior = np.log((counts.get(1, 0) + 1.0) / (counts.get(0, 0) + 1.0))
-    if rows:
-        weight, bias = train([r[0] for r in rows], [r[1] for r in rows])
-        ones = sum(r[1] for r in rows)
-        bias += prior - np.log((ones + 1.0) / (len(rows) - ones + 1.0))
+    if found:
+        r = found[0]
+        weight, bias = np.frombuffer(r["weight"], "<f4"), r["bias"] + prior - np.log((r["ones"] + 1.0) / (r["n"] - r["ones"] + 1.0))
     else:
         weight, bias = np.zeros(BUCKETS, np.float32), prior
     shared = docs.sparkSession.sparkContext.broadcast(weight)  # BUCKETS numbers, however large the corpus
