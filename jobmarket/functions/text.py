@@ -29,7 +29,7 @@ def unescape(c: Column) -> Column:
     plain = c
     for entity, char in ENTITIES.items():
         plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.coalesce(_unescape_any(rare), plain)
+    return F.when(F.contains(c, F.lit("&")), F.coalesce(_unescape_any(rare), plain)).otherwise(c)  # most texts hold none
 
 
 MARK = "\x01"  # no HTML text holds it

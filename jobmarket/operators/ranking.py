@@ -29,9 +29,8 @@ REPORT_FIELDS = (
 
 def year_requirements(body: Column) -> Column:
     """Array of years asked of a candidate: each number of years, if the window around it speaks of candidates and not of the company."""
-    whole = F.regexp_extract_all(body, F.lit(YEARS), F.lit(0))
-    # What stands between the matches gives their places; both are short, only the body itself is read twice.
-    pieces = F.zip_with(F.slice(F.transform(F.split(body, YEARS, -1), F.length), 1, F.size(whole)), whole, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+    # What stands between the matches gives their places; only these two read the whole body.
+    pieces = lambda whole: F.zip_with(F.slice(F.transform(F.split(body, YEARS, -1), F.length), 1, F.size(whole)), whole, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
     number = lambda x: x.try_cast("decimal(38,0)")
 
     def one(state: Column, p: Column) -> Column:
@@ -44,7 +43,9 @@ def year_requirements(body: Column) -> Column:
         return F.struct((start + F.length(m)).alias("at"), F.when(asked.isNotNull(), F.concat(state["years"], F.array(asked))).otherwise(state["years"]).alias("years"))
 
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<decimal(38,0)>").alias("years"))
-    return F.when(F.size(whole) > 0, F.aggregate(pieces, begin, one, lambda s: s["years"]))  # most bodies name no years
+    found = lambda whole: F.when(F.size(whole) > 0, F.aggregate(pieces(whole), begin, one, lambda s: s["years"]))  # noqa: E731  most bodies name no years
+    # Bound to a variable, the matches are found once.
+    return F.get(F.transform(F.array(F.regexp_extract_all(body, F.lit(YEARS), F.lit(0))), found), F.lit(0))
 
 
 def title_and_url(title: Column, url: Column) -> Column:

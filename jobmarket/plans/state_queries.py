@@ -5,13 +5,12 @@ Customers are vacancies, orders are analyses, a customer's other columns make it
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobmarket.operators import inbox, lifecycle, tracking
 from jobmarket.plans.registry import _COMMANDS, _SQL, _VERDICT, _analyses, _applications, _observations, _results, _runs, _t, _vacancies, query
+from jobmarket.sources.tables import scratch_folder
 from jobmarket.streaming import observations
 
 DAY = 1704067200  # 2024-01-01
@@ -25,11 +24,6 @@ def _at(seconds: Column) -> Column:
     return F.timestamp_seconds(F.lit(DAY) + seconds)
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/run-{uuid.uuid4().hex}"
-
-
 def _placed(df: DataFrame, order: list[Column], *columns: str) -> DataFrame:
     """Columns and the place in an order, which an SQL result without order can be compared with."""
     return df.withColumn("place", F.row_number().over(Window.orderBy(*order))).select(*columns, "place")
@@ -248,7 +242,7 @@ def a11_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id::VARCHAR AS source_url, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM events GROUP BY 1""")
 def k1_sighting_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations as files that arrive over several batches; the state after all of them."""
-    folder = _scratch(spark)
+    folder = scratch_folder(spark)
     obs = _observations(spark, sf_dir).select(F.col("vacancy_source_url").alias("url"), "observed_at", (F.col("event_id") % 3).alias("arrives"))
     obs.repartition(3, "arrives").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("url string, observed_at timestamp, arrives long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
@@ -260,7 +254,7 @@ def k1_sighting_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id::VARCHAR AS source_url, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
 def k2_first_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page is let through once, however often it arrives within the watermark."""
-    folder = _scratch(spark)
+    folder = scratch_folder(spark)
     rows = _observations(spark, sf_dir).select(F.col("vacancy_source_url").alias("url"), "observed_at")
     rows.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("url string, observed_at timestamp").parquet(f"{folder}/in").withColumnRenamed("observed_at", "arrived_at")
@@ -271,7 +265,7 @@ def k2_first_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_COMMANDS.replace("VERDICT AS verdict", f"{_VERDICT} AS verdict").replace("now, VERDICT FROM", f"now, {_VERDICT} FROM") + " SELECT id, prev AS previous_status, new AS new_status, verdict FROM f")
 def k3_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The commands of j6, as a stream with one state for each application."""
-    folder = _scratch(spark)
+    folder = scratch_folder(spark)
     e = _t(spark, sf_dir, "events")
     new = F.element_at(F.array(*map(F.lit, ("Applied", "Interview", "Offer", "Rejected", "Withdrawn", "Saved"))), (F.col("event_id") % 6 + 1).cast("int"))
     e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("vacancy_source_url"), new.alias("new_status"), F.when(F.col("event_id") % 7 == 0, "corrective").otherwise("normal").alias("kind"), F.when(F.col("event_id") % 7 < 2, "why").otherwise("").alias("reason")).write.parquet(f"{folder}/in")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +77,16 @@ def write_report(refined: DataFrame, path: str) -> None:
     ranked.orderBy("rank").select(*have).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder for what a job writes and reads again: in spark.checkpoint.dir; unset, a local one in local mode, and on a cluster the job fails."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return tempfile.mkdtemp(prefix="spark-")
+    return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
 def with_rank(refined: DataFrame) -> DataFrame:
     """Add the 1-based rank in report order: a row's place within its rank score, after all rows of better scores.
 
