@@ -39,6 +39,9 @@ def link(url: Column) -> Column:
     return F.when(F.coalesce(url, F.lit("")) == "", "Not specified").otherwise(F.concat(F.lit("["), url, F.lit("]("), url, F.lit(")")))
 
 
+# The words of the sections, summaries and tables below are output that must stay as it is.
+
+
 def vacancy_sections(rows: DataFrame) -> DataFrame:
     """Add `section`, the Markdown of one analysed vacancy."""
     joined = lambda c: F.coalesce(F.nullif(F.array_join(c, ", "), F.lit("")), F.lit("None"))

@@ -58,6 +58,9 @@ SENIOR_WORDS = {3: ("senior", "lead", "head", "principal"), 2: ("mid", "middle")
 BIND_WINDOW = 30
 
 
+# The sentences that the functions below put into notes, matched and missing points are output that must stay as it is.
+
+
 def texts(*items: str) -> Column:
     return F.array(*[F.lit(x) for x in items]) if items else F.array().cast("array<string>")
 
