@@ -166,3 +166,9 @@ def test_stream_of_nothing(spark):
     r = ct.stream_scores(df, F.lit(False)).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (2, 0, 0) and r["score"] == pytest.approx(-4 * 8 * math.log10(2))
     assert ct.stream_scores(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_other_columns_are_left_out(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 2, True), (2, "a b", "y", 3, False)], "doc_id long, text string, chunk string, bucket int, train boolean")
+    out = ct.stream_scores(df, F.col("train")).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["train"], r["n_tokens"], r["n_known"]) for r in out] == [(1, True, 3, 3), (2, False, 3, 3)] and out[0]["score"] == out[1]["score"]

@@ -265,3 +265,40 @@ def test_features_travel_whole():
     for text in ("", "a b c", "word " * 40 + "other", "漢字" * 500):
         for got, want in zip(quality._unpacked(quality._packed(*quality.document_features(text))), quality.document_features(text)):
             assert (got == want).all() and len(got) == len(want)
+
+
+def test_quality_query_equals_plain_scoring(spark, tmp_path):
+    """The query's scores are those of a model trained here on the same sample in the same order, text by text."""
+    from jobmarket.llm.registry import op7_subword_quality
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(200)]
+    rows = []
+    for i in range(120):
+        text = " ".join(rng.choice(words) for _ in range(30))
+        rows.append((i, text if i % 3 else text.upper() + "!!", "en", f"s{i % 2}", 1, 5.0, 7))
+    rows += [(200, None, None, None, None, None, None), (201, "", None, None, 0, 1.0, 1), (202, "x" * 70_000, None, None, 1, 1.0, 1), (5, "a second row of one id", None, None, 1, 1.0, 1), (5, "a second row of one id", None, None, 1, 1.0, 1)]
+    spark.createDataFrame(rows, DOCS + ", score double, _label int").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i % 3 != 0), 0) for i in range(110)] + [(None, 1, 0), (3, None, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = op7_subword_quality(spark, str(tmp_path)).collect()
+    held = lambda i: __import__("zlib").crc32(str(i).encode() if i is not None else b"") % 5 == 0
+    known = {i: q for i, q, _ in labels if i is not None and q is not None and not held(i)}
+    sample = spark.createDataFrame([(r[0], r[1]) for r in rows if r[0] in known], "doc_id long, text string")
+    sample = [(r["text"], known[r["doc_id"]]) for r in sample.orderBy(F.xxhash64("doc_id", F.lit(4)), F.xxhash64("text")).collect()]
+    weight, bias = quality.train([quality.document_features(t) for t, _ in sample], [q for _, q in sample])
+    ones, n = sum(q for _, q in sample), len(sample)
+    bias += np.log((sum(known.values()) + 1) / (len(known) - sum(known.values()) + 1)) - np.log((ones + 1) / (n - ones + 1))
+
+    def plain(text):
+        buckets, share = quality.document_features(text)
+        return 1 / (1 + np.exp(-(float((share.astype(float) * weight[buckets]).sum()) + bias)))
+
+    assert sorted((r["doc_id"], r["held_out"], round(r["score"], 4)) for r in got) == sorted((r[0], held(r[0]), round(plain(r[1]), 4)) for r in rows)
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got)
+
+
+def test_join_leaves_other_columns_out(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(20)), "x", 9, "y") for i in range(3)]
+    out = shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, class_id string, row int, bands string")).collect()
+    assert [(r["class_id"], r["class_size"], r["n_links"]) for r in out] == [(0, 3, 2)] * 3
