@@ -22,10 +22,8 @@ def a9_profile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("name"), F.when(k % 7 != 0, F.array(F.lower("n_name"), F.lit("sql"))).alias("skills"), F.when(k % 3 == 0, " c1").alias("max_english_level"), modes.alias("work_modes"),
         (k % 5).cast("string").alias("years_of_experience"), F.when(k % 4 == 0, "Senior").alias("experience_level"),
     )
-    rows.repartition(25, "name").write.json(f"{folder}/profiles")  # JSON lines; a file that holds several is no profile, so each is read as lines below
-    lines = spark.read.text(f"{folder}/profiles")
-    raw = lines.select(F.from_json("value", f"profile_id string, {tables.PROFILE_JSON}").alias("p")).select("p.*")
-    out = tables.normal_profiles(raw.where("name is not null and skills is not null"))
+    rows.write.option("maxRecordsPerFile", 1).json(f"{folder}/profiles")
+    out = tables.read_profiles(spark, f"{folder}/profiles")
     shown = F.array_join(F.transform("work_modes", lambda m: F.when(m["mode"] == "remote", m["mode"]).otherwise(F.concat(m["mode"], F.lit(":"), m["country"]))), "|")
     return out.select("name", F.array_join("skills", "|").alias("skills"), F.col("max_english_level").alias("level"), shown.alias("work_modes"), F.col("years_of_experience").alias("years"), F.col("experience_level").alias("experience"))
 
@@ -59,8 +57,7 @@ def a19_cv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tables.scratch_folder(spark)
     n = _t(spark, sf_dir, "nation")
     cv = F.when(F.col("n_nationkey") % 5 == 0, "  ").otherwise(F.concat(F.lit(" \t"), F.lit("CV of "), "n_name", F.lit(" "), F.lit("work " * 10_000)))
-    for at in range(25):
-        n.where(F.col("n_nationkey") == at).select(cv.alias("value")).coalesce(1).write.mode("append").text(f"{folder}/cv")
+    n.select(cv.alias("value")).write.option("maxRecordsPerFile", 1).text(f"{folder}/cv")
     return tables.read_cv_texts(spark, f"{folder}/cv").select("text")
 
 
@@ -70,7 +67,6 @@ def a6_url_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tables.scratch_folder(spark)
     n, k = _t(spark, sf_dir, "nation"), F.col("n_nationkey")
     value = F.concat(F.lit("- https://x.test/"), k.cast("string"), F.lit(";\nhttp://y.test/"), F.lower("n_name"), F.lit(", https://x.test/"), k.cast("string"), F.lit(")"))
-    for at in range(25):
-        n.where(k == at).select(value.alias("value")).coalesce(1).write.mode("append").text(f"{folder}/lists")
+    n.select(value.alias("value")).write.option("maxRecordsPerFile", 1).text(f"{folder}/lists")
     found = tables.read_url_lists(spark, f"{folder}/lists")
     return found.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "url"))), lambda x: x["url"]), "|").alias("urls")).select("urls")
