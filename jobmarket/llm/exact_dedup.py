@@ -127,7 +127,9 @@ def build_index(numbered: DataFrame, slots: np.ndarray, bits: int = 64) -> DataF
         yield pd.DataFrame(done(), columns=columns).astype({"keep_id": "Int64"})
 
     mine = numbered.mapInPandas(local, "bucket int, key long, norm binary, chars long, doc_id long, row long, n long")
-    owned = mine.repartition("bucket").sortWithinPartitions("bucket", "key")
+    n = int(slots.max()) + 1
+    owners = min(n, int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # each owns a run of buckets, a range of keys
+    owned = mine.repartitionById(owners, F.floor(F.col("bucket") * owners / n).cast("int")).sortWithinPartitions("bucket", "key")
     return written(owned.mapInPandas(own, ENTRY), "exact-index", by="bucket")
 
 
