@@ -431,9 +431,16 @@ def a16_daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.daily_summary(rows, "source", 3)
 
 
-@query()
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8232) || chr(8233) || chr(12288)"
+
+
+@query(f"""
+    WITH RECURSIVE r AS (SELECT doc_id, -1 AS part, text AS rest, NULL::VARCHAR AS chunk FROM documents WHERE text <> '' UNION ALL
+        SELECT doc_id, part + 1, CASE WHEN length(rest) > 3800 THEN ltrim(substr(rest, (a + 1)::BIGINT), {_WS}) ELSE '' END, CASE WHEN length(rest) > 3800 THEN rtrim(substr(rest, 1, a), {_WS}) ELSE rest END
+        FROM (SELECT *, CASE WHEN n BETWEEN 1 AND 3799 THEN 3800 - n ELSE 3800 END AS a FROM (SELECT *, strpos(reverse(substr(rest, 1, 3800)), chr(10)) AS n FROM r)) WHERE rest <> '')
+    SELECT doc_id, part::INT AS part, chunk FROM r WHERE part >= 0""")
 def a17_message_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts cut into messages: tested against a plain model."""
+    """Texts cut into messages, at a newline if they hold one (no text of the table holds a blank line)."""
     return reports.chunk_messages(_t(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
