@@ -19,6 +19,9 @@ of the documents are left out; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +33,10 @@ SPACES = " \t\n\x0b\x0c\r"
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line (trimmed, not empty), h and g (hashes of the line), chars."""
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).select("doc_id", "line_no", F.trim("raw", F.lit(SPACES)).alias("line"))
+    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).select("doc_id", "line_no", F.trim("raw").alias("line"))
+    # Trimming other characters than the space is slow, and few lines need it.
+    odd = reduce(or_, [f(F.col("line"), F.lit(c)) for c in SPACES.strip(" ") for f in (F.startswith, F.endswith)])
+    each = each.withColumn("line", F.when(odd, F.trim("line", F.lit(SPACES))).otherwise(F.col("line")))
     return each.where("line <> ''").withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line"), "chars": F.length("line")})
 
 
@@ -41,7 +47,7 @@ def name() -> Column:
 
 def edits(shorter: Column, threshold: int, per_edit: int) -> Column:
     """How many edits two lines may differ by, from the shorter one's length."""
-    return F.least(F.lit(threshold), F.floor(shorter / per_edit).cast("int"))
+    return F.least(F.lit(threshold), F.call_function("div", shorter, F.lit(per_edit)).cast("int"))
 
 
 def segment_keys(each: DataFrame, threshold: int, per_edit: int) -> DataFrame:
@@ -52,10 +58,11 @@ def segment_keys(each: DataFrame, threshold: int, per_edit: int) -> DataFrame:
             for i in range(t + 1):
                 left = t - i  # edits that the segments behind may take
                 cuts += [(t, shorter, i, s, 0 if shorter == s == 0 else 1) for s in range(-i, i + 1) if shorter - left <= s <= shorter + left]
-    # The cuts are a constant, so each row below is one substring and one hash.
-    rows = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("t", "shorter", "i", "shift", "probe"), c)]) for c in cuts])
+    # The cuts are constants, so each row below is one substring and one hash. A line from a length on needs those of the most edits only.
+    rows = lambda some: F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("t", "shorter", "i", "shift", "probe"), c)]) for c in some])
+    some = F.when(F.col("chars") >= threshold * (per_edit + 1), rows([c for c in cuts if c[0] == threshold])).otherwise(rows(cuts))
     long_lines = each.where(F.col("chars") >= per_edit).select("h", "line", "chars")
-    cut = long_lines.select("*", F.inline(rows)).where(edits(F.col("chars") - F.col("shorter"), threshold, per_edit) == F.col("t"))
+    cut = long_lines.select("*", F.inline(some)).where(edits(F.col("chars") - F.col("shorter"), threshold, per_edit) == F.col("t"))
     length = F.col("chars") - F.col("shorter")
     base = F.expr("cast((chars - shorter) div (t + 1) as int)")
     even = F.col("t") + 1 - length % (F.col("t") + 1)  # later segments have one more
