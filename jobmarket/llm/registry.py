@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmarket.llm import context_tree, exact_dedup, hamming, html_text, line_dedup, mixing, packing, quality, sharding, shingle_join
-from jobmarket.llm.common import crc_mod, file_rows, table
+from jobmarket.llm import context_tree, conversation, exact_dedup, hamming, html_text, lexical, line_dedup, mixing, packing, quality, sharding, shingle_join, simhash
+from jobmarket.llm.common import crc_mod, file_rows, free_name, table
 
 
 def op1_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,9 @@ def op5_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(file_rows(table(spark, sf_dir, "documents"), "_row"), row="_row").drop("row")
+    docs = table(spark, sf_dir, "documents")
+    row = free_name(docs, "_row")
+    return exact_dedup.exact_dedup(file_rows(docs, row), row=row).drop("row")
 
 
 def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +63,24 @@ def op9_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bayes_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingle_join.near_duplicates(file_rows(table(spark, sf_dir, "documents"), "_row"), row="_row").select("doc_id", "class_id", "class_size", "n_links", "kept")
+    docs = table(spark, sf_dir, "documents")
+    row = free_name(docs, "_row")
+    return shingle_join.near_duplicates(file_rows(docs, row), row=row).select("doc_id", "class_id", "class_size", "n_links", "kept")
+
+
+def op11_survivor_coalescence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, its cheapest edits and the hash of the repaired text."""
+    return conversation.repair(conversation.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the component of fingerprints within two bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_block_max_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents, among all, for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
@@ -75,6 +94,9 @@ QUERIES = {
     "op8_context_tree_score": op8_context_tree_score,
     "op9_genetic_packing": op9_genetic_packing,
     "op10_bayes_shingle_join": op10_bayes_shingle_join,
+    "op11_survivor_coalescence": op11_survivor_coalescence,
+    "op12_covering_simhash": op12_covering_simhash,
+    "op13_block_max_maxscore": op13_block_max_maxscore,
 }
 
 ORACLES = {
@@ -116,4 +138,45 @@ ORACLES = {
         l AS (SELECT a, count(*) AS n FROM e GROUP BY a)
         SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, coalesce(l.n, 0)::BIGINT AS n_links, doc_id = class_id AS kept
         FROM c LEFT JOIN l ON l.a = doc_id""",
+    "op11_survivor_coalescence": r"""
+        WITH RECURSIVE tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+        k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     xor(list_reduce(list_concat([4294967295], [ascii(x)::BIGINT FOR x IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')]),
+                                     lambda c, b: xor(t[1 + (xor(c, b) & 255)], c // 256)), 4294967295) % 20 AS kind FROM conversations, tab),
+        d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                     unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE kind <> 0),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+                     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, rtrim(text, E' \t\n\x0b\x0c\r') AS bare FROM d),
+        f AS (SELECT conv_id, turn, role, text, n, left(role, 1) AS i, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM n),
+        c AS (SELECT DISTINCT conv_id FROM conversations),
+        v AS (SELECT conv_id, 0::BIGINT AS n, {'c': 0, 'a': '', 't': ''} AS z, NULL::STRUCT(c INT, a VARCHAR, t VARCHAR) AS s, {'c': 2, 'a': 'I', 't': 'user:'} AS u, {'c': 4, 'a': 'II', 't': E'user:\nassistant:'} AS b FROM c
+              UNION ALL
+              SELECT conv_id, n, z, s, u, list_min([b, {'c': u.c + 2, 'a': u.a || 'I', 't': u.t || E'\nassistant:'}]) FROM (
+              SELECT conv_id, n, z, s, b, list_min([u, {'c': z.c + 2, 'a': z.a || 'I', 't': 'user:'}, CASE WHEN s IS NOT NULL THEN {'c': s.c + 2, 'a': s.a || 'I', 't': s.t || E'\nuser:'} END,
+                                             CASE WHEN b IS NOT NULL THEN {'c': b.c + 2, 'a': b.a || 'I', 't': b.t || E'\nuser:'} END]) AS u FROM (
+              SELECT v.conv_id, f.n, {'c': z.c + 3, 'a': z.a || 'D', 't': ''} AS z,
+                     list_min([CASE WHEN s IS NOT NULL THEN {'c': s.c + 3, 'a': s.a || 'D', 't': s.t} END, CASE WHEN ok AND i = 's' THEN {'c': z.c + x, 'a': z.a || 'K', 't': role || ':' || text} END]) AS s,
+                     list_min([{'c': u.c + 3, 'a': u.a || 'D', 't': u.t}, CASE WHEN ok AND i = 'u' THEN {'c': z.c + x, 'a': z.a || 'K', 't': role || ':' || text} END, CASE WHEN ok THEN {'c': z.c + x + 2, 'a': z.a || 'R', 't': 'user:' || text} END,
+                               CASE WHEN ok AND i = 'u' AND s IS NOT NULL THEN {'c': s.c + x, 'a': s.a || 'K', 't': s.t || E'\n' || role || ':' || text} END, CASE WHEN ok AND s IS NOT NULL THEN {'c': s.c + x + 2, 'a': s.a || 'R', 't': s.t || E'\nuser:' || text} END,
+                               CASE WHEN ok AND i = 'u' THEN {'c': b.c + x, 'a': b.a || 'K', 't': b.t || E'\n' || role || ':' || text} END, CASE WHEN ok THEN {'c': b.c + x + 2, 'a': b.a || 'R', 't': b.t || E'\nuser:' || text} END]) AS u,
+                     list_min([{'c': b.c + 3, 'a': b.a || 'D', 't': b.t}, CASE WHEN ok AND i = 'a' THEN {'c': u.c + x, 'a': u.a || 'K', 't': u.t || E'\n' || role || ':' || text} END, CASE WHEN ok THEN {'c': u.c + x + 2, 'a': u.a || 'R', 't': u.t || E'\nassistant:' || text} END]) AS b
+              FROM v JOIN (SELECT *, fault NOT IN ('blank', 'duplicate') AS ok, (fault = 'truncated')::INT AS x FROM f) f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.n = v.n + 1))),
+        w AS (SELECT conv_id, list_min([z, b]) AS best FROM v QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1),
+        j AS (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY n) AS prev FROM f),
+        g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                     count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (prev IS NOT NULL AND prev || i NOT IN ('su', 'ua', 'au')) AS illegal FROM j GROUP BY conv_id)
+        SELECT w.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(illegal, 0)::BIGINT AS illegal, best.c::BIGINT AS cost, best.a AS audit, sha256(best.t) AS repaired_sha256
+        FROM w LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id""",
+    "op13_block_max_maxscore": r"""
+        WITH t AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        u AS (SELECT d, unnest(terms) AS term FROM t),
+        p AS (SELECT d, term, count(*)::BIGINT AS tf FROM u GROUP BY ALL),
+        s AS (SELECT count(*) FILTER (len(terms) > 0)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM t),
+        w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term, n_docs),
+        m AS (SELECT d, doc_id, 75 + (25 * len(terms)::BIGINT * n_docs) // n_terms AS m FROM t, s WHERE len(terms) > 0),
+        i AS MATERIALIZED (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        q AS (SELECT i, term, count(*)::BIGINT AS n FROM (SELECT i, unnest(terms) AS term FROM i) GROUP BY ALL),
+        r AS (SELECT i, d, doc_id, sum(n * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (d) GROUP BY ALL)
+        SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score FROM r JOIN i USING (i) WHERE score > 0 QUALIFY rank <= 20""",
 }
