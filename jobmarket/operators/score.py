@@ -2,10 +2,18 @@
 
 Profiles are a small stated set (their number is checked) and are broadcast; everything is column expressions over
 their arrays. Points are added in a fixed order and clamped once. Null text counts as empty.
+
+A text is read once, whatever the number of profiles: years, level, English and work mode are facts of the text, and the terms of all profiles
+make one dictionary of distinct terms, whose terms in the text are found in one pass over its trigrams. A pair of text and profile then only asks
+for names among the text's hits, and profiles are reached from hits through a term-to-profile table.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +22,9 @@ from jobmarket.functions.model_output import label_for
 from jobmarket.functions.text import CEFR_LEVELS, cefr_rank, contains_any, years_text
 
 MAX_PROFILES = 10_000
+MAX_TERMS = 100_000  # distinct terms of all profiles together
+FEW_TERMS = 200  # that are cheaper to look for one by one than through trigrams
+LISTS = ("skills", "must_have_skills", "nice_to_have_skills", "additional_keywords", "excluded_keywords")
 STRINGS = T.ArrayType(T.StringType())
 PROFILE = T.StructType(
     [T.StructField("profile_id", T.StringType())]
@@ -72,17 +83,90 @@ def searchable_text(title: Column, company: Column, location: Column, salary: Co
     return F.lower(F.array_join(F.concat(F.array(*head), F.coalesce(requirements, none), F.coalesce(responsibilities, none)), " "))
 
 
-def matched_terms(terms: Column, hay: Column) -> Column:
-    """Terms that occur in the text, the first of each spelling."""
-    term = lambda t: F.lower(F.trim(t))
-    return F.array_distinct(F.filter(F.coalesce(terms, texts()), lambda t: (term(t) != "") & F.contains(hay, term(t))))
+def _plain(term: Column) -> Column:
+    return F.lower(F.trim(term))
+
+
+def _places(country: Column) -> Column:
+    """The words that stand for a country: those of the fixed list, else its own name."""
+    key = F.lower(F.trim(country))
+    known = F.create_map(*[x for k, words in COUNTRY_WORDS.items() for x in (F.lit(k), texts(*words))])
+    return F.when(key == "", texts()).otherwise(F.coalesce(F.try_element_at(known, key), F.array(key)))
+
+
+def _profile_terms(profiles: DataFrame) -> DataFrame:
+    """profile_id, list, term: what each profile looks for in a text, in lower case."""
+    none = texts()
+    listed = [(k, F.transform(F.coalesce(F.col(k), none), _plain)) for k in (*LISTS, "target_roles")]
+    listed.append(("preferred_locations", F.transform(F.coalesce(F.col("preferred_locations"), none), F.lower)))
+    listed.append(("work_modes", F.flatten(F.transform(F.coalesce(F.col("work_modes"), F.array().cast(PROFILE["work_modes"].dataType)), lambda w: _places(w["country"])))))
+    rows = profiles.select("profile_id", F.explode(F.array(*[F.struct(F.lit(k).alias("list"), c.alias("terms")) for k, c in listed])).alias("l"))
+    return rows.select("profile_id", "l.list", F.explode("l.terms").alias("term")).where("term <> ''")
+
+
+def dictionary(profiles: DataFrame) -> list[str]:
+    """The distinct terms of all profiles, MAX_TERMS at most; they travel in the plan as one constant."""
+    found = [r[0] for r in _profile_terms(profiles).select("term").distinct().limit(MAX_TERMS + 1).collect()]
+    if len(found) > MAX_TERMS:
+        raise ValueError("score profiles in sets of at most MAX_TERMS distinct terms")
+    return sorted(found)
+
+
+def _constant(items: list[str], mark: str) -> Column:
+    """Texts as a constant array of the plan: folded once, not built for each row."""
+    return F.split(F.lit(mark.join(items)), mark, -1) if items else texts()
+
+
+def term_candidates(hay: Column, terms: list[str]) -> Column:
+    """Terms that may occur in the text, a superset of those that do.
+
+    Each term hangs on one of its trigrams, the one that the fewest terms have; a table of slots by the trigram's checksum leads from the text's
+    trigrams to terms. Terms of one or two characters are always candidates.
+    """
+    used = set("".join(terms))
+    mark, inner = [c for c in map(chr, range(0xE000, 0xF8FF)) if c not in used][:2]  # private characters that no term holds
+    if len(terms) <= FEW_TERMS:
+        return _constant(terms, mark)
+    short, long = [t for t in terms if len(t) < 3], [t for t in terms if len(t) >= 3]
+    grams = [sorted({t[i:i + 3] for i in range(len(t) - 2)}) for t in long]
+    common = Counter(g for gs in grams for g in gs)
+    slots = 1 << max(1, 2 * len(long) - 1).bit_length()
+    table: list[list[str]] = [[] for _ in range(slots)]
+    for term, gs in zip(long, grams):
+        key = min(gs, key=lambda g: (common[g], g))
+        table[zlib.crc32(key.encode()) % slots].append(term)
+    by_slot = _constant([inner.join(ts) for ts in table], mark)
+    own = F.array_distinct(F.regexp_extract_all(hay, F.lit("(?s)(?=(...))"), F.lit(1)))
+    reached = F.transform(own, lambda g: F.get(by_slot, F.crc32(g.cast("binary")).bitwiseAND(F.lit(slots - 1)).cast("int")))
+    met = F.split(F.array_join(F.array_distinct(reached), inner), inner, -1)
+    return F.concat(_constant(short, mark), F.array_distinct(F.filter(met, lambda t: t != "")))
+
+
+def found_terms(hay: Column, terms: list[str]) -> Column:
+    """The dictionary's terms that occur in the text, as substrings."""
+    if not terms:
+        return texts()
+    return F.filter(term_candidates(hay, terms), lambda t: F.contains(hay, t))
 
 
-def role_match(roles: Column, title: Column, hay: Column) -> Column:
-    """Struct (points, note): a role in the title ends the search; else the best points and the last note."""
+def term_hits(vacancies: DataFrame, profiles: DataFrame) -> DataFrame:
+    """vacancies' columns but the text, profile_id, list, term: each profile's terms in each text, reached from the text's hits through a term-to-profile table.
+
+    Profiles without a hit cost a text nothing.
+    """
+    terms = dictionary(profiles)
+    table = _profile_terms(profiles).distinct()
+    table = F.broadcast(table) if table.count() <= MAX_TERMS else table
+    hit = vacancies.select(*[c for c in vacancies.columns if c != "searchable"], F.explode(found_terms(F.coalesce("searchable", F.lit("")), terms)).alias("term"))
+    return hit.join(table, "term")
+
+
+def role_match(roles: Column, title: Column, hay: Column, has: Callable[[Column], Column] | None = None) -> Column:
+    """Struct (points, note): a role in the title ends the search; else the best points and the last note. has: whether the text holds a name."""
+    has = has or (lambda name: F.contains(hay, name))
 
     def one(state: Column, role: Column) -> Column:
-        name = F.lower(F.trim(role))
+        name = _plain(role)
         words = F.filter(F.split(name, "[^a-z0-9]+"), lambda w: F.length(w) > 2)
         overlap = F.size(F.filter(words, lambda w: F.contains(title, w)))
         partial = (overlap >= 2) | ((overlap == 1) & (F.size(words) == 1))
@@ -90,7 +174,7 @@ def role_match(roles: Column, title: Column, hay: Column) -> Column:
         return (
             F.when((state["points"] == 20) | (name == ""), state)
             .when(F.contains(title, name), new(20, "The vacancy title directly matches the target role: "))
-            .when(F.contains(hay, name), new(15, "The vacancy text strongly aligns with the target role: "))
+            .when(has(name), new(15, "The vacancy text strongly aligns with the target role: "))
             .when(partial, new(10, "The vacancy title partially aligns with the target role: "))
             .otherwise(state)
         )
@@ -106,11 +190,18 @@ def required_years(hay: Column) -> Column:
     return F.array_max(F.transform(found, lambda y: y.try_cast("decimal(38,0)")))
 
 
+def required_level(hay: Column) -> Column:
+    """3 senior, 2 middle, 1 junior, 0 unknown."""
+    return F.coalesce(*[F.when(contains_any(hay, words), F.lit(n)) for n, words in SENIOR_WORDS.items()], F.lit(0))
+
+
 def experience_match(have: Column, hay: Column) -> Column:
     """Struct (points, note) for the profile's years against the largest number of years in the text."""
-    need = required_years(hay)
+    return graded_experience(have, required_years(hay), required_level(hay))
+
+
+def graded_experience(have: Column, need: Column, level: Column) -> Column:
     graded = F.rint(F.lit(-10.0) + F.lit(20.0) * (have / need.cast("double"))).cast("int")
-    level = F.coalesce(*[F.when(contains_any(hay, words), F.lit(n)) for n, words in SENIOR_WORDS.items()], F.lit(0))
     own = F.when(have >= 5, 3).when(have >= 2, 2).otherwise(1)
     say = lambda points, *text: F.struct(points.cast("int").alias("points"), F.concat(*[F.lit(t) if isinstance(t, str) else t for t in text]).alias("note"))
     number = need.cast("string")
@@ -152,7 +243,11 @@ def english_rank(hay: Column) -> Column:
 
 
 def english_match(limit: Column, hay: Column) -> Column:
-    most, need = cefr_rank(limit), english_rank(hay)
+    return graded_english(limit, english_rank(hay))
+
+
+def graded_english(limit: Column, need: Column) -> Column:
+    most = cefr_rank(limit)
     name = lambda r: F.element_at(texts(*CEFR_LEVELS), r)
     say = lambda points, ok, end: F.struct(F.lit(points).alias("points"), F.concat(F.lit("English requirement ("), name(need), F.lit(f") is {end} your "), name(most), F.lit(" ceiling.")).alias("note"))
     return F.when(most.isNull() | need.isNull(), F.struct(F.lit(0).alias("points"), F.lit("").alias("note"))).when(need > most, say(-40, False, "above")).otherwise(say(5, True, "within"))
@@ -163,13 +258,14 @@ def work_mode(hay: Column) -> Column:
 
 
 def work_match(wanted: Column, hay: Column) -> Column:
-    mode = work_mode(hay)
-    countries = F.create_map(*[x for k, words in COUNTRY_WORDS.items() for x in (F.lit(k), texts(*words))])
+    return graded_work(wanted, work_mode(hay), lambda words: contains_any(hay, words))
+
+
+def graded_work(wanted: Column, mode: Column, any_of: Callable[[Column], Column]) -> Column:
+    """Struct (points, note) for the wanted work modes; any_of: whether the text holds any of some words."""
 
     def fits(p: Column) -> Column:
-        key = F.lower(F.trim(p["country"]))
-        here = F.when(key == "", F.lit(False)).otherwise(contains_any(hay, F.coalesce(F.try_element_at(countries, key), F.array(key))))
-        return (p["mode"] == mode) & ((p["mode"] == "remote") | (p["country"] == "") | here)
+        return (p["mode"] == mode) & ((p["mode"] == "remote") | (p["country"] == "") | any_of(_places(p["country"])))
 
     first = F.get(F.filter(wanted, fits), F.lit(0))
     asked = F.array_join(F.transform(wanted, lambda p: F.when(p["mode"] == "remote", p["mode"]).otherwise(F.concat(p["mode"], F.lit(" ("), p["country"], F.lit(")")))), ", ")
@@ -183,20 +279,32 @@ def work_match(wanted: Column, hay: Column) -> Column:
     )
 
 
+def text_facts(hay: Column, title: Column, terms: list[str]) -> Column:
+    """What a text says, whoever asks: found terms, required years, level, English rank and work mode."""
+    return F.struct(
+        found_terms(hay, terms).alias("terms"), F.lower(F.coalesce(title, F.lit(""))).alias("title"), required_years(hay).alias("years"), required_level(hay).alias("level"),
+        english_rank(hay).alias("english"), work_mode(hay).alias("mode"),
+    )
+
+
 def score(vacancies: DataFrame, profiles: DataFrame) -> DataFrame:
     """All columns of vacancies (with title and searchable) and profile_id, score, fit_label, matched_points, missing_points, explanation, notes."""
     if profiles.limit(MAX_PROFILES + 1).count() > MAX_PROFILES:
         raise ValueError("score profiles in sets of at most MAX_PROFILES")
     names = [f.name for f in PROFILE.fields]
-    p = profiles.select(F.struct(*names).alias("_p"))
-    hay, title, who = F.coalesce(F.col("searchable"), F.lit("")), F.lower(F.coalesce(F.col("title"), F.lit(""))), F.col("_p")
-    pairs = vacancies.crossJoin(F.broadcast(p))
-    found = {k: matched_terms(who[k], hay) for k in ("skills", "must_have_skills", "nice_to_have_skills", "additional_keywords", "excluded_keywords")}
+    spelled = lambda k: F.transform(F.coalesce(F.col(k), texts()), lambda t: F.struct(t.alias("said"), _plain(t).alias("plain")))  # noqa: E731  in lower case once, not for each text
+    p = profiles.select(F.struct(*names).alias("_p"), F.struct(*[spelled(k).alias(k) for k in LISTS]).alias("_t"))
+    terms, fact, who = dictionary(profiles), F.col("_fact"), F.col("_p")
+    facts = vacancies.withColumn("_fact", text_facts(F.coalesce(F.col("searchable"), F.lit("")), F.col("title"), terms))
+    has = lambda t: F.array_contains(fact["terms"], t)
+    matched_terms = lambda k: F.array_distinct(F.transform(F.filter(F.col("_t")[k], lambda t: has(t["plain"])), lambda t: t["said"]))
+    near = lambda x: (F.lower(x) == "") | has(F.lower(x))
+    pairs = facts.crossJoin(F.broadcast(p))
     pairs = pairs.select(
-        "*", F.struct(*[c.alias(k) for k, c in found.items()]).alias("_m"),
-        role_match(who["target_roles"], title, hay).alias("_role"), experience_match(who["years_of_experience"], hay).alias("_years"),
-        english_match(who["max_english_level"], hay).alias("_english"), work_match(who["work_modes"], hay).alias("_work"),
-        F.exists(F.coalesce(who["preferred_locations"], texts()), lambda x: F.contains(hay, F.lower(x))).alias("_near"),
+        "*", F.struct(*[matched_terms(k).alias(k) for k in LISTS]).alias("_m"),
+        role_match(who["target_roles"], fact["title"], fact["title"], has).alias("_role"), graded_experience(who["years_of_experience"], fact["years"], fact["level"]).alias("_years"),
+        graded_english(who["max_english_level"], fact["english"]).alias("_english"), graded_work(who["work_modes"], fact["mode"], lambda words: F.exists(words, has)).alias("_work"),
+        F.exists(F.coalesce(who["preferred_locations"], texts()), near).alias("_near"),
     )
     m, n = F.col("_m"), lambda c: F.coalesce(F.size(c), F.lit(0)).cast("double")
     count = lambda k: F.greatest(F.lit(0), F.size(m[k]))
@@ -223,7 +331,7 @@ def score(vacancies: DataFrame, profiles: DataFrame) -> DataFrame:
     out = pairs.withColumns({"score": F.greatest(F.lit(0), F.least(F.lit(100), points)), "matched_points": matched, "missing_points": missing, "profile_id": who["profile_id"]})
     out = out.withColumn("fit_label", label_for(F.col("score")))
     said = F.concat(F.lit("Rule-based analysis marked this vacancy as a "), F.lower("fit_label"), F.lit(" fit with a score of "), F.col("score").cast("string"), F.lit("."))
-    return out.withColumns({"explanation": said, "notes": F.lit("Used deterministic profile-to-vacancy keyword matching."), "analysis_method": F.lit("rule_based")}).drop("_p", "_m", "_role", "_years", "_english", "_work", "_near")
+    return out.withColumns({"explanation": said, "notes": F.lit("Used deterministic profile-to-vacancy keyword matching."), "analysis_method": F.lit("rule_based")}).drop("_p", "_t", "_fact", "_m", "_role", "_years", "_english", "_work", "_near")
 
 
 def boosted(scored: DataFrame) -> DataFrame:

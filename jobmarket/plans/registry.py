@@ -183,6 +183,16 @@ def i1_rule_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.score(docs, spark.createDataFrame(_PLAIN, score.PROFILE)).select("doc_id", "profile_id", "score", "fit_label")
 
 
+_TERMS = ", ".join(f"('{p[0]}', '{name}', '{t.strip().lower()}')" for p in _PLAIN for name, ts in zip(("target_roles", "skills", "must_have_skills", "nice_to_have_skills", "preferred_locations", "additional_keywords", "excluded_keywords"), p[1:8]) for t in dict.fromkeys(ts))
+
+
+@query(f"SELECT doc_id, profile_id, list, term FROM documents JOIN (VALUES {_TERMS}) AS t(profile_id, list, term) ON contains(lower(text), term)")
+def c9_profile_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of every profile in every text, from the text's hits in the dictionary of all terms to the profiles that have them."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("searchable"))
+    return score.term_hits(docs, spark.createDataFrame(_PLAIN, score.PROFILE)).select("doc_id", "profile_id", "list", "term")
+
+
 _YEARS = "CASE WHEN need <= 4 THEN 10 ELSE round_even(-10 + 20 * (4.0::DOUBLE / need), 0)::INT END"
 
 
