@@ -125,11 +125,17 @@ class UnitEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if self.added and (found := self.added.search(text)):
-            end = array("I", [self.tokenizer.token_to_id(found[0])]).tobytes()
-            head, tail = text[: found.start()], text[found.end():]
-            return (self._plain(head) if head else b"") + end + (self.encode(tail) if tail else b"")
-        return self._plain(text)
+        if self.added is None:
+            return self._plain(text)
+        out, at = [], 0
+        for found in self.added.finditer(text):
+            if found.start() > at:
+                out.append(self._plain(text[at:found.start()]))
+            out.append(array("I", [self.tokenizer.token_to_id(found[0])]).tobytes())
+            at = found.end()
+        if at < len(text) or not out:
+            out.append(self._plain(text[at:]))
+        return b"".join(out)
 
     def _plain(self, text: str) -> bytes:
         head, *parts = text.split(" ")  # no space stands before the head
