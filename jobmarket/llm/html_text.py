@@ -6,7 +6,8 @@ left aside), so articles copied under another title, counter or numeric date are
 from that host's pages: anywhere outside the article, and inside it only containers (a share box, a
 related list), never headings, paragraphs or list items. Recurrence decides first, on pages of bare divs as well. What it cannot
 see, because the host has few pages or the element differs from page to page (a comment, a rotating advert, a menu that marks the
-open page), falls back on the element's own tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments).
+open page), falls back on the element's own tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments); a wrapper
+that holds the longest article, or more than half of the text, never goes for its class or for being a form.
 
 What is left of the article, or of main, or of the body where a page has neither, is returned:
 character references decoded, white space inside a block one space, blocks joined by one newline.
@@ -19,19 +20,21 @@ from __future__ import annotations
 import hashlib
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobmarket.llm.common import BROADCAST_ROWS, written
+from jobmarket.llm.common import BROADCAST_ROWS, free_name, written
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""",
-    re.DOTALL,
-)
-ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+START = re.compile(r"<(?:!--|[!?/]|[a-zA-Z])")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What ends a tag, or opens a quoted value: a quote elsewhere is a character like any other.
+STOP = re.compile(r""">|=\s*(["'])""")
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -47,6 +50,9 @@ HINTS = frozenset(
     " disqus respond reply replies related recommended recommendations pagination pager toolbar skip copyright disclaimer".split()
 )
 ARTICLE_HINTS = frozenset("comment comments reply ad ads advert promo related sponsored".split())
+#: Hints that keep a wrapper furniture even if the page's longest article stands in it.
+FOREIGN = ARTICLE_HINTS | frozenset("adv adverts advertisement advertising sponsor promotion disqus respond replies recommended recommendations".split())
+TOPS = frozenset("header masthead banner".split())
 KEPT_IN_ARTICLE = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote td th tr dt dd figcaption caption article main body html".split())
 
 SALT = 32
@@ -61,27 +67,54 @@ class Page:
         self.parent: list[int] = [-1]
         self.attributes: list[dict[str, str]] = [{}]
         self.events: list[tuple[int, str | None]] = []  # (element, text), or (element, None) where a block starts or ends
-        stack = [0]
-        at = 0
+        stack, at = [0], 0
+        self.live: Counter[str] = Counter()  # open elements by name
+        last = {c: source.rfind(c) for c in "\"'>"}
         while at < len(source):
-            m = TOKEN.search(source, at)
-            if m is None:
+            m = START.search(source, at)
+            if m is None or last[">"] < m.start() and m[0] != "<!--":  # no tag ends any more
                 self._text(stack[-1], source[at:])
                 break
             if m.start() > at:
                 self._text(stack[-1], source[at:m.start()])
-            at = m.end()
-            if m[1]:
-                self._close(stack, m[1].lower())
-            elif m[2] or m[4]:
-                name = (m[2] or m[4]).lower()
-                self._open(stack, name, m[3] if m[2] else m[5])
-                if name in RAW:
-                    end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(source, at)
-                    stop, at = (end.start(), end.end()) if end else (len(source), len(source))
-                    if name != "title":
-                        self.events.append((stack[-1], source[stop:stop]))
-                    stack.pop()
+            if m[0] == "<!--":
+                end = source.find("-->", m.end())
+                at = len(source) if end < 0 else end + 3
+            elif m[0] in ("<!", "<?"):
+                at = source.index(">", m.end()) + 1
+            elif m[0] == "</":
+                name = NAME.match(source, m.end())
+                at = source.index(">", m.end()) + 1
+                if name:
+                    self._close(stack, name[0].lower())
+            else:
+                at = self._tag(stack, source, m.start() + 1, last)
+
+    def _tag(self, stack: list[int], source: str, at: int, last: dict[str, int]) -> int:
+        """Open the element whose name begins at `at`; where to read on. Each quoted value is read once, and none is looked for that never ends."""
+        found = NAME.match(source, at)
+        name, inside = found[0].lower(), found.end()
+        stop = inside
+        while m := STOP.search(source, stop):
+            if m[1] is None:
+                break
+            stop = source.index(m[1], m.end()) + 1 if last[m[1]] >= m.end() else m.end()
+        if m is None:  # the page ends inside the tag
+            self._text(stack[-1], source[at - 1:])
+            return len(source)
+        self._open(stack, name, source[inside:m.start()])
+        if name not in RAW:
+            return m.end()
+        end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(source, m.end())
+        if name != "title":
+            self.events.append((stack[-1], ""))
+        self._pop(stack)
+        return end.end() if end else len(source)
+
+    def _pop(self, stack: list[int]) -> int:
+        node = stack.pop()
+        self.live[self.tag[node]] -= 1
+        return node
 
     def _text(self, node: int, text: str) -> None:
         self.events.append((node, text))
@@ -104,28 +137,46 @@ class Page:
         self._edge(node)
         if name not in VOID:
             stack.append(node)
+            self.live[name] += 1
 
     def _end_open(self, stack: list[int], names: set[str], stop: frozenset | set) -> None:
+        if not any(self.live[n] for n in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if self.tag[stack[k]] in names:
                 while len(stack) > k:
-                    self._edge(stack.pop())
+                    self._edge(self._pop(stack))
                 if "p" in names:
                     return
             elif self.tag[stack[k]] in stop:
                 return
 
     def _close(self, stack: list[int], name: str) -> None:
+        if not self.live[name]:
+            return
         for k in range(len(stack) - 1, 0, -1):
             if self.tag[stack[k]] == name:
                 while len(stack) > k:
-                    self._edge(stack.pop())
+                    self._edge(self._pop(stack))
                 return
             if name in INLINE and self.tag[stack[k]] in SCOPE or name == "p" and self.tag[stack[k]] in SCOPE:
                 return
 
     def hashes(self) -> list[int]:
         """A 64-bit hash of each element's subtree: tags and texts, white space collapsed."""
+        return self._hashes
+
+    def layout(self) -> tuple[list[bool], list[bool]]:
+        """For each element: is it inside no content, and is it inside the main part.
+
+        The main part is chosen before furniture: tags and roles that are no content by themselves go; then a form or an element with a hint goes, unless
+        it holds the longest article (and is no advert, comment or related list) or more than half of the text. Inside an article a hint must be a whole class or id,
+        and a header stays.
+        """
+        return self._layout
+
+    @cached_property
+    def _hashes(self) -> list[int]:
         parts: list[list[bytes]] = [[t.encode()] for t in self.tag]
         for node, text in self.events:
             if text and (words := text.split()):
@@ -159,35 +210,86 @@ class Page:
             own[self.parent[n]] += own[n]
         return [((total - (x if n else 0)) + (1 << 63)) % (1 << 64) - (1 << 63) for n, x in enumerate(own)]
 
-    def boilerplate(self, node: int) -> bool:
-        name = self.tag[node]
-        if name in NEVER:
+    def _sums(self, dead: list[bool] | None = None) -> list[int]:
+        """Characters of text inside each element, those of dead elements aside."""
+        own = [0] * len(self.tag)
+        for node, text in self.events:
+            if text and not (dead and dead[node]):
+                own[node] += sum(map(len, text.split()))
+        for n in range(len(self.tag) - 1, 0, -1):
+            own[self.parent[n]] += own[n]
+        return own
+
+    def _spread(self, marked: list[bool]) -> list[bool]:
+        """Marked elements and all that is inside them."""
+        for n in range(1, len(self.tag)):
+            marked[n] = marked[n] or marked[self.parent[n]]
+        return marked
+
+    def exact(self, node: int) -> bool:
+        """Is the element no content by its own tag or role, or hidden."""
+        name, a = self.tag[node], self.attributes[node]
+        if name in NEVER and name not in ("form", "header"):
             return True
-        a = self.attributes[node]
         if not a or name in ("html", "body", "main"):
             return False
-        if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", ""), re.IGNORECASE):
-            return True
-        if a.get("role", "").lower() in ROLES:
-            return True
-        words = set(re.findall(r"[a-z0-9]+", f"{a.get('class', '')} {a.get('id', '')}".lower()))
-        return not words.isdisjoint(ARTICLE_HINTS if name == "article" else HINTS)
+        hidden = "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", ""), re.IGNORECASE)
+        return bool(hidden) or (a.get("role", "").lower() in ROLES and name != "form")
 
-    def layout(self) -> tuple[list[bool], list[bool]]:
-        """For each element: is it inside no content, and is it inside the main part."""
-        dead = [False] * len(self.tag)
-        for n in range(1, len(self.tag)):
-            dead[n] = dead[self.parent[n]] or self.boilerplate(n)
-        for kind in (lambda n: self.tag[n] == "article", lambda n: self.tag[n] == "main" or self.attributes[n].get("role") == "main"):
-            roots = {n for n in range(1, len(self.tag)) if not dead[n] and kind(n)}
+    def hints(self, node: int, whole: bool) -> set[str]:
+        """Hints among the words of class and id; whole: among their whole names."""
+        a = self.attributes[node]
+        names = f"{a.get('class', '')} {a.get('id', '')}".lower()
+        return HINTS & set(names.split() if whole else re.findall(r"[a-z0-9]+", names))
+
+    @cached_property
+    def _layout(self) -> tuple[list[bool], list[bool]]:
+        n_all = range(1, len(self.tag))
+        dead = self._spread([n > 0 and self.exact(n) for n in range(len(self.tag))])
+        size = self._sums(dead)
+        articles = [n for n in n_all if self.tag[n] == "article" and not dead[n] and ARTICLE_HINTS.isdisjoint(self.hints(n, False))]
+        holds = set()
+        if articles:
+            at = max(articles, key=lambda n: (size[n], -n))
+            while at:
+                holds.add(at)
+                at = self.parent[at]
+        inside = self._spread([n in articles for n in range(len(self.tag))])
+        heads = [0] * len(self.tag)
+        for n in reversed(n_all):
+            heads[n] += self.tag[n] in ("h1", "h2")
+            heads[self.parent[n]] += heads[n]
+
+        def furniture(n: int) -> bool:
+            name = self.tag[n]
+            if name in ("html", "body", "main") or n in articles:
+                return False
+            exactly = self.hints(n, True)
+            if inside[n]:
+                if not exactly and name != "form" or exactly <= TOPS and name != "form" and heads[n]:
+                    return False
+                return not exactly.isdisjoint(FOREIGN) or 2 * size[n] <= next(size[a] for a in self._up(n) if a in own)
+            if name == "article" or name == "header" and n not in holds:
+                return True
+            found = self.hints(n, False)
+            if not found and name != "form":
+                return False
+            if n in holds and found.isdisjoint(FOREIGN):
+                return False
+            return not exactly.isdisjoint(FOREIGN) or 2 * size[n] <= size[0]
+
+        own = set(articles)
+        dead = self._spread([dead[n] or n > 0 and furniture(n) for n in range(len(self.tag))])
+        for kind in (lambda n: n in own, lambda n: self.tag[n] == "main" or self.attributes[n].get("role") == "main"):
+            roots = {n for n in n_all if not dead[n] and kind(n)}
             if roots:
-                break
-        else:
-            roots = {0}
-        main = [n in roots for n in range(len(self.tag))]
-        for n in range(1, len(self.tag)):
-            main[n] = main[n] or main[self.parent[n]]
-        return dead, main if roots != {0} else [False] * len(self.tag)
+                return dead, self._spread([n in roots for n in range(len(self.tag))])
+        return dead, [False] * len(self.tag)
+
+    def _up(self, node: int) -> Iterator[int]:
+        while node:
+            yield node
+            node = self.parent[node]
 
     def candidates(self, dead: list[bool], main: list[bool]) -> list[int]:
         """Elements that may be a template: blocks, and of furniture the outermost element."""
@@ -197,9 +299,9 @@ class Page:
         """The outermost elements that the host's templates delete."""
         if not template:
             return []
-        hashes, found = self.hashes(), set()
+        hashes, found = self._hashes, set()
         inside = [False] * len(self.tag)
-        wanted = {n for n in self.candidates(*self.layout()) if hashes[n] in template}
+        wanted = {n for n in self.candidates(*self._layout) if hashes[n] in template}
         for n in range(1, len(self.tag)):
             inside[n] = inside[self.parent[n]] or n in wanted
             if n in wanted and not inside[self.parent[n]]:
@@ -207,12 +309,17 @@ class Page:
         return sorted(found)
 
     def text(self, template: frozenset | set) -> str:
-        dead, main = self.layout()
+        return self.main(template)[0]
+
+    def main(self, template: frozenset | set) -> tuple[str, int]:
+        """Main text, and how many outermost elements the host's templates deleted."""
+        dead, main = self._layout
         whole = not any(main)
-        for n in self.recurring(template):
+        gone = self.recurring(template)
+        dead = list(dead)
+        for n in gone:
             dead[n] = True
-        for n in range(1, len(self.tag)):
-            dead[n] = dead[n] or dead[self.parent[n]]
+        dead = self._spread(dead)
         blocks: list[str] = []
         run: list[str] = []
         for node, text in [*self.events, (0, None)]:
@@ -225,7 +332,7 @@ class Page:
                 run.append(text)
             elif dead[node] and self.tag[node] in INLINE:
                 run.append(" ")
-        return "\n".join(blocks)
+        return "\n".join(blocks), len(gone)
 
 
 def host(url: str = "url") -> F.Column:
@@ -260,24 +367,21 @@ def templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2) -> D
 def main_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2) -> DataFrame:
     """All columns of pages, and text, n_chars and n_templates (outermost elements that recurrence deleted); columns of pages by these names are replaced."""
     found = written(templates(pages, min_pages, min_share), "templates")
-    lists = found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("subtree").alias("_template"))
+    site, of, known, salt, part, out = (free_name(pages, c, "text", "n_chars", "n_templates") for c in ("_site", "_host", "_template", "_salt", "_part", "_out"))
+    lists = found.groupBy(F.col("host").alias(of)).agg(F.collect_set("subtree").alias(known))
     # A host's template is at most 1 / min_share times the block elements of one page on average.
-    marked = pages.withColumn("_site", host())
-    small = found.count() <= BROADCAST_ROWS
-    if small:
-        marked = marked.join(F.broadcast(lists), F.col("_site") == F.col("_host"), "left")
+    marked = pages.withColumn(site, host())
+    if found.count() <= BROADCAST_ROWS:
+        marked = marked.join(F.broadcast(lists), F.col(site) == F.col(of), "left")
     else:  # a host's pages are spread over SALT tasks, each with its list
-        salted = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        marked = marked.withColumn("_salt", F.pmod(F.xxhash64("url", "html"), F.lit(SALT)).cast("int"))
-        marked = marked.join(salted, (F.col("_site") == F.col("_host")) & (F.col("_salt") == F.col("_part")), "left").drop("_salt", "_part")
+        salted = lists.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        marked = marked.withColumn(salt, F.pmod(F.xxhash64("url", "html"), F.lit(SALT)).cast("int"))
+        marked = marked.join(salted, (F.col(site) == F.col(of)) & (F.col(salt) == F.col(part)), "left").drop(salt, part)
 
     @F.pandas_udf("text string, n_templates int")
     def extract(source: pd.Series, template: pd.Series) -> pd.DataFrame:
-        rows = []
-        for html, found in zip(source, template):
-            page, known = Page(html or ""), frozenset(found) if found is not None else frozenset()
-            rows.append((page.text(known), len(page.recurring(known))))
+        rows = [Page(html or "").main(frozenset(found) if found is not None else frozenset()) for html, found in zip(source, template)]
         return pd.DataFrame(rows, columns=["text", "n_templates"])
 
-    out = marked.withColumn("_out", extract("html", "_template")).drop("_site", "_host", "_template")
-    return out.withColumns({"text": F.col("_out.text"), "n_chars": F.length("_out.text").cast("long"), "n_templates": F.col("_out.n_templates")}).drop("_out")
+    marked = marked.withColumn(out, extract("html", known)).drop(site, of, known)
+    return marked.withColumns({"text": F.col(out)["text"], "n_chars": F.length(F.col(out)["text"]).cast("long"), "n_templates": F.col(out)["n_templates"]}).drop(out)
