@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobmarket.operators.order import with_place
+
 #: The status graph.
 TRANSITIONS = {
     "Saved": ("Applied", "Interview", "Withdrawn"), "Applied": ("Interview", "Rejected", "Withdrawn"), "Interview": ("Offer", "Rejected", "Withdrawn"), "Offer": ("Withdrawn",),
@@ -17,22 +22,45 @@ def allowed(previous: Column, new: Column) -> Column:
     return F.coalesce(F.array_contains(F.try_element_at(table, previous), new), F.lit(False))
 
 
+#: The rules of a command, in order: the first whose facts all hold names the verdict. The batch fold and the stream read this one table.
+RULES = (
+    ("no_application", ("absent",)),
+    ("unknown_status", ("unknown",)),
+    ("reason_required", ("corrective", "bare")),
+    ("reason_refused", ("plain", "reasoned")),
+    ("unchanged", ("same",)),
+    ("accepted", ("corrective",)),
+    ("accepted", ("allowed",)),
+    ("not_allowed", ()),
+)
+
+
 def verdict(state: Column, command: Column) -> Column:
     """accepted, unchanged, or why a command is refused, given the current status (null: no application)."""
-    reason = F.trim(F.coalesce(command["reason"], F.lit("")))
-    corrective = command["kind"] == "corrective"
-    return (
-        F.when(state.isNull(), "no_application")
-        .when(~command["new_status"].isin(*TRANSITIONS) | command["new_status"].isNull(), "unknown_status")
-        .when(corrective & (reason == ""), "reason_required")
-        .when(~corrective & (reason != ""), "reason_refused")
-        .when(state == command["new_status"], "unchanged")
-        .when(corrective | allowed(state, command["new_status"]), "accepted")
-        .otherwise("not_allowed")
-    )
+    reason, corrective = F.trim(F.coalesce(command["reason"], F.lit(""))), F.coalesce(command["kind"] == "corrective", F.lit(False))
+    facts = {
+        "absent": state.isNull(), "unknown": ~command["new_status"].isin(*TRANSITIONS) | command["new_status"].isNull(), "corrective": corrective, "plain": ~corrective,
+        "bare": reason == "", "reasoned": reason != "", "same": F.coalesce(state == command["new_status"], F.lit(False)), "allowed": allowed(state, command["new_status"]),
+    }
+    out = None
+    for name, needed in RULES:
+        holds = reduce(and_, [facts[f] for f in needed], F.lit(True))
+        out = F.when(holds, name) if out is None else out.when(holds, name)
+    return out
+
 
+def verdict_of(state: str | None, new_status: str | None, kind: str | None, reason: str | None) -> str:
+    """verdict, for one command of a stream."""
+    said, corrective = (reason or "").strip(" "), kind == "corrective"
+    facts = {
+        "absent": state is None, "unknown": new_status not in TRANSITIONS, "corrective": corrective, "plain": not corrective, "bare": not said, "reasoned": bool(said),
+        "same": state is not None and state == new_status, "allowed": new_status in TRANSITIONS.get(state or "", ()),
+    }
+    return next(name for name, needed in RULES if all(facts[f] for f in needed))
 
-FOLD = 500  # commands that are folded together
+
+FOLD = 500  # commands that are folded together, and maps that are composed together
+OTHER = "?"  # in a map: a status that the graph does not know, unmoved
 
 
 def apply_commands(applications: DataFrame, commands: DataFrame) -> DataFrame:
@@ -40,30 +68,47 @@ def apply_commands(applications: DataFrame, commands: DataFrame) -> DataFrame:
 
     applications: vacancy_source_url, status. commands: id, vacancy_source_url, new_status, kind, reason.
 
-    An application's commands are cut into runs of FOLD in order of their ids. A run maps each possible status before it to one after
-    it; composing the maps of the runs before gives the status each run starts from, and then all runs are folded apart from
-    each other. So an application with very many commands is spread over tasks, and no list grows beyond a run.
+    Commands are placed in order of application and id over range partitions, and cut by place into runs of at most FOLD. A run maps each possible
+    status before it to one after it. Up to FOLD neighbouring maps are composed to one of the next level, until an application has a single one; then
+    statuses go down again: a node's start gives its children theirs. The depth is the logarithm of the commands to the base FOLD, and no list
+    is longer than FOLD, so an application with any number of commands is spread over tasks.
     """
     key = "vacancy_source_url"
     rest = [c for c in commands.columns if c not in ("id", key)]
-    place = F.row_number().over(Window.partitionBy(key).orderBy("id"))
-    runs = commands.withColumn("_run", F.floor((place - 1) / FOLD)).groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct("id", *rest))).alias("_c"))
-    states = F.array(*map(F.lit, TRANSITIONS))
+    placed = with_place(commands, [F.col(key).asc(), F.col("id").asc()], "_place")
+    last = placed.agg(F.max("_place")).first()[0] or 0
+    run = F.floor((F.col("_place") - 1) / FOLD).alias("_run")
+    runs = placed.groupBy(key, run).agg(F.array_sort(F.collect_list(F.struct("id", *rest))).alias("_c"))
+    states = F.array(*map(F.lit, (*TRANSITIONS, OTHER)))
     after = lambda s, c: F.when(verdict(s, c) == "accepted", c["new_status"]).otherwise(s)
-    maps = runs.withColumn("_map", F.transform(states, lambda s: F.aggregate("_c", s, after)))
-    before = F.collect_list("_map").over(Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))  # six texts for each FOLD commands
-    joined = maps.withColumn("_before", before).drop("_map").join(applications.select(key, F.col("status").alias("_status")), key, "left")
-    through = lambda s, m: F.coalesce(F.try_element_at(m, F.array_position(states, s).cast("int")), s)
-    joined = joined.withColumn("_start", F.when(F.col("_status").isNotNull(), F.aggregate("_before", F.col("_status"), through)))
+    known = lambda s: F.coalesce(F.nullif(F.array_position(states, s).cast("int"), F.lit(0)), F.lit(len(TRANSITIONS) + 1))
+    level = runs.select(key, "_run", F.transform(states, lambda s: F.aggregate("_c", s, after)).alias("_map"))
+    levels: list[DataFrame] = []
+    through = lambda s, m: F.when(F.element_at(m, known(s)) == OTHER, s).otherwise(F.element_at(m, known(s)))
+    size = FOLD
+    while size < last:  # as deep as the logarithm of all commands
+        parents = level.groupBy(key, F.floor(F.col("_run") / FOLD).alias("_parent")).agg(F.array_sort(F.collect_list(F.struct("_run", "_map"))).alias("_children"))
+        levels.append(parents)
+        level = parents.select(key, F.col("_parent").alias("_run"), F.transform(states, lambda s: F.aggregate("_children", s, lambda x, child: F.element_at(child["_map"], known(x)))).alias("_map"))
+        size *= FOLD
+    starts = level.select(key, "_run").join(applications.select(key, F.col("status").alias("_start")), key, "left")
+    for parents in reversed(levels):
+        step = lambda s, child: F.struct(
+            F.when(s["now"].isNotNull(), through(s["now"], child["_map"])).alias("now"), F.concat(s["out"], F.array(F.struct(child["_run"].alias("_run"), s["now"].alias("_start")))).alias("out")
+        )
+        begin = F.struct(F.col("_start").alias("now"), F.array().cast("array<struct<_run:bigint,_start:string>>").alias("out"))
+        opened = parents.withColumnRenamed("_parent", "_run").join(starts, [key, "_run"]).drop("_run")
+        starts = opened.select(key, F.explode(F.aggregate("_children", begin, step, lambda s: s["out"])).alias("_x")).select(key, "_x._run", "_x._start")
+    joined = runs.join(starts, [key, "_run"])
 
-    def step(s: Column, c: Column) -> Column:
+    def step_command(s: Column, c: Column) -> Column:
         v = verdict(s["now"], c)
         row = F.struct(c.alias("command"), s["now"].alias("previous_status"), v.alias("verdict"))
         return F.struct(F.when(v == "accepted", c["new_status"]).otherwise(s["now"]).alias("now"), F.concat(s["out"], F.array(row)).alias("out"))
 
     kind = f"array<struct<command:{commands.select(F.struct('id', *rest).alias('x')).schema['x'].dataType.simpleString()},previous_status:string,verdict:string>>"
     start = F.struct(F.col("_start").alias("now"), F.array().cast(kind).alias("out"))
-    out = joined.withColumn("_o", F.explode(F.aggregate("_c", start, step, lambda s: s["out"])))
+    out = joined.withColumn("_o", F.explode(F.aggregate("_c", start, step_command, lambda s: s["out"])))
     return out.select(key, *[F.col(f"_o.command.{c}").alias(c) for c in ("id", *rest)], "_o.previous_status", "_o.verdict")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,26 @@ def a18_committed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read("analyses").unionByName(read("vacancies"))
 
 
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'first' ELSE 'second' END AS writer FROM customer")
+def a18_optimistic_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writers add their rows to one table; the second commits while the first computes, so the first computes anew."""
+    folder, schema = tables.scratch_folder(spark), "id long, writer string"
+    c = _t(spark, sf_dir, "customer")
+    rows = lambda rest, who: c.where(f"c_custkey % 2 = {rest}").select(F.col("c_custkey").alias("id"), F.lit(who).alias("writer"))
+    tables.commit_tables({"rows": rows(0, "first").limit(0)}, folder)
+    rival = [rows(1, "second")]
+
+    def change(read: Callable) -> dict[str, DataFrame]:
+        held = read("rows", schema)
+        if rival:
+            theirs = rival.pop()
+            tables.transact(spark, folder, lambda read: {"rows": read("rows", schema).unionByName(theirs)})
+        return {"rows": held.unionByName(rows(0, "first"))}
+
+    tables.transact(spark, folder, change)
+    return tables.read_table(spark, folder, "rows", schema)
+
+
 @query("SELECT substr('CV of ' || n_name || ' ' || trim(repeat('work ', 10000)), 1, 24000) AS text FROM nation WHERE n_nationkey % 5 <> 0")
 def a19_cv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text file for each nation: trimmed, cut, empty ones left out."""

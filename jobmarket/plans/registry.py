@@ -16,6 +16,7 @@ from jobmarket.functions.model_output import label_for
 from jobmarket.functions.text import visible_text
 from jobmarket.operators import inbox, lifecycle, ranking, reports, score, tracking
 from jobmarket.operators.extract import first_match, list_items, path_id, PATTERNS, vacancies
+from jobmarket.operators.order import with_place
 from jobmarket.sources import boards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -299,10 +300,8 @@ def j14_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT url AS source_url, title, row_number() OVER (ORDER BY score DESC, seen DESC, title, url)::INT AS place FROM r QUALIFY place <= 20""")
 def f8_today(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twenty of the current run, with their place."""
-    from pyspark.sql import Window
-
     rows = inbox.recent(_vacancies(spark, sf_dir), _analyses(spark, sf_dir), _applications(spark, sf_dir), _runs(spark), 20)
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*inbox.inbox_order("score")))).select("source_url", "title", "place")
+    return with_place(rows, inbox.inbox_order("score")).select("source_url", "title", F.col("place").cast("int").alias("place"))
 
 
 @query(f"{_SQL} SELECT p.url AS vacancy_source_url, p.status, v.title, coalesce(p.pinned, l.analysis_id) AS analysis_id, a.score FROM p JOIN v USING (url) LEFT JOIN l USING (url) LEFT JOIN a ON a.id = coalesce(p.pinned, l.analysis_id)")
@@ -417,6 +416,23 @@ def j6_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.apply_commands(*_commands(spark, sf_dir)).select("vacancy_source_url", "id", "previous_status", "new_status", "verdict")
 
 
+_STORED = _COMMANDS.replace("'Saved' AS prev", "now AS prev").replace("SELECT *, 'Saved' AS now FROM c", "SELECT *, CASE WHEN url % 8 < 6 THEN ['Saved', 'Applied', 'Interview', 'Offer', 'Rejected', 'Withdrawn'][1 + url % 8] END AS now FROM c").replace("VERDICT", _VERDICT.replace("CASE WHEN", "CASE WHEN now IS NULL THEN 'no_application' WHEN", 1))
+
+
+def _stored_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applications of three quarters of the users, in all statuses."""
+    user = F.col("user_id")
+    status = F.element_at(F.array(*map(F.lit, tracking.TRANSITIONS)), (user % 8 + 1).cast("int"))
+    return _t(spark, sf_dir, "events").select("user_id").distinct().where("user_id % 8 < 6").select(user.alias("vacancy_source_url"), status.alias("status"))
+
+
+@query(_STORED + " SELECT url AS vacancy_source_url, id, prev AS previous_status, new AS new_status, verdict FROM f")
+def j6_stored_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands upon stored statuses, and upon no application."""
+    _, commands = _commands(spark, sf_dir)
+    return tracking.apply_commands(_stored_statuses(spark, sf_dir), commands).select("vacancy_source_url", "id", "previous_status", "new_status", "verdict")
+
+
 @query("""
     WITH i AS (SELECT o_orderkey AS action_id, o_orderdate AS due, o_orderkey % 4 = 0 AS done FROM orders), n AS (SELECT max(due) AS now FROM i WHERE action_id % 3 = 0)
     SELECT action_id, CASE WHEN due < now - INTERVAL 100 DAY THEN 'overdue' ELSE 'due_soon' END AS reminder_state FROM i, n WHERE NOT done AND due IS NOT NULL AND due <= now - INTERVAL 99 DAY""")

@@ -5,11 +5,12 @@ Customers are vacancies, orders are analyses, a customer's other columns make it
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmarket.operators import inbox, lifecycle, tracking
-from jobmarket.plans.registry import _COMMANDS, _SQL, _VERDICT, _analyses, _applications, _observations, _results, _runs, _t, _vacancies, query
+from jobmarket.operators.order import with_place
+from jobmarket.plans.registry import _COMMANDS, _SQL, _STORED, _VERDICT, _analyses, _applications, _observations, _results, _runs, _stored_statuses, _t, _vacancies, query
 from jobmarket.sources.tables import scratch_folder
 from jobmarket.streaming import observations
 
@@ -26,7 +27,7 @@ def _at(seconds: Column) -> Column:
 
 def _placed(df: DataFrame, order: list[Column], *columns: str) -> DataFrame:
     """Columns and the place in an order, which an SQL result without order can be compared with."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*order))).select(*columns, "place")
+    return with_place(df, order).select(*columns, F.col("place").cast("int").alias("place"))
 
 
 # --- lifecycle -------------------------------------------------------------------------------------------
@@ -265,13 +266,28 @@ def k2_first_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_COMMANDS.replace("VERDICT AS verdict", f"{_VERDICT} AS verdict").replace("now, VERDICT FROM", f"now, {_VERDICT} FROM") + " SELECT id, prev AS previous_status, new AS new_status, verdict FROM f")
 def k3_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The commands of j6, as a stream with one state for each application."""
+    return _streamed(spark, sf_dir, None)
+
+
+@query(_STORED + " SELECT id, prev AS previous_status, new AS new_status, verdict FROM f")
+def k3_stored_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commands of j6 upon stored statuses, which the stream takes as its initial state."""
+    stored = _stored_statuses(spark, sf_dir)
+    return _streamed(spark, sf_dir, stored.select(F.col("vacancy_source_url").cast("string").alias("vacancy_source_url"), "status"))
+
+
+def _streamed(spark: SparkSession, sf_dir: str, stored: DataFrame | None) -> DataFrame:
+    """Verdicts of the commands, which arrive in three batches in order of their ids."""
     folder = scratch_folder(spark)
     e = _t(spark, sf_dir, "events")
+    third = e.agg((F.max("event_id") / 3).alias("n")).first()["n"] or 1.0
     new = F.element_at(F.array(*map(F.lit, ("Applied", "Interview", "Offer", "Rejected", "Withdrawn", "Saved"))), (F.col("event_id") % 6 + 1).cast("int"))
-    e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("vacancy_source_url"), new.alias("new_status"), F.when(F.col("event_id") % 7 == 0, "corrective").otherwise("normal").alias("kind"), F.when(F.col("event_id") % 7 < 2, "why").otherwise("").alias("reason")).write.parquet(f"{folder}/in")
+    rows = e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("vacancy_source_url"), new.alias("new_status"), F.when(F.col("event_id") % 7 == 0, "corrective").otherwise("normal").alias("kind"), F.when(F.col("event_id") % 7 < 2, "why").otherwise("").alias("reason"))
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     observations.use_state_store(spark)
-    stream = spark.readStream.schema("id long, vacancy_source_url string, new_status string, kind string, reason string").parquet(f"{folder}/in")
-    observations.status_stream(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    for part in range(3):
+        rows.where(F.least(F.floor(F.col("id") / third), F.lit(2)) == part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("id long, vacancy_source_url string, new_status string, kind string, reason string").parquet(f"{folder}/in")
+        observations.status_stream(stream, stored).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.parquet(f"{folder}/out").select("id", "previous_status", "new_status", "verdict")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
+import time
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmarket.functions.text import cefr, decoded_bytes, work_modes, work_modes_from_json, years
 from jobmarket.functions.urls import url_list
+from jobmarket.operators.order import with_place
 from jobmarket.operators.ranking import REPORT_FIELDS, report_order
 from jobmarket.operators.score import PROFILE
+from jobmarket.sources.scratch import scratch_folder  # noqa: F401  for those who read and write tables
 
 CV_LIMIT = 24_000
 PROFILE_JSON = (
@@ -77,55 +82,113 @@ def write_report(refined: DataFrame, path: str) -> None:
     ranked.orderBy("rank").select(*have).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder for what a job writes and reads again: in spark.checkpoint.dir; unset, a local one in local mode, and on a cluster the job fails."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        return tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
-
-
 def with_rank(refined: DataFrame) -> DataFrame:
-    """Add the 1-based rank in report order: a row's place within its rank score, after all rows of better scores.
+    """Add the 1-based rank in report order; however many rows share a score, no task numbers them all."""
+    return with_place(refined, report_order(), "rank").withColumn("rank", F.col("rank").cast("int"))
 
-    blocked and rank_score lead the order and have some two hundred values: their counts give each value's first rank, so no task
-    numbers the whole table.
-    """
-    lead = ("blocked", "rank_score")
-    counts = refined.groupBy(*lead).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(F.col("blocked").asc(), F.col("rank_score").desc()).rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(*[F.col(c).alias(f"_{c}") for c in lead], F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(*lead).orderBy(*report_order()[2:]))
-    numbered = refined.withColumn("_within", within)
-    joined = numbered.join(F.broadcast(starts), F.col("blocked").eqNullSafe(F.col("_blocked")) & F.col("rank_score").eqNullSafe(F.col("_rank_score")))  # a row for each score
-    return joined.withColumn("rank", (F.col("_before") + F.col("_within")).cast("int")).drop("_within", "_before", "_blocked", "_rank_score")
-
-
-def commit_tables(tables: dict[str, DataFrame], path: str) -> int:
-    """Write the next version of several tables that change together. Readers see all of them or none: the commit is a row of versions, written last."""
-    spark = next(iter(tables.values())).sparkSession
-    held = read_commit(spark, path)
-    held |= {name: write_state(df, f"{path}/{name}") for name, df in tables.items()}
-    return write_state(spark.createDataFrame(sorted(held.items()), "name string, version int").coalesce(1), f"{path}/commits")
 
+class Conflict(RuntimeError):
+    """Another writer changed a table that this commit read or writes."""
 
-def read_commit(spark: SparkSession, path: str) -> dict[str, int]:
-    return {r["name"]: r["version"] for r in read_state(spark, f"{path}/commits", "name string, version int").collect()}
 
+def commit_tables(tables: dict[str, DataFrame], path: str, read: dict[str, int] | None = None, attempts: int = 20) -> int:
+    """Commit several tables that change together; returns the number of the commit.
 
-def read_table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """A table as of the newest commit; empty before its first. A version that no commit names is not seen."""
-    version = read_commit(spark, path).get(name)
-    return spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(f"{path}/{name}/version={version}")
+    Readers see all of them or none. The data goes to folders of their own first; then the next commit number is claimed by creating its file, which
+    the file system grants to one writer. A loser reads what won: if it left alone every table written here and every table in `read` (the
+    versions this change was computed from, see read_commit), the next number is tried; else Conflict is raised, and what was written stays unseen.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    base = read_commit(spark, path) if read is None else read
+    watched = set(tables) | set(read or {})
+    new = {}
+    for name, df in tables.items():
+        new[name] = f"{name}/data={uuid.uuid4().hex}"
+        df.write.parquet(f"{path}/{new[name]}")
+    for _ in range(attempts):
+        number, held = _newest_commit(spark, path)
+        changed = sorted(t for t in watched if held.get(t) != base.get(t))
+        if changed:
+            raise Conflict(f"changed by another writer: {', '.join(changed)}")
+        if _create(spark, f"{path}/commits/{number + 1:012d}", json.dumps(held | new, sort_keys=True)):
+            return number + 1
+    raise Conflict("too many writers")
+
+
+def transact(spark: SparkSession, path: str, change: Callable[[Callable[[str, str], DataFrame]], dict[str, DataFrame]], attempts: int = 5) -> int:
+    """Commit change(read), computed anew on the newest versions whenever another writer changed what it read or writes. read(name, schema) reads a table."""
+    for attempt in range(attempts):
+        held = read_commit(spark, path)
+        used: dict[str, str | None] = {}
+
+        def read(name: str, schema: str) -> DataFrame:
+            used[name] = held.get(name)
+            return read_table(spark, path, name, schema, held)
+
+        tables = change(read)
+        try:
+            return commit_tables(tables, path, {**{t: held.get(t) for t in tables}, **used})
+        except Conflict:
+            if attempt == attempts - 1:
+                raise
+    raise Conflict("too many writers")
+
+
+GRACE = 10.0  # seconds after which a commit file that is still incomplete counts as that of a dead writer
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's path and the file system that holds it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _create(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file if there is none by that name; the file system lets one writer do so."""
+    at, files = _files(spark, path)
+    files.mkdirs(at.getParent())
+    try:
+        out = files.create(at, False)
+    except Py4JJavaError:
+        if files.exists(at):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def _newest_commit(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
+    """Number and folders of the newest commit; -1 before the first. A file that stays incomplete changed nothing: the commit before it counts."""
+    at, files = _files(spark, f"{path}/commits/*")
+    done = sorted((str(s.getPath().getName()) for s in files.globStatus(at) or []), reverse=True)
+    done = [name for name in done if name.isdigit()]
+    for name in done:
+        until = time.monotonic() + GRACE
+        while True:
+            text = "".join(r[0] for r in spark.read.text(f"{path}/commits/{name}", wholetext=True).collect())  # one line
+            if text.endswith("}"):
+                return int(done[0]), json.loads(text)
+            if time.monotonic() > until:
+                break
+            time.sleep(0.2)
+    return (int(done[0]) if done else -1), {}
+
+
+def read_commit(spark: SparkSession, path: str) -> dict[str, str]:
+    """The folder of each table as of the newest commit."""
+    return _newest_commit(spark, path)[1]
+
+
+def read_table(spark: SparkSession, path: str, name: str, schema: str, held: dict[str, str] | None = None) -> DataFrame:
+    """A table as of the newest commit (or of `held`); empty before its first. Data that no commit names is not seen."""
+    folder = (read_commit(spark, path) if held is None else held).get(name)
+    return spark.createDataFrame([], schema) if folder is None else spark.read.schema(schema).parquet(f"{path}/{folder}")
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
-    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
-    return sorted(int(str(s.getPath().getParent().getName()).partition("=")[2]) for s in found or [])
+    at, files = _files(spark, f"{path}/version=*/_SUCCESS")
+    return sorted(int(str(s.getPath().getParent().getName()).partition("=")[2]) for s in files.globStatus(at) or [])
 
 
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from jobmarket.functions.urls import canonical_url
-from jobmarket.operators.tracking import TRANSITIONS
+from jobmarket.operators.tracking import verdict_of
 
 
 def seen_times(observations: DataFrame) -> DataFrame:
@@ -78,38 +78,41 @@ EVENTS = "vacancy_source_url string, id long, previous_status string, new_status
 
 
 class StatusMachine(StatefulProcessor):
-    """The current status of one application; commands arrive in batches and are taken in order of their ids."""
+    """The current status of one application; commands arrive in batches and are taken in order of their ids, by the rules of the batch fold."""
+
+    def __init__(self, unknown: str | None) -> None:
+        self.unknown = unknown  # status of an application that is not stored
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.status = handle.getValueState("status", "status string")
 
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:  # noqa: N802, N803
+        self.status.update((initialState["status"].iloc[0],))
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = self.status.get()[0] if self.status.exists() else "Saved"
+        now = self.status.get()[0] if self.status.exists() else self.unknown
         out = []
         for c in pd.concat(list(rows)).sort_values("id").itertuples():
-            reason, corrective = (c.reason or "").strip(), c.kind == "corrective"
-            if c.new_status not in TRANSITIONS:
-                said = "unknown_status"
-            elif corrective and not reason:
-                said = "reason_required"
-            elif reason and not corrective:
-                said = "reason_refused"
-            elif c.new_status == now:
-                said = "unchanged"
-            else:
-                said = "accepted" if corrective or c.new_status in TRANSITIONS[now] else "not_allowed"
+            said = verdict_of(now, c.new_status, c.kind, c.reason)
             out.append((key[0], c.id, now, c.new_status, said))
             now = c.new_status if said == "accepted" else now
-        self.status.update((now,))
+        if now is not None:
+            self.status.update((now,))
         yield pd.DataFrame(out, columns=["vacancy_source_url", "id", "previous_status", "new_status", "verdict"])
 
     def close(self) -> None:
         pass
 
 
-def status_stream(commands: DataFrame) -> DataFrame:
-    """Verdicts of a command stream (id, vacancy_source_url, new_status, kind, reason); every application starts as Saved."""
-    return commands.groupBy("vacancy_source_url").transformWithStateInPandas(StatusMachine(), outputStructType=EVENTS, outputMode="append", timeMode="None")
+def status_stream(commands: DataFrame, applications: DataFrame | None = None) -> DataFrame:
+    """Verdicts of a command stream (id, vacancy_source_url, new_status, kind, reason).
+
+    applications (vacancy_source_url, status; one row each): the stored statuses, which the first batch takes as initial state; an application that is not
+    stored has none, as in the batch fold. Without them every application starts as Saved.
+    """
+    stored = None if applications is None else applications.select("vacancy_source_url", "status").where("status is not null").groupBy("vacancy_source_url")
+    machine = StatusMachine("Saved" if applications is None else None)
+    return commands.groupBy("vacancy_source_url").transformWithStateInPandas(machine, outputStructType=EVENTS, outputMode="append", timeMode="None", initialState=stored)
 
 
 def use_state_store(spark: SparkSession) -> None:
