@@ -2,8 +2,8 @@
 
 Terms are runs of digits, letters and all characters beyond ASCII, with A-Z lower-cased. Each document's score for an item is a sum over the item's terms, in whole numbers, so every order of adding gives the same.
 
-Index: documents are cut into shards of a bounded size; each task builds its shards' posting lists of all terms, in blocks of 128 documents: gaps and counts packed
-in as few bytes as they need, and beside them each block's last document and its greatest possible share of a score. A list has its greatest share as
+Index: documents are cut into shards of a bounded size; each task builds its shards' posting lists of all terms, in blocks of 128 documents: gaps and counts in
+groups of seven bits, as few as they need, and beside them each block's last document and its greatest possible share of a score. A list has its greatest share as
 well. The index is written once to the shared folder, holds every term, and serves any number of items.
 
 Search: items go in blocks of bounded size, shards one by one. In a shard an item's lists are ordered by their bounds; the lists whose bounds together cannot reach
@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 
 from jobmarket.llm.common import prefix_sums, sized, written
 
-#: What ends a term.
-BREAKS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 SCALE, K1, B = 1_000_000_000, 1000, 12  # of the share of a term
 SHARD_BYTES = 32_000_000  # of terms, one document more at most
 PART = 1 << 20  # bytes of a text that are split at a time
@@ -56,51 +54,76 @@ def share(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
     return SCALE * tf // (K1 * tf + B * m)
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Width (1, 2, 4 or 8 bytes) and the values in it."""
-    top = int(values.max(initial=0))
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+def _packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values in groups of seven bits, the last byte of each below 128; and where each begins, with the end of all."""
+    size = np.ones(len(values), np.int64)
+    for bits in range(7, 63, 7):
+        size += values >= 1 << bits
+    ends = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(ends[-1], np.uint8)
+    for k in range(int(size.max(initial=0))):
+        on = np.flatnonzero(size > k)
+        out[ends[on] + k] = (values[on] >> (7 * k) & 127) | np.where(size[on] > k + 1, 128, 0)
+    return out, ends
+
+
+def _unpacked(data: np.ndarray) -> np.ndarray:
+    """The values of _packed."""
+    stop = data < 128
+    number = np.cumsum(stop) - stop
+    first = np.flatnonzero(np.concatenate([[True], stop[:-1]]))
+    place = np.arange(len(data)) - first[number]
+    out = np.zeros(len(first), np.int64)
+    for k in range(int(place.max(initial=-1)) + 1):
+        on = place == k
+        out[number[on]] |= (data[on].astype(np.int64) & 127) << (7 * k)
+    return out
+
 
+def _strings(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Slices of one buffer as an array of byte strings."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(data.tobytes())])
 
-def _unpack(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
-    width = data[at]
-    end = at + 1 + width * n
-    return np.frombuffer(data, f"<u{width}", n, at + 1).astype(np.int64), end
 
+INDEX = "shard long, term binary, df long, best long, firsts binary, lasts binary, maxima binary, places binary, packed binary, ids binary, no_id binary, norms binary"
 
-INDEX = "shard long, term binary, df long, best long, lasts binary, maxima binary, places binary, packed binary, ids binary, no_id binary, norms binary"
+
+def postings(keys: np.ndarray, n_ids: int, m: np.ndarray) -> list[pa.Array]:
+    """The columns df, best, firsts, lasts, maxima, places and packed of every term; keys: term * n_ids + document of each occurrence, m: the documents' norms."""
+    pairs, tf = np.unique(keys, return_counts=True)
+    term, doc = pairs // n_ids, pairs % n_ids
+    gain = share(tf, m[doc])
+    starts = np.flatnonzero(np.diff(term, prepend=-1))
+    df = np.diff(np.append(starts, len(term)))
+    place = np.arange(len(term)) - np.repeat(starts, df)
+    block = np.flatnonzero(place % BLOCK == 0)  # where blocks begin
+    gaps = np.diff(doc, prepend=0)
+    gaps[block] = 0
+    data, ends = _packed(np.stack([gaps, tf], axis=1).ravel())
+    n_blocks = -(-df // BLOCK)
+    block_ends = np.concatenate([[0], np.cumsum(n_blocks)])
+    byte = ends[2 * np.append(starts, len(term))]
+    last = np.append(block[1:], len(term)) - 1
+    four = lambda x: _strings(x.astype("<u4").view(np.uint8), 4 * block_ends)
+    return [
+        pa.array(df), pa.array(np.maximum.reduceat(gain, starts)), four(doc[block]), four(doc[last]), four(np.maximum.reduceat(gain, block)),
+        four(ends[2 * block] - np.repeat(byte[:-1], n_blocks)), _strings(data, byte),
+    ]
 
 
 def build_index(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     """Posting lists by shard; a shard's row with a null term holds its documents' ids and norms."""
+    names = [c.split()[0] for c in INDEX.split(", ")]
 
-    def shard_rows(shard: int, ids: list, lengths: list, runs: list, vocabulary: dict) -> pa.RecordBatch:
+    def shard_rows(shard: int, ids: list, lengths: list, runs: list, vocabulary: dict) -> Iterator[pa.RecordBatch]:
         n = np.array(lengths, np.int64)
         m = 75 + (25 * n * n_docs) // n_terms
-        docs_of = np.repeat(np.arange(len(n)), n)
-        keys, tf = np.unique(np.concatenate(runs) * len(n) + docs_of, return_counts=True)
-        term, doc = keys // len(n), keys % len(n)
-        gain = share(tf, m[doc])
-        bounds = np.flatnonzero(np.diff(term, prepend=-1, append=-1))
-        names = list(vocabulary)
-        cols: dict[str, list] = {c.split()[0]: [] for c in INDEX.split(", ")}
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            starts = np.arange(a, b, BLOCK)
-            ends = np.minimum(starts + BLOCK, b)
-            parts, places = [], [0]
-            for s, e in zip(starts.tolist(), ends.tolist()):
-                parts.append(_pack(np.diff(doc[s:e], prepend=doc[s])) + _pack(tf[s:e]))
-                places.append(places[-1] + len(parts[-1]))
-            row = (shard, names[int(term[a])], b - a, int(gain[a:b].max()), np.stack([doc[starts], doc[ends - 1]]).astype("<i4").tobytes(),
-                   np.maximum.reduceat(gain[a:b], starts - a).astype("<i4").tobytes(), np.array(places[:-1], "<i8").tobytes(), b"".join(parts), None, None, None)
-            for c, v in zip(cols, row):
-                cols[c].append(v)
-        numbers, no_id = np.array([i or 0 for i in ids], "<i8"), np.array([i is None for i in ids], bool)
-        for c, v in zip(cols, (shard, None, len(n), 0, None, None, None, None, numbers.tobytes(), no_id.tobytes(), m.astype("<i8").tobytes())):
-            cols[c].append(v)
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), *[pa.binary()] * 7]
-        return pa.RecordBatch.from_arrays([pa.array(cols[c], k) for c, k in zip(cols, kinds)], names=list(cols))
+        keys = np.concatenate(runs) * len(n) + np.repeat(np.arange(len(n)), n)
+        lists = postings(keys, len(n), m)
+        size, none = len(vocabulary), pa.nulls(len(vocabulary), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(size, shard)), pa.array(list(vocabulary), pa.binary()), *lists, none, none, none], names=names)
+        own = (np.array([i or 0 for i in ids], "<i8"), np.array([i is None for i in ids], bool), m.astype("<i8"))
+        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.nulls(1, pa.binary()), pa.array([len(n)]), pa.array([0]), *[pa.nulls(1, pa.binary())] * 5, *[pa.array([x.tobytes()], pa.binary()) for x in own]], names=names)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, number = TaskContext.get().partitionId() << 32, 0
@@ -111,39 +134,53 @@ def build_index(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
                 for found in terms(text.as_py()):
                     runs.append(np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found)))
                     length += len(found)
-                    size += sum(map(len, found)) + len(found)
+                    size += 7 * len(found)
                 if not length:
                     continue
                 ids.append(doc_id.as_py())
                 lengths.append(length)
                 if size >= SHARD_BYTES:
-                    yield shard_rows(first + number, ids, lengths, runs, vocabulary)
+                    yield from shard_rows(first + number, ids, lengths, runs, vocabulary)
                     number += 1
                     ids, lengths, runs, size, vocabulary = [], [], [], 0, defaultdict(count().__next__)
         if ids:
-            yield shard_rows(first + number, ids, lengths, runs, vocabulary)
+            yield from shard_rows(first + number, ids, lengths, runs, vocabulary)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return written(texts.mapInArrow(build, INDEX), "lexical-index")
 
 
+def totals(docs: DataFrame) -> tuple[int, int]:
+    """Documents with a term, and the terms of all."""
+    separates = np.frombuffer(_TABLE, np.uint8) == 32
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = []
+            for text in batch.column("text"):
+                data = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
+                gap = np.concatenate([[True], separates[data]]) if len(data) else np.ones(1, bool)
+                n.append(int(np.count_nonzero(gap[:-1] & ~gap[1:])))
+            yield pa.RecordBatch.from_pydict({"docs": pa.array([sum(x > 0 for x in n)], pa.int64()), "terms": pa.array([sum(n)], pa.int64())})
+
+    r = docs.select("text").mapInArrow(tally, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
+    return r[0] or 0, r[1] or 0
+
+
 class Postings:
     """One list of one shard; blocks are unpacked when a candidate needs them."""
 
     def __init__(self, row) -> None:
         self.df, self.best = int(row.df), int(row.best)
-        ends = np.frombuffer(row.lasts, "<i4").reshape(2, -1)
-        self.firsts, self.lasts = ends[0].astype(np.int64), ends[1].astype(np.int64)
-        self.maxima, self.places, self.packed = np.frombuffer(row.maxima, "<i4").astype(np.int64), np.frombuffer(row.places, "<i8"), row.packed
+        self.firsts, self.lasts, self.maxima, self.places = (np.frombuffer(x, "<u4").astype(np.int64) for x in (row.firsts, row.lasts, row.maxima, row.places))
+        self.packed = np.frombuffer(row.packed, np.uint8)
         self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents and counts of block b."""
         if b not in self.open:
-            n = min(BLOCK, self.df - b * BLOCK)
-            gaps, at = _unpack(self.packed, int(self.places[b]), n)
-            tf, _ = _unpack(self.packed, at, n)
-            self.open[b] = (self.firsts[b] + np.cumsum(gaps), tf)
+            values = _unpacked(self.packed[self.places[b]:self.places[b + 1] if b + 1 < len(self.places) else None])
+            self.open[b] = (self.firsts[b] + np.cumsum(values[0::2]), values[1::2])
         return self.open[b]
 
     def blocks(self, numbers: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -225,9 +262,7 @@ def weight(n_docs: int, df: int) -> int:
 def search(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     """The k best documents of each item: item_id, rank, doc_id, score. docs: doc_id, text; items: item_id, text."""
     spark = docs.sparkSession
-    length = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(f"[^{BREAKS}]+"))
-    total = docs.select(length.alias("n")).agg(F.sum((F.col("n") > 0).cast("long")), F.sum(F.col("n").cast("long"))).first()
-    n_docs, n_terms = total[0] or 0, total[1] or 0
+    n_docs, n_terms = totals(docs)
     index = build_index(docs, n_docs, n_terms) if n_docs else None
     distinct = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     numbered = prefix_sums(distinct.withColumn("bytes", F.octet_length("text").cast("long")), ["item_id", "text"], "bytes", rank="item", before="before")

@@ -56,19 +56,20 @@ class _Row:
 
 
 def _lists(texts, n_docs, n_terms):
-    """Postings of one shard, packed by hand."""
+    """Postings of one shard."""
     m = np.array([75 + 25 * len(t) * n_docs // n_terms for t in texts], np.int64)
-    out = {}
-    for term in {w for t in texts for w in t}:
-        doc = np.array([d for d, t in enumerate(texts) if term in t], np.int64)
-        tf = np.array([texts[d].count(term) for d in doc], np.int64)
-        gain = lexical.share(tf, m[doc])
-        starts = np.arange(0, len(doc), lexical.BLOCK)
-        parts = [lexical._pack(np.diff(doc[s:s + lexical.BLOCK], prepend=doc[s])) + lexical._pack(tf[s:s + lexical.BLOCK]) for s in starts]
-        places = np.cumsum([0] + [len(p) for p in parts])[:-1]
-        ends = np.stack([doc[starts], doc[np.minimum(starts + lexical.BLOCK, len(doc)) - 1]]).astype("<i4")
-        out[term] = lexical.Postings(_Row(df=len(doc), best=int(gain.max()), lasts=ends.tobytes(), maxima=np.maximum.reduceat(gain, starts).astype("<i4").tobytes(), places=places.astype("<i8").tobytes(), packed=b"".join(parts)))
-    return out, m
+    number = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+    keys = np.array([number[w] * len(texts) + d for d, t in enumerate(texts) for w in t], np.int64)
+    columns = dict(zip(("df", "best", "firsts", "lasts", "maxima", "places", "packed"), (c.to_pylist() for c in lexical.postings(keys, len(texts), m))))
+    return {w: lexical.Postings(_Row(**{c: v[i] for c, v in columns.items()})) for w, i in number.items()}, m
+
+
+def test_packed_values_come_back():
+    rng = np.random.default_rng(1)
+    values = np.concatenate([rng.integers(0, 1 << int(b), 50) for b in rng.integers(1, 60, 40)] + [np.array([0, 127, 128, 16383, 16384, 2**61])])
+    data, ends = lexical._packed(values)
+    assert (lexical._unpacked(data) == values).all() and ends[-1] == len(data)
+    assert (lexical._unpacked(data[ends[10]:ends[20]]) == values[10:20]).all()
 
 
 def test_block_maxima_reject_candidates_before_unpacking():
