@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from jobmarket.functions.text import clean_markup, decoded_items, visible_text
+from jobmarket.functions.text import MARK, clean_markup, decoded_items, visible_text
 from jobmarket.functions.urls import parts
 from jobmarket.operators.score import searchable_text
 from jobmarket.sources.boards import Board, excluded_location, looks_remote, page_blocked, source_id, vacancy_url
@@ -103,16 +106,52 @@ def skill_tags(html: Column, most: int | None = MAX_SKILL) -> Column:
     return F.filter(found, lambda x: F.length(x) <= most) if most else found
 
 
+#: Scripts that may hold a posting more than two levels deep: two graphs, or a list inside a list.
+DEEP = r"(?s)@graph.*@graph|[\[,]\s*\["
+
+
+def find_posting(scripts: list[str]) -> str | None:
+    """JSON of the first posting, depth first: an object, an item of a list, or an item of @graph, however deep."""
+    for script in scripts:
+        try:
+            open_ = [iter([json.loads(script.strip())])]
+        except (ValueError, RecursionError):  # nested beyond what JSON readers take: as if it did not parse
+            continue
+        while open_:
+            item = next(open_[-1], open_)
+            if item is open_:
+                open_.pop()
+            elif isinstance(item, list):
+                open_.append(iter(item))
+            elif isinstance(item, dict):
+                if item.get("@type") == "JobPosting":
+                    return json.dumps(item)
+                if isinstance(item.get("@graph"), list):
+                    open_.append(iter(item["@graph"]))
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def _deep_posting(scripts: pd.Series) -> pd.Series:
+    return scripts.map(lambda s: find_posting(s.split(MARK)), na_action="ignore")
+
+
 def job_posting(html: Column) -> Column:
-    """VARIANT of the first ld+json JobPosting: an object, an item of a list, or an item of @graph."""
-    scripts = F.transform(decoded_items(F.regexp_extract_all(html, F.lit(JSON_LD), F.lit(1))), lambda s: F.try_parse_json(F.trim(s)))
+    """VARIANT of the first ld+json JobPosting: an object, an item of a list, or an item of @graph.
+
+    Two levels are column expressions. Pages whose scripts may nest deeper, and name a posting, are searched to any depth in Python; others send it a null.
+    """
+    texts_ = decoded_items(F.regexp_extract_all(html, F.lit(JSON_LD), F.lit(1)))
+    joined = F.array_join(texts_, MARK)
+    deep = F.contains(joined, F.lit("JobPosting")) & joined.rlike(DEEP)
+    scripts = F.transform(texts_, lambda s: F.try_parse_json(F.trim(s)))
     is_posting = lambda v: F.try_variant_get(v, "$['@type']", "string") == "JobPosting"
     none = F.array().cast("array<variant>")
     inside = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
     level = F.flatten(F.transform(F.filter(scripts, lambda v: v.isNotNull()), inside))
     for _ in range(2):
         level = F.flatten(F.transform(level, lambda v: F.when(is_posting(v), F.array(v)).otherwise(F.coalesce(F.try_variant_get(v, "$['@graph']", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"), none))))
-    return F.get(F.filter(level, is_posting), F.lit(0))
+    return F.when(deep, F.try_parse_json(_deep_posting(F.when(deep, joined)))).otherwise(F.get(F.filter(level, is_posting), F.lit(0)))
 
 
 def posting_fields(v: Column) -> dict[str, Column]:

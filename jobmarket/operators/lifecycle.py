@@ -27,10 +27,40 @@ def one_writer(batch: DataFrame, key: str, order: str, refresh: bool) -> DataFra
     return batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+SKETCH_URLS = 8_000_000  # stored URLs up to which their sketch is broadcast: 2 bytes each
+_WORD_URLS = 4  # URLs for each word of 64 bits
+
+
+def _bits(url: Column, words: int) -> tuple[Column, Column]:
+    """A URL's word of the sketch, and its three bits there."""
+    h = F.xxhash64(url)
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftrightunsigned", h, F.lit(at)).bitwiseAND(F.lit(63)).cast("int"))
+    return h.bitwiseAND(F.lit(words - 1)), bit(40).bitwiseOR(bit(46)).bitwiseOR(bit(52))
+
+
+def url_sketch(stored: DataFrame, words: int, key: str = "source_url") -> DataFrame:
+    """A Bloom sketch of stored URLs as rows word, bits: each URL sets three bits of one word. words: a power of two."""
+    word, bits = _bits(F.col(key), words)
+    return stored.select(word.alias("_word"), bits.alias("_b")).groupBy("_word").agg(F.bit_or("_b").alias("_bits"))
+
+
 def known_and_new(batch: DataFrame, stored: DataFrame, key: str = "source_url") -> tuple[DataFrame, DataFrame]:
-    """Batch rows whose URL is stored (only observed) and those to process."""
+    """Batch rows whose URL is stored (only observed) and those to process; a null URL is new.
+
+    A sketch of the stored URLs is broadcast: rows that it cannot hold are new where they lie, and only possible hits, with their html, are shuffled to the exact
+    join. Beyond SKETCH_URLS the batch's distinct URLs are joined with the stored ones first, and rows meet that list of known URLs.
+    """
     urls = stored.select(key)
-    return batch.join(urls, key, "left_semi"), batch.join(urls, key, "left_anti")
+    n = urls.count()
+    if n > SKETCH_URLS:
+        known = batch.select(key).distinct().join(urls, key, "left_semi")
+        return batch.join(known, key, "left_semi").select(*batch.columns), batch.join(known, key, "left_anti").select(*batch.columns)
+    words = 1 << max(6, (n // _WORD_URLS).bit_length())
+    word, bits = _bits(F.col(key), words)
+    marked = batch.withColumns({"_word": word, "_mine": bits}).join(F.broadcast(url_sketch(stored, words, key)), "_word", "left")  # a row for each four URLs at most
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mine")) == F.col("_mine"), F.lit(False)) & F.col(key).isNotNull()
+    possible, sure = marked.where(maybe).select(*batch.columns), marked.where(~maybe).select(*batch.columns)
+    return possible.join(urls, key, "left_semi").select(*batch.columns), sure.unionByName(possible.join(urls, key, "left_anti"))
 
 
 def upsert_vacancies(old: DataFrame, new: DataFrame) -> DataFrame:

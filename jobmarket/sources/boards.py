@@ -164,9 +164,15 @@ def frontier(links: DataFrame, limit: int) -> DataFrame:
     links: board, position, page, at, link.
     """
     order = F.struct("position", "page", "at")
-    firsts = links.groupBy("board", "link").agg(F.min(order).alias("_first"))
-    w = Window.partitionBy("board").orderBy("_first", "link")
-    return firsts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("board", "link", "place")
+    salted = links.withColumn("_salt", F.pmod(F.xxhash64("link"), F.lit(FRONTIER_PARTS)).cast("int"))
+    firsts = salted.groupBy("board", "_salt", "link").agg(F.min(order).alias("_first"))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_first", "link"))
+    # A board with most of all links is cut in FRONTIER_PARTS parts first; the last cut sees that many times the limit at most.
+    parts = firsts.withColumn("_place", place("board", "_salt")).where(F.col("_place") <= limit)
+    return parts.withColumn("place", place("board")).where(F.col("place") <= limit).select("board", "link", "place")
+
+
+FRONTIER_PARTS = 64
 
 
 def blocked(visible: Column, phrases: Sequence[str] = BLOCK_PHRASES) -> Column:

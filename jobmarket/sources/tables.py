@@ -7,7 +7,6 @@ import time
 import uuid
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ from jobmarket.functions.urls import url_list
 from jobmarket.operators.order import with_place
 from jobmarket.operators.ranking import REPORT_FIELDS, report_order
 from jobmarket.operators.score import PROFILE
-from jobmarket.sources.scratch import scratch_folder  # noqa: F401  for those who read and write tables
+from jobmarket.sources.scratch import listed, read_file, scratch_folder, write_file  # noqa: F401  scratch_folder: for those who read and write tables
 
 CV_LIMIT = 24_000
 PROFILE_JSON = (
@@ -110,7 +109,7 @@ def commit_tables(tables: dict[str, DataFrame], path: str, read: dict[str, int]
         changed = sorted(t for t in watched if held.get(t) != base.get(t))
         if changed:
             raise Conflict(f"changed by another writer: {', '.join(changed)}")
-        if _create(spark, f"{path}/commits/{number + 1:012d}", json.dumps(held | new, sort_keys=True)):
+        if write_file(spark, f"{path}/commits/{number + 1:012d}", json.dumps(held | new, sort_keys=True)):
             return number + 1
     raise Conflict("too many writers")
 
@@ -137,36 +136,13 @@ def transact(spark: SparkSession, path: str, change: Callable[[Callable[[str, st
 GRACE = 10.0  # seconds after which a commit file that is still incomplete counts as that of a dead writer
 
 
-def _files(spark: SparkSession, path: str) -> tuple:
-    """Hadoop's path and the file system that holds it."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _create(spark: SparkSession, path: str, text: str) -> bool:
-    """Create a file if there is none by that name; the file system lets one writer do so."""
-    at, files = _files(spark, path)
-    files.mkdirs(at.getParent())
-    try:
-        out = files.create(at, False)
-    except Py4JJavaError:
-        if files.exists(at):
-            return False
-        raise
-    out.write(bytearray(text.encode()))
-    out.close()
-    return True
-
-
 def _newest_commit(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
     """Number and folders of the newest commit; -1 before the first. A file that stays incomplete changed nothing: the commit before it counts."""
-    at, files = _files(spark, f"{path}/commits/*")
-    done = sorted((str(s.getPath().getName()) for s in files.globStatus(at) or []), reverse=True)
-    done = [name for name in done if name.isdigit()]
+    done = sorted((name for f in listed(spark, f"{path}/commits/*") if (name := f.rsplit("/", 1)[1]).isdigit()), reverse=True)
     for name in done:
         until = time.monotonic() + GRACE
         while True:
-            text = "".join(r[0] for r in spark.read.text(f"{path}/commits/{name}", wholetext=True).collect())  # one line
+            text = read_file(spark, f"{path}/commits/{name}")
             if text.endswith("}"):
                 return int(done[0]), json.loads(text)
             if time.monotonic() > until:
@@ -187,8 +163,7 @@ def read_table(spark: SparkSession, path: str, name: str, schema: str, held: dic
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
-    at, files = _files(spark, f"{path}/version=*/_SUCCESS")
-    return sorted(int(str(s.getPath().getParent().getName()).partition("=")[2]) for s in files.globStatus(at) or [])
+    return sorted(int(f.rsplit("/", 2)[1].partition("=")[2]) for f in listed(spark, f"{path}/version=*/_SUCCESS"))
 
 
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
