@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmarket.operators import inbox, lifecycle, ranking, reports, tracking
+from jobmarket.operators import extract, inbox, lifecycle, ranking, reports, tracking
 from jobmarket.operators.order import with_place
 from jobmarket.plans.field_queries import _RANKED
 from jobmarket.plans.registry import _LABEL, _SQL, _analyses, _applications, _refined, _t, _vacancies, query
 from jobmarket.sources import boards
+from jobmarket.sources.buckets import BucketedTable
 from jobmarket.sources.scratch import scratch_folder
 from jobmarket.streaming import observations
 
@@ -139,3 +140,45 @@ def k2_expiring_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = spark.readStream.schema("user_id long, p int, arrived_at timestamp, url string").parquet(f"{folder}/in")
         observations.first_arrivals(stream, "1 day").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("user_id", F.col("p").alias("batch"), F.unix_micros("arrived_at").alias("at_us"))
+
+
+# --- state tables that keep their partitioning ---------------------------------------------------------------
+
+VACANCY = "source_url BIGINT, title STRING, original_source_url STRING, first_seen_at TIMESTAMP, first_seen_run_id BIGINT, last_seen_at TIMESTAMP, last_seen_run_id BIGINT"
+
+
+@query(f"{_SQL} SELECT v.url AS source_url, v.title, analysis_id, score, {_LABEL} AS fit_label FROM v LEFT JOIN l USING (url)")
+def c1_bucketed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vacancies with their newest analysis, both stored by URL: neither side is shuffled."""
+    folder = scratch_folder(spark)
+    vacancies = BucketedTable(spark, folder, "vacancies", "source_url BIGINT, title STRING", "source_url", 8, 8)
+    analyses = BucketedTable(spark, folder, "analyses", "vacancy_source_url BIGINT, id BIGINT, score INT, fit_label STRING", "vacancy_source_url", 8, 8)
+    vacancies.replace(_vacancies(spark, sf_dir).select("source_url", "title"))
+    analyses.replace(_analyses(spark, sf_dir))
+    return inbox.with_analysis(vacancies.read(), analyses.read()).select("source_url", "title", "analysis_id", "score", "fit_label")
+
+
+@query("""
+    SELECT c_custkey AS source_url, CASE WHEN n THEN 'new ' ELSE 'old ' END || c_name AS title, CASE WHEN o THEN 1 ELSE 9 END AS first_run, CASE WHEN n THEN 9 ELSE 1 END AS last_run
+    FROM (SELECT *, c_custkey % 3 <> 0 AS o, c_custkey % 40 = 0 AS n FROM customer) WHERE o OR n""")
+def j1_bucketed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small batch is merged into the segments that it touches."""
+    c, at = _t(spark, sf_dir, "customer"), F.timestamp_seconds(F.lit(1704067200))
+    rows = lambda df, word, run: df.select(
+        F.col("c_custkey").alias("source_url"), F.concat(F.lit(f"{word} "), "c_name").alias("title"), F.lit(word).alias("original_source_url"), at.alias("first_seen_at"), F.lit(run).cast("long").alias("first_seen_run_id"), at.alias("last_seen_at"), F.lit(run).cast("long").alias("last_seen_run_id")
+    )
+    table = BucketedTable(spark, scratch_folder(spark), "vacancies", VACANCY, "source_url", 64, 8)
+    table.replace(rows(c.where("c_custkey % 3 <> 0"), "old", 1))
+    table.upsert(rows(c.where("c_custkey % 40 = 0"), "new", 9), lifecycle.upsert_vacancies)
+    return table.read().select("source_url", "title", F.col("first_seen_run_id").alias("first_run"), F.col("last_seen_run_id").alias("last_run"))
+
+
+@query("SELECT c_custkey, 'LD ' || c_name AS title FROM customer WHERE c_custkey % 7 < 6")
+def b12_deep_posting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings up to five graphs deep; a seventh of the pages has none."""
+    k = F.col("c_custkey")
+    depth = (k % 7).cast("int")
+    post = F.concat(F.lit('{"@type": "JobPosting", "title": "LD '), "c_name", F.lit('"}'))
+    json = F.concat(F.repeat(F.lit('{"@graph": [{"@type": "Thing"}, '), depth), F.when(depth < 6, post).otherwise("[]"), F.repeat(F.lit("]}"), depth))
+    pages = _t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit('<script type="application/ld+json">'), json, F.lit("</script>")).alias("html"))
+    return pages.select("c_custkey", F.try_variant_get(extract.job_posting(F.col("html")), "$.title", "string").alias("title")).where("title is not null")

@@ -99,14 +99,18 @@ def commit_tables(tables: dict[str, DataFrame], path: str, read: dict[str, int]
     """
     spark = next(iter(tables.values())).sparkSession
     base = read_commit(spark, path) if read is None else read
-    watched = set(tables) | set(read or {})
     new = {}
     for name, df in tables.items():
         new[name] = f"{name}/data={uuid.uuid4().hex}"
         df.write.parquet(f"{path}/{new[name]}")
+    return publish(spark, path, new, {**{t: base.get(t) for t in tables}, **(read or {})}, attempts)
+
+
+def publish(spark: SparkSession, path: str, new: dict, read: dict, attempts: int = 20) -> int:
+    """Make `new` (what each table's name stands for from now on) the next commit, unless an entry of `read` has changed since."""
     for _ in range(attempts):
         number, held = _newest_commit(spark, path)
-        changed = sorted(t for t in watched if held.get(t) != base.get(t))
+        changed = sorted(t for t in read if held.get(t) != read[t])
         if changed:
             raise Conflict(f"changed by another writer: {', '.join(changed)}")
         if write_file(spark, f"{path}/commits/{number + 1:012d}", json.dumps(held | new, sort_keys=True)):
