@@ -7,8 +7,8 @@ covered by that bound, so the answer is exact, ties included (the smaller id win
 
 Distinct codes are dealt into blocks by a hash. A code keeps its k smallest ids: no other id of it can be among any k
 nearest, since those k are as near and come first. So a code that a third of all rows bear is one row of k ids. A block's codes come
-first in its sorted run, then all queries one after the other: the index is built once for each block and every query
-searches each block once, a batch of queries in memory at a time. A block returns k ids for each query at most, and the best k are kept.
+first in its sorted run, then queries one after the other: every query
+searches each block once, a batch of queries in memory at a time. While there are fewer blocks than tasks, each block is copied for several parts of the queries. A block returns k ids for each query at most, and the best k are kept.
 
 Rows with a null or empty vector or a null id have no code: they are neither found nor searched for. Rows
 that repeat an id are found once, at the smallest distance, and take one of the k places: a search counts distinct ids. Fewer than k
@@ -31,6 +31,7 @@ from jobmarket.llm.common import written
 
 BITS = 64
 BLOCK = 65_536  # (code, id) rows of an index
+QUERIES = 256  # of a task at least, where a block's queries are spread
 SALT = 64  # parts of a code's ids before its k smallest are taken
 
 
@@ -115,14 +116,18 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = 5) -
     rows = written(_smallest_ids(rows.where("id is not null and code is not null").select("id", "code").dropDuplicates(), k), "codes")
     queries = queries.where("id is not null and code is not null").select("id", "code").dropDuplicates()
     blocks = max(1, -(-rows.count() // BLOCK))
-    dealt = rows.select("id", "code", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"))
-    asked = queries.select("id", "code", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"))
+    wide = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(-(-queries.count() // QUERIES), -(-wide // blocks)))  # few blocks are copied, so that their queries are spread
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tile = lambda block, part: (block * parts + part).cast("int").alias("tile")
+    dealt = rows.select("id", "code", F.pmod(F.xxhash64("code"), F.lit(blocks)).alias("block"), each(parts).alias("part")).select("id", "code", tile(F.col("block"), F.col("part")), F.lit(0).alias("asks"))
+    asked = queries.select("id", "code", each(blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).select("id", "code", tile(F.col("block"), F.col("part")), F.lit(1).alias("asks"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, held, ids, index = None, [], np.empty(0, np.int64), None
         for pdf in batches:
             out = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "neighbour_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="int64")})]
-            for b, part in pdf.groupby("block", sort=True):
+            for b, part in pdf.groupby("tile", sort=True):
                 if b != block:
                     block, held, index = b, [], None
                 held.append(part[part["asks"] == 0])
@@ -138,7 +143,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = 5) -
                         out.append(pd.DataFrame({"query_id": q, "neighbour_id": ids[found][order], "distance": dist[order]}).drop_duplicates("neighbour_id").head(k))
             yield pd.concat(out, ignore_index=True)
 
-    run = dealt.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "asks", "id")
+    run = dealt.unionByName(asked).repartitionById(blocks * parts, F.col("tile")).sortWithinPartitions("tile", "asks", "id")
     found = run.mapInPandas(search, "query_id long, neighbour_id long, distance long")
     found = found.groupBy("query_id", "neighbour_id").agg(F.min("distance").alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from jobmarket.llm import html_text, packing
+from jobmarket.llm import hamming, html_text, packing
 from jobmarket.llm.registry import op5_template_removal, op6_extendible_hash_dedup, op10_bayes_shingle_join
 
 NONE = frozenset()
@@ -109,3 +109,17 @@ def test_many_end_marks(spark):
         assert [int.from_bytes(encoder.encode(t)[i:i + 4], "little") for i in range(0, 4 * len(want), 4)] == want
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {r["doc_id"]: r["n"] for r in packing.pieces(docs, path).groupBy("doc_id").sum("length").withColumnRenamed("sum(length)", "n").collect()}[0] == 5001
+
+
+def test_a_blocks_queries_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "QUERIES", 20)
+    rng = random.Random(2)
+    rows = [(i, rng.getrandbits(63)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id long, code long")
+    out = hamming.top_k(df, df.where("id % 10 = 0"), 5)
+    got = {}
+    for r in out.orderBy("place").collect():
+        got.setdefault(r["query_id"], []).append((r["distance"], r["neighbour_id"]))
+    want = {q: sorted(((code ^ c).bit_count(), i) for i, c in rows)[:5] for q, code in rows[::10]}
+    assert got == want
+    assert "exchange" in out._jdf.queryExecution().executedPlan().toString().lower() and "tile" in out._jdf.queryExecution().optimizedPlan().toString()
