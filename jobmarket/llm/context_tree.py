@@ -14,6 +14,10 @@ probabilities; nodes of depth two and above (one for each of at most 65,536 byte
 reach the driver and every task. Then each bucket answers every chunk in the order of its run, and a chunk scores its texts. Nothing that
 grows with the vocabulary is broadcast or collected.
 
+A chunk deals to MOST_BUCKETS at most. Where more buckets are needed, the runs that as many chunks dealt to one of them are merged, and the merged run is dealt on, level
+by level; answers come back the same way. So each level has a number of runs in proportion to the chunks, and the levels are the logarithm of the chunks to the
+base of the buckets. Every answer bears a checksum of what was asked.
+
 Null texts are empty: one end mark. Null ids count as the empty text in the training split. Repeated rows
 score alike and train twice; without training texts every decision has probability one half. An empty table gives no rows.
 Other columns of the documents are left out, whatever their names.
@@ -21,12 +25,14 @@ Other columns of the documents are left out, whatever their names.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,6 +44,7 @@ DEPTH = 6  # bytes of context
 CHUNK_BYTES = 16 << 20  # of texts; a chunk ends after the document that fills it
 BYTES_AT_ONCE = 1 << 20  # of texts, turned into keys together
 HELD_KEYS = 1 << 22  # of a chunk or bucket, before equal ones are added up
+MOST_BUCKETS = 256  # that a chunk, or a group of chunks, deals to
 END = b"\n"  # no word holds it
 LOG10 = float(np.log(10))
 
@@ -184,9 +191,9 @@ def _unpack(data: bytes, rising: bool = False) -> np.ndarray:
     return np.cumsum(steps) if rising else steps
 
 
-def _deal(numbers: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order that puts the numbers' buckets one after the other, and where each bucket starts in it (and the end)."""
-    bucket = ((numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+def _deal(numbers: np.ndarray, buckets: int, over: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Order that puts the numbers' buckets one after the other, and where each bucket starts in it (and the end). over: the buckets of all levels before."""
+    bucket = ((numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) // over % buckets
     return np.argsort(bucket, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
 
 
@@ -390,6 +397,98 @@ def _counts_of_chunks(rows: DataFrame, buckets: int, chunk_bytes: int) -> DataFr
     return rows.mapInArrow(count, "chunk long, bucket long, keys binary, n binary, words binary, n_words long, uses binary")
 
 
+RUN = "chunk long, bucket long, keys binary, n binary, words binary, n_words long, uses binary"
+ANSWER = "chunk long, bucket long, logp binary, uses binary, total long, distinct long, check long"
+
+
+def _levels(chunks: int) -> tuple[int, int]:
+    """Buckets that each level deals to, and levels, for some two buckets a chunk."""
+    wanted, levels = max(61, 2 * chunks + 1), 1
+    while MOST_BUCKETS**levels < wanted:
+        levels += 1
+    fan = round(wanted ** (1 / levels))
+    return fan + (fan**levels < wanted), levels
+
+
+def _checked(keys: np.ndarray, words: list[bytes]) -> int:
+    return zlib.crc32(b" ".join(words), zlib.crc32(np.ascontiguousarray(keys)))
+
+
+def _split_words(words: bytes, n: int) -> list[bytes]:
+    return zstandard.decompress(words).split(b" ") if n else []
+
+
+class Merged:
+    """Runs of several chunks as one: distinct keys in order, words in order, their counts, and how they are dealt on."""
+
+    def __init__(self, runs: pd.DataFrame, fan: int, over: int):
+        self.keys, self.n, held, more = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+        for k, c in zip(runs["keys"], runs["n"]):
+            held.append((_unpack(k, True), _unpack(c)))
+            more += len(held[-1][0])
+            if more > HELD_KEYS:
+                self._add(held)
+                held, more = [], 0
+        self._add(held)
+        uses: Counter = Counter()
+        for words, size, n in zip(runs["words"], runs["n_words"], runs["uses"]):
+            uses.update(dict(zip(_split_words(words, size), _unpack(n).tolist())))
+        self.words = sorted(uses)
+        self.uses = np.array([uses[w] for w in self.words], np.int64)
+        self.key_order, self.key_at = _deal(self.keys >> 32, fan, over)
+        self.word_order, self.word_at = _deal(np.array([xxhash.xxh64_intdigest(w) >> 1 for w in self.words], np.int64), fan)
+
+    def _add(self, held: list) -> None:
+        self.keys, self.n = _counted([self.keys, *[k for k, _ in held]], [self.n, *[c for _, c in held]])
+
+    def part(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys and words that go to bucket b."""
+        return self.key_order[self.key_at[b]:self.key_at[b + 1]], self.word_order[self.word_at[b]:self.word_at[b + 1]]
+
+
+def _dealt_on(asked: DataFrame, groups: int, fan: int, level: int) -> DataFrame:
+    """Runs of the next level: those of some chunks to one bucket are merged and dealt on to `fan` buckets."""
+
+    def merge(runs: pd.DataFrame) -> pd.DataFrame:
+        m, out = Merged(runs, fan, fan**level), []
+        for b in range(fan):
+            k, w = m.part(b)
+            if len(k) or len(w):
+                out.append((runs["up"].iloc[0], runs["bucket"].iloc[0] * fan + b, _pack(m.keys[k], True), _pack(m.n[k]), zstandard.compress(b" ".join([m.words[i] for i in w]), 1), len(w), _pack(m.uses[w])))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in RUN.split(", ")])
+
+    return written(asked.withColumn("up", _group(groups)).groupBy("up", "bucket").applyInPandas(merge, RUN), "asked")
+
+
+def _group(groups: int) -> F.Column:
+    return F.pmod(F.xxhash64("chunk"), F.lit(groups))
+
+
+def _answered(asked: DataFrame, answers: DataFrame, groups: int, fan: int, level: int) -> DataFrame:
+    """Answers to the runs of a level, from those to the merged runs of the next one."""
+
+    def split(runs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        m, by = Merged(runs, fan, fan**level), {int(b) % fan: i for i, b in enumerate(found["bucket"])}
+        logp, uses = np.empty(len(m.keys), np.float32), np.empty(len(m.words), np.int64)
+        for b in range(fan):
+            k, w = m.part(b)
+            if len(k) or len(w):
+                row = found.iloc[by[b]]
+                if row["check"] != _checked(m.keys[k], [m.words[i] for i in w]):
+                    raise RuntimeError("an answer belongs to another run")
+                logp[k], uses[w] = np.frombuffer(row["logp"], np.float32), _unpack(row["uses"])
+        number, out = {w: i for i, w in enumerate(m.words)}, []
+        for chunk, bucket, keys, words, size in zip(runs["chunk"], runs["bucket"], runs["keys"], runs["words"], runs["n_words"]):
+            k, w = _unpack(keys, True), _split_words(words, size)
+            mine = uses[np.array([number[x] for x in w], np.int64)]
+            out.append((chunk, bucket, logp[np.searchsorted(m.keys, k)].tobytes(), _pack(mine), 0, 0, _checked(k, w)))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
+
+    left = asked.withColumn("up", _group(groups)).groupBy("up", "bucket")
+    right = answers.withColumns({"up": F.col("chunk"), "parent": F.floor(F.col("bucket") / fan)}).groupBy("up", "parent")
+    return written(left.cogroup(right).applyInPandas(split, ANSWER), "answers")
+
+
 def stream_scores(docs: DataFrame, train: F.Column, plain_scan: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """docs: doc_id, text; train: which rows the counts are taken from.
 
@@ -402,8 +501,12 @@ def stream_scores(docs: DataFrame, train: F.Column, plain_scan: bool = False, ch
     if not plain_scan:
         rows = written(rows, "lm-documents")
     size, learnt = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
-    buckets = max(61, 2 * (size // chunk_bytes) + 1)
-    asked = written(_counts_of_chunks(rows, buckets, chunk_bytes), "asked")
+    buckets, levels = _levels(size // chunk_bytes)
+    groups = [max(1, -(-(size // chunk_bytes + 1) // buckets ** (k + 1))) for k in range(levels - 1)]
+    dealt = [written(_counts_of_chunks(rows, buckets, chunk_bytes), "asked")]
+    for k, n in enumerate(groups):
+        dealt.append(_dealt_on(dealt[-1], n, buckets, k + 1))
+    asked = dealt[-1]
 
     def add(found: pd.DataFrame) -> pd.DataFrame:
         keys, n, held, more = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
@@ -443,15 +546,21 @@ def stream_scores(docs: DataFrame, train: F.Column, plain_scan: bool = False, ch
         total, distinct = sum(uses.values()), sum(c > 0 for c in uses.values())
         out = []
         for chunk, bucket, keys, words, size in zip(found["chunk"], found["bucket"], found["keys"], found["words"], found["n_words"]):
-            each = list(map(uses.__getitem__, zstandard.decompress(words).split(b" "))) if size else []
-            out.append((chunk, bucket, logp[np.searchsorted(known, _unpack(keys, True))].tobytes(), _pack(np.array(each, np.int64)), total, distinct))
-        return pd.DataFrame(out, columns=["chunk", "bucket", "logp", "uses", "total", "distinct"])
+            k, w = _unpack(keys, True), _split_words(words, size)
+            at = np.searchsorted(known, k)
+            if len(k) and (known[at] != k).any():
+                raise RuntimeError("a bucket misses a key of its own runs")
+            each = list(map(uses.__getitem__, w))
+            out.append((chunk, bucket, logp[at].tobytes(), _pack(np.array(each, np.int64)), total, distinct, _checked(k, w)))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
 
     packed = asked.select("chunk", "bucket", "keys", "words", "n_words", "uses").groupBy("bucket").cogroup(summed.select("bucket", "keys", "n").groupBy("bucket"))
-    answers = written(packed.applyInPandas(answer, "chunk long, bucket long, logp binary, uses binary, total long, distinct long"), "answers")
+    answers = written(packed.applyInPandas(answer, ANSWER), "answers")
     each = answers.groupBy("bucket").agg(F.max("total").alias("t"), F.max("distinct").alias("d"))
     total, distinct = each.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("d"), F.lit(0))).first()
     total, distinct = total + learnt, distinct + (learnt > 0)  # the end marks
+    for k in reversed(range(levels - 1)):
+        answers = _answered(dealt[k], answers, groups[k], buckets, k + 1)
     log_base = lambda c: np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,11 +575,14 @@ def stream_scores(docs: DataFrame, train: F.Column, plain_scan: bool = False, ch
         counts.settle()
         order = np.argsort(table.column("bucket").to_numpy())
         column = lambda c: [table.column(c)[int(i)].as_py() for i in order]
-        logp = np.empty(len(counts.keys))
-        logp[_deal(counts.keys >> 32, buckets)[0]] = np.frombuffer(b"".join(column("logp")), np.float32)
-        hashes, names, plain, _ = _word_numbers([b for _, b in blocks])
-        c = np.empty(len(names), np.int64)
-        c[_deal(plain, buckets)[0]] = np.concatenate([np.empty(0, np.int64), *map(_unpack, column("uses"))])
+        hashes, names, plain, spelled = _word_numbers([b for _, b in blocks])
+        (key_order, key_at), (word_order, word_at) = _deal(counts.keys >> 32, buckets), _deal(plain, buckets)
+        for b, check in zip(column("bucket"), column("check")):
+            if check != _checked(counts.keys[key_order[key_at[b]:key_at[b + 1]]], [spelled[i] for i in word_order[word_at[b]:word_at[b + 1]]]):
+                raise RuntimeError("an answer belongs to another run")
+        logp, c = np.empty(len(counts.keys)), np.empty(len(names), np.int64)
+        logp[key_order] = np.frombuffer(b"".join(column("logp")), np.float32)
+        c[word_order] = np.concatenate([np.empty(0, np.int64), *map(_unpack, column("uses"))])
         base, keys, words = log_base(c), pd.Index(counts.keys), pd.Index(names)
         out: list[list] = [[], [], [], []]
         for (_, block), h in zip(blocks, hashes):
@@ -487,6 +599,6 @@ def stream_scores(docs: DataFrame, train: F.Column, plain_scan: bool = False, ch
         return pa.table([part.column("doc_id"), part.column("train"), *columns], ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "train").mapInArrow(number, "doc_id long, text string, train boolean, chunk long")
-    answers = answers.select("chunk", "bucket", "logp", "uses")
+    answers = answers.select("chunk", "bucket", "logp", "uses", "check")
     schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)

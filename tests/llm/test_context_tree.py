@@ -172,3 +172,23 @@ def test_other_columns_are_left_out(spark):
     df = spark.createDataFrame([(1, "a b", "x", 2, True), (2, "a b", "y", 3, False)], "doc_id long, text string, chunk string, bucket int, train boolean")
     out = ct.stream_scores(df, F.col("train")).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["train"], r["n_tokens"], r["n_known"]) for r in out] == [(1, True, 3, 3), (2, False, 3, 3)] and out[0]["score"] == out[1]["score"]
+
+
+@pytest.mark.parametrize("most", [4, 8])
+def test_runs_merged_level_by_level_give_the_same_scores(spark, monkeypatch, most):
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(30))), None, None, None) for i in range(120)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    keep = ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    plain = {r[0]: tuple(r)[1:] for r in ct.stream_scores(df, F.col("doc_id") % 5 != 1).select(*keep).collect()}
+    monkeypatch.setattr(ct, "MOST_BUCKETS", most)
+    assert ct._levels(40)[1] > 1
+    got = {r[0]: tuple(r)[1:] for r in ct.stream_scores(df, F.col("doc_id") % 5 != 1, chunk_bytes=200).select(*keep).collect()}
+    assert got.keys() == plain.keys() and all(got[k][:3] == plain[k][:3] and got[k][3:] == pytest.approx(plain[k][3:], abs=5e-5) for k in got)
+
+
+def test_runs_grow_with_the_chunks():
+    for chunks in (1, 50, 2_000, 7_000_000):
+        fan, levels = ct._levels(chunks)
+        assert fan <= ct.MOST_BUCKETS and fan**levels >= 2 * chunks + 1 and levels <= 3
+    assert ct._levels(50) == (101, 1)
