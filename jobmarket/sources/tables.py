@@ -177,8 +177,11 @@ def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_state(df: DataFrame, path: str) -> int:
-    """Write the next version. Readers see it once it is complete: Spark's _SUCCESS file is the commit."""
-    done = _versions(df.sparkSession, path)
-    version = done[-1] + 1 if done else 0
-    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+    """Write the next version. Readers see it once it is complete: Spark's _SUCCESS file is the commit. Each writer claims a number of its own first; one that dies leaves a gap."""
+    spark = df.sparkSession
+    taken = [int(f.rsplit("/", 1)[1]) for f in listed(spark, f"{path}/claims/*")] + _versions(spark, path)
+    version = max(taken, default=-1) + 1
+    while not write_file(spark, f"{path}/claims/{version}", ""):
+        version += 1
+    df.write.parquet(f"{path}/version={version}")
     return version

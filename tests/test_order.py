@@ -70,3 +70,10 @@ def test_two_writers_lose_nothing(spark, tmp_path):
     assert tables.read_table(spark, path, "a", schema).first()["n"] == 7
     assert tables.commit_tables({"a": one(8)}, path) == 10 and tables.read_table(spark, path, "a", schema).first()["n"] == 8
     tables.GRACE = grace
+
+
+def test_each_writer_of_a_version_has_its_own(spark, tmp_path):
+    path, one = f"{tmp_path}/s", spark.range(1)
+    assert tables.write_state(one, path) == 0
+    assert tables.write_file(spark, f"{path}/claims/1", "")  # another writer is at version 1 still
+    assert tables.write_state(spark.range(2), path) == 2 and tables.read_state(spark, path, "id long").count() == 2
