@@ -6,16 +6,22 @@ once; a row's place in its partition is what Spark numbers there, and one count
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobmarket.sources.scratch import kept
 
 
-def with_place(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
-    """df with each row's 1-based place in the order, a long. The order should end with a key; rows that tie in all of it take their places in any order."""
+def with_place(df: DataFrame, order: list[Column], name: str = "place", keep: Sequence[str] | None = None) -> DataFrame:
+    """df (or its columns `keep`) with each row's 1-based place in the order, a long.
+
+    The order should end with a key; rows that tie in all of it take their places in any order. An empty table gives no rows.
+    """
     at, part = "_at", "_part"
-    sorted_ = df.drop(name).repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    columns = [c for c in (df.columns if keep is None else keep) if c != name]
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns, F.monotonically_increasing_id().alias(at))
     rows = kept(sorted_, "ordered").withColumn(part, F.shiftright(at, 33))  # the id is the partition's number, and 33 bits for the row's
     counts = sorted((r[part], r["count"]) for r in rows.groupBy(part).count().collect())  # a row for each partition
     before, offsets = 0, []

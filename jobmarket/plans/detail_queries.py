@@ -105,7 +105,7 @@ def j12_action_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order of open actions, undated ones last."""
     o, key = _t(spark, sf_dir, "orders"), F.col("o_orderkey")
     items = o.select(key.alias("action_id"), F.col("o_custkey").alias("vacancy_source_url"), F.when(key % 9 != 0, F.col("o_orderdate")).alias("due_at"), F.when(key % 4 == 0, F.col("o_orderdate")).alias("completed_at"))
-    placed = with_place(tracking.actions(items, completed=False), [F.col("due_at").asc_nulls_last(), F.col("action_id")])
+    placed = with_place(tracking.actions(items, completed=False), [F.col("due_at").asc_nulls_last(), F.col("action_id")], keep=("action_id",))
     return placed.select("action_id", F.col("place").cast("int").alias("place"))
 
 

@@ -301,7 +301,7 @@ def j14_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f8_today(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twenty of the current run, with their place."""
     rows = inbox.recent(_vacancies(spark, sf_dir), _analyses(spark, sf_dir), _applications(spark, sf_dir), _runs(spark), 20)
-    return with_place(rows, inbox.inbox_order("score")).select("source_url", "title", F.col("place").cast("int").alias("place"))
+    return with_place(rows, inbox.inbox_order("score"), keep=("source_url", "title")).select("source_url", "title", F.col("place").cast("int").alias("place"))
 
 
 @query(f"{_SQL} SELECT p.url AS vacancy_source_url, p.status, v.title, coalesce(p.pinned, l.analysis_id) AS analysis_id, a.score FROM p JOIN v USING (url) LEFT JOIN l USING (url) LEFT JOIN a ON a.id = coalesce(p.pinned, l.analysis_id)")

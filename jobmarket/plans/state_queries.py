@@ -27,7 +27,7 @@ def _at(seconds: Column) -> Column:
 
 def _placed(df: DataFrame, order: list[Column], *columns: str) -> DataFrame:
     """Columns and the place in an order, which an SQL result without order can be compared with."""
-    return with_place(df, order).select(*columns, F.col("place").cast("int").alias("place"))
+    return with_place(df, order, keep=columns).select(*columns, F.col("place").cast("int").alias("place"))
 
 
 # --- lifecycle -------------------------------------------------------------------------------------------
