@@ -157,30 +157,25 @@ def ensure_applications(applications: DataFrame, wanted: DataFrame) -> tuple[Dat
 def apply_actions(vacancies: DataFrame, commands: DataFrame) -> DataFrame:
     """Action items after create, update, complete and reopen commands; a create without title or parent is rejected.
 
-    commands: id, action_id, vacancy_source_url, op, title, due_at, at. Completing twice keeps the first time; reopening clears it.
+    commands: id (unique), action_id, vacancy_source_url, op, title, due_at, at. The first valid create counts, commands before it do nothing. Completing
+    twice keeps the first time; reopening clears it. Every field is an aggregate by id, so an action with any number of commands is summed up before the
+    shuffle and never listed.
     """
     parents = vacancies.select(F.col("source_url").alias("vacancy_source_url"), F.lit(True).alias("_parent"))
     c = commands.join(parents, "vacancy_source_url", "left").withColumn("title", F.nullif(F.trim("title"), F.lit("")))
     good = c.where("op <> 'create' or (_parent and title is not null)")
-    listed = good.groupBy("action_id").agg(F.array_sort(F.collect_list(F.struct("id", "vacancy_source_url", "op", "title", "due_at", "at"))).alias("_c"))
-    empty = F.struct(
-        F.lit(None).cast(commands.schema["vacancy_source_url"].dataType).alias("url"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("timestamp").alias("due_at"), F.lit(None).cast("timestamp").alias("completed_at"),
-        F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"),
+    created = good.where("op = 'create' and at is not null").groupBy("action_id").agg(F.min_by(F.struct("id", "vacancy_source_url", F.col("at").alias("at")), "id").alias("_c"))
+    live = good.join(created, "action_id").where("id >= _c.id")
+    edit = (F.col("id") == F.col("_c.id")) | (F.col("op") == "update")
+    last = lambda value, rows: F.max_by(F.when(rows, value), F.when(rows, F.col("id")))
+    state = live.groupBy("action_id").agg(
+        F.any_value("_c").alias("_c"), last(F.col("title"), edit & F.col("title").isNotNull()).alias("title"), last(F.col("due_at"), edit).alias("due_at"), F.max_by("at", "id").alias("updated_at"),
+        F.max(F.when(F.col("op") == "reopen", F.col("id"))).alias("_reopened"), F.count_if(F.col("op") == "complete").alias("_completions"),
     )
-
-    def step(s: Column, x: Column) -> Column:
-        create = (x["op"] == "create") & s["created_at"].isNull()
-        live = s["created_at"].isNotNull()
-        edit = live & (x["op"] == "update")
-        return F.struct(
-            F.when(create, x["vacancy_source_url"]).otherwise(s["url"]).alias("url"), F.when(create | edit, F.coalesce(x["title"], s["title"])).otherwise(s["title"]).alias("title"),
-            F.when(create | edit, x["due_at"]).otherwise(s["due_at"]).alias("due_at"),
-            F.when(live & (x["op"] == "complete"), F.coalesce(s["completed_at"], x["at"])).when(live & (x["op"] == "reopen"), F.lit(None).cast("timestamp")).otherwise(s["completed_at"]).alias("completed_at"),
-            F.when(create, x["at"]).otherwise(s["created_at"]).alias("created_at"), F.when(create | live, x["at"]).otherwise(s["updated_at"]).alias("updated_at"),
-        )
-
-    out = listed.withColumn("_s", F.aggregate("_c", empty, step)).where("_s.created_at is not null")
-    return out.select("action_id", F.col("_s.url").alias("vacancy_source_url"), "_s.title", "_s.due_at", "_s.completed_at", "_s.created_at", "_s.updated_at", F.when(F.col("_s.completed_at").isNull(), "open").otherwise("completed").alias("state"))
+    done = live.where("op = 'complete' and at is not null").join(state.where("_completions > 0").select("action_id", "_reopened"), "action_id").where("_reopened is null or id > _reopened")
+    done = done.groupBy("action_id").agg(F.min_by("at", "id").alias("completed_at"))
+    out = state.join(done, "action_id", "left")
+    return out.select("action_id", "_c.vacancy_source_url", "title", "due_at", "completed_at", F.col("_c.at").alias("created_at"), "updated_at", F.when(F.col("completed_at").isNull(), "open").otherwise("completed").alias("state"))
 
 
 def actions(items: DataFrame, url: str | None = None, completed: bool = True) -> DataFrame:

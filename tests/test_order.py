@@ -77,3 +77,27 @@ def test_each_writer_of_a_version_has_its_own(spark, tmp_path):
     assert tables.write_state(one, path) == 0
     assert tables.write_file(spark, f"{path}/claims/1", "")  # another writer is at version 1 still
     assert tables.write_state(spark.range(2), path) == 2 and tables.read_state(spark, path, "id long").count() == 2
+
+
+def test_actions_equal_a_fold_of_their_commands(spark):
+    rng = random.Random(4)
+    vacancies = spark.createDataFrame([("u0",), ("u1",)], "source_url string")
+    rows = []
+    for i in range(1500):
+        op = rng.choice(["create", "update", "complete", "reopen", "complete"])
+        rows.append((i, rng.randrange(120) if i % 3 else 7, rng.choice(["u0", "u1", "gone"]), op, rng.choice(["A", " ", None, "B "]), rng.choice([None, "d1", "d2"]), f"t{i:05d}" if rng.random() < 0.9 else None))
+    got = {r["action_id"]: tuple(r)[1:] for r in tracking.apply_actions(vacancies, spark.createDataFrame(rows, "id long, action_id long, vacancy_source_url string, op string, title string, due_at string, at string")).collect()}
+    want: dict = {}
+    for _, action, url, op, title, due, at in rows:
+        title, s = (title or "").strip() or None, want.get(action)
+        if s is None:
+            if op == "create" and url != "gone" and title and at:
+                want[action] = {"url": url, "title": title, "due": due, "completed": None, "created": at, "updated": at}
+            continue
+        if op == "create" and (url == "gone" or not title):
+            continue  # rejected
+        if op == "update":
+            s.update(title=title or s["title"], due=due)
+        s["completed"] = (s["completed"] or at) if op == "complete" else None if op == "reopen" else s["completed"]
+        s["updated"] = at
+    assert got == {a: (s["url"], s["title"], s["due"], s["completed"], s["created"], s["updated"], "completed" if s["completed"] else "open") for a, s in want.items()}
