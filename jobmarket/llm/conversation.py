@@ -205,13 +205,21 @@ def _fault(text: Column, nth: Column) -> Column:
     return F.when(seen == "", "blank").when(nth > 0, "duplicate").when(~F.substring(seen, -1, 1).isin(".", "!", "?"), "truncated").otherwise("")
 
 
+def _whole(c: str) -> list[Column]:
+    """A nullable long as two columns without nulls, `has_` and its value: exact on its way through pandas, and nulls first in order."""
+    return [F.col(c).isNotNull().alias(f"has_{c}"), F.coalesce(c, F.lit(0)).cast("long").alias(c)]
+
+
+ORDER = ("has_conv_id", "conv_id", "has_turn", "turn", "role", "text", "line")
+
+
 def faulty(turns: DataFrame) -> DataFrame:
     """turns with `fault`. Equal rows of a conversation are numbered by turn over range partitions; all but the first are duplicates."""
     length = F.length("role").cast("string")
     same = F.sha2(F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.col("gone").cast("string"), length, "role", "text"), 256)
-    rows = turns.withColumn("same", same).withColumn("line", F.monotonically_increasing_id())
-    nth = prefix_sums(rows, ["turn", "line"], None, group="same", rank="nth")
-    return nth.select("conv_id", "turn", "role", "text", "gone", "line", _fault(F.col("text"), F.col("nth")).alias("fault"))
+    rows = turns.select(*_whole("conv_id"), *_whole("turn"), "role", "text", "gone", same.alias("same"), F.monotonically_increasing_id().alias("line"))
+    nth = prefix_sums(rows, ["has_turn", "turn", "line"], None, group="same", rank="nth")
+    return nth.select(*ORDER, "gone", _fault(F.col("text"), F.col("nth")).alias("fault"))
 
 
 SUMMARY = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
@@ -256,25 +264,24 @@ def _fold(turns: DataFrame, edits: bool) -> DataFrame:
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in (EDITS if edits else SUMMARY).split(", ")]
-        kinds = dict.fromkeys(("conv_id", "row", "gaps"), "Int64")
         at: _Conversation | None = None
 
         def frame(rows: list) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=names)
-            return out.astype({c: k for c, k in kinds.items() if c in names})
+            columns = dict(zip(names, zip(*rows)))
+            return pd.DataFrame({c: pd.array(list(v), dtype="Int64") if c in ("conv_id", "row") else list(v) for c, v in columns.items()})
 
         for pdf in batches:
             out: list = []
-            ids = pdf["conv_id"].astype("Int64").astype(object).where(pdf["conv_id"].notna(), None)
-            turns_ = pdf["turn"].astype("Int64").astype(object).where(pdf["turn"].notna(), None)
-            for conv_id, turn, role, text, gone, fault in zip(ids, turns_, pdf["role"], pdf["text"], pdf["gone"], pdf["fault"]):
+            kept = (pdf[c].tolist() for c in ("has_conv_id", "conv_id", "has_turn", "turn", "role", "text", "gone", "fault"))
+            for has_id, conv_id, has_turn, turn, role, text, gone, fault in zip(*kept):
+                conv_id = conv_id if has_id else None
                 if at is None or conv_id != at.conv_id:
                     if at is not None:
                         last = at.summary()
                         out.extend(at.rows if edits else [last])
                     at = _Conversation(conv_id, edits)
                 if not gone:
-                    at.add(turn, role, text, fault)
+                    at.add(turn if has_turn else None, role, text, fault)
             if edits and at is not None:  # what is final leaves at once
                 out.extend(at.rows)
                 at.rows = []
@@ -282,11 +289,11 @@ def _fold(turns: DataFrame, edits: bool) -> DataFrame:
                 yield frame(out)
         if at is not None:
             last = at.summary()
-            yield frame(at.rows if edits else [last])
+            if out := at.rows if edits else [last]:
+                yield frame(out)
 
-    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text", "line")]
-    dealt = turns.repartition("conv_id").sortWithinPartitions(*order)
-    return dealt.select("conv_id", "turn", "role", "text", "gone", "fault").mapInPandas(fold, EDITS if edits else SUMMARY)
+    dealt = turns.repartition("has_conv_id", "conv_id").sortWithinPartitions(*ORDER)
+    return dealt.mapInPandas(fold, EDITS if edits else SUMMARY)
 
 
 def repair(conversations: DataFrame) -> DataFrame:
@@ -304,10 +311,10 @@ def edits(conversations: DataFrame) -> DataFrame:
 
 def repaired(conversations: DataFrame) -> DataFrame:
     """The repaired turns themselves: conv_id, step, role, text, turn (null for inserted ones)."""
-    rows = conversations.where("not gone").withColumn("line", F.monotonically_increasing_id())
-    placed = prefix_sums(rows, ["turn", "role", "text", "line"], None, group="conv_id", rank="row").withColumnRenamed("role", "was")
+    rows = conversations.where("not gone").select(F.col("conv_id").cast("string").alias("conv"), *_whole("turn"), "role", "text", F.monotonically_increasing_id().alias("line"))
+    placed = prefix_sums(rows, ["has_turn", "turn", "role", "text", "line"], None, group="conv", rank="row").withColumnRenamed("role", "was")
     made = edits(conversations).where("edit <> 'D'").alias("e")
     named = F.when(F.col("e.role") == "u", "user").when(F.col("e.role") == "a", "assistant").otherwise(F.col("p.was"))
-    return made.join(placed.alias("p"), F.expr("e.conv_id <=> p.conv_id and e.row = p.row"), "left").select(
-        "e.conv_id", "e.step", named.alias("role"), F.coalesce("p.text", F.lit("")).alias("text"), "p.turn"
+    return made.join(placed.alias("p"), F.expr("cast(e.conv_id as string) <=> p.conv and e.row = p.row"), "left").select(
+        "e.conv_id", "e.step", named.alias("role"), F.coalesce("p.text", F.lit("")).alias("text"), F.when(F.col("p.has_turn"), F.col("p.turn")).alias("turn")
     )

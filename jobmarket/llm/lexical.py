@@ -264,7 +264,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     spark = docs.sparkSession
     n_docs, n_terms = totals(docs)
     index = build_index(docs, n_docs, n_terms) if n_docs else None
-    distinct = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    distinct = items.select(F.col("item_id").cast("long").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     numbered = prefix_sums(distinct.withColumn("bytes", F.octet_length("text").cast("long")), ["item_id", "text"], "bytes", rank="item", before="before")
     numbered = numbered.withColumn("part", F.floor(F.col("before") / ITEM_BYTES).cast("long"))
     parts = numbered.agg(F.max("part")).first()[0]
@@ -273,7 +273,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
         heaps = heaps.unionByName(_search_part(index, numbered.where(F.col("part") == part), n_docs, k))
     best = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     top = heaps.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return top.join(sized(numbered.select("item", "item_id")), "item").select("item_id", "rank", "doc_id", "score")
+    names = numbered.select("item", F.col("item_id").cast("long").alias("item_id"))
+    return top.join(sized(names), "item").select("item_id", "rank", "doc_id", "score")
 
 
 def _search_part(index: DataFrame, items: DataFrame, n_docs: int, k: int) -> DataFrame:
@@ -300,7 +301,8 @@ def _search_part(index: DataFrame, items: DataFrame, n_docs: int, k: int) -> Dat
                 norms = np.frombuffer(row.norms, "<i8")
             else:
                 own[bytes(row.term)] = Postings(row)
-        return pd.DataFrame(search_shard(own, ids, norms, asked, weights, k), columns=["item", "doc_id", "score"]).astype({"doc_id": "Int64"})
+        found = search_shard(own, ids, norms, asked, weights, k)
+        return pd.DataFrame({"item": [f[0] for f in found], "doc_id": pd.array([f[1] for f in found], dtype="Int64"), "score": [f[2] for f in found]})
 
     needed = lists.unionByName(index.where("term is null")).select(*[c.split()[0] for c in INDEX.split(", ")])
     return needed.groupBy("shard").applyInPandas(run, "item long, doc_id long, score long")

@@ -122,7 +122,7 @@ def damage(rows):
 def test_query_equals_brute_force(spark, tmp_path):
     rng = random.Random(7)
     rows = [(c, t, rng.choice(["system", "user", "assistant", "assistant", None]), rng.choice(["Hi.", "Yes!", "cut off", "", None, "So? \n", "ö."])) for c in [*range(60), None] for t in [None, *range(rng.randrange(4))]]
-    rows += [(5, 1, "user", "Hi."), (5, 1, "user", "Hi."), (900, 1, "user", "long " * 100_000)]
+    rows += [(5, 1, "user", "Hi."), (5, 1, "user", "Hi."), (900, 1, "user", "long " * 100_000), (2**60 + 1, 2**59 + 3, "user", "Hi."), (2**60 + 1, 2**59 + 4, "assistant", "So!"), (2**60 + 2, None, "user", "Hi.")]
     spark.createDataFrame([(*r, "x", 1) for r in rows], ROWS + ", cost string, line int").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["conv_id"]: r.asDict() for r in op11_survivor_coalescence(spark, str(tmp_path)).collect()}
     assert set(got) == {r[0] for r in rows}
