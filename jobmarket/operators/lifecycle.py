@@ -27,7 +27,7 @@ def one_writer(batch: DataFrame, key: str, order: str, refresh: bool) -> DataFra
     return batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-SKETCH_URLS = 8_000_000  # stored URLs up to which their sketch is broadcast: 2 bytes each
+SKETCH_URLS = 4_000_000  # stored URLs up to which their sketch is broadcast: 2 bytes of bits each, some 40 MB as rows
 _WORD_URLS = 4  # URLs for each word of 64 bits
 
 
