@@ -11,6 +11,7 @@ from jobmarket.llm.common import crc_mod, file_rows, free_name, table
 
 
 def op1_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of all documents that is not empty, with the class of lines within two edits. Null texts have no lines; repeated rows are later occurrences."""
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
@@ -26,6 +27,7 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mixture takes of it. A null source is a source; a null or empty text has size 0 and is not taken; repeated rows are documents of their own."""
     plan = mixing.curriculum(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size")))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), F.round(F.get("positions", F.lit(0)), 6).alias("position"))
 
@@ -37,32 +39,38 @@ def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page. Null html gives an empty text; repeated rows give repeated results."""
     return html_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_templates")
 
 
 def op6_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its equal texts that stays. Null counts as empty; repeated rows are rows of their own, of which one stays."""
     docs = table(spark, sf_dir, "documents")
     row = free_name(docs, "_row")
     return exact_dedup.exact_dedup(file_rows(docs, row), row=row).drop("row")
 
 
 def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every document, learnt from labels outside the held-out fifth. Null and empty texts get a score too."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     scored = quality.scores(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
 
 
 def op8_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every document under context trees of the training texts. Null is empty: one end mark."""
     scored = context_tree.stream_scores(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) != 1, plain_scan=True)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op9_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset. A null text is one end mark; repeated rows are packed each for itself."""
     cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op10_bayes_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near duplicates. Null and empty texts link to nothing; repeated rows are copies of each other."""
     docs = table(spark, sf_dir, "documents")
     row = free_name(docs, "_row")
     return shingle_join.near_duplicates(file_rows(docs, row), row=row).select("doc_id", "class_id", "class_size", "n_links", "kept")
