@@ -53,6 +53,7 @@ ARTICLE_HINTS = frozenset("comment comments reply ad ads advert promo related sp
 #: Hints that keep a wrapper furniture even if the page's longest article stands in it.
 FOREIGN = ARTICLE_HINTS | frozenset("adv adverts advertisement advertising sponsor promotion disqus respond replies recommended recommendations".split())
 TOPS = frozenset("header masthead banner".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 KEPT_IN_ARTICLE = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote td th tr dt dd figcaption caption article main body html".split())
 
 SALT = 32
@@ -170,8 +171,8 @@ class Page:
         """For each element: is it inside no content, and is it inside the main part.
 
         The main part is chosen before furniture: tags and roles that are no content by themselves go; then a form or an element with a hint goes, unless
-        it holds the longest article (and is no advert, comment or related list) or more than half of the text. Inside an article a hint must be a whole class or id,
-        and a header stays.
+        it holds the longest article (and is no advert, comment or related list) or more than half of the text. Inside an article a header stays, and a hint must be a whole class or id
+        unless the element holds neither paragraph nor heading.
         """
         return self._layout
 
@@ -255,10 +256,12 @@ class Page:
                 holds.add(at)
                 at = self.parent[at]
         inside = self._spread([n in articles for n in range(len(self.tag))])
-        heads = [0] * len(self.tag)
+        heads, solid = [0] * len(self.tag), [0] * len(self.tag)
         for n in reversed(n_all):
             heads[n] += self.tag[n] in ("h1", "h2")
+            solid[n] += self.tag[n] in PROSE
             heads[self.parent[n]] += heads[n]
+            solid[self.parent[n]] += solid[n]
 
         def furniture(n: int) -> bool:
             name = self.tag[n]
@@ -266,7 +269,7 @@ class Page:
                 return False
             exactly = self.hints(n, True)
             if inside[n]:
-                if not exactly and name != "form" or exactly <= TOPS and name != "form" and heads[n]:
+                if name != "form" and (not exactly and (solid[n] or not self.hints(n, False)) or exactly <= TOPS and heads[n]):
                     return False
                 return not exactly.isdisjoint(FOREIGN) or 2 * size[n] <= next(size[a] for a in self._up(n) if a in own)
             if name == "article" or name == "header" and n not in holds:
