@@ -410,8 +410,8 @@ def _levels(chunks: int) -> tuple[int, int]:
     return fan + (fan**levels < wanted), levels
 
 
-def _checked(keys: np.ndarray, words: list[bytes]) -> int:
-    return zlib.crc32(b" ".join(words), zlib.crc32(np.ascontiguousarray(keys)))
+def _checked(keys: np.ndarray, n_words: int) -> int:
+    return zlib.crc32(b"%d" % n_words, zlib.crc32(np.ascontiguousarray(keys)))
 
 
 def _split_words(words: bytes, n: int) -> list[bytes]:
@@ -474,14 +474,14 @@ def _answered(asked: DataFrame, answers: DataFrame, groups: int, fan: int, level
             k, w = m.part(b)
             if len(k) or len(w):
                 row = found.iloc[by[b]]
-                if row["check"] != _checked(m.keys[k], [m.words[i] for i in w]):
+                if row["check"] != _checked(m.keys[k], len(w)):
                     raise RuntimeError("an answer belongs to another run")
                 logp[k], uses[w] = np.frombuffer(row["logp"], np.float32), _unpack(row["uses"])
         number, out = {w: i for i, w in enumerate(m.words)}, []
         for chunk, bucket, keys, words, size in zip(runs["chunk"], runs["bucket"], runs["keys"], runs["words"], runs["n_words"]):
             k, w = _unpack(keys, True), _split_words(words, size)
             mine = uses[np.array([number[x] for x in w], np.int64)]
-            out.append((chunk, bucket, logp[np.searchsorted(m.keys, k)].tobytes(), _pack(mine), 0, 0, _checked(k, w)))
+            out.append((chunk, bucket, logp[np.searchsorted(m.keys, k)].tobytes(), _pack(mine), 0, 0, _checked(k, size)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
 
     left = asked.withColumn("up", _group(groups)).groupBy("up", "bucket")
@@ -546,12 +546,12 @@ def stream_scores(docs: DataFrame, train: F.Column, plain_scan: bool = False, ch
         total, distinct = sum(uses.values()), sum(c > 0 for c in uses.values())
         out = []
         for chunk, bucket, keys, words, size in zip(found["chunk"], found["bucket"], found["keys"], found["words"], found["n_words"]):
-            k, w = _unpack(keys, True), _split_words(words, size)
+            k = _unpack(keys, True)
             at = np.searchsorted(known, k)
             if len(k) and (known[at] != k).any():
                 raise RuntimeError("a bucket misses a key of its own runs")
-            each = list(map(uses.__getitem__, w))
-            out.append((chunk, bucket, logp[at].tobytes(), _pack(np.array(each, np.int64)), total, distinct, _checked(k, w)))
+            each = list(map(uses.__getitem__, _split_words(words, size)))
+            out.append((chunk, bucket, logp[at].tobytes(), _pack(np.array(each, np.int64)), total, distinct, _checked(k, size)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
 
     packed = asked.select("chunk", "bucket", "keys", "words", "n_words", "uses").groupBy("bucket").cogroup(summed.select("bucket", "keys", "n").groupBy("bucket"))
@@ -575,10 +575,10 @@ def stream_scores(docs: DataFrame, train: F.Column, plain_scan: bool = False, ch
         counts.settle()
         order = np.argsort(table.column("bucket").to_numpy())
         column = lambda c: [table.column(c)[int(i)].as_py() for i in order]
-        hashes, names, plain, spelled = _word_numbers([b for _, b in blocks])
+        hashes, names, plain, _ = _word_numbers([b for _, b in blocks])
         (key_order, key_at), (word_order, word_at) = _deal(counts.keys >> 32, buckets), _deal(plain, buckets)
         for b, check in zip(column("bucket"), column("check")):
-            if check != _checked(counts.keys[key_order[key_at[b]:key_at[b + 1]]], [spelled[i] for i in word_order[word_at[b]:word_at[b + 1]]]):
+            if check != _checked(counts.keys[key_order[key_at[b]:key_at[b + 1]]], word_at[b + 1] - word_at[b]):
                 raise RuntimeError("an answer belongs to another run")
         logp, c = np.empty(len(counts.keys)), np.empty(len(names), np.int64)
         logp[key_order] = np.frombuffer(b"".join(column("logp")), np.float32)
