@@ -279,23 +279,25 @@ def graded_work(wanted: Column, mode: Column, any_of: Callable[[Column], Column]
     )
 
 
-def text_facts(hay: Column, title: Column, terms: list[str]) -> Column:
-    """What a text says, whoever asks: found terms, required years, level, English rank and work mode."""
+def text_facts(hay: Column, title: Column, terms: list[str], years: bool = True, english: bool = True, modes: bool = True) -> Column:
+    """What a text says, whoever asks: found terms, required years and level, English rank, work mode. What no profile asks for is not read."""
     return F.struct(
-        found_terms(hay, terms).alias("terms"), F.lower(F.coalesce(title, F.lit(""))).alias("title"), required_years(hay).alias("years"), required_level(hay).alias("level"),
-        english_rank(hay).alias("english"), work_mode(hay).alias("mode"),
+        found_terms(hay, terms).alias("terms"), F.lower(F.coalesce(title, F.lit(""))).alias("title"), (required_years(hay) if years else F.lit(None).cast("decimal(38,0)")).alias("years"),
+        (required_level(hay) if years else F.lit(0)).alias("level"), (english_rank(hay) if english else F.lit(None).cast("int")).alias("english"), (work_mode(hay) if modes else F.lit("office")).alias("mode"),
     )
 
 
 def score(vacancies: DataFrame, profiles: DataFrame) -> DataFrame:
     """All columns of vacancies (with title and searchable) and profile_id, score, fit_label, matched_points, missing_points, explanation, notes."""
-    if profiles.limit(MAX_PROFILES + 1).count() > MAX_PROFILES:
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    n, *asked = profiles.agg(F.count("*"), any_(F.col("years_of_experience").isNotNull()), any_(F.col("max_english_level").isNotNull()), any_(F.size("work_modes") > 0)).first()
+    if n > MAX_PROFILES:
         raise ValueError("score profiles in sets of at most MAX_PROFILES")
     names = [f.name for f in PROFILE.fields]
     spelled = lambda k: F.transform(F.coalesce(F.col(k), texts()), lambda t: F.struct(t.alias("said"), _plain(t).alias("plain")))  # noqa: E731  in lower case once, not for each text
     p = profiles.select(F.struct(*names).alias("_p"), F.struct(*[spelled(k).alias(k) for k in LISTS]).alias("_t"))
     terms, fact, who = dictionary(profiles), F.col("_fact"), F.col("_p")
-    facts = vacancies.withColumn("_fact", text_facts(F.coalesce(F.col("searchable"), F.lit("")), F.col("title"), terms))
+    facts = vacancies.withColumn("_fact", text_facts(F.coalesce(F.col("searchable"), F.lit("")), F.col("title"), terms, *asked))
     has = lambda t: F.array_contains(fact["terms"], t)
     matched_terms = lambda k: F.array_distinct(F.transform(F.filter(F.col("_t")[k], lambda t: has(t["plain"])), lambda t: t["said"]))
     near = lambda x: (F.lower(x) == "") | has(F.lower(x))
