@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -23,9 +24,14 @@ def _unescape_any(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f names it. No Python function may stand in f."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def unescape(c: Column) -> Column:
     """Decode character references. Only texts with one outside ENTITIES go through Python; others send it a null."""
-    rare = F.when(c.rlike(f"&(?!(?:{_KNOWN});)(?:#|[A-Za-z])"), c)
+    rare = F.when(F.contains(c, F.lit("&")) & c.rlike(f"&(?!(?:{_KNOWN});)(?:#|[A-Za-z])"), c)
     plain = c
     for entity, char in ENTITIES.items():
         plain = F.replace(plain, F.lit(entity), F.lit(char))
@@ -59,9 +65,13 @@ def contains_any(hay: Column, words: Column | tuple) -> Column:
     return reduce(or_, [F.contains(hay, F.lit(w)) for w in words])
 
 
+#: A run of white space that is not one space already: words of a text are not replaced one by one.
+RUN = r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+"
+
+
 def collapse(c: Column) -> Column:
     """White-space runs (Unicode) to one space, ends trimmed."""
-    return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
+    return F.trim(F.regexp_replace(c, RUN, " "))
 
 
 def clean_markup(c: Column) -> Column:
@@ -71,9 +81,14 @@ def clean_markup(c: Column) -> Column:
 
 def visible_text(c: Column) -> Column:
     """As clean_markup, with script and style blocks removed."""
-    text = F.regexp_replace(unescape(c), r"(?is)<script[^>]*>.*?</script>", " ")
+    return let(unescape(c), visible_decoded)
+
+
+def visible_decoded(c: Column) -> Column:
+    """Visible text of a decoded page; usable inside a lambda."""
+    text = F.regexp_replace(c, r"(?is)<script[^>]*>.*?</script>", " ")
     text = F.regexp_replace(text, r"(?is)<style[^>]*>.*?</style>", " ")
-    return collapse(F.regexp_replace(text, "<[^>]+>", " "))
+    return collapse(F.when(F.contains(c, F.lit("<")), F.regexp_replace(text, "<[^>]+>", " ")).otherwise(c))
 
 
 def report_text(c: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobmarket.functions.text import MARK, clean_markup, decoded_items, visible_text
+from jobmarket.functions.text import MARK, clean_markup, decoded_items, let, visible_text
 from jobmarket.functions.urls import parts
 from jobmarket.operators.score import searchable_text
 from jobmarket.sources.boards import Board, excluded_location, looks_remote, page_blocked, source_id, vacancy_url
@@ -210,21 +210,21 @@ ENRICH_WORDS = ("reikalavimai", "atsakomybės", "darbo pobūdis", "atlyginimas",
 
 def enrichment_text(html: Column) -> Column:
     """The text a model sees: the start, two windows round each keyword, and the end; repeats dropped, 22,000 characters."""
-    both = F.array(F.struct(visible_text(html).alias("text")))
-    both = F.transform(both, lambda x: F.struct(x["text"].alias("text"), F.lower(x["text"]).alias("low")))
-    # Bound to a variable, the text is made once and not once for each window.
-    return F.get(F.transform(both, lambda x: _windows(x["text"], x["low"])), F.lit(0))
+    return let(visible_text(html), lambda text: let(F.lower(text), lambda low: _windows(text, low)))
 
 
 def _windows(text: Column, low: Column) -> Column:
-    chunks = [F.substring(text, 1, 12_000)]
     window = lambda at: F.when(at > 0, F.substring(text, F.greatest(F.lit(1), at - 800), at + 2800 - F.greatest(F.lit(1), at - 800)))
-    for word in ENRICH_WORDS:
-        one = F.locate(word, low)
-        two = F.when(one > 0, F.call_function("locate", F.lit(word), low, one + len(word))).otherwise(0)
-        chunks += [window(one), window(two)]
-    chunks.append(F.when(F.length(text) > 4000, F.substring(text, F.length(text) - 3999, F.lit(4000))).otherwise(text))
-    kept = F.array_distinct(F.filter(F.transform(F.array(*chunks), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+
+    def both(word: str) -> Column:
+        # contains compares bytes; locate steps by characters and is asked only where there is a hit.
+        one = F.when(F.contains(low, F.lit(word)), F.locate(word, low)).otherwise(0)
+        after = lambda at: F.when(at > 0, F.call_function("locate", F.lit(word), low, at + len(word))).otherwise(0)
+        return let(one, lambda at: F.array(window(at), let(after(at), window)))
+
+    last = F.when(F.length(text) > 4000, F.substring(text, F.length(text) - 3999, F.lit(4000))).otherwise(text)
+    chunks = F.concat(F.array(F.substring(text, 1, 12_000)), *map(both, ENRICH_WORDS), F.array(last))
+    kept = F.array_distinct(F.filter(F.transform(chunks, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
     return F.substring(F.array_join(kept, "\n\n"), 1, 22_000)
 
 

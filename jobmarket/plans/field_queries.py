@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from jobmarket.functions import model_output, text, times, urls
 from jobmarket.operators import extract, ranking, reports, score
-from jobmarket.plans.registry import _LABEL, _refined, _t, _vacancies, query
+from jobmarket.plans.registry import _LABEL, _refined, _spread, _t, _vacancies, query
 from jobmarket.sources import boards, tables
 
 def _key() -> Column:
@@ -167,7 +167,7 @@ def b22_needs_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     f AS (SELECT p_partkey, [x FOR x IN c IF x IS NOT NULL AND x <> ''] AS c FROM k)
     SELECT p_partkey, md5(substr(array_to_string([c[i] FOR i IN range(1, len(c) + 1) IF list_position(c, c[i]) = i], chr(10) || chr(10)), 1, 22000)) AS window_md5 FROM f""")
 def b23_enrichment_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _t(spark, sf_dir, "part")
+    p = _spread(_t(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
     long = F.concat(F.trim(F.repeat(F.concat("p_name", F.lit(" ")), (F.col("p_partkey") % 1900).cast("int"))), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" your job "), F.trim(F.repeat(F.concat("p_name", F.lit(" ")), F.lit(600))))).otherwise(""))
     return p.select("p_partkey", F.md5(extract.enrichment_text(long)).alias("window_md5"))
 
