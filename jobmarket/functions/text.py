@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Callable
 from functools import reduce
+from html.entities import html5
 from operator import or_
 
 import pandas as pd
@@ -29,13 +31,25 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def unescape(c: Column) -> Column:
-    """Decode character references. Only texts with one outside ENTITIES go through Python; others send it a null."""
-    rare = F.when(F.contains(c, F.lit("&")) & c.rlike(f"&(?!(?:{_KNOWN});)(?:#|[A-Za-z])"), c)
+def _closed(text: str) -> str:
+    return re.sub(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0], text)
+
+
+@F.pandas_udf(T.StringType())
+def _unescape_closed(texts: pd.Series) -> pd.Series:
+    return texts.map(_closed, na_action="ignore")
+
+
+def unescape(c: Column, unclosed: bool = True) -> Column:
+    """Decode character references. Only texts with one outside ENTITIES go through Python; others send it a null.
+
+    unclosed: also decode those that end without a semicolon, as browsers do (&amp at a cut); else they stay as they are.
+    """
+    rare = F.when(F.contains(c, F.lit("&")) & c.rlike(f"&(?!(?:{_KNOWN});)" + ("(?:#|[A-Za-z])" if unclosed else "(?:#[xX]?[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")), c)
     plain = c
     for entity, char in ENTITIES.items():
         plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.when(F.contains(c, F.lit("&")), F.coalesce(_unescape_any(rare), plain)).otherwise(c)  # most texts hold none
+    return F.when(F.contains(c, F.lit("&")), F.coalesce((_unescape_any if unclosed else _unescape_closed)(rare), plain)).otherwise(c)  # most texts hold none
 
 
 MARK = "\x01"  # no HTML text holds it
@@ -74,14 +88,14 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, RUN, " "))
 
 
-def clean_markup(c: Column) -> Column:
+def clean_markup(c: Column, unclosed: bool = True) -> Column:
     """Decoded text without tags: decoding comes first, so an escaped tag goes as well."""
-    return collapse(F.regexp_replace(unescape(c), "<[^>]+>", " "))
+    return collapse(F.regexp_replace(unescape(c, unclosed), "<[^>]+>", " "))
 
 
-def visible_text(c: Column) -> Column:
+def visible_text(c: Column, unclosed: bool = True) -> Column:
     """As clean_markup, with script and style blocks removed."""
-    return let(unescape(c), visible_decoded)
+    return let(unescape(c, unclosed), visible_decoded)
 
 
 def visible_decoded(c: Column) -> Column:

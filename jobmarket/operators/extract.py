@@ -47,9 +47,9 @@ JOBAD_SALARY = (
 MAX_SKILL = 60
 
 
-def first_match(html: Column, patterns: Sequence[str]) -> Column:
-    """Cleaned text of the first pattern that gives some; empty if none does."""
-    return F.coalesce(*[F.nullif(clean_markup(F.regexp_extract(html, p, 1)), F.lit("")) for p in patterns], F.lit(""))
+def first_match(html: Column, patterns: Sequence[str], unclosed: bool = True) -> Column:
+    """Cleaned text of the first pattern that gives some; empty if none does. unclosed: as in unescape."""
+    return F.coalesce(*[F.nullif(clean_markup(F.regexp_extract(html, p, 1), unclosed), F.lit("")) for p in patterns], F.lit(""))
 
 
 def bare(c: Column) -> Column:

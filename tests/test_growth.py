@@ -29,3 +29,10 @@ def test_collapse_of_every_kind_of_run(spark):
     samples = ["a b", "a  b", " a", "a ", "a\tb", "a \tb", "a\t b", "\x1c a  　b\n", "", " ", "a \x85 b", None]
     got = [r[0] for r in spark.createDataFrame([(s,) for s in samples], "x string").select(text.collapse(F.col("x"))).collect()]
     assert got == [None if s is None else " ".join(s.split()) for s in samples]
+
+
+def test_unclosed_references_stay_where_only_closed_ones_are_read(spark, tmp_path):
+    page = "<html><head><title>R&amp;D &amp</title></head><body><article>a &quot;&copy &amp;lt; &eacute;&eacute &#233;</article></body></html>"
+    spark.createDataFrame([(1, "https://x.test/a", page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert e.queries()["b1_visible_text"](spark, str(tmp_path)).first()["visible"] == "R&D &amp a \"&copy &lt; é&eacute é"
+    assert [spark.createDataFrame([("&amp &eacute",)], "x string").select(text.unescape(F.col("x"), unclosed=u)).first()[0] for u in (True, False)] == ["& é", "&amp &eacute"]
