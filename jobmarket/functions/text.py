@@ -40,15 +40,23 @@ def _unescape_closed(texts: pd.Series) -> pd.Series:
     return texts.map(_closed, na_action="ignore")
 
 
+def _rare(c: Column, unclosed: bool = True) -> Column:
+    return F.contains(c, F.lit("&")) & c.rlike(f"&(?!(?:{_KNOWN});)" + ("(?:#|[A-Za-z])" if unclosed else "(?:#[xX]?[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"))
+
+
+def _plain(c: Column) -> Column:
+    for entity, char in ENTITIES.items():
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
+
+
 def unescape(c: Column, unclosed: bool = True) -> Column:
     """Decode character references. Only texts with one outside ENTITIES go through Python; others send it a null.
 
     unclosed: also decode those that end without a semicolon, as browsers do (&amp at a cut); else they stay as they are.
     """
-    rare = F.when(F.contains(c, F.lit("&")) & c.rlike(f"&(?!(?:{_KNOWN});)" + ("(?:#|[A-Za-z])" if unclosed else "(?:#[xX]?[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")), c)
-    plain = c
-    for entity, char in ENTITIES.items():
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    rare = F.when(_rare(c, unclosed), c)
+    plain = _plain(c)
     return F.when(F.contains(c, F.lit("&")), F.coalesce((_unescape_any if unclosed else _unescape_closed)(rare), plain)).otherwise(c)  # most texts hold none
 
 
@@ -60,6 +68,18 @@ def decoded_items(items: Column) -> Column:
     return F.when(F.size(items) > 0, F.split(unescape(F.array_join(items, MARK)), MARK)).otherwise(items)
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _unescape_groups(groups: pd.Series) -> pd.Series:
+    return groups.map(lambda g: None if g is None else [[html.unescape(x) for x in one] for one in g])
+
+
+def decoded_groups(groups: Column) -> Column:
+    """Arrays of texts in an array, decoded together: one Python function, which sees only rows with a reference outside ENTITIES."""
+    rare = F.when(F.exists(groups, lambda g: F.exists(g, lambda x: _rare(x))), groups)
+    plain = F.transform(groups, lambda g: F.transform(g, lambda x: F.when(F.contains(x, F.lit("&")), _plain(x)).otherwise(x)))
+    return F.coalesce(_unescape_groups(rare), plain)
+
+
 def decoded_bytes(c: Column, charset: str = "utf-8") -> Column:
     """Text of raw bytes; what the charset cannot hold is dropped. Valid UTF-8 stays in the JVM; other bytes go through Python."""
     if charset.lower() not in ("utf-8", "utf8"):
@@ -76,7 +96,7 @@ def contains_any(hay: Column, words: Column | tuple) -> Column:
     """Does the text hold any of the words; fixed words make a plain disjunction, an array column a lambda."""
     if isinstance(words, Column):
         return F.exists(words, lambda w: F.contains(hay, w))
-    return reduce(or_, [F.contains(hay, F.lit(w)) for w in words])
+    return let(hay, lambda h: reduce(or_, [F.contains(h, F.lit(w)) for w in words]))
 
 
 #: A run of white space that is not one space already: words of a text are not replaced one by one.

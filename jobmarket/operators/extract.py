@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobmarket.functions.text import MARK, clean_markup, decoded_items, let, visible_text
+from jobmarket.functions.text import MARK, clean_markup, collapse, decoded_groups, decoded_items, let, visible_decoded, visible_text
 from jobmarket.functions.urls import parts
 from jobmarket.operators.score import searchable_text
 from jobmarket.sources.boards import Board, excluded_location, looks_remote, page_blocked, source_id, vacancy_url
@@ -54,44 +54,66 @@ def first_match(html: Column, patterns: Sequence[str], unclosed: bool = True) ->
 
 def bare(c: Column) -> Column:
     """Decoded text without tags; usable inside a lambda."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"(?U)[\s\x1c-\x1f]+", " "))
+    return collapse(F.regexp_replace(c, "<[^>]+>", " "))
 
 
 def list_items(block: Column) -> Column:
-    found = decoded_items(F.regexp_extract_all(block, F.lit(r"(?is)<li>(.*?)</li>"), F.lit(1)))
-    return F.filter(F.transform(found, bare), lambda x: x != "")
+    return F.filter(F.transform(decoded_items(_items(block)), bare), lambda x: x != "")
 
 
-def section(html: Column, headings: Sequence[str], legacy: str, intro: bool = False) -> Column:
-    """List items of the first heading's section that has any, or its whole text as one item; then intro and legacy list."""
-    none = F.array().cast("array<string>")
+def _items(block: Column) -> Column:
+    return F.regexp_extract_all(block, F.lit(r"(?is)<li>(.*?)</li>"), F.lit(1))
+
+
+def _first(texts: Column) -> Column:
+    """The first text that is not empty, else null."""
+    return F.get(F.filter(texts, lambda x: x != ""), F.lit(0))
+
+
+def _captures(html: Column, patterns: Sequence[str]) -> Column:
+    return F.array(*[F.regexp_extract(html, p, 1) for p in patterns])
 
-    def one(block: Column, items: bool = True) -> Column:
-        whole = clean_markup(block)
-        found = F.when(F.size(list_items(block)) > 0, list_items(block)) if items else F
-        return found.when(whole != "", F.array(whole))
 
-    tries = [one(F.regexp_extract(html, SECTION % re.escape(h), 1)) for h in headings]
+def jobad_cuts(html: Column, requirement_headings: Sequence[str], duty_headings: Sequence[str]) -> dict[str, Column]:
+    """The raw pieces of a page in the jobad layout, arrays by name; of a section its items and its whole text."""
+    cuts = {name: _captures(html, patterns) for name, patterns in JOBAD.items()} | {"salary": _captures(html, JOBAD_SALARY)}
+    for part, headings in (("requirements", requirement_headings), ("responsibilities", duty_headings)):
+        blocks = [F.regexp_extract(html, SECTION % re.escape(h), 1) for h in headings]
+        cuts |= {f"{part} {i}": _items(block) for i, block in enumerate(blocks)}
+        cuts |= {part: F.array(*blocks, F.regexp_extract(html, INTRO, 1)), f"old {part}": _items(F.regexp_extract(html, LEGACY_LIST % part, 1))}
+    return cuts
+
+
+def _section(piece: Callable[[str], Column], part: str, headings: Sequence[str], intro: bool = False) -> Column:
+    """List items of the first heading's section that has any, or its whole text as one item; then intro and legacy list."""
+    texts = lambda name: F.filter(piece(name), lambda x: x != "")
+    whole = lambda i: F.get(piece(part), F.lit(i))
+    tries = [F.when(F.size(texts(f"{part} {i}")) > 0, texts(f"{part} {i}")).when(whole(i) != "", F.array(whole(i))) for i in range(len(headings))]
     if intro:
-        tries.append(one(F.regexp_extract(html, INTRO, 1), items=False))
-    old = list_items(F.regexp_extract(html, LEGACY_LIST % legacy, 1))
-    return F.coalesce(*tries, F.when(F.size(old) > 0, old), none)
+        tries.append(F.when(whole(len(headings)) != "", F.array(whole(len(headings)))))
+    old = texts(f"old {part}")
+    return F.coalesce(*tries, F.when(F.size(old) > 0, old), F.array().cast("array<string>"))
 
 
-def jobad_fields(html: Column, url: Column, requirement_headings: Sequence[str], duty_headings: Sequence[str]) -> dict[str, Column]:
-    """Fields of the jobad layout: place splits into location and company, salary has three places, sections become lists."""
-    place = first_match(html, JOBAD["place"])
-    split = F.split(place, " - ", 2)
-    salary = JOBAD_SALARY
-    amount = F.regexp_extract(html, salary[2], 1) != ""
+def jobad_fields(html: Column, url: Column, requirement_headings: Sequence[str], duty_headings: Sequence[str], piece: Callable[[str], Column] | None = None) -> dict[str, Column]:
+    """Fields of the jobad layout: place splits into location and company, salary has three places, sections become lists.
+
+    piece gives the cleaned texts of a cut by its name; without it they are made here, for each field anew.
+    """
+    if piece is None:
+        cuts = jobad_cuts(html, requirement_headings, duty_headings)
+        piece = lambda name: F.transform(decoded_items(cuts[name]), bare)
+    text = lambda name, at=1, n=9: F.coalesce(_first(F.slice(piece(name), at, n)), F.lit(""))
+    split = F.split(text("place"), " - ", 2)
+    amount = F.regexp_extract(html, JOBAD_SALARY[2], 1) != ""
     return {
         "source_id": F.coalesce(F.nullif(F.regexp_extract(html, 'data-source-id="([^"]+)"', 1), F.lit("")), F.nullif(F.regexp_extract(url, r"/(1-\d+)", 1), F.lit("")), path_id(url)),
-        "title": first_match(html, JOBAD["title"]),
-        "company": F.coalesce(F.nullif(first_match(html, JOBAD["company"]), F.lit("")), F.trim(F.coalesce(F.get(split, F.lit(1)), F.lit("")))),
+        "title": text("title"),
+        "company": F.coalesce(_first(piece("company")), F.trim(F.coalesce(F.get(split, F.lit(1)), F.lit("")))),
         "location": F.trim(F.get(split, F.lit(0))),
-        "salary_text": F.when(html.rlike(salary[0]), first_match(html, salary[:1])).when(amount, first_match(html, salary[1:3])).otherwise(first_match(html, salary[3:])),
-        "requirements": section(html, requirement_headings, "requirements"),
-        "responsibilities": section(html, duty_headings, "responsibilities", intro=True),
+        "salary_text": F.when(html.rlike(JOBAD_SALARY[0]), text("salary", 1, 1)).when(amount, text("salary", 2, 2)).otherwise(text("salary", 4)),
+        "requirements": _section(piece, "requirements", requirement_headings),
+        "responsibilities": _section(piece, "responsibilities", duty_headings, intro=True),
     }
 
 
@@ -100,9 +122,13 @@ def path_id(url: Column) -> Column:
     return F.coalesce(F.nullif(path, F.lit("")), url)
 
 
-def skill_tags(html: Column, most: int | None = MAX_SKILL) -> Column:
-    raw = decoded_items(F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in SKILLS]))
-    found = F.array_distinct(F.filter(F.transform(raw, bare), lambda x: x != ""))
+def _all(html: Column, *patterns: str) -> Column:
+    return F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in patterns])
+
+
+def skill_tags(cleaned: Column, most: int | None = MAX_SKILL) -> Column:
+    """Skills from the cleaned texts of the tags: the first of each, none empty or too long."""
+    found = F.array_distinct(F.filter(cleaned, lambda x: x != ""))
     return F.filter(found, lambda x: F.length(x) <= most) if most else found
 
 
@@ -141,7 +167,11 @@ def job_posting(html: Column) -> Column:
 
     Two levels are column expressions. Pages whose scripts may nest deeper, and name a posting, are searched to any depth in Python; others send it a null.
     """
-    texts_ = decoded_items(F.regexp_extract_all(html, F.lit(JSON_LD), F.lit(1)))
+    return posting_in(decoded_items(_all(html, JSON_LD)))
+
+
+def posting_in(texts_: Column) -> Column:
+    """The same of a page's decoded scripts; they are named more than once, so they should be a column."""
     joined = F.array_join(texts_, MARK)
     deep = F.contains(joined, F.lit("JobPosting")) & joined.rlike(DEEP)
     scripts = F.transform(texts_, lambda s: F.try_parse_json(F.trim(s)))
@@ -159,9 +189,13 @@ def posting_fields(v: Column) -> dict[str, Column]:
     get = lambda x, path: F.coalesce(bare(F.try_variant_get(x, path, "string")), F.lit(""))  # noqa: E731  decoded with its script
     places = F.coalesce(F.try_variant_get(v, "$.jobLocation", "array<variant>"), F.array(F.try_variant_get(v, "$.jobLocation", "variant")))
     names = F.flatten(F.transform(F.filter(places, lambda p: p.isNotNull()), lambda p: F.array(*[get(p, f"$.address.{k}") for k in ("addressLocality", "addressRegion", "addressCountry")])))
-    low, high, unit, money = (get(v, f"$.baseSalary.{p}") for p in ("value.minValue", "value.maxValue", "value.unitText", "currency"))
-    tail = F.concat(F.lit(" "), money, F.lit(" "), unit)
-    salary = F.when((low != "") & (high != ""), F.concat(low, F.lit("-"), high, tail)).when(low != "", F.concat(F.lit("from "), low, tail)).when(high != "", F.concat(F.lit("up to "), high, tail)).otherwise("")
+    paid = F.struct(*[get(v, f"$.baseSalary.{p}").alias(k) for k, p in (("low", "value.minValue"), ("high", "value.maxValue"), ("unit", "value.unitText"), ("money", "currency"))])
+
+    def range_text(x: Column) -> Column:
+        low, high, tail = x["low"], x["high"], F.concat(F.lit(" "), x["money"], F.lit(" "), x["unit"])
+        return F.when((low != "") & (high != ""), F.concat(low, F.lit("-"), high, tail)).when(low != "", F.concat(F.lit("from "), low, tail)).when(high != "", F.concat(F.lit("up to "), high, tail)).otherwise("")
+
+    salary = let(paid, range_text)
     return {
         "title": get(v, "$.title"), "company": get(v, "$.hiringOrganization.name"), "location": F.array_join(F.array_distinct(F.filter(names, lambda x: x != "")), ", "),
         "salary_text": F.trim(F.regexp_replace(salary, " +", " ")), "description": get(v, "$.description"),
@@ -174,15 +208,24 @@ def vacancies(pages: DataFrame, board: Board) -> DataFrame:
     Reasons in order: blocked, not_remote, excluded_location, no_title; a bad page is a row, never a failed job.
     """
     html, url = F.coalesce(F.col("html"), F.lit("")), F.coalesce(F.col("url"), F.lit(""))
-    staged = pages.withColumn("_visible", visible_text(html)).withColumn("_posting", posting_struct(html))
     if board.layout == "jobad":
-        out = staged.withColumns(jobad_fields(html, url, board.requirement_headings, board.duty_headings))
+        cuts = jobad_cuts(html, board.requirement_headings, board.duty_headings)
+    else:
+        cuts = {name: _captures(html, patterns) for name, patterns in (PATTERNS | dict(board.patterns)).items()} | {"skills": _all(html, *SKILLS), "scripts": _all(html, JSON_LD)}
+    # Each step is a column of its own: a page is cut once, decoded once and cleaned once, however many fields name a piece.
+    staged = pages.withColumn("_cuts", F.array(F.array(html), *cuts.values())).withColumn("_cuts", decoded_groups(F.col("_cuts")))
+    raw = lambda name: F.get(F.col("_cuts"), F.lit(list(cuts).index(name) + 1))
+    piece = lambda name: F.get(F.col("_clean"), F.lit(list(cuts).index(name)))
+    staged = staged.withColumn("_visible", visible_decoded(F.get(F.get(F.col("_cuts"), F.lit(0)), F.lit(0))))
+    staged = staged.withColumn("_clean", F.transform(F.slice("_cuts", 2, len(cuts) - ("scripts" in cuts)), lambda g: F.transform(g, bare)))
+    if board.layout == "jobad":
+        out = staged.withColumns(jobad_fields(html, url, board.requirement_headings, board.duty_headings, piece))
     else:
-        patterns = PATTERNS | dict(board.patterns)
-        value = lambda name: F.coalesce(F.nullif(first_match(html, patterns[name]), F.lit("")), F.col(f"_posting.{name}"), F.lit(""))
-        out = staged.withColumns({**{n: value(n) for n in ("title", "company", "location", "salary_text")}, "_description": value("description")})
+        out = staged.withColumn("_scripts", raw("scripts")).withColumn("_posting", posting_struct(F.col("_scripts")))
+        value = lambda name: F.coalesce(_first(piece(name)), F.col(f"_posting.{name}"), F.lit(""))
+        out = out.withColumns({**{n: value(n) for n in ("title", "company", "location", "salary_text")}, "_description": value("description")})
         out = out.withColumns({
-            "source_id": source_id(url, html, board), "requirements": skill_tags(html),
+            "source_id": source_id(url, html, board), "requirements": skill_tags(piece("skills")),
             "responsibilities": F.when(F.col("_description") != "", F.array("_description")).otherwise(F.array().cast("array<string>")),
         })
     out = out.withColumns({"source_name": F.lit(board.name), "source_url": vacancy_url(url, board)})
@@ -193,12 +236,18 @@ def vacancies(pages: DataFrame, board: Board) -> DataFrame:
         reason = reason.when(excluded_location(F.col("location"), board.excluded_locations), "excluded_location")
     out = out.withColumn("reject_reason", reason.when(F.col("title") == "", "no_title"))
     out = out.withColumn("searchable", searchable_text(*[F.col(c) for c in ("title", "company", "location", "salary_text", "requirements", "responsibilities")]))
-    return out.drop("_visible", "_posting", "_description")
+    return out.drop("_cuts", "_clean", "_scripts", "_visible", "_posting", "_description")
+
+
+def posting_struct(scripts: Column) -> Column:
+    """Fields of the posting in a page's decoded scripts; null for a page without scripts."""
+    return F.when(F.size(scripts) > 0, let(posting_in(scripts), lambda v: F.struct(*[c.alias(k) for k, c in posting_fields(v).items()])))
 
 
-def posting_struct(html: Column) -> Column:
-    v = job_posting(html)
-    return F.when(html.rlike(JSON_LD), F.struct(*[c.alias(k) for k, c in posting_fields(v).items()]))
+def postings(pages: DataFrame) -> DataFrame:
+    """pages with ld+json scripts, and the fields of their first posting."""
+    found = pages.where(F.col("html").rlike(JSON_LD)).withColumn("_scripts", decoded_items(_all(F.col("html"), JSON_LD)))
+    return found.withColumn("_posting", posting_struct(F.col("_scripts"))).select(*pages.columns, "_posting.*")
 
 
 def needs_enrichment(df: DataFrame) -> Column:

@@ -44,7 +44,7 @@ def _field_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(', "maxValue": '), (_key() + 10).cast("string"), F.lit(', "unitText": "MONTH"}}}]}</script>'),
     )
     head = F.concat(F.lit("<h1>Job "), name, F.lit("</h1>"))
-    c = _t(spark, sf_dir, "customer")
+    c = _spread(_t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_name"), "c_custkey")
     return c.select("c_custkey", F.concat(F.lit("https://b.test/ad/"), k, F.lit("/?x=1#y")).alias("url"), F.concat(head, _pick(_key(), testid, classes, posting, "")).alias("html"))
 
 
@@ -71,8 +71,7 @@ def b11_skills_and_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM customer WHERE c_custkey % 4 = 2""")
 def b12_job_posting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The posting inside @graph, its places and pay."""
-    out = _field_pages(spark, sf_dir).withColumn("p", extract.posting_struct(F.col("html"))).where("p is not null")
-    return out.select("c_custkey", "p.*")
+    return extract.postings(_field_pages(spark, sf_dir).select("c_custkey", "html")).drop("html")
 
 
 def _jobad_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 import __spark_entry__ as e
 from jobmarket.functions import text
 from jobmarket.operators import extract
+from jobmarket.sources import boards
 
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["b23_enrichment_window"])
+@pytest.mark.parametrize("name", ["b23_enrichment_window", "b5_company_location_salary", "b11_skills_and_description", "b12_job_posting"])
 def test_rows_of_a_small_file_are_spread(spark, name):
     assert e.queries()[name](spark, SMALL).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
 
@@ -37,3 +38,20 @@ def test_unclosed_references_stay_where_only_closed_ones_are_read(spark, tmp_pat
     assert e.queries()["b1_visible_text"](spark, str(tmp_path)).first()["visible"] == "R&D &amp a \"&copy &lt; é&eacute é"
     assert e.queries()["b4_page_fields"](spark, str(tmp_path)).first()["title"] == "R&D &amp"
     assert [spark.createDataFrame([("&amp &eacute",)], "x string").select(text.unescape(F.col("x"), unclosed=u)).first()[0] for u in (True, False)] == ["& é", "&amp &eacute"]
+
+
+@pytest.mark.parametrize("name", ["b5_company_location_salary", "b11_skills_and_description", "b12_job_posting", "b6_jobad_layout"])
+def test_a_page_is_decoded_and_parsed_once(spark, name):
+    plan = e.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    udfs = {x.split("(")[0] + x.split("#")[-1] for x in plan.replace("_unescape", "\n_unescape").split("\n") if x.startswith("_unescape")}
+    assert 1 <= len(udfs) <= 2 and plan.count("parse_json") <= 3
+
+
+def test_vacancy_fields_with_rare_references_and_marks(spark):
+    html = '<h1>A&eacute; \x01 &amp;lt;</h1><p class="company">&scaron; &amp; c</p><em class="tag">R&amp;D</em><em class="tag"> </em><em class="tag">&eacute;</em><main>x &lt;b&gt; y</main>'
+    ld = '<script type="application/ld+json">{"@type": "JobPosting", "title": "T &eacute;", "baseSalary": {"currency": "EUR", "value": {"maxValue": 5, "unitText": "HOUR"}}}</script>'
+    rows = spark.createDataFrame([(1, "https://x.test/a/", html), (2, "https://x.test/b", ld), (3, None, None)], "id long, url string, html string")
+    got = {r["id"]: r for r in extract.vacancies(rows, boards.Board("x", ("x.test",))).collect()}
+    assert (got[1]["title"], got[1]["company"], got[1]["requirements"], got[1]["responsibilities"]) == ("Aé \x01 &lt;", "š & c", ["R&D", "é"], ["x y"])
+    assert (got[2]["title"], got[2]["salary_text"], got[2]["reject_reason"]) == ("T é", "up to 5 EUR HOUR", None)
+    assert (got[3]["title"], got[3]["requirements"], got[3]["reject_reason"]) == ("", [], "no_title")
