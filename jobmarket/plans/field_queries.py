@@ -102,7 +102,7 @@ def _gate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         _key(), "<h1>Clerk</h1>Just a Moment, remote", "<h1>Clerk</h1>office", '<h1>Remote clerk</h1><i class="location">Sankt, Москва</i>', "<p>remote work</p>", "<h1>Remote clerk</h1>", '<h1>Clerk</h1><i class="location">Minsk, Belarus</i>access denied',
         '<h1>Clerk</h1><i class="location">Belarus</i>',
     )
-    return _t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("https://g.test/"), _s("c_custkey")).alias("url"), body.alias("html"))
+    return _spread(_t(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("c_custkey", F.concat(F.lit("https://g.test/"), _s("c_custkey")).alias("url"), body.alias("html"))
 
 
 @query("""
