@@ -83,7 +83,8 @@ def _jobad_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     needs = _pick(_key(), F.concat(F.lit('<h2>Reikalavimai darbuotojui</h2> <div class="jobad_txt"><ul><li>A&amp;B '), nation, F.lit("</li><li> </li><li>SQL</li></ul></div>")), F.concat(F.lit('<h2> Reikalavimai </h2><div class="jobad_txt">All of '), nation, F.lit("</div>")), '<div class="requirements"><ul><li>old</li></ul></div>')
     duties = _pick(_key() + 1, '<h2>Darbo pobūdis</h2><div class="jobad_txt"><li>build</li></div>', '<section><div class="jobad_txt">Intro &scaron;</div></section>', "")
     html = F.concat(F.lit('<i data-source-id="s'), k, F.lit('"></i><h1 id="jobad_heading1">Remote '), seg, F.lit('</h1><div id="jobad_location">City '), nation, F.lit(" - "), seg, F.lit("</div>"), pay, needs, duties)
-    return _t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("https://www.cvbankas.lt/x/1-"), k).alias("url"), html.alias("html"))
+    c = _spread(_t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), "c_custkey")
+    return c.select("c_custkey", F.concat(F.lit("https://www.cvbankas.lt/x/1-"), k).alias("url"), html.alias("html"))
 
 
 @query("""
