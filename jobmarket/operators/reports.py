@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from jobmarket.functions.text import escape_html, visible_text
+from jobmarket.functions.text import escape_html, let, visible_text
 
 EXCERPT = 1400
 CHUNK = 3800
+CHUNK_ROWS = 200  # messages that Python holds as its own texts at once
 
 
 def _or(c: str, default: str) -> Column:
@@ -27,8 +29,8 @@ def _field(name: str, c: Column) -> Column:
 
 
 def excerpt(html: Column) -> Column:
-    text = visible_text(F.coalesce(html, F.lit("")))
-    return F.when(text == "", "Not extracted").when(F.length(text) <= EXCERPT, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, EXCERPT)), F.lit("...")))
+    short = lambda text: F.when(text == "", "Not extracted").when(F.length(text) <= EXCERPT, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, EXCERPT)), F.lit("...")))
+    return let(visible_text(F.coalesce(html, F.lit(""))), short)
 
 
 def bullets(items: Column) -> Column:
@@ -121,7 +123,7 @@ def chunk_messages(messages: DataFrame, limit: int = CHUNK) -> DataFrame:
     A chunk ends at a blank line if it can, else at a newline, else anywhere.
     """
     rest = [c for c in messages.columns if c != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema if f.name != "text")
+    schema = T.StructType([*[f for f in messages.schema if f.name != "text"], T.StructField("part", T.IntegerType()), T.StructField("chunk", T.StringType())])
 
     def cut(text: str) -> list[str]:
         out: list[str] = []
@@ -133,20 +135,27 @@ def chunk_messages(messages: DataFrame, limit: int = CHUNK) -> DataFrame:
                 continue
             if held:
                 out.append(held)
-            while len(block) > limit:
-                at = block.rfind("\n", 0, limit)
-                at = at if at > 0 else limit
-                out.append(block[:at].rstrip())
-                block = block[at:].lstrip()
-            held = block
+            start = 0  # a place in the block: the rest of a long one is not copied for each chunk
+            while len(block) - start > limit:
+                at = block.rfind("\n", start, start + limit)
+                at = at if at > start else start + limit
+                out.append(block[start:at].rstrip())
+                start = at
+                while start < len(block) and block[start].isspace():
+                    start += 1
+            held = block[start:]
         return [*out, held] if held else out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = pdf.assign(chunk=[cut(t or "") for t in pdf["text"]]).explode("chunk").dropna(subset=["chunk"])
-            yield parts.assign(part=parts.groupby(level=0).cumcount())[[*rest, "part", "chunk"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, CHUNK_ROWS):
+                batch = whole.slice(first, CHUNK_ROWS)
+                chunks = [cut(t or "") for t in batch.column("text").to_pylist()]
+                rows = pa.array([i for i, c in enumerate(chunks) for _ in c], pa.int32())
+                part, chunk = pa.array([i for c in chunks for i in range(len(c))], pa.int32()), pa.array([x for c in chunks for x in c], pa.string())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in rest], part, chunk], [*rest, "part", "chunk"])
 
-    return messages.mapInPandas(run, f"{schema}, part int, chunk string")
+    return messages.mapInArrow(run, schema)
 
 
 def excluded_rows(refined: DataFrame, why: str, n: int) -> DataFrame:

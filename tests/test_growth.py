@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as e
 from jobmarket.functions import text
-from jobmarket.operators import extract
+from jobmarket.operators import extract, reports
 from jobmarket.sources import boards
 
 SMALL = "/root/testdata/sf0.001"
@@ -55,3 +55,19 @@ def test_vacancy_fields_with_rare_references_and_marks(spark):
     assert (got[1]["title"], got[1]["company"], got[1]["requirements"], got[1]["responsibilities"]) == ("Aé \x01 &lt;", "š & c", ["R&D", "é"], ["x y"])
     assert (got[2]["title"], got[2]["salary_text"], got[2]["reject_reason"]) == ("T é", "up to 5 EUR HOUR", None)
     assert (got[3]["title"], got[3]["requirements"], got[3]["reject_reason"]) == ("", [], "no_title")
+
+
+def test_chunks_are_cut_in_slices_of_a_batch(spark):
+    texts = ["a" * 9, "", None, "x" * 3801, "ab\n" * 3000 + "   tail", ("p" * 3000 + "\n\n") * 3, " " * 4000 + "y", "é\n\n" + "z" * 8000] * 60
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    out = reports.chunk_messages(df)
+    assert "mapinpandas" not in out._jdf.queryExecution().executedPlan().toString().lower()  # held whole batches of texts, copies and chunks
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r["id"], r["part"])):
+        assert r["part"] == len(got.setdefault(r["id"], []))
+        got[r["id"]].append(r["chunk"])
+    want = [["a" * 9], None, None, ["x" * 3800, "x"], None, ["p" * 3000, "p" * 3000, "p" * 3000 + "\n\n"], ["", "y"], ["é", "z" * 3800, "z" * 3800, "z" * 400]]
+    for i in range(len(texts)):
+        if i % 8 != 4:
+            assert got.get(i) == want[i % 8], i % 8
+    assert all(len(x) <= 3800 for x in got[4]) and "\n".join(got[4]).replace(" ", "") == texts[4].replace(" ", "")
