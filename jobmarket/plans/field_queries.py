@@ -462,7 +462,7 @@ def d7_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         '- Fit label: Low' || chr(10) || '- Explanation: because' || chr(10) || '- Matched points: x, y' || chr(10) || '- Missing points: None' || chr(10) || '- Application status: ' || CASE WHEN c_custkey % 2 = 0 THEN 'Saved' ELSE 'Not tracked' END || chr(10) AS section FROM customer""")
 def a13_vacancy_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<string>")
-    rows = _t(spark, sf_dir, "customer").select(
+    rows = _spread(_t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey").select(
         "c_custkey", F.col("c_name").alias("title"), F.lit("board").alias("source_name"), _s("c_custkey").alias("source_id"), F.col("c_mktsegment").alias("company"), F.lit("").alias("location"), F.lit("").alias("salary_text"), F.concat(F.lit("u"), _s("c_custkey")).alias("source_url"),
         F.when(_key() % 2 == 0, F.array(F.lit("a \n b"), F.lit("c"))).otherwise(none).alias("requirements"), none.alias("responsibilities"), _pick(_key(), "<script>no</script>", F.concat(F.lit("<p>"), "c_name", F.lit("</p>")), "word " * 500).alias("raw_text"),
         F.lit("rule_based").alias("analysis_method"), (_key() % 101).alias("score"), F.lit("Low").alias("fit_label"), F.lit("because").alias("explanation"), F.array(F.lit("x"), F.lit("y")).alias("matched_points"), none.alias("missing_points"), F.when(_key() % 2 == 0, "Saved").alias("application_status"),

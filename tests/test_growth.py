@@ -11,7 +11,7 @@ from jobmarket.sources import boards
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["b23_enrichment_window", "b5_company_location_salary", "b11_skills_and_description", "b12_job_posting", "b20_reject_reasons", "b6_jobad_layout"])
+@pytest.mark.parametrize("name", ["b23_enrichment_window", "b5_company_location_salary", "b11_skills_and_description", "b12_job_posting", "b20_reject_reasons", "b6_jobad_layout", "a13_vacancy_sections"])
 def test_rows_of_a_small_file_are_spread(spark, name):
     assert e.queries()[name](spark, SMALL).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
 
